@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import hour_bucket
@@ -168,11 +168,14 @@ def identity_leak_check(published: DataFrame) -> DataFrame:
         F.count_if(rel.isNull() | ~rel.isin(*RELATIONSHIPS)).alias("r"),
         F.count_if(~bucket.between(0, 9)).alias("b"),
     )
+    def rule(name: str, violations: Column) -> Column:
+        return F.struct(F.lit(name).alias("rule"), violations.cast("bigint").alias("violations"))
+
     rules = F.array(
-        F.struct(F.lit("identity_columns").alias("rule"), F.lit(len(leaked)).cast("bigint").alias("violations")),
-        F.struct(F.lit("merchant_labels"), F.lit(len(merchant_labels)).cast("bigint")),
-        F.struct(F.lit("relationship_vocabulary"), F.col("r")),
-        F.struct(F.lit("hour_bucket_range"), F.col("b")),
+        rule("identity_columns", F.lit(len(leaked))),
+        rule("merchant_labels", F.lit(len(merchant_labels))),
+        rule("relationship_vocabulary", F.col("r")),
+        rule("hour_bucket_range", F.col("b")),
     )
     return counted.select(F.inline(rules))
 
