@@ -67,3 +67,14 @@ def share_of(condition: Column) -> Column:
 
 def pct_change(recent: Column, base: Column) -> Column:
     return (ratio(recent, base) - 1) * 100
+
+
+FIXED = 100_000_000
+
+
+def mean_fixed(c: Column | str, where: Column | None = None) -> Column:
+    """Mean of fractions as fixed-point numbers (8 decimals), free of the order of rows."""
+    value = F.rint(_col(c) * FIXED).cast("bigint")
+    if where is not None:
+        value = F.when(where, value)
+    return F.try_divide(F.sum(value).cast("double") / FIXED, F.count(value).cast("double"))
