@@ -104,14 +104,15 @@ def _locate(counts: DataFrame, key: str, rank: Column) -> DataFrame:
                      F.lit(0).cast("bigint").alias("seen"))
 
     def step(acc: Column, x: Column) -> Column:
-        here = acc["k"].isNull() & (acc["seen"] + x["n"] >= rank)
+        here = acc["k"].isNull() & (acc["seen"] + x["n"] >= F.col("_rank"))
         return F.struct(
             F.when(here, x["k"]).otherwise(acc["k"]).alias("k"),
             F.when(here, acc["seen"]).otherwise(acc["before"]).alias("before"),
             (acc["seen"] + x["n"]).alias("seen"),
         )
 
-    return counts.agg(F.aggregate(runs, start, step).alias("_hit")).select("_hit.k", "_hit.before")
+    folded = counts.withColumn("_rank", rank).agg(runs.alias("_runs"), F.max("_rank").alias("_rank"))
+    return folded.select(F.aggregate("_runs", start, step).alias("_hit")).select("_hit.k", "_hit.before")
 
 
 def _value_at(counts: DataFrame, value: str, rank: Column) -> DataFrame:

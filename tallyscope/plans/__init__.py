@@ -1,6 +1,6 @@
 """Named queries over whole tables and the SQL each one is checked against."""
 
-from tallyscope.plans import basket_queries, card_queries, lake_queries  # noqa: F401
+from tallyscope.plans import basket_queries, card_queries, lake_queries, quality_queries  # noqa: F401
 from tallyscope.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]
