@@ -94,63 +94,69 @@ def top_fraction_sum(df: DataFrame, by: Sequence[str], value: str, fraction: flo
     )
 
 
-def _locate(counts: DataFrame, key: str, rank: Column) -> DataFrame:
-    """One row (key, before): the key whose run of rows holds the 1-based `rank`, and the rows before it.
+def _locate(counts: DataFrame, key: str, rank: int) -> tuple:
+    """(key, rows before it) for the key whose run of rows holds the 1-based `rank`.
 
-    `counts` has one row per key, at most a few thousand.
+    `counts` has one row per key, at most a few thousand; one row comes back to the driver.
     """
     runs = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_n").alias("n"))))
     start = F.struct(F.lit(None).cast(counts.schema[key].dataType).alias("k"), F.lit(0).cast("bigint").alias("before"),
                      F.lit(0).cast("bigint").alias("seen"))
 
     def step(acc: Column, x: Column) -> Column:
-        here = acc["k"].isNull() & (acc["seen"] + x["n"] >= F.col("_rank"))
+        here = acc["k"].isNull() & (acc["seen"] + x["n"] >= rank)
         return F.struct(
             F.when(here, x["k"]).otherwise(acc["k"]).alias("k"),
             F.when(here, acc["seen"]).otherwise(acc["before"]).alias("before"),
             (acc["seen"] + x["n"]).alias("seen"),
         )
 
-    folded = counts.withColumn("_rank", rank).agg(runs.alias("_runs"), F.max("_rank").alias("_rank"))
-    return folded.select(F.aggregate("_runs", start, step).alias("_hit")).select("_hit.k", "_hit.before")
+    hit = counts.agg(F.aggregate(runs, start, step).alias("h")).select("h.k", "h.before").first()
+    return hit["k"], hit["before"]
 
 
-def _value_at(counts: DataFrame, value: str, rank: Column) -> DataFrame:
-    """(k, before) for the value at `rank`: two rounds of equal-width bins, then the values of one narrow bin."""
-    v, skipped = F.col(value), F.lit(0)
+def _value_at(counts: DataFrame, value: str, rank: int) -> tuple:
+    """(value, rows before it) at `rank`: two rounds of equal-width bins, then the values of one narrow bin."""
+    v, skipped = F.col(value), 0
     for _ in range(2):
-        lo, hi = counts.agg(F.min(v)).scalar(), counts.agg(F.max(v)).scalar()
-        width = (hi - lo).cast("double") / BINS
-        bin_of = F.when(width > 0, F.least(F.floor((v - lo) / width), F.lit(BINS - 1))).otherwise(0).cast("int")
+        span = counts.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+        width = (span["hi"] - span["lo"]) / BINS
+        if width == 0:
+            break
+        bin_of = F.least(F.floor((v - F.lit(span["lo"])) / F.lit(width)), F.lit(BINS - 1)).cast("int")
         binned = counts.withColumn("_bin", bin_of)
-        hit = _locate(binned.groupBy("_bin").agg(F.sum("_n").alias("_n")), "_bin", rank)
-        chosen, before = hit.select("k").scalar(), hit.select("before").scalar()
+        chosen, before = _locate(binned.groupBy("_bin").agg(F.sum("_n").alias("_n")), "_bin", rank)
         counts = binned.filter(F.col("_bin") == chosen).drop("_bin")
         rank, skipped = rank - before, skipped + before
-    return _locate(counts, value, rank).select("k", (F.col("before") + skipped).alias("before"))
+    at, before = _locate(counts, value, rank)
+    return at, before + skipped
 
 
-def ntile_cuts(df: DataFrame, value: str, tie: str, n: int) -> list[tuple[Column, Column]]:
-    """Upper ends (value, tie) of the first n-1 tiles of NTILE(n) OVER (ORDER BY value, tie), as scalar columns.
+def ntile_cuts(df: DataFrame, value: str, tie: str, n: int) -> list[tuple]:
+    """Upper ends (value, tie) of the first n-1 tiles of NTILE(n) OVER (ORDER BY value, tie).
 
     `tie` is a uniform whole number (a row hash), so that the rows sharing one value, however many, spread evenly
-    over the bins.
+    over the bins.  Only single numbers reach the driver; each round filters by the number found before it.
     """
-    per_value = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    rows = per_value.agg(F.sum("_n")).scalar()
+    per_value = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).persist()
     cuts = []
-    for i in range(1, n):
-        rank = F.floor(rows / n) * i + F.least(F.lit(i), rows % n)
-        hit = _value_at(per_value, value, rank)
-        at, before = hit.select("k").scalar(), hit.select("before").scalar()
-        ties = df.filter(F.col(value) == at).groupBy(tie).agg(F.count(F.lit(1)).alias("_n"))
-        cuts.append((at, _value_at(ties, tie, rank - before).select("k").scalar()))
+    try:
+        rows = per_value.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+        for rank in [rows // n * i + min(i, rows % n) for i in range(1, n)] if rows else []:
+            at, before = _value_at(per_value, value, rank)
+            ties = df.filter(F.col(value) == F.lit(at)).groupBy(tie).agg(F.count(F.lit(1)).alias("_n")).persist()
+            try:
+                cuts.append((at, _value_at(ties, tie, rank - before)[0]))
+            finally:
+                ties.unpersist()
+    finally:
+        per_value.unpersist()
     return cuts
 
 
-def tile_of(value: str, tie: str, cuts: Sequence[tuple[Column, Column]]) -> Column:
+def tile_of(value: str, tie: str, cuts: Sequence[tuple]) -> Column:
     out = F.lit(1)
     for at, tie_at in cuts:
-        beyond = (F.col(value) > at) | ((F.col(value) == at) & (F.col(tie) > tie_at))
+        beyond = (F.col(value) > F.lit(at)) | ((F.col(value) == F.lit(at)) & (F.col(tie) > F.lit(tie_at)))
         out = out + F.when(beyond, 1).otherwise(0)
     return out
