@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_CHAR = r"\p{L}\p{N}_"
@@ -41,40 +41,34 @@ STRUCTURAL_FOLLOWERS = (
 STRUCTURAL_PREFIXES = "zone z region q quarter period phase step stage tier wave".split()
 
 
-def number_tokens(text: Column) -> Column:
-    """Array of (token, left, right): every numeric token with up to 60 characters on either side.
+def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, token, left, right): every numeric token with the text around it that decides its kind.
 
-    `split` on the same pattern gives the text between tokens; one fold to the right and one to the left carry the
-    last and next 60 characters, so the cost is linear in the text.
+    Texts are cut once into tokens and the gaps between them.  The two words on either side of a token lie within
+    two neighbouring tokens and three gaps, of which the 60 nearest characters count, so every token costs the same
+    however long its text is.
     """
-    tokens = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))
-    gaps = F.split(text, NUMBER, -1)
-    pairs = F.zip_with(tokens, F.slice(gaps, F.lit(2), F.size(tokens)),
-                       lambda t, g: F.struct(t.alias("t"), g.alias("g")))
-    none = F.array().cast("array<string>")
-
-    def forward(acc: Column, x: Column) -> Column:
-        seen = F.concat(acc["tail"], x["t"], x["g"])
-        return F.struct(
-            F.right(seen, F.lit(CONTEXT)).alias("tail"), F.concat(acc["out"], F.array(acc["tail"])).alias("out")
-        )
+    cut = df.filter(F.col(text).rlike(r"\d")).select(
+        key,
+        F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)).alias("_t"),
+        F.transform(F.split(text, NUMBER, -1), lambda g: F.struct(
+            F.left(g, F.lit(CONTEXT)).alias("head"), F.right(g, F.lit(CONTEXT)).alias("tail"))).alias("_g"),
+    )
+
+    def token(i: Column) -> Column:
+        return F.coalesce(F.when(i >= 0, F.get("_t", i)), F.lit(""))
 
-    def backward(acc: Column, x: Column) -> Column:
-        ahead = F.left(F.concat(x["g"], acc["head"]), F.lit(CONTEXT))
+    def gap(i: Column, side: str) -> Column:
+        return F.coalesce(F.when(i >= 0, F.get("_g", i)[side]), F.lit(""))
+
+    def around(t: Column, i: Column) -> Column:
+        left = F.concat(gap(i - 2, "tail"), token(i - 2), gap(i - 1, "tail"), token(i - 1), gap(i, "tail"))
+        right = F.concat(gap(i + 1, "head"), token(i + 1), gap(i + 2, "head"), token(i + 2), gap(i + 3, "head"))
         return F.struct(
-            F.left(F.concat(x["t"], ahead), F.lit(CONTEXT)).alias("head"),
-            F.concat(acc["out"], F.array(ahead)).alias("out"),
+            t.alias("token"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right")
         )
 
-    lefts = F.aggregate(
-        pairs, F.struct(F.right(F.get(gaps, F.lit(0)), F.lit(CONTEXT)).alias("tail"), none.alias("out")), forward,
-        lambda acc: acc["out"],
-    )
-    rights = F.aggregate(
-        F.reverse(pairs), F.struct(F.lit("").alias("head"), none.alias("out")), backward,
-        lambda acc: F.reverse(acc["out"]),
-    )
-    return F.arrays_zip(tokens.alias("token"), lefts.alias("left"), rights.alias("right"))
+    return cut.select(key, F.posexplode(F.transform("_t", around)).alias("pos", "_x")).select(key, "pos", "_x.*")
 
 
 def number_kind(token: Column, left: Column, right: Column) -> Column:

@@ -70,24 +70,26 @@ def combo_attach(
 def attach_rate(lines: DataFrame, item: str, txn: str = "txn_id", floor: int = ATTACH_FLOOR, n: int = 15) -> DataFrame:
     """Of the baskets with A, the share that also hold B, for pairs seen together at least `floor` times; top n.
 
-    Exact pruning first: a pair cannot reach the floor unless both items do.  Each basket becomes the set of its
-    frequent items (bounded by the taxonomy, built map-side), equal sets are counted once, and pairs are formed
-    from the distinct sets only, never by joining baskets with themselves.
+    Each basket becomes its set of items (a taxonomy level, so short), built map-side in the one shuffle of fact
+    size; equal sets are counted once.  A pair cannot reach the floor unless both items do, so rarer items leave the
+    sets before pairs are formed, and pairs come from distinct sets only, never from joining baskets with themselves.
     """
-    bk = lines.filter(F.col(item).isNotNull()).select(txn, item).distinct()
-    base = bk.groupBy(item).agg(F.count(F.lit(1)).alias("a_baskets")).filter(F.col("a_baskets") >= floor)
     sets = (
-        bk.join(base.select(item), item, "left_semi").groupBy(txn)
-        .agg(F.array_sort(F.collect_set(item)).alias("items")).filter(F.size("items") > 1)
+        lines.filter(F.col(item).isNotNull()).groupBy(txn).agg(F.array_sort(F.collect_set(item)).alias("items"))
         .groupBy("items").agg(F.count(F.lit(1)).alias("m"))
     )
+    base = (
+        sets.select("m", F.explode("items").alias("item_a")).groupBy("item_a").agg(F.sum("m").alias("a_baskets"))
+        .filter(F.col("a_baskets") >= floor)
+    )
+    frequent = base.agg(F.collect_set("item_a")).scalar()
+    pruned = sets.withColumn("items", F.array_intersect("items", frequent)).filter(F.size("items") > 1)
     pairs = (
-        sets.select("m", "items", F.explode("items").alias("item_a"))
+        pruned.select("m", "items", F.explode("items").alias("item_a"))
         .select("m", "item_a", F.explode(F.array_remove("items", F.col("item_a"))).alias("item_b"))
         .groupBy("item_a", "item_b").agg(F.sum("m").alias("both_ct")).filter(F.col("both_ct") >= floor)
     )
-    out = pairs.join(base.withColumnRenamed(item, "item_a"), "item_a")
-    return out.select(
+    return pairs.join(base, "item_a").select(
         "item_a", "item_b", "both_ct", "a_baskets", ratio("both_ct", "a_baskets").alias("attach_rate")
     ).orderBy(F.desc("attach_rate"), F.desc("both_ct"), "item_a", "item_b").limit(n)
 

@@ -170,10 +170,9 @@ def direction_contradiction(
 
 def numeric_token_scan(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Every number of every text, with position, value and metric/structural kind."""
-    each = rows.select(key, F.posexplode(number_tokens(F.col(text))).alias("pos", "x"))
-    tok, left, right = F.col("x.token"), F.col("x.left"), F.col("x.right")
-    return each.select(
-        key, "pos", tok.alias("token"), number_value(tok).alias("value"), number_kind(tok, left, right).alias("kind")
+    tok, left, right = F.col("token"), F.col("left"), F.col("right")
+    return number_tokens(rows, key, text).select(
+        key, "pos", "token", number_value(tok).alias("value"), number_kind(tok, left, right).alias("kind")
     )
 
 

@@ -82,14 +82,23 @@ def price_gap(
 
 
 def price_gap_groups(lake: DataFrame, dims: Sequence[str], store: str = "lake_store_id") -> DataFrame:
-    groups = lake_groups(lake, dims, {
-        "own_asp": mean_money("unit_price", is_self()),
-        "peer_asp": mean_money("unit_price", is_peer()),
-        "own_units": sum_int("qty", is_self()),
-        "peer_units": sum_int("qty", is_peer()),
-        "own_stores": F.count_distinct(F.when(is_self(), F.col(store))),
-        "peer_stores": F.count_distinct(F.when(is_peer(), F.col(store))),
-    })
+    """Lines collapse per group and store first, map-side; store counts are then row counts, with no distinct."""
+    per_store = lake.groupBy(*dims, "peer_relationship", store).agg(
+        sum_money("unit_price").alias("_price"), F.count("unit_price").alias("_priced"), F.sum("qty").alias("_qty"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+
+    def asp(side: Column) -> Column:
+        return F.try_divide(sum_money("_price", side), F.sum(F.when(side, F.col("_priced"))))
+
+    groups = lake_groups(per_store, dims, {
+        "own_asp": asp(is_self()),
+        "peer_asp": asp(is_peer()),
+        "own_units": sum_int("_qty", is_self()),
+        "peer_units": sum_int("_qty", is_peer()),
+        "own_stores": F.count_if(is_self() & F.col(store).isNotNull()),
+        "peer_stores": F.count_if(is_peer() & F.col(store).isNotNull()),
+    }, rows="_rows")
     return groups.withColumn("gap", ratio("own_asp", "peer_asp") - 1)
 
 

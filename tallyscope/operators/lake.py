@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import hour_bucket
 from tallyscope.functions.hashing import token
+from tallyscope.functions.joins import bounded
 from tallyscope.functions.money import sum_money
 from tallyscope.sources.sinks import write_partitioned
 
@@ -46,9 +47,9 @@ def enriched_lines(
         shared = [c for c in transactions.columns if c in items.columns and c != "txn_id"]
         lines = lines.join(transactions.drop(*shared), "txn_id")
     own = [c for c in stores.columns if c in lines.columns and c != "store_id"]
-    lines = lines.join(stores.drop(*own), "store_id")
+    lines = lines.join(bounded(stores.drop(*own)), "store_id")
     dup = [c for c in products.columns if c in lines.columns and c != "sku"]
-    return lines.join(products.drop(*dup), "sku")
+    return lines.join(bounded(products.drop(*dup)), "sku")
 
 
 def lake_projection(lines: DataFrame) -> DataFrame:

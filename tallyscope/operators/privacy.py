@@ -32,10 +32,12 @@ def lake_groups(
     metrics: Mapping[str, Column],
     relationships: Sequence[str] = ("self", "peer"),
     grouping: Grouping = "plain",
+    rows: str | None = None,
 ) -> DataFrame:
     """All groups with their metrics and the hidden peer-row count `_k`.
 
-    The relationships in scope must be named; "self" and "peer" are the own-versus-peer reading.
+    The relationships in scope must be named; "self" and "peer" are the own-versus-peer reading.  When the frame is
+    pre-aggregated, `rows` names its column of line counts.
     """
     if not metrics:
         raise LakeContractError("a lake query must aggregate")
@@ -46,7 +48,8 @@ def lake_groups(
     if "_k" in metrics or "_k" in dims:
         raise LakeContractError("_k is reserved")
     scoped = lake.filter(F.col("peer_relationship").isin(*relationships))
-    aggs = [m.alias(n) for n, m in metrics.items()] + [F.count_if(_is_peer()).alias("_k")]
+    peers = F.count_if(_is_peer()) if rows is None else F.coalesce(F.sum(F.when(_is_peer(), F.col(rows))), F.lit(0))
+    aggs = [m.alias(n) for n, m in metrics.items()] + [peers.alias("_k")]
     if grouping == "plain":
         return (scoped.groupBy(*dims) if dims else scoped.groupBy()).agg(*aggs)
     grouped = scoped.rollup(*dims) if grouping == "rollup" else scoped.cube(*dims)

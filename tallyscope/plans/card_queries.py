@@ -110,8 +110,7 @@ def _stores_summary(spark, d):
 
 @query("basket_rollup", f"""WITH {VI} SELECT txn_id, store_id, subtotal, discount_total, n_lines FROM vr""")
 def _basket_rollup(spark, d):
-    dims = census.stores(spark, d).select("store_id", "banner_code", "segment", "neighborhood")
-    return census.visit_rollup(census.items(spark, d).join(dims, "store_id")).select(
+    return census.visit_rollup(census.items(spark, d)).select(
         "txn_id", "store_id", "subtotal", "discount_total", "n_lines"
     )
 

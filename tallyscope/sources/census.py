@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.functions.joins import bounded
 from tallyscope.functions.money import round_cents, sum_money
 
 NEIGHBORHOODS = 8
@@ -18,26 +19,48 @@ PRIVATE_BRANDS = ("Brand#1", "Brand#2")
 FRESH_DEPARTMENTS = ("PROMO", "STANDARD")
 
 
+# Declared schemas: no inference job per read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
 def merchants(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("store_count"))
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.join(counts, F.col("n_nationkey") == F.col("s_nationkey")).select(
+    out = n.join(counts, F.col("n_nationkey") == F.col("s_nationkey")).select(
         F.col("n_name").alias("merchant_id"),
         F.col("n_name").alias("banner_code"),
         F.col("n_nationkey").alias("merchant_no"),
         F.col("r_name").alias("segment"),
         "store_count",
     )
+    return bounded(out)
 
 
 def stores(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("s_suppkey")
-    return (
+    out = (
         table(spark, d, "supplier")
         .join(n, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
@@ -52,6 +75,7 @@ def stores(spark: SparkSession, d: str) -> DataFrame:
             ((key % 7) / 10.0).alias("longitude"),
         )
     )
+    return bounded(out)
 
 
 def zones(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +92,7 @@ def zones(spark: SparkSession, d: str) -> DataFrame:
 
 def products(spark: SparkSession, d: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").select(
+    out = table(spark, d, "part").select(
         key.alias("sku"),
         F.concat_ws(" ", F.col("p_name"), key.cast("string")).alias("product_name"),
         F.col("p_type").alias("department"),
@@ -79,16 +103,18 @@ def products(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_retailprice").alias("shelf_price"),
         size.alias("size"),
     )
+    return bounded(out)
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(
+    out = table(spark, d, "customer").select(
         F.col("c_custkey").alias("customer_token"),
         F.col("c_nationkey").alias("home_zone"),
         F.col("c_acctbal").alias("affluence"),
         F.col("c_mktsegment").alias("loyalty_type"),
         F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("primary_banner"),
     )
+    return bounded(out)
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -124,26 +150,36 @@ def visits(spark: SparkSession, d: str, banner: str | None = None) -> DataFrame:
     A banner narrows the stores first, so only that banner's lines are shuffled.
     """
     st = stores(spark, d)
+    lines = items(spark, d)
     if banner is not None:
         st = st.filter(F.col("banner_code") == banner)
+        lines = lines.join(st.select("store_id"), "store_id", "left_semi")
     dims = st.select("store_id", "banner_code", "segment", "neighborhood")
-    return visit_rollup(items(spark, d).join(dims, "store_id")).join(orders(spark, d), "txn_id").withColumn(
+    return visit_rollup(lines).join(dims, "store_id").join(orders(spark, d), "txn_id").withColumn(
         "visit_id", F.concat_ws("-", "txn_id", "store_id")
     )
 
 
 def visit_rollup(lines: DataFrame) -> DataFrame:
-    wallet = F.max("entry_mode") == "R"
-    return lines.groupBy("txn_id", "store_id", "banner_code", "segment", "neighborhood").agg(
+    """Lines -> one row per order and store.
+
+    The keys are two numbers and all buffers are fixed-width (one-letter flags travel as codes), which keeps this,
+    the widest aggregation of the panel, a hash aggregation; store facts join afterwards.
+    """
+    mode, network = F.char(F.max(F.ascii("entry_mode"))), F.char(F.max(F.ascii("network")))
+    per = lines.groupBy("txn_id", "store_id").agg(
         sum_money("line_total").alias("subtotal"),
         sum_money("discount").alias("discount_total"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("qty").alias("n_units"),
-        F.max("entry_mode").alias("entry_mode"),
-        F.max("network").alias("network"),
-        wallet.alias("wallet_at_tap"),
-        F.when(wallet, F.concat(F.lit("W"), F.max("network"))).alias("wallet_provider"),
+        mode.alias("entry_mode"),
+        network.alias("network"),
     )
+    wallet = F.col("entry_mode") == "R"
+    return per.withColumns({
+        "wallet_at_tap": wallet,
+        "wallet_provider": F.when(wallet, F.concat(F.lit("W"), F.col("network"))),
+    })
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
