@@ -81,6 +81,8 @@ def top_fraction_sum(df: DataFrame, by: Sequence[str], value: str, fraction: flo
     T there are at most sqrt(2T) distinct values, which bounds the histogram of one group.
     """
     keys = list(by)
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
     hist = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = hist.groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.sum(F.col("_v") * F.col("_n")).alias("total"))
     take = F.greatest(F.lit(1), F.floor(F.col("_rows") * F.lit(fraction))).cast("bigint")
@@ -91,6 +93,7 @@ def top_fraction_sum(df: DataFrame, by: Sequence[str], value: str, fraction: flo
         .join(sizes.withColumn("_take", take), keys)
         .groupBy(*keys, "total")
         .agg(F.sum(F.col("_v") * used).alias("top_total"))
+        .select(*by, "total", "top_total")
     )
 
 
