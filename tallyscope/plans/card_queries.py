@@ -290,11 +290,11 @@ def _heatmap_suppressed(spark, d):
 
 @query("traffic_peaks", f"""WITH {HEAT}, s AS (SELECT (dow + 6) % 7 AS m, hour, CASE WHEN n BETWEEN 1 AND {HEAT_K - 1} THEN NULL ELSE n END AS n FROM h),
 q AS (SELECT (SELECT (m, hour, n) FROM s WHERE n > 0 ORDER BY n DESC, m, hour LIMIT 1) AS p, (SELECT (m, hour, n) FROM s WHERE n > 0 ORDER BY n, m, hour LIMIT 1) AS l,
-  (SELECT sum(n) / 5 FROM s WHERE m < 5) AS wd, (SELECT sum(n) / 2 FROM s WHERE m >= 5) AS we)
+  (SELECT coalesce(sum(n), 0) / 5 FROM s WHERE m < 5) AS wd, (SELECT coalesce(sum(n), 0) / 2 FROM s WHERE m >= 5) AS we)
 SELECT ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][p[1] + 1] AS peak_dow, p[2] AS peak_hour, p[3] AS peak_n,
   ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][l[1] + 1] AS slow_dow, l[2] AS slow_hour, l[3] AS slow_n,
-  CASE WHEN wd >= we THEN 'weekday' ELSE 'weekend' END AS wd_we_higher,
-  CAST(round((greatest(wd, we) / least(wd, we) - 1) * 100, 0) AS INT) AS wd_we_ratio,
+  CASE WHEN wd >= we OR wd = 0 OR we = 0 THEN 'weekday' ELSE 'weekend' END AS wd_we_higher,
+  CASE WHEN wd > 0 AND we > 0 THEN CAST(round((greatest(wd, we) / least(wd, we) - 1) * 100, 0) AS INT) ELSE 0 END AS wd_we_ratio,
   (SELECT count(*) FROM h WHERE n BETWEEN 1 AND {HEAT_K - 1}) AS suppressed_count FROM q""")
 def _traffic_peaks(spark, d):
     return cards.traffic_peaks(cards.heatmap_suppressed(cards.hour_dow_heatmap(_purchases(spark, d)), HEAT_K))

@@ -50,7 +50,7 @@ def _store_auv(spark, d):
 
 @query("banner_dollar_split", f"""WITH {VI}, p AS (SELECT segment, banner_code, {money('subtotal')} AS dollars FROM vi GROUP BY 1, 2),
   t AS (SELECT segment, {money('dollars')} AS t FROM p GROUP BY 1)
-  SELECT segment, banner_code, dollars, dollars / t AS share, dollars / (round_even((t - dollars) * 100, 0) / 100) AS ratio_to_others FROM p JOIN t USING (segment)""")
+  SELECT segment, banner_code, dollars, dollars / t AS share, dollars / nullif(round_even((t - dollars) * 100, 0) / 100, 0) AS ratio_to_others FROM p JOIN t USING (segment)""")
 def _banner_dollar_split(spark, d):
     return quality.banner_dollar_split(census.visits(spark, d))
 
