@@ -22,10 +22,13 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(w).cast("int")).filter(F.col(rank) <= n)
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group, one column per entry of `probs`; NULL values are ignored.
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], disc: Mapping[str, float] | None = None
+) -> DataFrame:
+    """Quantiles per group, one column per entry: `probs` interpolate linearly, `disc` pick an existing value.
 
-    Groups without values are absent.  `by` may be empty (one row).
+    NULL values are ignored; groups without values are absent.  `by` may be empty (one row).  With values on a grid
+    (cents, counts) a bin holds at most range / (grid step x BINS) distinct values, whatever their distribution.
     """
     keys = list(by)
     if not keys:
@@ -50,7 +53,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     def position(p: float) -> Column:
         return (F.col("_total") - 1) * F.lit(p)
 
+    def disc_rank(p: float) -> Column:
+        return F.greatest(F.ceil(F.col("_total") * F.lit(p)) - 1, F.lit(0))
+
     needed = [rank for p in probs.values() for rank in (F.floor(position(p)), F.ceil(position(p)))]
+    needed += [disc_rank(p) for p in (disc or {}).values()]
     hit = None
     for rank in needed:
         inside = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bn"))
@@ -65,8 +72,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     aggs = []
     for name, p in probs.items():
         aggs += [at(F.floor(position(p))).alias(f"_f_{name}"), at(F.ceil(position(p))).alias(f"_c_{name}")]
+    aggs += [at(disc_rank(p)).alias(name) for name, p in (disc or {}).items()]
     picked = ranked.groupBy(*keys).agg(F.first("_total").alias("_total"), *aggs)
-    cols = []
+    cols = [F.col(name) for name in disc or {}]
     for name, p in probs.items():
         frac = position(p) - F.floor(position(p))
         lo, hi = F.col(f"_f_{name}"), F.col(f"_c_{name}")

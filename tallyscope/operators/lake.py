@@ -40,16 +40,27 @@ def enriched_lines(
 ) -> DataFrame:
     """items x products(sku) x transactions(txn_id) x stores(store_id), inner.
 
-    Transactions are optional: without columns needed from them, the one join between two fact tables is left out.
+    Stores come first, because their filters (own, self and peer) decide which facts matter: they cut the side that
+    carries `store_id` before the one join between two fact tables.  Transactions may be left out when no column of
+    theirs is needed.
     """
-    lines = items
-    if transactions is not None:
-        shared = [c for c in transactions.columns if c in items.columns and c != "txn_id"]
-        lines = lines.join(transactions.drop(*shared), "txn_id")
-    own = [c for c in stores.columns if c in lines.columns and c != "store_id"]
-    lines = lines.join(bounded(stores.drop(*own)), "store_id")
-    dup = [c for c in products.columns if c in lines.columns and c != "sku"]
-    return lines.join(bounded(products.drop(*dup)), "sku")
+
+    def lookup(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+        return facts.join(bounded(_without(dim, facts, key)), key)
+
+    if "store_id" in items.columns:
+        lines = lookup(lookup(items, stores, "store_id"), products, "sku")
+        return lines if transactions is None else lines.join(_without(transactions, lines, "txn_id"), "txn_id")
+    if transactions is None:
+        raise ValueError("items without store_id need transactions")
+    placed = lookup(transactions, stores, "store_id")
+    lines = lookup(items, products, "sku")
+    return lines.join(_without(placed, lines, "txn_id"), "txn_id")
+
+
+def _without(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """Drop the columns the other side already has, all but the join key."""
+    return df.drop(*[c for c in df.columns if c in taken.columns and c != key])
 
 
 def lake_projection(lines: DataFrame) -> DataFrame:

@@ -244,15 +244,15 @@ LAF = """n AS (SELECT category, count(*) AS n, count(unit_price) AS n_values, CA
   (arg_max(department, (unit_price, department))) AS arg_highest,
   bool_and(private_label) AS all_flag, bool_or(private_label) AS any_flag,
   quantile_cont(unit_price, 0.5) AS median, quantile_cont(unit_price, 0.9) AS q90,
-  product(CASE WHEN qty <= 2 THEN 1.0 END) AS unused FROM lk WHERE peer_relationship = 'peer' GROUP BY 1 HAVING count(*) >= 50),
-m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, product(CASE WHEN qty <= 2 THEN qty END) AS product_small FROM
+  quantile_disc(unit_price, 0.5) AS median_disc FROM lk WHERE peer_relationship = 'peer' GROUP BY 1 HAVING count(*) >= 50),
+m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, product(CASE WHEN qty <= 2 THEN qty END) AS product_small, count(*) AS n_distinct FROM
   (SELECT category, qty, count(*) AS n FROM lk WHERE peer_relationship = 'peer' GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query("lake_agg_functions", f"""WITH {lake_sql()}, {LAF} SELECT category, n, n_values, total, mean, lowest, highest,
   (q - s * s / c) / c AS var_pop, (q - s * s / c) / nullif(c - 1, 0) AS var_samp, sqrt((q - s * s / c) / c) AS stddev_pop,
   sqrt((q - s * s / c) / nullif(c - 1, 0)) AS stddev_samp, arg_lowest, arg_highest, all_flag, any_flag,
-  true AS has_approx_distinct, true AS has_approx_quantile, mode, product_small, median, q90 FROM n JOIN m USING (category)""")
+  true AS approx_distinct_ok, true AS approx_quantile_ok, n_distinct, mode, product_small, median, median_disc, q90 FROM n JOIN m USING (category)""")
 def _lake_agg_functions(spark, d):
     return privacy.lake_agg_functions(
         peer_lake(spark, d), ["category"], "unit_price", "qty", "department", F.col("private_label")

@@ -29,6 +29,8 @@ def build_session(app_name: str, master: str | None = None, shuffle_partitions:
         )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # Call-site capture for every column expression triples the driver round trips of building a plan.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
