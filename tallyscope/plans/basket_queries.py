@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyscope.operators import baskets, customers, lake
-from tallyscope.plans.registry import query
+from tallyscope.plans.registry import query, rounded
 from tallyscope.plans.sql import CU, IT, LN, PR, ST, VI, money, total
 from tallyscope.sources import census
 
@@ -82,18 +82,18 @@ def _basket_histogram(spark, d):
     return baskets.basket_histogram(census.items(spark, d), 150)
 
 
-SHAPE = """SELECT banner_code, count(*) AS n_txns, {mean} AS mean, quantile_cont({v}::DOUBLE, 0.5) AS median, quantile_cont({v}::DOUBLE, 0.95) AS p95,
+SHAPE = """SELECT banner_code, count(*) AS n_txns, {mean} AS mean, round(quantile_cont({v}::DOUBLE, 0.5), 6) AS median, round(quantile_cont({v}::DOUBLE, 0.95), 6) AS p95,
   min({v})::DOUBLE AS min, max({v})::DOUBLE AS max FROM vi GROUP BY 1"""
 
 
 @query("basket_shape", f"WITH {VI} {SHAPE.format(v='n_units', mean='CAST(sum(n_units) AS DOUBLE) / count(*)')}")
 def _basket_shape(spark, d):
-    return baskets.basket_shape(census.visits(spark, d), "banner_code", "n_units")
+    return rounded(baskets.basket_shape(census.visits(spark, d), "banner_code", "n_units"), "median", "p95")
 
 
 @query("ticket_shape", f"WITH {VI} {SHAPE.format(v='subtotal', mean=money('subtotal') + ' / count(*)')}")
 def _ticket_shape(spark, d):
-    return baskets.basket_shape(census.visits(spark, d), "banner_code", "subtotal")
+    return rounded(baskets.basket_shape(census.visits(spark, d), "banner_code", "subtotal"), "median", "p95")
 
 
 @query("heavy_tail_share", f"""WITH {ST}, {IT}, b AS (SELECT segment, txn_id, {total('qty')} AS u FROM it JOIN st USING (store_id) GROUP BY 1, 2),

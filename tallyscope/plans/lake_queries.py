@@ -11,7 +11,7 @@ from tallyscope.functions.calendar import week_of
 from tallyscope.functions.hashing import md5_bucket
 from tallyscope.functions.money import mean_money, sum_int, sum_money
 from tallyscope.operators import compare, lake, privacy, scope
-from tallyscope.plans.registry import query
+from tallyscope.plans.registry import query, rounded
 from tallyscope.plans.sql import (
     IT, LN, LNT, MR, PEER, PR, SELF, ST, TX, VIEWER, avg_money, money, rel, total,
 )
@@ -243,7 +243,7 @@ LAF = """n AS (SELECT category, count(*) AS n, count(unit_price) AS n_values, CA
   (arg_min(department, (unit_price, department))) AS arg_lowest,
   (arg_max(department, (unit_price, department))) AS arg_highest,
   bool_and(private_label) AS all_flag, bool_or(private_label) AS any_flag,
-  quantile_cont(unit_price, 0.5) AS median, quantile_cont(unit_price, 0.9) AS q90,
+  round(quantile_cont(unit_price, 0.5), 6) AS median, round(quantile_cont(unit_price, 0.9), 6) AS q90,
   quantile_disc(unit_price, 0.5) AS median_disc FROM lk WHERE peer_relationship = 'peer' GROUP BY 1 HAVING count(*) >= 50),
 m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, product(CASE WHEN qty <= 2 THEN qty END) AS product_small, count(*) AS n_distinct FROM
   (SELECT category, qty, count(*) AS n FROM lk WHERE peer_relationship = 'peer' GROUP BY 1, 2) GROUP BY 1)"""
@@ -254,9 +254,10 @@ m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, product(CASE WHEN qty <=
   sqrt((q - s * s / c) / nullif(c - 1, 0)) AS stddev_samp, arg_lowest, arg_highest, all_flag, any_flag,
   true AS approx_distinct_ok, true AS approx_quantile_ok, n_distinct, mode, product_small, median, median_disc, q90 FROM n JOIN m USING (category)""")
 def _lake_agg_functions(spark, d):
-    return privacy.lake_agg_functions(
+    out = privacy.lake_agg_functions(
         peer_lake(spark, d), ["category"], "unit_price", "qty", "department", F.col("private_label")
     )
+    return rounded(out, "median", "q90")
 
 
 @query("mix_index", f"""WITH {lake_sql()}, g AS (SELECT subcategory, {total('qty', SELF)} AS own_u, {total('qty', PEER)} AS peer_u,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -22,3 +23,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
         return plan
 
     return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Interpolated values, cut where two engines' last bits may part."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyscope.operators import aggregates, cards, transforms
 from tallyscope.plans.basket_queries import panel_lines, product_lines
 from tallyscope.plans.quality_queries import PROMO, promotions, timed_lines
-from tallyscope.plans.registry import query
+from tallyscope.plans.registry import query, rounded
 from tallyscope.plans.sql import CU, IT, LNT, MR, PR, ST, TX, VI, avg_money, money, total
 from tallyscope.sources import census
 
@@ -274,10 +274,11 @@ def _trade_area_share(spark, d):
 
 
 @query("cross_merchant_cohorts", f"""WITH {VI}, {CU}, p AS (SELECT customer_token, string_agg(DISTINCT segment, ',' ORDER BY segment) AS combination, {money('subtotal')} AS spend, count(*) AS visits FROM vi GROUP BY 1),
-  h AS (SELECT * FROM p JOIN cu USING (customer_token)) SELECT home_zone, combination, count(*) AS cohort_size, quantile_cont(spend, 0.25) AS p25_spend, quantile_cont(spend, 0.5) AS median_spend, quantile_cont(spend, 0.75) AS p75_spend,
+  h AS (SELECT * FROM p JOIN cu USING (customer_token)) SELECT home_zone, combination, count(*) AS cohort_size, round(quantile_cont(spend, 0.25), 6) AS p25_spend, round(quantile_cont(spend, 0.5), 6) AS median_spend, round(quantile_cont(spend, 0.75), 6) AS p75_spend,
   CASE WHEN quantile_cont(visits::DOUBLE, 0.5) < 10 THEN 'light' WHEN quantile_cont(visits::DOUBLE, 0.5) < 40 THEN 'medium' ELSE 'heavy' END AS frequency_band FROM h GROUP BY 1, 2 HAVING count(*) >= 40""")
 def _cross_merchant_cohorts(spark, d):
-    return aggregates.cross_merchant_cohorts(census.visits(spark, d), census.customers(spark, d), 40)
+    out = aggregates.cross_merchant_cohorts(census.visits(spark, d), census.customers(spark, d), 40)
+    return rounded(out, "p25_spend", "median_spend", "p75_spend")
 
 
 @query("behavioural_segments", f"""WITH {VI}, p AS (SELECT banner_code, customer_token, count(*) AS visits, {money('subtotal')} / count(*) AS basket FROM vi GROUP BY 1, 2),

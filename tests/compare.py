@@ -26,9 +26,14 @@ def connect(d: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = bool(os.environ.get("STRICT"))  # last bit of every double, and the Python type of every cell
+
+
 def cell(x):
     if x is None:
         return "~"
+    if STRICT and not isinstance(x, (dt.date, list, tuple, dict)):
+        return f"{type(x).__name__}:{x!r}"
     if isinstance(x, bool):
         return str(x)
     if isinstance(x, (int, float, decimal.Decimal)):
