@@ -33,18 +33,25 @@ def write_sorted(df: DataFrame, path: str, sort_keys: Sequence[str] = (), files:
     out.write.mode("overwrite").options(**WRITE_OPTIONS).parquet(path)
 
 
-def write_partitioned(df: DataFrame, root: str, partition_cols: Sequence[str], sort_keys: Sequence[str] = ()) -> None:
-    """Hive layout `col=value/`, sorted inside each partition.
+def write_partitioned(
+    df: DataFrame, root: str, partition_cols: Sequence[str], sort_keys: Sequence[str] = (), salt: int | None = None
+) -> None:
+    """Hive layout `col=value/`, sorted inside each file; a hot partition value is spread over several tasks.
 
-    Range partitioning on partition columns and sort keys splits a hot partition value over several tasks.
+    By default rows are range-partitioned on partition columns and sort keys, so the files of a partition follow one
+    another in key order; choosing the ranges costs a sampling pass over `df`.  With `salt`, rows of one partition
+    value go to `salt` tasks by a hash of the sort keys, without that pass: for keys whose order means nothing.
     """
     if not partition_cols:
         raise ValueError("at least one partition column is required")
     order = [*partition_cols, *sort_keys]
+    out = _alphabetical(df)
+    if salt is None:
+        out = out.repartitionByRange(*order)
+    else:
+        out = out.repartition(*partition_cols, F.pmod(F.xxhash64(*sort_keys), F.lit(salt)))
     (
-        _alphabetical(df)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        out.sortWithinPartitions(*order)
         .write.mode("overwrite")
         .options(**WRITE_OPTIONS)
         .partitionBy(*partition_cols)
