@@ -222,7 +222,9 @@ GRAIN_COLUMNS = [
 
 def query_log_grain(log: DataFrame, text: str, row_count: str | None = None, grains: Sequence[str] = GRAIN_COLUMNS) -> DataFrame:
     """Grain columns each logged query names, and whether it returned nothing."""
-    out = log.withColumn("grain", F.array_join(mentions(F.lower(text), grains), ","))
+    # Lower-cased once per text: a column used by many terms is not inlined again.
+    lowered = log.withColumn("_low", F.lower(text))
+    out = lowered.withColumn("grain", F.array_join(mentions(F.col("_low"), grains), ",")).drop("_low")
     return out.withColumn("empty_result", F.col(row_count) == 0) if row_count else out
 
 

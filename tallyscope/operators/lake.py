@@ -138,16 +138,19 @@ def publish(lines: DataFrame) -> DataFrame:
 
 def build_lake(
     root: str, items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame,
-    merchants: DataFrame, salt: str = DEFAULT_SALT, files_per_viewer: int = 64,
+    merchants: DataFrame, salt: str = DEFAULT_SALT, files_per_viewer: int = 64, viewers: Sequence[str] = (),
 ) -> DataFrame:
-    """Write every viewer's lake under `root`: one job for the lines, one for the stores, one for the metadata.
+    """Write every viewer's lake (or those of `viewers`) under `root`: one job each for lines, stores and metadata.
 
     Lines are enriched and tokenised once and then meet the viewer map by store.  Tokens have no meaningful order,
     so each viewer's lines go to `files_per_viewer` sorted files by hash.  The metadata is counted from the written
     lake, so it describes what was published and costs no second run of the joins.
     """
     spark = items.sparkSession
-    vmap = viewer_map(stores, panel_viewers(merchants), salt)
+    wanted = panel_viewers(merchants)
+    if viewers:
+        wanted = wanted.filter(F.col("viewer").isin(*viewers))
+    vmap = viewer_map(stores, wanted, salt)
     base = tokenize_ids(lake_projection(enriched_lines(items, products, stores, transactions)), salt)
     keep = [c for c in LAKE_COLUMNS if c in base.columns]
     lines = base.select("store_id", *keep).join(vmap.select("viewer", "store_id", "peer_relationship"), "store_id")
@@ -157,7 +160,8 @@ def build_lake(
         spark.read.parquet(f"{root}/{t}").groupBy("viewer").agg(F.count(F.lit(1)).alias(n))
         for t, n in (("lake_transactions", "n_lines"), ("lake_stores", "n_stores"))
     ]
-    meta = peer_routing_metadata(merchants).join(counts[0], "viewer", "left").join(counts[1], "viewer", "left").na.fill(0)
+    routing = peer_routing_metadata(merchants).join(wanted.select("viewer"), "viewer", "left_semi")
+    meta = routing.join(counts[0], "viewer", "left").join(counts[1], "viewer", "left").na.fill(0)
     meta.write.mode("overwrite").json(f"{root}/metadata")
     return meta
 
