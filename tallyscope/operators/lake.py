@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import hour_bucket
 from tallyscope.functions.hashing import token
-from tallyscope.functions.joins import bounded
+from tallyscope.functions.joins import BROADCAST_LIMIT, bounded, source_bytes
 from tallyscope.functions.money import sum_money
 from tallyscope.sources.sinks import write_partitioned
 
 DEFAULT_SALT = "panel"
 RELATIONSHIPS = ("self", "peer", "merchant")
+PANEL_VIEWERS = 64  # viewers a broadcast map is sized for
 
 # Columns of the published pair, and identity columns that must never appear in it.
 LAKE_COLUMNS = [
@@ -85,11 +86,12 @@ def tokenize_ids(lines: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     }).withColumn("lake_line_id", F.concat_ws("-", "lake_txn_id", F.col("line_id").cast("string")))
 
 
-def viewer_map(stores: DataFrame, viewers: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
+def viewer_map(stores: DataFrame, viewers: DataFrame, salt: str = DEFAULT_SALT, panel: int = PANEL_VIEWERS) -> DataFrame:
     """One row per viewer and store of the panel: the store's relationship to the viewer.
 
     `viewers` is (viewer, viewer_segment).  The product of viewers and stores is the result itself; it is formed
-    by exploding the list of viewers next to each store, and both lists are dimension-sized.
+    by exploding the list of viewers next to each store, and both lists are dimension-sized.  The map is broadcast
+    if `panel` copies of the store table stay within the broadcast limit; pass stores without a hint of their own.
     """
     listed = viewers.agg(F.sort_array(F.collect_list(F.struct("viewer", "viewer_segment")))).scalar()
     label = (
@@ -97,14 +99,13 @@ def viewer_map(stores: DataFrame, viewers: DataFrame, salt: str = DEFAULT_SALT)
         .when(F.col("segment") == F.col("viewer_segment"), "peer")
         .otherwise("merchant")
     )
-    return (
-        stores.withColumn("_v", F.explode(listed))
-        .select("*", "_v.viewer", "_v.viewer_segment")
-        .select(
-            "viewer", "store_id", token(F.col("store_id"), salt).alias("lake_store_id"),
-            label.alias("peer_relationship"), F.col("segment").alias("peer_segment"), "neighborhood",
-        )
+    per_viewer = stores.withColumn("_v", F.explode(listed)).select("*", "_v.viewer", "_v.viewer_segment")
+    out = per_viewer.select(
+        "viewer", "store_id", token(F.col("store_id"), salt).alias("lake_store_id"),
+        label.alias("peer_relationship"), F.col("segment").alias("peer_segment"), "neighborhood",
     )
+    small = source_bytes(stores) * panel <= BROADCAST_LIMIT
+    return F.broadcast(out) if small else out
 
 
 def panel_viewers(merchants: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def _peer_routing_metadata(spark, d):
 SELECT merchant_id AS viewer, segment, (SELECT count(*) - 1 FROM mr m WHERE m.segment = mr.segment) AS segment_peer_count,
   (SELECT CAST(sum(n) AS BIGINT) FROM st JOIN n USING (store_id)) AS n_lines, (SELECT count(*) FROM st) AS n_stores FROM mr""")
 def _lake_metadata(spark, d):
-    merchants, stores = census.merchants(spark, d), census.stores(spark, d)
+    merchants, stores = census.merchants(spark, d), census.stores(spark, d, hint=False)
     counts = census.items(spark, d).groupBy("store_id").agg(F.count(F.lit(1)).alias("n_lines"))
     return lake.lake_metadata(counts, lake.viewer_map(stores, lake.panel_viewers(merchants)), merchants)
 
@@ -142,7 +142,7 @@ def _viewer_lake(spark, d):
     per_store = items.groupBy("store_id", "category").agg(
         F.count(F.lit(1)).alias("n"), F.sum("qty").alias("u"), sum_money("line_total").alias("s")
     )
-    vmap = lake.viewer_map(census.stores(spark, d), lake.panel_viewers(census.merchants(spark, d)))
+    vmap = lake.viewer_map(census.stores(spark, d, hint=False), lake.panel_viewers(census.merchants(spark, d)))
     return per_store.join(vmap, "store_id").groupBy("viewer", "peer_relationship", "category").agg(
         F.sum("n").alias("n_lines"), F.sum("u").alias("units"), sum_money("s").alias("sales")
     )
@@ -400,7 +400,7 @@ def _peer_payment_counts(spark, d):
   round_even(sum(p) * 100, 0) / 100 / sum(n) AS a FROM mr JOIN o ON o.segment = mr.segment AND o.banner_code <> mr.merchant_id GROUP BY 1)
 SELECT viewer, units AS lake_units, a AS lake_avg, units AS pooled_units, a AS pooled_avg, true AS match FROM x""")
 def _peer_reconciliation(spark, d):
-    return lake.peer_reconciliation(census.items(spark, d), census.stores(spark, d), census.merchants(spark, d))
+    return lake.peer_reconciliation(census.items(spark, d), census.stores(spark, d, hint=False), census.merchants(spark, d))
 
 
 @query("product_price_vs_peers", f"""WITH {lake_sql()}, t AS (SELECT product_name, {total('qty')} AS peer_qty,
