@@ -66,7 +66,7 @@ def test_movers_use_the_periods_just_before(spark):
 
 def gap_frames(spark):
     own = spark.createDataFrame(
-        [("KRG", "Dairy", "Z1", dt.datetime(2026, 3, 2), 4.2), ("KRG", "Dairy", "Z2", dt.datetime(2026, 3, 2), 4.0)],
+        [("NOR", "Dairy", "Z1", dt.datetime(2026, 3, 2), 4.2), ("NOR", "Dairy", "Z2", dt.datetime(2026, 3, 2), 4.0)],
         "banner_code string, category string, zone string, start timestamp_ntz, own_avg double")
     peer = spark.createDataFrame([("Dairy", "Z1", D(2026, 3, 2), "peer", 1.0, 600), ("Dairy", "Z9", D(2026, 3, 2), "peer", 0.0, 70)],
                                  "category string, zone string, start date, peer_relationship string, idx double, txn_count int")
@@ -75,7 +75,7 @@ def gap_frames(spark):
 
 def test_gap_joins_on_dates_of_either_type(spark):
     own, peer = gap_frames(spark)
-    out = compare.own_peer_gap(own, peer, ["category", "zone", "start"], "own_avg", "idx", viewer="KRG")
+    out = compare.own_peer_gap(own, peer, ["category", "zone", "start"], "own_avg", "idx", viewer="NOR")
     got = out.first()
     assert out.count() == 1 and got["gap"] == pytest.approx(3.2) and got["txn_count"] == 600
 
@@ -95,14 +95,14 @@ def test_gap_refuses_foreign_rows_and_identities(spark):
         compare.own_peer_gap(own, peer, on, "nope", "idx")
     with pytest.raises(compare.ViewerScopeError):
         compare.own_peer_gap(own, peer.withColumn("merchant_id", F.lit("X")), on, "own_avg", "idx")
-    foreign = own.withColumn("banner_code", F.lit("ACM"))
+    foreign = own.withColumn("banner_code", F.lit("EAS"))
     with pytest.raises(Exception, match="other merchants"):
-        compare.own_peer_gap(foreign, peer, on, "own_avg", "idx", viewer="KRG").collect()
+        compare.own_peer_gap(foreign, peer, on, "own_avg", "idx", viewer="NOR").collect()
 
 
 # ---- lake -------------------------------------------------------------------------------------------------------
 
-BANNERS = [("KRG", "grocery"), ("ACM", "grocery"), ("TBL", "qsr"), ("CFA", "qsr")]
+BANNERS = [("NOR", "grocery"), ("EAS", "grocery"), ("SOU", "qsr"), ("MID", "qsr")]
 
 
 def panel(spark):
@@ -111,7 +111,7 @@ def panel(spark):
                                    "store_id string, banner_code string, merchant_id string, segment string, neighborhood string")
     items = spark.createDataFrame([(f"T{b}", i, "milk", 1, 3.5, 0.0, None, 3.5) for b, _ in BANNERS for i in (1, 2)],
                                   "txn_id string, line_id int, sku string, qty int, unit_price double, discount double, promo_id string, line_total double")
-    txns = spark.createDataFrame([(f"T{b}", f"S{b}", "c1", dt.datetime(2026, 4, 1, 13), "credit", "visa", "contactless", True, None if b == "ACM" else "apple")
+    txns = spark.createDataFrame([(f"T{b}", f"S{b}", "c1", dt.datetime(2026, 4, 1, 13), "credit", "visa", "contactless", True, None if b == "EAS" else "apple")
                                   for b, _ in BANNERS],
                                  "txn_id string, store_id string, customer_token string, txn_ts timestamp_ntz, tender string, network string, entry_mode string, wallet_at_tap boolean, wallet_provider string")
     products = spark.createDataFrame([("milk", "Dairy & Eggs", "Milk", "Whole Milk")], "sku string, department string, category string, subcategory string")
@@ -122,7 +122,7 @@ def test_every_viewer_gets_a_labelled_lake(spark, tmp_path):
     merchants, stores, items, txns, products = panel(spark)
     meta = lake.build_lake(str(tmp_path), items, products, txns, stores, merchants)
     assert sorted(rows(meta.select("viewer", "segment_peer_count", "n_lines", "n_stores"))) == [(b, 1, 8, 4) for b in sorted(x for x, _ in BANNERS)]
-    assert readers.register_lake_views(spark, str(tmp_path), "KRG")
+    assert readers.register_lake_views(spark, str(tmp_path), "NOR")
     lines = spark.table("lake_transactions")
     assert lines.count() == 8 and set(lines.columns) == set(lake.LAKE_COLUMNS)
     labels = dict(rows(lines.groupBy("peer_relationship").count()))
@@ -132,7 +132,7 @@ def test_every_viewer_gets_a_labelled_lake(spark, tmp_path):
     assert all(r[1] == 0 for r in rows(lake.identity_leak_check(lines)))
     assert set(spark.table("lake_stores").columns) == set(lake.STORE_COLUMNS)
     assert not readers.register_lake_views(spark, str(tmp_path), "NOPE")
-    assert not readers.register_lake_views(spark, str(tmp_path / "absent"), "KRG")
+    assert not readers.register_lake_views(spark, str(tmp_path / "absent"), "NOR")
 
 
 def test_leak_check_counts_violations(spark):
@@ -145,7 +145,7 @@ def test_unknown_viewer_fails(spark):
     merchants, stores, *_ = panel(spark)
     with pytest.raises(scope.UnknownViewerError):
         scope.check_viewer(merchants, "XXX")
-    assert scope.check_viewer(merchants, "KRG") == "KRG"
+    assert scope.check_viewer(merchants, "NOR") == "NOR"
     with pytest.raises(Exception, match="unknown viewer"):
         lake.label_stores(stores, merchants, "XXX").collect()
 
@@ -184,9 +184,9 @@ def test_tenant_scope_follows_transactions(spark):
     merchants, stores, items, txns, products = panel(spark)
     txns = txns.join(stores.select("store_id", "banner_code"), "store_id")
     tables = {"transactions": txns, "transaction_items": items, "stores": stores, "merchants": merchants}
-    out = scope.tenant_scope(tables, "KRG", scope.Window(D(2026, 3, 1), D(2026, 5, 25)))
+    out = scope.tenant_scope(tables, "NOR", scope.Window(D(2026, 3, 1), D(2026, 5, 25)))
     assert {n: df.count() for n, df in out.items()} == {"transactions": 1, "transaction_items": 2, "stores": 1, "merchants": 1}
-    early = scope.tenant_scope(tables, "KRG", scope.Window(D(2026, 3, 1), D(2026, 4, 1)))
+    early = scope.tenant_scope(tables, "NOR", scope.Window(D(2026, 3, 1), D(2026, 4, 1)))
     assert early["transaction_items"].isEmpty()
 
 
@@ -249,17 +249,17 @@ def test_salted_sink_spreads_a_hot_partition(spark, tmp_path):
 
 def test_csv_and_json_catalogues(spark, tmp_path):
     head = readers.PRODUCT_SCHEMA.replace(",", "").split()[::2]
-    row = ["grocery", "KRG", "KRG", "s1", "Milk", "d", "b", "True", "012", "Dairy", "Milk", "Whole", "Dairy", "Milk", "Whole", "3.5"]
+    row = ["grocery", "NOR", "NOR", "s1", "Milk", "d", "b", "True", "012", "Dairy", "Milk", "Whole", "Dairy", "Milk", "Whole", "3.5"]
     (tmp_path / "p.csv").write_text(",".join(head) + "\n" + ",".join(row) + "\n")
     got = readers.read_products_csv(spark, f"{tmp_path}/p.csv").first()
     assert (got["size"], got["private_label"], got["shelf_price"]) == ("012", True, 3.5)
-    (tmp_path / "m.csv").write_text("banner_code,sku,canonical_id\nKRG,s1,c1\n")
-    assert rows(readers.read_canonical_map_csv(spark, f"{tmp_path}/m.csv")) == [("KRG", "s1", "c1")]
+    (tmp_path / "m.csv").write_text("banner_code,sku,canonical_id\nNOR,s1,c1\n")
+    assert rows(readers.read_canonical_map_csv(spark, f"{tmp_path}/m.csv")) == [("NOR", "s1", "c1")]
     (tmp_path / "dairy.json").write_text(json.dumps([{"name": "Milk", "subcategory": "milk", "base_price": 2}, {"name": "Brie", "subcategory": "cheese", "base_price": 5.5}], indent=1))
     (tmp_path / "baby.json").write_text(json.dumps([{"name": "Wipes", "subcategory": "wipes", "base_price": 4.0}]))
     base = readers.read_base_catalog(spark, {"DAIRY": f"{tmp_path}/dairy.json", "BABY": f"{tmp_path}/baby.json"})
     assert sorted(r[0] for r in rows(base)) == ["BABY-0001", "DAIRY-0001", "DAIRY-0002"]
-    (tmp_path / "o.json").write_text(json.dumps({"merchant_id": "WDX", "keep_fraction": 0.8, "tight_multiplier": 0.9, "loose_multiplier": 1.2,
+    (tmp_path / "o.json").write_text(json.dumps({"merchant_id": "WES", "keep_fraction": 0.8, "tight_multiplier": 0.9, "loose_multiplier": 1.2,
                                                  "tight_categories": ["DAIRY"], "loose_categories": ["PET"], "included_canonical_skus": ["DAIRY-0002", "BABY-0001"]}, indent=1))
     priced = readers.apply_overlay(base, readers.read_overlay(spark, f"{tmp_path}/o.json"))
     assert sorted(rows(priced.select("canonical_sku", "price"))) == [("BABY-0001", 4.0), ("DAIRY-0002", 4.95)]
@@ -573,15 +573,15 @@ def test_narration_and_names(spark):
     texts = [("Let me pull peer data",), ("Milk leads at $4.20.",), ("Would you like me to go on",), ("Shall we?",), ("still going ...",)]
     out = claims.narration_flags(spark.createDataFrame(texts, "t string"), "t")
     assert [r["narration"] for r in out.collect()] == [True, False, True, True, True]
-    leak = spark.createDataFrame([("Acme beats Taco Bell",), ("Acmeland",), ("nothing",)], "t string")
-    got = claims.name_leak_scan(leak, "t", ["Acme", "Taco Bell"], F.lit("Acme"))
-    assert [r["leaked"] for r in got.collect()] == ["Taco Bell", "", ""]
+    leak = spark.createDataFrame([("Oakshop beats Blue Diner",), ("Oakshopland",), ("nothing",)], "t string")
+    got = claims.name_leak_scan(leak, "t", ["Oakshop", "Blue Diner"], F.lit("Oakshop"))
+    assert [r["leaked"] for r in got.collect()] == ["Blue Diner", "", ""]
 
 
 def test_query_log_lints(spark):
-    log = spark.createDataFrame([("CFA", "select Category, neighborhood from t where DAYOFWEEK(ts) = 1", 0), ("KRG", "select merchant_category from t where dayofweek(ts)=1", 3)],
+    log = spark.createDataFrame([("MID", "select Category, neighborhood from t where DAYOFWEEK(ts) = 1", 0), ("NOR", "select merchant_category from t where dayofweek(ts)=1", 3)],
                                 "v string, q string, n int")
-    out = claims.query_log_grain(claims.dow_filter_lint(log, "q", "v", {"CFA": 0}), "q", "n").collect()
+    out = claims.query_log_grain(claims.dow_filter_lint(log, "q", "v", {"MID": 0}), "q", "n").collect()
     assert [(r["grain"], r["empty_result"], r["suspect"]) for r in out] == [("category,neighborhood", True, True), ("merchant_category", False, False)]
 
 
