@@ -92,10 +92,10 @@ def _gather(bits: int):
         held, n = [], 0
         width = min(bits, SLICE_BITS)
 
-        def bitmap(cell):
-            m = np.zeros(1 << width, np.uint8)
-            m[cell & np.uint32((1 << width) - 1)] = 1
-            return pack.compress(np.packbits(m).tobytes())
+        def coded(cell):
+            """Gaps of the sorted cells, byte by byte: the low bytes are nearly random, the others nearly all zero."""
+            gaps = np.diff(cell & np.uint32((1 << width) - 1), prepend=np.uint32(0))
+            return pack.compress(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
         def blobs():
             h = np.concatenate(held)
@@ -108,8 +108,8 @@ def _gather(bits: int):
                 for s in range(1 << (bits - width)):
                     if at[s] < at[s + 1]:
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([row], pa.int32()), pa.array([s], pa.int32()), pa.array([bitmap(c[at[s] : at[s + 1]])], pa.binary()),
-                            pa.array([bitmap(again[at2[s] : at2[s + 1]]) if at2[s] < at2[s + 1] else None], pa.binary()),
+                            pa.array([row], pa.int32()), pa.array([s], pa.int32()), pa.array([coded(c[at[s] : at[s + 1]])], pa.binary()),
+                            pa.array([coded(again[at2[s] : at2[s + 1]]) if at2[s] < at2[s + 1] else None], pa.binary()),
                         ], names=["row", "slice", "once", "twice"])
 
         for b in batches:
@@ -132,32 +132,30 @@ def _merge(width: int):
 
     def run(batches):
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        at, seen, twice, blobs = None, None, None, None
+        at, twice, blobs = None, None, None
 
         def done():
             hot = blobs > HOT_BLOBS
+            both = twice | (blobs > 1)
             return pa.RecordBatch.from_arrays([
-                pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([pack.compress(twice.tobytes())], pa.binary()),
+                pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([pack.compress(np.packbits(both).tobytes())], pa.binary()),
                 pa.array([pack.compress(np.packbits(hot).tobytes())], pa.binary()),
             ], names=["row", "slice", "twice", "hot"])
 
-        def bits(blob):
-            return np.frombuffer(unpack.decompress(blob), np.uint8)
+        def cells_of(blob):
+            raw = np.frombuffer(unpack.decompress(blob), np.uint8)
+            return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
         for b in batches:
             for row, part, once, again in zip(*(b[c].to_pylist() for c in ("row", "slice", "once", "twice"))):
                 if (row, part) != at:
                     if at is not None:
                         yield done()
-                    at, n = (row, part), (1 << width) // 8
-                    seen, twice, blobs = np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.zeros(1 << width, np.uint16)
-                one = bits(once)
-                twice |= seen & one
-                seen |= one
+                    at = (row, part)
+                    twice, blobs = np.zeros(1 << width, bool), np.zeros(1 << width, np.uint32)
+                blobs[cells_of(once)] += 1
                 if again is not None:
-                    twice |= bits(again)
-                add = np.unpackbits(one)
-                blobs += add * (blobs <= HOT_BLOBS)
+                    twice[cells_of(again)] = True
         if at is not None:
             yield done()
 
