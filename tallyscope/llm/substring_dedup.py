@@ -7,8 +7,9 @@
    the filter, and the result stays the same.
 2. Windows estimated repeated, and only they, are grouped by 96 bits of hash (64 of the window's polynomial hash, 32 of
    an independent one), which finds the least doc_id in which each starts.  Windows that the sketch found in more than
-   HOT_BLOBS blobs are combined before their shuffle and joined back, a join that AQE splits; the rest, whose groups are
-   small by that count, take one shuffle and a window function.
+   HOT_BLOBS blobs, or in more than HOT_DOCS documents of one blob, are combined before their shuffle and joined back, a
+   join that AQE splits; the groups of the rest have HOT_BLOBS * HOT_DOCS rows at most and take one shuffle and a window
+   function.
 3. The starts found, per document, meet the texts again on doc_id; a text's covered words are removed in numpy.
 
 What goes through the driver and is broadcast are the merged bitmaps: DEPTH * 2**MAX_CELL_BITS bits at most, 128 MB.
@@ -35,7 +36,7 @@ WINDOW = 13
 DEPTH = 2
 MIN_CELL_BITS, MAX_CELL_BITS, SLICE_BITS = 20, 29, 20
 FLUSH = 4_000_000  # windows that a task gathers before it gives out a blob
-HOT_BLOBS = 48
+HOT_BLOBS, HOT_DOCS = 48, 64
 BASE = 0x9E3779B97F4A7C15
 SALTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -85,7 +86,7 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _gather(bits: int):
-    """Batches of (doc_id, text) to blobs: row, slice, touched cells, cells touched twice."""
+    """Batches of (doc_id, text) to blobs: row, slice, touched cells, cells touched twice, cells touched often."""
 
     def run(batches):
         powers, pack = Powers(), zstandard.ZstdCompressor(level=1)
@@ -99,18 +100,21 @@ def _gather(bits: int):
 
         def blobs():
             h = np.concatenate(held)
+            edges = np.arange((1 << (bits - width)) + 1, dtype=np.uint64) << np.uint64(width)
             for row in range(DEPTH):
                 c = np.sort(cells(h, row, bits))
-                new = np.r_[True, c[1:] != c[:-1]]
-                again, c = np.unique(c[~new]), c[new]
-                at = np.searchsorted(c, np.arange((1 << (bits - width)) + 1, dtype=np.uint64) << np.uint64(width))
-                at2 = np.searchsorted(again, np.arange((1 << (bits - width)) + 1, dtype=np.uint64) << np.uint64(width))
+                first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                times, c = np.diff(np.r_[first, len(c)]), c[first]
+                again, often = c[times > 1], c[times > HOT_DOCS]
+                at = np.searchsorted(c, edges)
+                at2, at3 = np.searchsorted(again, edges), np.searchsorted(often, edges)
                 for s in range(1 << (bits - width)):
                     if at[s] < at[s + 1]:
                         yield pa.RecordBatch.from_arrays([
                             pa.array([row], pa.int32()), pa.array([s], pa.int32()), pa.array([coded(c[at[s] : at[s + 1]])], pa.binary()),
                             pa.array([coded(again[at2[s] : at2[s + 1]]) if at2[s] < at2[s + 1] else None], pa.binary()),
-                        ], names=["row", "slice", "once", "twice"])
+                            pa.array([coded(often[at3[s] : at3[s + 1]]) if at3[s] < at3[s + 1] else None], pa.binary()),
+                        ], names=["row", "slice", "once", "twice", "often"])
 
         for b in batches:
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
@@ -132,10 +136,10 @@ def _merge(width: int):
 
     def run(batches):
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        at, twice, blobs = None, None, None
+        at, twice, often, blobs = None, None, None, None
 
         def done():
-            hot = blobs > HOT_BLOBS
+            hot = often | (blobs > HOT_BLOBS)
             both = twice | (blobs > 1)
             return pa.RecordBatch.from_arrays([
                 pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([pack.compress(np.packbits(both).tobytes())], pa.binary()),
@@ -147,15 +151,17 @@ def _merge(width: int):
             return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
         for b in batches:
-            for row, part, once, again in zip(*(b[c].to_pylist() for c in ("row", "slice", "once", "twice"))):
+            for row, part, once, again, many in zip(*(b[c].to_pylist() for c in ("row", "slice", "once", "twice", "often"))):
                 if (row, part) != at:
                     if at is not None:
                         yield done()
                     at = (row, part)
-                    twice, blobs = np.zeros(1 << width, bool), np.zeros(1 << width, np.uint32)
+                    twice, often, blobs = np.zeros(1 << width, bool), np.zeros(1 << width, bool), np.zeros(1 << width, np.uint32)
                 blobs[cells_of(once)] += 1
                 if again is not None:
                     twice[cells_of(again)] = True
+                if many is not None:
+                    often[cells_of(many)] = True
         if at is not None:
             yield done()
 
@@ -167,7 +173,7 @@ def sketch(docs: DataFrame) -> tuple[int, list[tuple[int, int, bytes, bytes]]]:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(MAX_CELL_BITS, max(MIN_CELL_BITS, int(4 * chars // 6).bit_length()))
     width = min(bits, SLICE_BITS)
-    blobs = docs.select("doc_id", "text").mapInArrow(_gather(bits), "row int, slice int, once binary, twice binary")
+    blobs = docs.select("doc_id", "text").mapInArrow(_gather(bits), "row int, slice int, once binary, twice binary, often binary")
     merged = blobs.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(
         _merge(width), "row int, slice int, twice binary, hot binary")
     return bits, [tuple(r) for r in merged.collect()]
