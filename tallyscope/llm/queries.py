@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tallyscope.llm import (
     exact_dedup,
     mixing,
+    pii,
     quality_classifier,
     quality_rules,
+    sentencepiece_codec,
     simhash,
     substring_dedup,
     url_filters,
@@ -118,3 +120,18 @@ def _op6(spark, d):
 def _op8(spark, d):
     out = substring_dedup.remove_repeats(table(spark, d, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_sentencepiece")
+def _op3(spark, d):
+    """Sampled piece ids of every document, digested, and what they decode to."""
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, d, "documents").select("doc_id", "text")))
+    return both.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.hex(F.xxhash64("piece_ids")).alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+@query("op5_pii")
+def _op5(spark, d):
+    return pii.report(table(spark, d, "documents"))
