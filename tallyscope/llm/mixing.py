@@ -132,25 +132,38 @@ def cut_lines(r: DataFrame) -> DataFrame:
     ).groupBy("line_source", "line", "line_place").agg((F.max("line_place") - F.min("n2") + 1).alias("line_rows"))
 
 
-def taken(sized: DataFrame, goals: DataFrame, merit: Column | None = None, seed: str = SEED) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, copies, taken."""
-    r = ranked(sized, goals, merit, seed)
-    lines = stage(cut_lines(r), "lines")
-    d = r.join(lines, r["source"].eqNullSafe(lines["line_source"]), "left")
+def taken(sized: DataFrame, goals: DataFrame, lines: DataFrame, carry: tuple[str, ...] = (), merit: Column | None = None, seed: str = SEED) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, copies, taken and the columns named in `carry`."""
+    d = ranked(sized, goals, merit, seed)
+    d = d.join(lines, d["source"].eqNullSafe(lines["line_source"]), "left")
     # Rows of one doc_id share a rank; those on the line (few: one doc_id) are told apart by their size.
     on_line = F.col("rank").isNotNull() & (F.col("rank") == F.col("line"))
     place = F.row_number().over(Window.partitionBy("source", "rank").orderBy("doc_id", "size"))
     edge = d.filter(on_line).withColumn("more", (place <= F.col("line_rows")).cast("long"))
-    rest = d.filter(~F.coalesce(on_line, F.lit(False))).withColumn(
-        "more", F.coalesce((F.col("rank").isNotNull() & (F.col("line").isNull() | (F.col("rank") < F.col("line")))).cast("long"), F.lit(0).cast("long")),
-    )
+    below = F.col("rank").isNotNull() & (F.col("line").isNull() | (F.col("rank") < F.col("line")))
+    rest = d.filter(~F.coalesce(on_line, F.lit(False))).withColumn("more", F.coalesce(below.cast("long"), F.lit(0).cast("long")))
     out = rest.unionByName(edge)
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0).cast("long"))
     return out.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry,
     )
 
 
-def mix(docs: DataFrame, merit: Column | None = None, seed: str = SEED) -> DataFrame:
+def plan(docs: DataFrame, merit: Column | None = None, seed: str = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes, goals, lines) of a corpus, written to the shared folder; the last two have a row per source at most."""
     sized = stage(sizes(docs), "sizes")
-    return taken(sized, stage(targets(sized), "targets"), merit, seed)
+    goals = stage(targets(sized), "targets")
+    return sized, goals, stage(cut_lines(ranked(sized, goals, merit, seed)), "lines")
+
+
+def mix(docs: DataFrame, merit: Column | None = None, seed: str = SEED) -> DataFrame:
+    sized, goals, lines = plan(docs, merit, seed)
+    return taken(sized, goals, lines, (), merit, seed)
+
+
+def mixed_rows(docs: DataFrame, merit: Column | None = None, seed: str = SEED) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it.  The texts are not moved: goals and lines come to them."""
+    _, goals, lines = plan(docs, merit, seed)
+    whole = docs.select(F.struct("*").alias("rec"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    out = taken(whole, goals, lines, ("rec",), merit, seed).filter("copies > 0")
+    return out.select("rec", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("rec.*")

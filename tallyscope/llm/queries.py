@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.llm import (
     exact_dedup,
+    html_text,
     mixing,
     pii,
     quality_classifier,
@@ -135,3 +136,8 @@ def _op3(spark, d):
 @query("op5_pii")
 def _op5(spark, d):
     return pii.report(table(spark, d, "documents"))
+
+
+@query("op2_html_text")
+def _op2(spark, d):
+    return html_text.extract(table(spark, d, "pages"))

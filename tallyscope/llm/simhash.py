@@ -141,16 +141,16 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, fingerprint (hex), component_id (least doc_id reachable)."""
-    fps = stage(docs.select("doc_id", fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
+def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, fingerprint (hex), component_id (least doc_id reachable) and the columns named in `carry`."""
+    fps = stage(docs.select("doc_id", *carry, fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     # A node is named by its least doc_id; fingerprints that only rows without doc_id have are left without a node.
     nodes = fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
     nodes = stage(nodes, "nodes")
     owner = components(links(nodes))
     of_fp = nodes.join(owner, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = fps.join(of_fp, "fp", "left")
-    return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", *carry)
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -63,3 +63,43 @@ def substring_dedup(rows, size=13):
                 gone |= set(range(i, i + size))
         out[d] = (len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
     return out
+
+
+def mix(rows, weights=(5, 2, 1)):
+    """rows: (doc_id, source, text) -> (doc_id, size, source_size, target, taken) per row, by water-filling and one sorted pass per source."""
+    sized = [(d, s, len(tokens(t))) for d, s, t in rows]
+    total = {}
+    for _, s, n in sized:
+        total[s] = total.get(s, 0) + n
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in full)
+        share = {s: left * weight[s] / max(1, sum(weight[x] for x in order if x not in full)) for s in order if s not in full}
+        over = {s for s in share if share[s] >= 3 * total[s]}
+        if not over:
+            break
+        full |= over
+    target = {s: 3.0 * total[s] if s in full else share[s] for s in order}
+    out = []
+    for s in order:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        rest = target[s] - whole * total[s]
+        f = rest / total[s] if total[s] else 0.0
+        ranked = []
+        for i, (d, x, n) in enumerate(sized):
+            if x == s and n:
+                u = (int(hashlib.md5(f"{'null' if d is None else d}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                if 0 < f < 1:
+                    ranked.append(((u / (1 - u)) / (n / (n + 32.0) * f / (1 - f)), -1 if d is None else d, n, i))
+        more, so_far = set(), 0
+        for _, _, n, i in sorted(ranked):
+            if so_far + n > rest:
+                if so_far + n - rest <= rest - so_far:
+                    more.add(i)
+                break
+            so_far += n
+            more.add(i)
+        out += [(d, n, total[s], target[s], n * (whole + (i in more)) if n else 0) for i, (d, x, n) in enumerate(sized) if x == s]
+    return out
