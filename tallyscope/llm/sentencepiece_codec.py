@@ -105,21 +105,26 @@ class Lattices:
         unit_end = np.repeat(base[1:] - 1, lengths)  # last node of the unit of each character
         starts, ends, pieces, weights = [], [], [], []
         wide_codes = codes.astype(M) + M(1)
-        h = np.zeros(len(codes), M)
         covered = np.zeros(len(codes), bool)
-        for n in range(1, min(max(voc.by_length), len(codes)) + 1):
-            h = h[: len(codes) - n + 1] * M(0x100000001B3) + wide_codes[n - 1 :]
+        room = unit_end - char_node  # characters from here to the end of the unit
+        here, h = np.arange(len(codes)), np.zeros(len(codes), M)
+        for n in range(1, max(voc.by_length) + 1):
+            if n > 1:
+                enough = room[here] >= n
+                here, h = here[enough], h[enough]
+            h = h * M(0x100000001B3) + wide_codes[here + (n - 1)]
+            if not len(here):
+                break
             if n not in voc.by_length:
                 continue
             keys, rows, ids, some = voc.by_length[n]
-            at = np.flatnonzero(some[(h * M(BLEND)) >> M(48)])  # most places have no piece of this length
-            at = at[char_node[at] + n <= unit_end[at]]
-            place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            hit = keys[place] == h[at]
-            at, place = at[hit], place[hit]
-            for j in range(n):  # the key only proposes; the characters decide
-                ok = rows[place, j] == codes[at + j]
-                at, place = at[ok], place[ok]
+            near = np.flatnonzero(some[(h * M(BLEND)) >> M(48)])  # most places have no piece of this length
+            place = np.minimum(np.searchsorted(keys, h[near]), len(keys) - 1)
+            hit = keys[place] == h[near]
+            at, place = here[near[hit]], place[hit]
+            # The key only proposes; the characters decide.
+            same = (codes[at[:, None] + np.arange(n)] == rows[place]).all(axis=1)
+            at, place = at[same], place[same]
             if n == 1:
                 covered[at] = True
             starts.append(char_node[at])
@@ -133,15 +138,17 @@ class Lattices:
         ends.append(char_node[at] + 1)
         pieces.append(-1 - codes[at].astype(np.int64))
         weights.append(voc.byte_weight * wide)
-        start, end = np.concatenate(starts), np.concatenate(ends)
-        piece, weight = np.concatenate(pieces), np.concatenate(weights)
-        order = np.lexsort((start, end))
+        # Long pieces first: a stable sort by end then has the starts of a node in their order.
+        start, end = np.concatenate(starts[::-1]), np.concatenate(ends[::-1])
+        piece, weight = np.concatenate(pieces[::-1]), np.concatenate(weights[::-1])
+        order = np.argsort(end, kind="stable")
         start, end, piece, weight = start[order], end[order], piece[order], weight[order]
         # Forward filtering, all units at once, place by place.
         total = np.full(int(base[-1]), -np.inf)
         total[base[:-1]] = 0.0
         unit_of = np.repeat(np.arange(len(units)), lengths + 1)
         depth = end - base[unit_of[end]]
+        depth = depth.astype(np.min_scalar_type(int(depth.max()) + 2 if len(depth) else 1))
         by_depth = np.argsort(depth, kind="stable")
         edges = np.searchsorted(depth[by_depth], np.arange(1, (depth.max() if len(depth) else 0) + 2))
         for a, b in zip(edges[:-1], edges[1:]):
@@ -170,7 +177,7 @@ class Lattices:
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all occurrences in their order, and how many each has.  unit: which; key: 64 bits per occurrence."""
         node, stop = self.unit_end[unit], self.unit_start[unit]
-        live = np.argsort(unit, kind="stable")  # neighbours search neighbouring nodes
+        live = np.argsort(unit.astype(np.int32), kind="stable")  # neighbours search neighbouring nodes
         steps = []
         count = np.zeros(len(unit), np.int64)
         step = 0
@@ -204,18 +211,17 @@ def units_of(text: str) -> list[str]:
 
 def encode_batch(texts: list[str | None], keys: list, voc: Vocabulary, seed: int = SEED) -> list[np.ndarray | None]:
     """Piece ids of each text."""
-    seen: dict[str, int] = {}
-    occurrences, sizes, at = [], [], []
+    every, sizes, at = [], [], []
     for text, key in zip(texts, keys):
         units = units_of(text) if text else []
-        occurrences.append(np.fromiter((seen.setdefault(u, len(seen)) for u in units), np.int64, len(units)))
+        every += units
         sizes.append(len(units))
         row = M(xxhash.xxh64_intdigest(f"{seed}:{key}"))
         at.append(mixed(row + np.arange(len(units), dtype=M) * M(0xD1342543DE82EF95)))
-    unit = np.concatenate(occurrences) if occurrences else np.zeros(0, np.int64)
-    if not len(unit):
+    if not every:
         return [None if t is None else np.zeros(0, np.int32) for t in texts]
-    pieces, count = Lattices(list(seen), voc).sample(unit, np.concatenate(at))
+    unit, distinct = pd.factorize(np.array(every, dtype=object))
+    pieces, count = Lattices(distinct.tolist(), voc).sample(unit, np.concatenate(at))
     if (pieces < 0).any():  # characters without a piece become their bytes
         reps = np.ones(len(pieces), np.int64)
         odd = np.flatnonzero(pieces < 0)
@@ -251,7 +257,7 @@ def _model(path: str | None) -> bytes:
         return f.read()
 
 
-def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 20) -> Column:
+def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 19) -> Column:
     """Piece ids of `text`, an array of int; batches are worked on in slabs of about `slab` characters."""
     model = _model(path)
 

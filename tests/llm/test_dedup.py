@@ -86,11 +86,10 @@ def test_substring_cases(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("blobs, docs_", [(0, 64), (2, 64), (48, 1)])
-def test_windows_counted_as_hot_give_the_same(spark, sf_dir, monkeypatch, blobs, docs_):
-    monkeypatch.setattr(substring_dedup, "HOT_BLOBS", blobs)
-    monkeypatch.setattr(substring_dedup, "HOT_DOCS", docs_)
-    docs = table(spark, sf_dir, "documents").repartition(6)
+@pytest.mark.parametrize("combine, parts", [(1, 6), (50, 2), (10**6, 1)])
+def test_combining_in_tasks_changes_nothing(spark, sf_dir, monkeypatch, combine, parts):
+    monkeypatch.setattr(substring_dedup, "COMBINE", combine)
+    docs = table(spark, sf_dir, "documents").repartition(parts)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.remove_repeats(docs).collect()}
     assert got == brute.substring_dedup(whole(spark, sf_dir))
 
