@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,6 +212,13 @@ def units_of(text: str) -> list[str]:
 
 def encode_batch(texts: list[str | None], keys: list, voc: Vocabulary, seed: int = SEED) -> list[np.ndarray | None]:
     """Piece ids of each text."""
+    flat, lengths = encode_flat(texts, keys, voc, seed)
+    ends = np.cumsum(lengths)
+    return [None if t is None else flat[e - n : e] for t, e, n in zip(texts, ends, lengths)]
+
+
+def encode_flat(texts: list[str | None], keys: list, voc: Vocabulary, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts in a row, and how many each has."""
     every, sizes, at = [], [], []
     for text, key in zip(texts, keys):
         units = units_of(text) if text else []
@@ -219,7 +227,7 @@ def encode_batch(texts: list[str | None], keys: list, voc: Vocabulary, seed: int
         row = M(xxhash.xxh64_intdigest(f"{seed}:{key}"))
         at.append(mixed(row + np.arange(len(units), dtype=M) * M(0xD1342543DE82EF95)))
     if not every:
-        return [None if t is None else np.zeros(0, np.int32) for t in texts]
+        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     unit, distinct = pd.factorize(np.array(every, dtype=object))
     pieces, count = Lattices(distinct.tolist(), voc).sample(unit, np.concatenate(at))
     if (pieces < 0).any():  # characters without a piece become their bytes
@@ -233,12 +241,10 @@ def encode_batch(texts: list[str | None], keys: list, voc: Vocabulary, seed: int
             wide[p : p + len(r)] = [voc.byte_ids[x] for x in r]
         pieces, count = wide, np.add.reduceat(reps, np.cumsum(count) - count)
     per_text = np.add.reduceat(np.r_[count, 0], np.minimum(np.cumsum(sizes) - sizes, len(count))) * (np.array(sizes) > 0)
-    ends = np.cumsum(per_text)
-    flat = pieces.astype(np.int32)
-    return [None if t is None else flat[e - n : e] for t, e, n in zip(texts, ends, per_text)]
+    return pieces.astype(np.int32), per_text
 
 
-def decode_ids(ids, voc_bytes: list[bytes]) -> str | None:
+def decode_ids(ids: list[int] | None, voc_bytes: list[bytes]) -> str | None:
     return None if ids is None else b"".join(map(voc_bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
 
 
@@ -257,22 +263,25 @@ def _model(path: str | None) -> bytes:
         return f.read()
 
 
-def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 19) -> Column:
+def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 20) -> Column:
     """Piece ids of `text`, an array of int; batches are worked on in slabs of about `slab` characters."""
     model = _model(path)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         voc = _vocabulary(model, alpha)
         for texts, keys in parts:
-            texts, keys = texts.tolist(), keys.tolist()
-            out, a, size = [], 0, 0
+            texts, keys = texts.to_pylist(), keys.to_pylist()
+            flat, lengths, a, size = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
             for i, t in enumerate(texts):
                 size += len(t or "")
                 if size >= slab or i + 1 == len(texts):
-                    out += encode_batch(texts[a : i + 1], keys[a : i + 1], voc, seed)
+                    ids, n = encode_flat(texts[a : i + 1], keys[a : i + 1], voc, seed)
+                    flat.append(ids)
+                    lengths.append(n)
                     a, size = i + 1, 0
-            yield pd.Series(out, dtype=object)
+            offsets = pa.array(np.cumsum(np.concatenate(lengths)), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
 
     return encode(text, key.cast("string"))
 
@@ -280,11 +289,12 @@ def encoded(text: Column, key: Column, path: str | None = None, alpha: float = A
 def decoded(ids: Column, path: str | None = None) -> Column:
     model = _model(path)
 
-    @F.pandas_udf(T.StringType())
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.StringType())
+    def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         voc = _vocabulary(model, ALPHA).bytes_of
-        for ids_ in parts:
-            yield pd.Series([decode_ids(i, voc) for i in ids_], dtype=object)
+        for lists in parts:
+            flat, at = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
+            yield pa.array([decode_ids(flat[a:b], voc) if ok else None for a, b, ok in zip(at, at[1:], lists.is_valid().to_pylist())], pa.string())
 
     return decode(ids)
 
