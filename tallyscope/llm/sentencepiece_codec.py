@@ -263,7 +263,7 @@ def _model(path: str | None) -> bytes:
         return f.read()
 
 
-def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 20) -> Column:
+def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 19) -> Column:
     """Piece ids of `text`, an array of int; batches are worked on in slabs of about `slab` characters."""
     model = _model(path)
 
@@ -293,8 +293,8 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         voc = _vocabulary(model, ALPHA).bytes_of
         for lists in parts:
-            flat, at = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
-            yield pa.array([decode_ids(flat[a:b], voc) if ok else None for a, b, ok in zip(at, at[1:], lists.is_valid().to_pylist())], pa.string())
+            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            yield pa.array([decode_ids(flat[a:b].tolist(), voc) if ok else None for a, b, ok in zip(at, at[1:], lists.is_valid().to_pylist())], pa.string())
 
     return decode(ids)
 
