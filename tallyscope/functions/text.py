@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_CHAR = r"\p{L}\p{N}_"
-CONTEXT = 60
 
 
 def whole_word(term: str) -> str:
@@ -51,28 +50,24 @@ def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, token, left, right): every numeric token with the text around it that decides its kind.
 
     Texts are cut once into tokens and the gaps between them.  The two words on either side of a token lie within
-    two neighbouring tokens and three gaps, of which the 60 nearest characters count, so every token costs the same
-    however long its text is.
+    two neighbouring tokens and three gaps, which are taken whole.
     """
     cut = df.filter(F.col(text).rlike(r"\d")).select(
         key,
         F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)).alias("_t"),
-        F.transform(F.split(text, NUMBER, -1), lambda g: F.struct(
-            F.left(g, F.lit(CONTEXT)).alias("head"), F.right(g, F.lit(CONTEXT)).alias("tail"))).alias("_g"),
+        F.split(text, NUMBER, -1).alias("_g"),
     )
 
     def token(i: Column) -> Column:
         return F.coalesce(F.when(i >= 0, F.get("_t", i)), F.lit(""))
 
-    def gap(i: Column, side: str) -> Column:
-        return F.coalesce(F.when(i >= 0, F.get("_g", i)[side]), F.lit(""))
+    def gap(i: Column) -> Column:
+        return F.coalesce(F.when(i >= 0, F.get("_g", i)), F.lit(""))
 
     def around(t: Column, i: Column) -> Column:
-        left = F.concat(gap(i - 2, "tail"), token(i - 2), gap(i - 1, "tail"), token(i - 1), gap(i, "tail"))
-        right = F.concat(gap(i + 1, "head"), token(i + 1), gap(i + 2, "head"), token(i + 2), gap(i + 3, "head"))
-        return F.struct(
-            t.alias("token"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right")
-        )
+        left = F.concat(gap(i - 2), token(i - 2), gap(i - 1), token(i - 1), gap(i))
+        right = F.concat(gap(i + 1), token(i + 1), gap(i + 2), token(i + 2), gap(i + 3))
+        return F.struct(t.alias("token"), left.alias("left"), right.alias("right"))
 
     return cut.select(key, F.posexplode(F.transform("_t", around)).alias("pos", "_x")).select(key, "pos", "_x.*")
 
@@ -83,7 +78,7 @@ def number_kind(token: Column, left: Column, right: Column) -> Column:
     before = F.transform(F.regexp_extract_all(left, words, F.lit(1)), F.lower)
     before = F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2))
     after = F.slice(F.transform(F.regexp_extract_all(right, words, F.lit(1)), F.lower), 1, 2)
-    approx = F.right(left, F.lit(12)).rlike(r"(?i)(?:≈|~|about\s+|roughly\s+)\s*$")
+    approx = left.rlike(r"(?i)(?:≈|~|about\s++|roughly\s++)$|[≈~]\s++$")
     sigil = token.rlike(r"(?i)[%$.]|(?:x|×|bps)$")
     metric_words = F.array(*[F.lit(w) for w in METRIC_WORDS])
     return (

@@ -308,7 +308,7 @@ def store_weekly_traffic(txns: DataFrame) -> DataFrame:
     )
 
 
-def capped_payload(df: DataFrame, order: Sequence[Column], cap: int = 50) -> DataFrame:
+def capped_payload(df: DataFrame, order: Sequence[Column], cap: int) -> DataFrame:
     """The first `cap` rows of a report, with the full row count and whether it was cut."""
     n = df.agg(F.count(F.lit(1))).scalar()
     return df.orderBy(*order).limit(cap).withColumns({"row_count": n, "truncated": n > cap})

@@ -1,6 +1,6 @@
-"""Result shaping for charts: one point per mark, in an explicit order, under the chart's cap.
+"""Result shaping for charts: one point per mark, in an explicit order, aggregated whole.
 
-The caps belong to the charts (a report shows so many marks); every frame is aggregated whole before the cut.
+No frame is cut here.  A chart that shows so many marks takes them from `cards.capped_payload`, which also tells the full count.
 """
 
 from __future__ import annotations
@@ -11,13 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.money import mean_money, sum_money
+from tallyscope.functions.money import mean_fixed, sum_money
 from tallyscope.functions.ranking import top_n
 
-# Most marks per chart.
-MAX_TIME_POINTS, MAX_BARS, MAX_HEAT_ROWS, MAX_HEAT_COLS = 60, 30, 25, 25
-MAX_SCATTER, MAX_WATERFALL, MAX_GEO, MAX_FACETS = 200, 30, 200, 9
-
 
 class ChartColumnError(ValueError):
     """A chart names a column that is absent or not numeric."""
@@ -33,40 +29,36 @@ def numeric_column_check(df: DataFrame, columns: Sequence[str], numeric: Sequenc
     return df
 
 
-def series_by_x(df: DataFrame, x: str, series: Sequence[str], cap: int = MAX_TIME_POINTS) -> DataFrame:
-    """Mean of each series per x, the first points in x order."""
+def series_by_x(df: DataFrame, x: str, series: Sequence[str]) -> DataFrame:
+    """Mean of each series per x, in x order."""
     numeric_column_check(df, [x], series)
-    return df.groupBy(x).agg(*[mean_money(s).alias(s) for s in series]).orderBy(x).limit(cap)
+    return df.groupBy(x).agg(*[mean_fixed(F.col(s).cast("double")).alias(s) for s in series]).orderBy(x)
 
 
-def heatmap_matrix(df: DataFrame, row: str, col: str, value: str, columns: Sequence, rows: int = MAX_HEAT_ROWS,
-                   cols: int = MAX_HEAT_COLS) -> DataFrame:
-    """Mean per (row, column), one output column per listed value, first rows in order."""
+def heatmap_matrix(df: DataFrame, row: str, col: str, value: str, columns: Sequence) -> DataFrame:
+    """Mean per (row, column), one output column per listed value, rows in order."""
     numeric_column_check(df, [row, col], [value])
-    return df.groupBy(row).agg(
-        *[mean_money(value, F.col(col) == c).alias(str(c)) for c in sorted(columns)[:cols]]
-    ).orderBy(row).limit(rows)
+    return df.groupBy(row).agg(*[mean_fixed(F.col(value).cast("double"), F.col(col) == c).alias(str(c)) for c in sorted(columns)]).orderBy(row)
 
 
-def first_per_label(df: DataFrame, label: str, order: Sequence[Column], cap: int = MAX_SCATTER) -> DataFrame:
-    return top_n(df, [label], order, 1).drop("rn").orderBy(label).limit(cap)
+def first_per_label(df: DataFrame, label: str, order: Sequence[Column]) -> DataFrame:
+    return top_n(df, [label], order, 1).drop("rn").orderBy(label)
 
 
-def waterfall_contributions(df: DataFrame, driver: str, value: str, cap: int = MAX_WATERFALL) -> DataFrame:
+def waterfall_contributions(df: DataFrame, driver: str, value: str) -> DataFrame:
     numeric_column_check(df, [driver], [value])
-    return df.groupBy(driver).agg(sum_money(value).alias(value)).orderBy(F.desc(value), driver).limit(cap)
+    return df.groupBy(driver).agg(sum_money(value).alias(value)).orderBy(F.desc(value), driver)
 
 
-def geo_points(df: DataFrame, lat: str, lon: str, value: str, label: str, order: str, cap: int = MAX_GEO) -> DataFrame:
+def geo_points(df: DataFrame, lat: str, lon: str, value: str, label: str, order: str) -> DataFrame:
     """Mean value per coordinate with the label that comes first."""
     numeric_column_check(df, [lat, lon, label], [value])
     return df.groupBy(lat, lon).agg(
-        mean_money(value).alias(value), F.min_by(label, F.struct(order, label)).alias(label)
-    ).orderBy(lat, lon).limit(cap)
+        mean_fixed(F.col(value).cast("double")).alias(value), F.min_by(label, F.struct(order, label)).alias(label)
+    ).orderBy(lat, lon)
 
 
-def facet_series(df: DataFrame, facet: str, x: str, value: str, cap: int = MAX_FACETS) -> DataFrame:
-    """Mean per (facet, x) for the first facets by name.  Facet names are ranked among themselves, not their points."""
+def facet_series(df: DataFrame, facet: str, x: str, value: str) -> DataFrame:
+    """Mean per (facet, x) of every facet that has a name."""
     numeric_column_check(df, [facet, x], [value])
-    first = df.select(facet).filter(F.col(facet).isNotNull()).distinct().orderBy(facet).limit(cap)
-    return df.join(first, facet, "left_semi").groupBy(facet, x).agg(mean_money(value).alias(value))
+    return df.filter(F.col(facet).isNotNull()).groupBy(facet, x).agg(mean_fixed(F.col(value).cast("double")).alias(value))

@@ -279,7 +279,7 @@ def _hour_dow_heatmap_distinct(spark, d):
     return cards.hour_dow_heatmap(_purchases(spark, d), distinct_txn="customer_token")
 
 
-HEAT_K = 12  # 2,000 purchases over 168 cells at the check scale: some cells fall under 12, none reaches 50.
+HEAT_K = 50
 
 
 @query("heatmap_suppressed", f"""WITH {HEAT} SELECT dow, hour, CASE WHEN n BETWEEN 1 AND {HEAT_K - 1} THEN NULL ELSE n END AS n,
@@ -356,7 +356,7 @@ SELECT *, (SELECT count(*) FROM g) AS row_count, (SELECT count(*) FROM g) > 50 A
 def _capped_payload(spark, d):
     items = census.items(spark, d).join(census.products(spark, d).select("sku", "category", "subcategory"), "sku")
     g = items.groupBy("category", "subcategory").agg(F.sum("qty").alias("units"))
-    return cards.capped_payload(g, [F.desc("units"), F.col("category"), F.col("subcategory")])
+    return cards.capped_payload(g, [F.desc("units"), F.col("category"), F.col("subcategory")], 50)
 
 
 @query("largest_transaction", f"""WITH {VI} SELECT txn_id, store_id, sku, qty, line_total, subtotal FROM it JOIN (SELECT txn_id, store_id, subtotal FROM vi

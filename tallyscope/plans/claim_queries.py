@@ -191,39 +191,38 @@ def _name_leak_scan(spark, d):
     return claims.name_leak_scan(census.table(spark, d, "documents"), "text", NAMES, viewer).select("doc_id", "leaked")
 
 
-@query("series_by_x", f"""WITH {SE} SELECT CAST(extract(hour FROM txn_ts) AS INT) AS hour, {avg_money('subtotal')} AS subtotal, {avg_money('k')} AS k FROM se GROUP BY 1 ORDER BY 1 LIMIT 60""")
+@query("series_by_x", f"""WITH {SE} SELECT CAST(extract(hour FROM txn_ts) AS INT) AS hour, {avg_money('subtotal')} AS subtotal, {avg_money('k')} AS k FROM se GROUP BY 1 ORDER BY 1""")
 def _series_by_x(spark, d):
     s = census.sessions(spark, d).withColumn("hour", F.hour("txn_ts"))
     return shaping.series_by_x(s, "hour", ["subtotal", "k"])
 
 
-@query("heatmap_matrix", f"""WITH {SE} SELECT CAST(extract(hour FROM txn_ts) AS INT) AS hour, {', '.join(f"{avg_money('subtotal', f'banner_code = {chr(39)}{b}{chr(39)}')} AS {b}" for b in ('click', 'purchase', 'view'))} FROM se GROUP BY 1 ORDER BY 1 LIMIT 25""")
+@query("heatmap_matrix", f"""WITH {SE} SELECT CAST(extract(hour FROM txn_ts) AS INT) AS hour, {', '.join(f"{avg_money('subtotal', f'banner_code = {chr(39)}{b}{chr(39)}')} AS {b}" for b in ('click', 'error', 'purchase', 'signup', 'view'))} FROM se GROUP BY 1 ORDER BY 1""")
 def _heatmap_matrix(spark, d):
     s = census.sessions(spark, d).withColumn("hour", F.hour("txn_ts"))
-    return shaping.heatmap_matrix(s, "hour", "banner_code", "subtotal", ["view", "click", "purchase"])
+    return shaping.heatmap_matrix(s, "hour", "banner_code", "subtotal", ["view", "click", "purchase", "signup", "error"])
 
 
-@query("first_per_label", f"""WITH {PR} SELECT subcategory, sku, shelf_price FROM pr QUALIFY row_number() OVER (PARTITION BY subcategory ORDER BY shelf_price, sku) = 1 ORDER BY 1 LIMIT 200""")
+@query("first_per_label", f"""WITH {PR} SELECT subcategory, sku, shelf_price FROM pr QUALIFY row_number() OVER (PARTITION BY subcategory ORDER BY shelf_price, sku) = 1 ORDER BY 1""")
 def _first_per_label(spark, d):
     p = census.products(spark, d).select("subcategory", "sku", "shelf_price")
     return shaping.first_per_label(p, "subcategory", [F.col("shelf_price"), F.col("sku")])
 
 
-@query("waterfall_contributions", f"""WITH {PR}, {IT} SELECT category, {money('line_total')} AS line_total FROM it JOIN pr USING (sku) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""")
+@query("waterfall_contributions", f"""WITH {PR}, {IT} SELECT category, {money('line_total')} AS line_total FROM it JOIN pr USING (sku) GROUP BY 1 ORDER BY 2 DESC, 1""")
 def _waterfall_contributions(spark, d):
     lines = census.items(spark, d).join(census.products(spark, d).select("sku", "category"), "sku")
     return shaping.waterfall_contributions(lines, "category", "line_total")
 
 
 @query("geo_points", f"""WITH {ST}, {IT} SELECT latitude, longitude, {avg_money('line_total')} AS line_total, arg_min(banner_code, (store_id, banner_code)) AS banner_code FROM it JOIN st USING (store_id)
-  GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 200""")
+  GROUP BY 1, 2 ORDER BY 1, 2""")
 def _geo_points(spark, d):
     lines = census.items(spark, d).join(census.stores(spark, d), "store_id")
     return shaping.geo_points(lines, "latitude", "longitude", "line_total", "banner_code", "store_id")
 
 
-@query("facet_series", f"""WITH {PR}, {IT}, {ST} SELECT category, neighborhood, {avg_money('unit_price')} AS unit_price FROM it JOIN pr USING (sku) JOIN st USING (store_id)
-  WHERE category IN (SELECT DISTINCT category FROM it JOIN pr USING (sku) ORDER BY 1 LIMIT 9) GROUP BY 1, 2""")
+@query("facet_series", f"""WITH {PR}, {IT}, {ST} SELECT category, neighborhood, {avg_money('unit_price')} AS unit_price FROM it JOIN pr USING (sku) JOIN st USING (store_id) WHERE category IS NOT NULL GROUP BY 1, 2""")
 def _facet_series(spark, d):
     return shaping.facet_series(panel_lines(spark, d), "category", "neighborhood", "unit_price")
 

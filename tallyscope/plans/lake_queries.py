@@ -306,9 +306,9 @@ def _neighborhood_peer_units(spark, d):
 
 @query("weekly_own_vs_peer", f"""WITH {lake_sql(timed=True)} SELECT CAST(date_trunc('week', txn_ts) AS DATE) AS week,
   {total('qty', SELF)} AS own_units, {total('qty', PEER)} AS peer_units FROM lk GROUP BY 1
-  HAVING count(*) FILTER (WHERE {PEER}) >= 20""")
+  HAVING count(*) FILTER (WHERE {PEER}) >= 50""")
 def _weekly_own_vs_peer(spark, d):
-    return compare.weekly_own_vs_peer(peer_lake(spark, d, timed=True), k=20)
+    return compare.weekly_own_vs_peer(peer_lake(spark, d, timed=True), k=50)
 
 
 def _gap_frames(spark, d):

@@ -244,27 +244,27 @@ def _department_tilt(spark, d):
 
 
 @query("k_ladder", f"""WITH {PR}, {IT}, {TX}, c AS (SELECT department AS category, category AS subcategory, CAST(date_trunc('week', txn_ts) AS DATE) AS week, count(*) AS n, {total('qty')} AS units FROM it JOIN pr USING (sku) JOIN tx USING (txn_id) GROUP BY 1, 2, 3),
-  w AS (SELECT category, week, {total('n')} AS n, {total('units')} AS units FROM c WHERE n < 20 GROUP BY 1, 2),
-  m AS (SELECT category, CAST(date_trunc('month', week) AS DATE) AS month, {total('n')} AS n, {total('units')} AS units FROM w WHERE n < 20 GROUP BY 1, 2)
-  SELECT 'subcategory_week' AS grain, category, subcategory, week AS period, n, units FROM c WHERE n >= 20 UNION ALL SELECT 'category_week', category, NULL, week, n, units FROM w WHERE n >= 20
-  UNION ALL SELECT 'category_month', category, NULL, month, n, units FROM m WHERE n >= 20 UNION ALL SELECT 'suppressed', NULL, NULL, NULL, coalesce({total('n')}, 0), coalesce({total('units')}, 0) FROM m WHERE n < 20""")
+  w AS (SELECT category, week, {total('n')} AS n, {total('units')} AS units FROM c WHERE n < 50 GROUP BY 1, 2),
+  m AS (SELECT category, CAST(date_trunc('month', week) AS DATE) AS month, {total('n')} AS n, {total('units')} AS units FROM w WHERE n < 50 GROUP BY 1, 2)
+  SELECT 'subcategory_week' AS grain, category, subcategory, week AS period, n, units FROM c WHERE n >= 50 UNION ALL SELECT 'category_week', category, NULL, week, n, units FROM w WHERE n >= 50
+  UNION ALL SELECT 'category_month', category, NULL, month, n, units FROM m WHERE n >= 50 UNION ALL SELECT 'suppressed', NULL, NULL, NULL, coalesce({total('n')}, 0), coalesce({total('units')}, 0) FROM m WHERE n < 50""")
 def _k_ladder(spark, d):
     lines = product_lines(spark, d, "department", "category").join(census.orders(spark, d), "txn_id")
-    return aggregates.k_ladder(lines.select(F.col("department").alias("category"), F.col("category").alias("subcategory"), "txn_ts", "qty"), 20)
+    return aggregates.k_ladder(lines.select(F.col("department").alias("category"), F.col("category").alias("subcategory"), "txn_ts", "qty"), 50)
 
 
 @query("category_metrics", f"""WITH {LNT}, c AS (SELECT banner_code, department AS category, CAST(date_trunc('month', txn_ts) AS DATE) AS month, count(*) AS n_lines, {avg_money('unit_price')} AS price, {money('unit_price')} AS p,
   {money('line_total')} AS revenue, {total('qty')} AS units FROM lnt GROUP BY 1, 2, 3), m AS (SELECT category, month, {money('p')} / sum(n_lines) AS mp, {money('revenue')} / count(*) AS mr, CAST(sum(units) AS DOUBLE) / count(*) AS mu FROM c GROUP BY 1, 2),
   x AS (SELECT c.*, mp, mr, mu, lag(revenue) OVER (PARTITION BY banner_code, category ORDER BY month) AS prev FROM c JOIN m USING (category, month))
-  SELECT banner_code, category, month, n_lines, price / mp AS price_index, revenue / mr AS revenue_index, units / mu AS units_index, revenue / nullif(prev, 0) - 1 AS revenue_delta FROM x WHERE n_lines >= 8""")
+  SELECT banner_code, category, month, n_lines, price / mp AS price_index, revenue / mr AS revenue_index, units / mu AS units_index, revenue / nullif(prev, 0) - 1 AS revenue_delta FROM x WHERE n_lines >= 50""")
 def _category_metrics(spark, d):
-    return aggregates.category_metrics(timed_lines(spark, d).withColumn("category", F.col("department")), 8)
+    return aggregates.category_metrics(timed_lines(spark, d).withColumn("category", F.col("department")), 50)
 
 
 @query("payment_mix_by_zone_month", f"""WITH {VI}, c AS (SELECT banner_code, neighborhood, CAST(date_trunc('month', txn_ts) AS DATE) AS month, tender, count(*) AS n FROM vi GROUP BY 1, 2, 3, 4),
-  t AS (SELECT banner_code, neighborhood, month, sum(n) AS t FROM c GROUP BY 1, 2, 3) SELECT c.*, CAST(n AS DOUBLE) / CAST(t AS DOUBLE) AS share FROM c JOIN t USING (banner_code, neighborhood, month) WHERE t >= 10""")
+  t AS (SELECT banner_code, neighborhood, month, sum(n) AS t FROM c GROUP BY 1, 2, 3) SELECT c.*, CAST(n AS DOUBLE) / CAST(t AS DOUBLE) AS share FROM c JOIN t USING (banner_code, neighborhood, month) WHERE t >= 50""")
 def _payment_mix_by_zone_month(spark, d):
-    return aggregates.payment_mix_by_zone_month(census.visits(spark, d), 10)
+    return aggregates.payment_mix_by_zone_month(census.visits(spark, d), 50)
 
 
 @query("trade_area_share", f"""WITH {LNT}, c AS (SELECT neighborhood, category, banner_code, count(*) AS n, {money('line_total')} AS sales FROM ln GROUP BY 1, 2, 3), z AS (SELECT neighborhood, category, {money('sales')} AS t, sum(n) AS k FROM c GROUP BY 1, 2)
@@ -275,9 +275,9 @@ def _trade_area_share(spark, d):
 
 @query("cross_merchant_cohorts", f"""WITH {VI}, {CU}, p AS (SELECT customer_token, string_agg(DISTINCT segment, ',' ORDER BY segment) AS combination, {money('subtotal')} AS spend, count(*) AS visits FROM vi GROUP BY 1),
   h AS (SELECT * FROM p JOIN cu USING (customer_token)) SELECT home_zone, combination, count(*) AS cohort_size, round(quantile_cont(spend, 0.25), 6) AS p25_spend, round(quantile_cont(spend, 0.5), 6) AS median_spend, round(quantile_cont(spend, 0.75), 6) AS p75_spend,
-  CASE WHEN quantile_cont(visits::DOUBLE, 0.5) < 10 THEN 'light' WHEN quantile_cont(visits::DOUBLE, 0.5) < 40 THEN 'medium' ELSE 'heavy' END AS frequency_band FROM h GROUP BY 1, 2 HAVING count(*) >= 40""")
+  CASE WHEN quantile_cont(visits::DOUBLE, 0.5) < 10 THEN 'light' WHEN quantile_cont(visits::DOUBLE, 0.5) < 40 THEN 'medium' ELSE 'heavy' END AS frequency_band FROM h GROUP BY 1, 2 HAVING count(*) >= 50""")
 def _cross_merchant_cohorts(spark, d):
-    out = aggregates.cross_merchant_cohorts(census.visits(spark, d), census.customers(spark, d), 40)
+    out = aggregates.cross_merchant_cohorts(census.visits(spark, d), census.customers(spark, d), 50)
     return rounded(out, "p25_spend", "median_spend", "p75_spend")
 
 
