@@ -47,3 +47,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """Hands texts to Python in Arrow batches of at most `limit` from here on in this session.
+
+    The memory of a Python worker then depends neither on how long the texts are nor on the rows per batch.
+    """
+    spark.conf.set(BATCH_BYTES, limit)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.functions.joins import bounded
-from tallyscope.llm.common import stage
+from tallyscope.llm.common import small_batches, stage
 from tallyscope.llm.url_filters import url_host
 
 TAG = re.compile(
@@ -243,6 +243,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     winners = stage(host_paths(pages), "host-paths")
     d = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host")).join(bounded(winners), "host", "left")
     return d.select("page_id", "url", main_text("html", "path").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -29,10 +29,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyscope.llm.common import small_batches
+
 MARK = "▁"
 UNIT = re.compile(r" ?[^ ]+| +(?= )| ")
 UNIT_MAX = 128
@@ -266,6 +268,7 @@ def _model(path: str | None) -> bytes:
 def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 19) -> Column:
     """Piece ids of `text`, an array of int; batches are worked on in slabs of about `slab` characters."""
     model = _model(path)
+    small_batches(SparkSession.active())
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -288,6 +291,7 @@ def encoded(text: Column, key: Column, path: str | None = None, alpha: float = A
 
 def decoded(ids: Column, path: str | None = None) -> Column:
     model = _model(path)
+    small_batches(SparkSession.active())
 
     @F.arrow_udf(T.StringType())
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import stage
+from tallyscope.llm.common import small_batches, stage
 
 SHINGLE = 3
 SEED = 42  # fixed value of the contract: XXH64 with seed 42
@@ -143,6 +143,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, fingerprint (hex), component_id (least doc_id reachable) and the columns named in `carry`."""
+    small_batches(docs.sparkSession)
     fps = stage(docs.select("doc_id", *carry, fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     # A node is named by its least doc_id; fingerprints that only rows without doc_id have are left without a node.
     nodes = fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import stage
+from tallyscope.llm.common import small_batches, stage
 
 WINDOW = 13
 DEPTH = 2
@@ -308,6 +308,7 @@ def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
     # Only where a doc_id comes more than once do places need the text's hash beside them.
     twice = not d.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
