@@ -265,6 +265,24 @@ def _model(path: str | None) -> bytes:
         return f.read()
 
 
+def _encode_arrow(texts: list[str | None], keys: list, voc: Vocabulary, seed: int, slab: int) -> pa.ListArray:
+    flat, lengths, a, size = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= slab or i + 1 == len(texts):
+            ids, n = encode_flat(texts[a : i + 1], keys[a : i + 1], voc, seed)
+            flat.append(ids)
+            lengths.append(n)
+            a, size = i + 1, 0
+    offsets = pa.array(np.cumsum(np.concatenate(lengths)), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
+
+
+def _decode_arrow(lists: pa.ListArray, voc: Vocabulary) -> list[str | None]:
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+    return [decode_ids(flat[a:b].tolist(), voc.bytes_of) if ok else None for a, b, ok in zip(at, at[1:], lists.is_valid().to_pylist())]
+
+
 def encoded(text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 19) -> Column:
     """Piece ids of `text`, an array of int; batches are worked on in slabs of about `slab` characters."""
     model = _model(path)
@@ -274,31 +292,42 @@ def encoded(text: Column, key: Column, path: str | None = None, alpha: float = A
     def encode(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         voc = _vocabulary(model, alpha)
         for texts, keys in parts:
-            texts, keys = texts.to_pylist(), keys.to_pylist()
-            flat, lengths, a, size = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= slab or i + 1 == len(texts):
-                    ids, n = encode_flat(texts[a : i + 1], keys[a : i + 1], voc, seed)
-                    flat.append(ids)
-                    lengths.append(n)
-                    a, size = i + 1, 0
-            offsets = pa.array(np.cumsum(np.concatenate(lengths)), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
-            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
+            yield _encode_arrow(texts.to_pylist(), keys.to_pylist(), voc, seed, slab)
 
     return encode(text, key.cast("string"))
 
 
+CHECKED = T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+
+
+def encoded_and_checked(
+    text: Column, key: Column, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, slab: int = 1 << 19,
+) -> Column:
+    """Piece ids of `text` and whether they decode to it, in one pass and one Python worker per task."""
+    model = _model(path)
+    small_batches(SparkSession.active())
+
+    @F.arrow_udf(CHECKED)
+    def both(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        voc = _vocabulary(model, alpha)
+        for texts, keys in parts:
+            texts = texts.to_pylist()
+            ids = _encode_arrow(texts, keys.to_pylist(), voc, seed, slab)
+            same = pa.array([a == b for a, b in zip(_decode_arrow(ids, voc), texts)], pa.bool_())
+            yield pa.StructArray.from_arrays([ids, same], names=["piece_ids", "lossless"])
+
+    return both(text, key.cast("string"))
+
+
 def decoded(ids: Column, path: str | None = None) -> Column:
     model = _model(path)
     small_batches(SparkSession.active())
 
     @F.arrow_udf(T.StringType())
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        voc = _vocabulary(model, ALPHA).bytes_of
+        voc = _vocabulary(model, ALPHA)
         for lists in parts:
-            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
-            yield pa.array([decode_ids(flat[a:b].tolist(), voc) if ok else None for a, b, ok in zip(at, at[1:], lists.is_valid().to_pylist())], pa.string())
+            yield pa.array(_decode_arrow(lists, voc), pa.string())
 
     return decode(ids)
 
