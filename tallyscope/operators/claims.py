@@ -31,17 +31,18 @@ def resolve_lookups(lookups: DataFrame, results: DataFrame, id_cols: Sequence[st
     """True value of each lookup (…id_cols, frame, row_filter, column, agg), NULL when it does not resolve.
 
     `row_filter` is map<string, array<string>>: several values mean any of them.  No row, or several rows without
-    `agg`, leave a frame unresolved; without `frame` the first frame that resolves wins.
+    `agg`, leave a frame unresolved, and so does a NULL cell among the rows; without `frame` the first frame that
+    resolves wins.  A NULL dimension value or filter value matches nothing.
     """
     names = F.array_sort(F.map_keys("row_filter"))
     asked = lookups.withColumn("_names", names)
     shapes = asked.select("_names").distinct().agg(F.collect_set("_names")).scalar()
     keyed = (
         results.withColumn("_names", F.explode(shapes))
-        .filter(F.size(F.array_except("_names", F.map_keys("dims"))) == 0)
+        .filter(F.forall("_names", lambda n: F.try_element_at("dims", n).isNotNull()))
         .select("frame", "column", "value", _key(F.col("dims"), F.col("_names")).alias("_key"))
         .groupBy("frame", "column", "_key")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_sum"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.count("value").alias("_filled"), F.sum("value").alias("_sum"))
     )
     # A claim with value lists has one key per combination of listed values.
     combos = F.aggregate(
@@ -49,7 +50,7 @@ def resolve_lookups(lookups: DataFrame, results: DataFrame, id_cols: Sequence[st
         F.array(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
         lambda acc, n: F.flatten(F.transform(
             acc, lambda m: F.transform(
-                F.array_distinct(F.element_at(F.col("row_filter"), n)),
+                F.array_compact(F.array_distinct(F.element_at(F.col("row_filter"), n))),
                 lambda v: F.map_concat(m, F.map_from_arrays(F.array(n), F.array(v))),
             ))),
     )
@@ -58,9 +59,12 @@ def resolve_lookups(lookups: DataFrame, results: DataFrame, id_cols: Sequence[st
     claim_keys = claim_keys.select(*id_cols, "_want", "column", "agg",
                                    _key(F.col("_dims"), F.col("_names")).alias("_key"))
     met = claim_keys.join(keyed, ["column", "_key"]).filter(F.col("_want").isNull() | (F.col("_want") == F.col("frame")))
-    per_frame = met.groupBy(*id_cols, "frame", "agg").agg(F.sum("_n").alias("n"), F.sum("_sum").alias("s"))
+    per_frame = met.groupBy(*id_cols, "frame", "agg").agg(
+        F.sum("_n").alias("n"), F.sum("_filled").alias("filled"), F.sum("_sum").alias("s")
+    )
     value = (
-        F.when(F.col("n") == 1, F.col("s")).when(F.col("agg") == "sum", F.col("s"))
+        F.when(F.col("filled") < F.col("n"), None)
+        .when(F.col("n") == 1, F.col("s")).when(F.col("agg") == "sum", F.col("s"))
         .when(F.col("agg") == "mean", F.col("s") / F.col("n"))
     )
     order = F.array_position(F.array(*[F.lit(f) for f in FRAME_ORDER]), F.col("frame"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tallyscope.functions.calendar import week_of
 from tallyscope.functions.money import mean_money, ratio, sum_int, sum_money
 from tallyscope.functions.ranking import top_n
+from tallyscope.operators.lake import IDENTITY_COLUMNS
 from tallyscope.operators.privacy import K_FLOOR, k_floor, lake_groups
 
 
@@ -219,13 +220,14 @@ def top_movers(
     )
 
 
-def product_price_vs_peers(own: DataFrame, lake: DataFrame, n: int = 10, key: str = "product_name") -> DataFrame:
-    """The n products peers sell most, with own and peer mean price."""
-    peers = lake.filter(is_peer())
-    top = (
-        peers.groupBy(key).agg(F.sum("qty").alias("peer_qty"), mean_money("unit_price").alias("_peer"))
-        .orderBy(F.desc("peer_qty"), key).limit(n)
+def product_price_vs_peers(
+    own: DataFrame, lake: DataFrame, n: int = 10, key: str = "product_name", k: int = K_FLOOR
+) -> DataFrame:
+    """The n products (or groups) peers sell most, with own and peer mean price, of those with k peer lines."""
+    peers = lake.filter(is_peer()).groupBy(key).agg(
+        F.sum("qty").alias("peer_qty"), mean_money("unit_price").alias("_peer"), F.count(F.lit(1)).alias("_k")
     )
+    top = k_floor(peers, k, [F.desc("peer_qty"), F.col(key)], n)
     mine = own.groupBy(key).agg(mean_money("unit_price").alias("_own"), F.sum("qty").alias("own_qty"))
     a, b = F.round("_own", 2), F.round("_peer", 2)
     return top.join(mine, key, "left").select(
@@ -235,14 +237,23 @@ def product_price_vs_peers(own: DataFrame, lake: DataFrame, n: int = 10, key: st
 
 
 def price_by_peer_pivot(own: DataFrame, peers: DataFrame, labels: Sequence[str], n: int = 10,
-                        key: str = "product_name", label: str = "peer_id") -> DataFrame:
-    """Own mean price next to each labelled peer's, for the n products sold most by the peers together."""
-    top = peers.groupBy(key).agg(F.sum("qty").alias("peer_qty")).orderBy(F.desc("peer_qty"), key).limit(n)
-    wide = peers.join(top.select(key), key, "left_semi").groupBy(key).agg(
-        *[mean_money("unit_price", F.col(label) == x).alias(f"price_{x}") for x in labels]
+                        key: str = "product_name", label: str = "peer_label", k: int = K_FLOOR) -> DataFrame:
+    """Own mean price next to each anonymous peer's, for the n products (or groups) the peers together sell most.
+
+    A product under k peer lines is left out; the price of a peer under k lines of its own is NULL.
+    """
+    if label in IDENTITY_COLUMNS:
+        raise ViewerScopeError(f"{label} names the peers")
+
+    def price(x: str) -> Column:
+        its = F.col(label) == x
+        return F.when(F.count_if(its) >= k, mean_money("unit_price", its)).alias(f"price_{x}")
+
+    wide = peers.groupBy(key).agg(
+        F.sum("qty").alias("peer_qty"), F.count(F.lit(1)).alias("_k"), *[price(x) for x in labels]
     )
     mine = own.groupBy(key).agg(mean_money("unit_price").alias("own_price"))
-    out = top.join(wide, key).join(mine, key, "left")
+    out = k_floor(wide, k, [F.desc("peer_qty"), F.col(key)], n).join(mine, key, "left")
     return out.select(
         key, "own_price", *[f"price_{x}" for x in labels],
         *[(F.try_divide(F.col("own_price") - F.col(f"price_{x}"), F.col(f"price_{x}")) * 100).alias(f"pct_vs_{x}")
@@ -250,18 +261,22 @@ def price_by_peer_pivot(own: DataFrame, peers: DataFrame, labels: Sequence[str],
     )
 
 
-def line_share(lake: DataFrame, category: str) -> DataFrame:
-    """Lines of one category among all lines, own next to peers."""
+def line_share(lake: DataFrame, category: str, k: int = K_FLOOR) -> DataFrame:
+    """Lines of one category among all lines, own next to peers; the peers' row needs k lines of the category."""
     hit = F.count_if(F.col("category") == category)
-    return lake.filter(is_self() | is_peer()).groupBy(F.col("peer_relationship").alias("source")).agg(
+    shares = lake.filter(is_self() | is_peer()).groupBy(F.col("peer_relationship").alias("source")).agg(
         F.count(F.lit(1)).alias("total_lines"), hit.alias("category_lines"),
         (hit.cast("double") * 100 / F.count(F.lit(1))).alias("line_share_pct"),
     )
-
-
-def peer_basket_size(lake: DataFrame, by: str = "peer_segment", txn: str = "txn_id") -> DataFrame:
-    """Items per basket, then the mean over baskets of each group."""
-    per = lake.filter(is_peer()).groupBy(by, txn).agg(F.sum("qty").alias("units"))
-    return per.groupBy(by).agg(
-        F.count(F.lit(1)).alias("baskets"), (F.sum("units").cast("double") / F.count(F.lit(1))).alias("mean_units")
-    )
+    return shares.filter((F.col("source") == "self") | (F.col("category_lines") >= k))
+
+
+def peer_basket_size(lake: DataFrame, by: str = "peer_segment", txn: str = "txn_id", k: int = K_FLOOR) -> DataFrame:
+    """Items per basket, then the mean over baskets of each group with k peer lines."""
+    if by in IDENTITY_COLUMNS:
+        raise ViewerScopeError(f"{by} names the peers")
+    per = lake.filter(is_peer()).groupBy(by, txn).agg(F.sum("qty").alias("units"), F.count(F.lit(1)).alias("lines"))
+    return k_floor(per.groupBy(by).agg(
+        F.count(F.lit(1)).alias("baskets"), (F.sum("units").cast("double") / F.count(F.lit(1))).alias("mean_units"),
+        F.sum("lines").alias("_k"),
+    ), k)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import hour_bucket
@@ -122,6 +122,15 @@ def label_stores(stores: DataFrame, merchants: DataFrame, viewer: str) -> DataFr
     )
 
 
+def label_peers(labelled: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
+    """Labelled stores with `peer_label`: the viewer's peers numbered by their tokens, NULL for other stores."""
+    names = labelled.filter(F.col("peer_relationship") == "peer").select("banner_code").distinct()
+    # One row per merchant of one segment.
+    number = F.row_number().over(Window.orderBy(token(F.col("banner_code"), salt)))
+    numbered = names.select("banner_code", F.concat(F.lit("peer_"), number.cast("string")).alias("peer_label"))
+    return labelled.join(numbered, "banner_code", "left")
+
+
 def published_stores(labelled: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     """One row per store, without identity."""
     return labelled.select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.ranking import exact_quantiles
+from tallyscope.operators.lake import IDENTITY_COLUMNS
 
 K_FLOOR = 50
 Grouping = Literal["plain", "rollup", "cube"]
@@ -36,8 +37,8 @@ def lake_groups(
 ) -> DataFrame:
     """All groups with their metrics and the hidden peer-row count `_k`.
 
-    The relationships in scope must be named; "self" and "peer" are the own-versus-peer reading.  When the frame is
-    pre-aggregated, `rows` names its column of line counts.
+    The relationships in scope must be named; "self" and "peer" are the own-versus-peer reading.  Columns that
+    identify are no dimensions.  When the frame is pre-aggregated, `rows` names its column of line counts.
     """
     if not metrics:
         raise LakeContractError("a lake query must aggregate")
@@ -47,6 +48,8 @@ def lake_groups(
         raise LakeContractError("name the relationships in scope")
     if "_k" in metrics or "_k" in dims:
         raise LakeContractError("_k is reserved")
+    if named := sorted(IDENTITY_COLUMNS.intersection(dims)):
+        raise LakeContractError(f"{named} identify a merchant or a person")
     scoped = lake.filter(F.col("peer_relationship").isin(*relationships))
     peers = F.count_if(_is_peer()) if rows is None else F.coalesce(F.sum(F.when(_is_peer(), F.col(rows))), F.lit(0))
     aggs = [m.alias(n) for n, m in metrics.items()] + [peers.alias("_k")]

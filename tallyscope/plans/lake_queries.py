@@ -403,39 +403,54 @@ def _peer_reconciliation(spark, d):
     return lake.peer_reconciliation(census.items(spark, d), census.stores(spark, d, hint=False), census.merchants(spark, d))
 
 
-@query("product_price_vs_peers", f"""WITH {lake_sql()}, t AS (SELECT product_name, {total('qty')} AS peer_qty,
-  round({avg_money('unit_price')}, 2) AS p FROM lk WHERE {PEER} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
-o AS (SELECT product_name, round({avg_money('unit_price')}, 2) AS a FROM lk WHERE {SELF} GROUP BY 1)
-SELECT product_name, a AS own_price, p AS peer_avg_price, round(a - p, 2) AS gap_usd, round(100.0::DOUBLE * (a - p) / p, 1)
-  AS own_vs_peer_pct, peer_qty FROM t LEFT JOIN o USING (product_name)""")
+@query("product_price_vs_peers", f"""WITH {lake_sql()}, t AS (SELECT category, {total('qty')} AS peer_qty,
+  round({avg_money('unit_price')}, 2) AS p FROM lk WHERE {PEER} GROUP BY 1 HAVING count(*) >= 50 ORDER BY 2 DESC, 1 LIMIT 10),
+o AS (SELECT category, round({avg_money('unit_price')}, 2) AS a FROM lk WHERE {SELF} GROUP BY 1)
+SELECT category, a AS own_price, p AS peer_avg_price, round(a - p, 2) AS gap_usd, round(100.0::DOUBLE * (a - p) / p, 1)
+  AS own_vs_peer_pct, peer_qty FROM t LEFT JOIN o USING (category)""")
 def _product_price_vs_peers(spark, d):
-    return compare.product_price_vs_peers(own_lines(spark, d), peer_lake(spark, d))
+    """By category: single products stay under the floor at small sizes."""
+    return compare.product_price_vs_peers(own_lines(spark, d), peer_lake(spark, d), key="category")
 
 
-@query("price_by_peer_pivot", f"""WITH {lake_sql()}, t AS (SELECT product_name, {total('qty')} AS peer_qty, {avg_money('unit_price', "banner_code = 'NATION_8'")}
-  AS price_NATION_8, {avg_money('unit_price', "banner_code = 'NATION_13'")} AS price_NATION_13 FROM lk WHERE {PEER} GROUP BY 1
-  ORDER BY 2 DESC, 1 LIMIT 10), o AS (SELECT product_name, {avg_money('unit_price')} AS own_price FROM lk WHERE {SELF} GROUP BY 1)
-SELECT product_name, own_price, price_NATION_8, price_NATION_13, (own_price - price_NATION_8) / price_NATION_8 * 100 AS pct_vs_NATION_8,
-  (own_price - price_NATION_13) / price_NATION_13 * 100 AS pct_vs_NATION_13, peer_qty FROM t LEFT JOIN o USING (product_name)""")
-def _price_by_peer_pivot(spark, d):
-    peers = peer_lake(spark, d).filter(compare.is_peer())
-    return compare.price_by_peer_pivot(
-        own_lines(spark, d), peers, ["NATION_8", "NATION_13"], label="banner_code"
+# The segment of the viewer has four other merchants.
+PEER_LABELS = ["peer_1", "peer_2", "peer_3", "peer_4"]
+
+
+def _peer_prices() -> str:
+    return ", ".join(
+        f"CASE WHEN count(*) FILTER (WHERE peer_label = '{x}') >= 50 THEN " + avg_money("unit_price", f"peer_label = '{x}'") + f" END AS price_{x}"
+        for x in PEER_LABELS
     )
 
 
+@query("price_by_peer_pivot", f"""WITH {lake_sql()}, b AS (SELECT banner_code,
+    'peer_' || CAST(row_number() OVER (ORDER BY {TOKEN.format('banner_code')}) AS VARCHAR) AS peer_label
+  FROM (SELECT DISTINCT banner_code FROM (SELECT banner_code, {rel()} FROM st) WHERE {PEER})),
+t AS (SELECT category, {total('qty')} AS peer_qty, {_peer_prices()} FROM lk JOIN b USING (banner_code) WHERE {PEER} GROUP BY 1
+  HAVING count(*) >= 50 ORDER BY 2 DESC, 1 LIMIT 10), o AS (SELECT category, {avg_money('unit_price')} AS own_price FROM lk WHERE {SELF} GROUP BY 1)
+SELECT category, own_price, {', '.join(f'price_{x}, (own_price - price_{x}) / price_{x} * 100 AS pct_vs_{x}' for x in PEER_LABELS)}, peer_qty
+FROM t LEFT JOIN o USING (category)""")
+def _price_by_peer_pivot(spark, d):
+    labelled = lake.label_stores(census.stores(spark, d), census.merchants(spark, d), VIEWER)
+    peers = lake.label_peers(labelled).filter(compare.is_peer())
+    lines = lake.enriched_lines(census.items(spark, d), census.products(spark, d), peers)
+    return compare.price_by_peer_pivot(own_lines(spark, d), lines, PEER_LABELS, key="category")
+
+
 @query("line_share", f"""WITH {lake_sql()} SELECT peer_relationship AS source, count(*) AS total_lines,
   count(*) FILTER (WHERE category = 'Brand#7') AS category_lines,
   CAST(count(*) FILTER (WHERE category = 'Brand#7') AS DOUBLE) * 100 / count(*) AS line_share_pct FROM lk
-  WHERE peer_relationship <> 'merchant' GROUP BY 1""")
+  WHERE peer_relationship <> 'merchant' GROUP BY 1
+  HAVING peer_relationship = 'self' OR count(*) FILTER (WHERE category = 'Brand#7') >= 50""")
 def _line_share(spark, d):
     return compare.line_share(peer_lake(spark, d), "Brand#7")
 
 
-@query("peer_basket_size", f"""WITH {lake_sql()} SELECT banner_code, count(*) AS baskets, CAST(sum(u) AS DOUBLE) / count(*) AS mean_units FROM
-  (SELECT banner_code, txn_id, sum(qty) AS u FROM lk WHERE {PEER} GROUP BY 1, 2) GROUP BY 1""")
+@query("peer_basket_size", f"""WITH {lake_sql()} SELECT neighborhood, count(*) AS baskets, CAST(sum(u) AS DOUBLE) / count(*) AS mean_units FROM
+  (SELECT neighborhood, txn_id, sum(qty) AS u, count(*) AS n FROM lk WHERE {PEER} GROUP BY 1, 2) GROUP BY 1 HAVING sum(n) >= 50""")
 def _peer_basket_size(spark, d):
-    return compare.peer_basket_size(peer_lake(spark, d), by="banner_code")
+    return compare.peer_basket_size(peer_lake(spark, d), by="neighborhood")
 
 
 @query("hash_sample", """SELECT o_orderkey, o_totalprice FROM orders

@@ -174,12 +174,32 @@ def test_limit_applies_after_the_floor(spark):
 def test_lake_contract(spark):
     df = k_frame(spark)
     for bad in (lambda: privacy.lake_groups(df, ["g"], {}), lambda: privacy.lake_groups(df.drop("peer_relationship"), [], {"n": F.count(F.lit(1))}),
-                lambda: privacy.lake_groups(df, ["g"], {"n": F.count(F.lit(1))}, []), lambda: privacy.lake_groups(df, ["g"], {"_k": F.count(F.lit(1))})):
+                lambda: privacy.lake_groups(df, ["g"], {"n": F.count(F.lit(1))}, []), lambda: privacy.lake_groups(df, ["g"], {"_k": F.count(F.lit(1))}),
+                lambda: privacy.lake_groups(df.withColumn("banner_code", F.lit("x")), ["g", "banner_code"], {"n": F.count(F.lit(1))})):
         with pytest.raises(privacy.LakeContractError):
             bad()
     assert rows(compare.peer_aggregate(df, [], {"n": F.count(F.lit(1))})) == [(99,)]
 
 
+def test_peer_figures_carry_no_name_and_keep_the_floor(spark):
+    data = [("B1", "peer", "big", 1.0, i) for i in range(60)] + [("B2", "peer", "big", 2.0, i) for i in range(49)] + [("B2", "peer", "rare", 9.0, 1)] * 49
+    data += [("ME", "self", "big", 3.0, 1), ("ME", "self", "rare", 4.0, 1)]
+    lines = spark.createDataFrame(data, "banner_code string, peer_relationship string, category string, unit_price double, txn_id int").withColumn("qty", F.lit(1))
+    own, peers = lines.filter("peer_relationship = 'self'"), lines.filter("peer_relationship = 'peer'")
+    labels = lake.label_peers(lines.select("banner_code", "peer_relationship").distinct())
+    by_name = {r["banner_code"]: r["peer_label"] for r in labels.collect()}
+    assert by_name["ME"] is None and {by_name["B1"], by_name["B2"]} == {"peer_1", "peer_2"}
+    named = peers.join(labels.select("banner_code", "peer_label"), "banner_code")
+    got = [r.asDict() for r in compare.price_by_peer_pivot(own, named, ["peer_1", "peer_2"], key="category").collect()]
+    assert [(r["category"], r[f"price_{by_name['B1']}"], r[f"price_{by_name['B2']}"]) for r in got] == [("big", 1.0, None)]
+    assert [r["category"] for r in compare.product_price_vs_peers(own, lines, key="category").collect()] == ["big"]
+    assert {r["source"] for r in compare.line_share(lines, "rare").collect()} == {"self"}
+    assert rows(compare.peer_basket_size(lines, by="category")) == [("big", 60, 109 / 60)]
+    for bad in (lambda: compare.peer_basket_size(lines, by="banner_code"), lambda: compare.price_by_peer_pivot(own, peers, ["B1"], label="banner_code")):
+        with pytest.raises(compare.ViewerScopeError):
+            bad()
+
+
 def test_tenant_scope_follows_transactions(spark):
     merchants, stores, items, txns, products = panel(spark)
     txns = txns.join(stores.select("store_id", "banner_code"), "store_id")
@@ -543,6 +563,16 @@ def test_cell_lookup_rules(spark):
     assert {r["claim_id"]: r["true_value"] for r in out.collect()} == {1: 4.0, 2: None, 3: 5.0, 4: 10.0, 5: None, 6: 9.0, 7: None, 8: 4.0}
 
 
+def test_cells_and_dimensions_without_a_value(spark):
+    cells = spark.createDataFrame(
+        [("lake", "a", {"category": "X"}, "price", None), ("lake", "b", {"category": "X"}, "price", 4.0), ("tenant", "c", {"category": None}, "price", 7.0), ("lake", "d", {"category": "Y"}, "price", None)],
+        "frame string, row_id string, dims map<string,string>, column string, value double",
+    )
+    asked = [(1, None, {"category": ["X"]}, "price", "mean"), (2, None, {"category": ["X"]}, "price", "sum"), (3, None, {"category": [None]}, "price", None), (4, None, {"category": ["Y"]}, "price", None)]
+    out = claims.claim_cell_lookup(spark.createDataFrame(asked, LOOKUP), cells)
+    assert {r["claim_id"]: r["true_value"] for r in out.collect()} == {1: None, 2: None, 3: None, 4: None}
+
+
 def test_derivations_and_references(spark):
     def op(cat, frame, column="price", agg="sum"):
         return (frame, {"category": [cat]}, column, agg)
