@@ -1,7 +1,7 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad text.
 
 Fitting reads a bounded, documented sample of the labelled training rows: per class the DICT_ROWS rows of lowest hash
-train a dictionary (from the first PIECE characters of each), CALIBRATION_ROWS other rows calibrate.  A text is
+train a dictionary (from PIECE characters of each, at a hashed place), CALIBRATION_ROWS other rows calibrate.  A text is
 compressed whole with both dictionaries; the difference of the two sizes, normalised by the length and by the larger
 size, with the compression ratio and the length that it depends on, goes into a logistic fit.  Rows are weighted so that
 the classes count as often as among all training labels.
@@ -111,7 +111,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
             picked = part if picked is None else picked.unionByName(part)
     # At most 2 * (DICT_ROWS + CALIBRATION_ROWS) rows: small enough to send to every task whatever the corpus.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    pieces = rows.filter("role = 'dict'").groupBy("doc_id", "quality").agg(F.min(F.substring("text", 1, PIECE)).alias("piece"))
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1)
+    pieces = rows.filter("role = 'dict'").select("doc_id", "quality", F.substring("text", start.cast("int"), F.lit(PIECE)).alias("piece"))
+    pieces = pieces.groupBy("doc_id", "quality").agg(F.min("piece").alias("piece"))
     pieces = [(r["quality"], r["piece"].encode("utf-8", "surrogatepass")) for r in pieces.orderBy("doc_id").collect()]
     pair = tuple(dictionary([p for k, p in pieces if k == q]) if any(k == q for k, _ in pieces) else b"" for q in (0, 1))
 
