@@ -155,6 +155,19 @@ def _identity_leak_check(spark, d):
     return lake.identity_leak_check(lake.publish(lines))
 
 
+@query("identity_leak_found", f"""WITH {lake_sql(timed=True)} SELECT 'identity_columns' AS rule, CAST(1 AS BIGINT) AS violations
+UNION ALL SELECT 'merchant_labels', 1
+UNION ALL SELECT 'relationship_vocabulary', count(*) FILTER (WHERE peer_relationship = 'merchant') FROM lk
+UNION ALL SELECT 'hour_bucket_range', count(*) FILTER (WHERE extract(month FROM txn_ts) > 10) FROM lk""")
+def _identity_leak_found(spark, d):
+    """A frame that breaks every rule: a banner, a merchant's own label, missing relationships, months as hour buckets."""
+    lines = lake.tokenize_ids(lake.lake_projection(peer_lake(spark, d, timed=True, wide=True))).withColumns({
+        "peer_relationship": F.nullif("peer_relationship", F.lit("merchant")), "hour_bucket": F.month("txn_ts") - 1,
+    })
+    kept = [c for c in lake.LAKE_COLUMNS if c in lines.columns]
+    return lake.identity_leak_check(lines.select(*kept, "banner_code", "merchant_department"))
+
+
 @query("unknown_viewer_check", f"""WITH {MR} SELECT c_name, 'NATION_' || CAST(c_custkey % 30 AS VARCHAR) AS viewer,
   'NATION_' || CAST(c_custkey % 30 AS VARCHAR) IN (SELECT merchant_id FROM mr) AS known FROM customer""")
 def _unknown_viewer_check(spark, d):
