@@ -13,6 +13,7 @@ from tallyscope.functions.money import pct_change, ratio, sum_money
 from tallyscope.functions.ranking import top_n
 from tallyscope.operators.scope import MIN_COMPARISON_DAYS
 from tallyscope.operators.privacy import K_FLOOR
+from tallyscope.operators.weeks import complete
 
 FLAG_POINTS = 15.0
 PRIOR_WEEKS = 4
@@ -32,17 +33,22 @@ def stores_summary(stores: DataFrame, txns: DataFrame, amount: str = "subtotal")
 
 
 def kpi_strip(
-    txns: DataFrame, weeks: DataFrame, start: dt.date, end: dt.date, txn: str = "txn_id", amount: str = "subtotal"
+    txns: DataFrame, start: dt.date, end: dt.date, weeks: DataFrame | None = None, amount: str = "subtotal"
 ) -> DataFrame:
     """Weekly sales, transactions and average basket, with the last week against the mean of up to four prior.
 
-    One row per metric and week.  Weeks without data count 0; a window under 14 days has no delta; a prior mean
-    that is not positive gives 0.  The weekly table is calendar-sized and is folded into one array per metric.
+    One row of `txns` is one transaction.  One row per metric and week comes out: of the complete weeks with data, taken
+    from the weekly sums themselves, or of `weeks`, where those without data count 0.  A window under 14 days has no
+    delta; a prior mean that is not positive gives 0.  The weekly table is calendar-sized and is folded into one array
+    per metric.
     """
     weekly = txns.groupBy(week_of(F.col("txn_ts")).alias("week")).agg(
-        sum_money(amount).alias("_r"), F.count_distinct(txn).alias("_n")
+        sum_money(amount).alias("_r"), F.count(F.lit(1)).alias("_n")
     )
-    filled = weeks.join(weekly, "week", "left").na.fill(0, ["_r", "_n"])
+    if weeks is None:
+        filled = weekly.filter(complete(F.col("week"), start, end)).na.fill(0, ["_r"])
+    else:
+        filled = weeks.join(weekly, "week", "left").na.fill(0, ["_r", "_n"])
     basket = F.when(F.col("_n") > 0, F.col("_r") / F.col("_n")).otherwise(0.0)
     long = filled.select("week", F.inline(F.array(
         F.struct(F.lit("sales").alias("metric"), F.col("_r").alias("week_value")),
@@ -109,12 +115,12 @@ def sku_performance(lines: DataFrame, roles: DataFrame, by: Sequence[str] = ("sk
     )
 
 
-def promotion_candidates(sku_rows: DataFrame, n: int = 15) -> DataFrame:
+def promotion_candidates(sku_rows: DataFrame, n: int) -> DataFrame:
     """Products losing share against the house trend, worst first."""
     return sku_rows.filter(F.col("trend_dev_pct") < 0).orderBy("trend_dev_pct", "sku").limit(n)
 
 
-def top_performers(sku_rows: DataFrame, n: int = 20) -> DataFrame:
+def top_performers(sku_rows: DataFrame, n: int) -> DataFrame:
     """Products holding or gaining share (or new), by recent revenue, with the share of the ten largest."""
     keep = sku_rows.filter(F.col("trend_dev_pct").isNull() | (F.col("trend_dev_pct") >= 0))
     order = [F.desc("recent_revenue"), F.col("sku")]

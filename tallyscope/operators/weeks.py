@@ -12,21 +12,22 @@ from tallyscope.functions.calendar import week_of
 BASELINE_WEEKS = 4
 
 
-def _inside(week: Column, start: dt.date, end: dt.date) -> Column:
+def complete(week: Column, start: dt.date, end: dt.date) -> Column:
+    """Does the week that starts on this Monday lie wholly in `[start, end]`?"""
     return (week >= F.lit(start)) & (F.date_add(week, 6) <= F.lit(end))
 
 
 def complete_weeks(txns: DataFrame, start: dt.date, end: dt.date, ts: str = "txn_ts") -> DataFrame:
     """Mondays of the weeks with data that lie wholly in `[start, end]`."""
     near = txns.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end + dt.timedelta(days=1))))
-    return near.select(week_of(F.col(ts)).alias("week")).distinct().filter(_inside(F.col("week"), start, end))
+    return near.select(week_of(F.col(ts)).alias("week")).distinct().filter(complete(F.col("week"), start, end))
 
 
 def week_spine(spark, start: dt.date, end: dt.date) -> DataFrame:
     """All complete weeks of the calendar in `[start, end]`, with or without data."""
     monday = start + dt.timedelta(days=-start.weekday() % 7)
     days = F.explode(F.sequence(F.lit(monday), F.lit(max(end, monday)), F.expr("interval 7 days")))
-    return spark.range(1).select(days.alias("week")).filter(_inside(F.col("week"), start, end))
+    return spark.range(1).select(days.alias("week")).filter(complete(F.col("week"), start, end))
 
 
 def recent_baseline_weeks(weeks: DataFrame, n_baseline: int = BASELINE_WEEKS) -> DataFrame:

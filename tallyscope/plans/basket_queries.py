@@ -113,10 +113,10 @@ def _basket_pattern_match(spark, d):
 
 
 def card_visits(spark, d):
-    """(customer, store's merchant) per order and store: lines and orders meet without the totals roll-up."""
+    """(customer, store's merchant) per order and store: lines meet their order, and are then told apart within its partition."""
     dims = census.stores(spark, d).select("store_id", "banner_code", "segment")
-    seen = census.items(spark, d).select("txn_id", "store_id").distinct()
-    return seen.join(dims, "store_id").join(census.orders(spark, d), "txn_id")
+    seen = census.items(spark, d).select("txn_id", "store_id").join(census.orders(spark, d), "txn_id").distinct()
+    return seen.join(dims, "store_id")
 
 
 CV = f"{VI}, {CU}"

@@ -25,13 +25,17 @@ def own_visits(spark, d):
     return census.visits(spark, d, VIEWER)
 
 
+def own_stores(spark, d):
+    return census.stores(spark, d).filter(F.col("banner_code") == VIEWER)
+
+
 def own_visits_in_window(spark, d):
     return scope.filtered_txns(own_visits(spark, d), FILTERS)
 
 
 def own_weeks(spark, d):
     """The week list needs dates only: semi join of orders with the viewer's lines, no roll-up."""
-    mine = census.stores(spark, d).filter(F.col("banner_code") == VIEWER).select("store_id")
+    mine = own_stores(spark, d).select("store_id")
     own = census.items(spark, d).join(mine, "store_id", "left_semi").select("txn_id")
     txns = scope.filtered_txns(census.orders(spark, d), FILTERS).join(own, "txn_id", "left_semi")
     return weeks.complete_weeks(txns, START, END)
@@ -101,11 +105,10 @@ def _recent_baseline_weeks(spark, d):
 
 
 @query("stores_summary", f"""WITH {VI} SELECT st.store_id, st.neighborhood, st.latitude, st.longitude, st.segment AS metro_region,
-  count(visit_id) AS n_txns, coalesce({money('subtotal')}, 0) AS revenue FROM st LEFT JOIN
-  (SELECT * FROM vi WHERE txn_ts >= DATE '2000-01-03' AND txn_ts < DATE '2000-01-10') vi USING (store_id) GROUP BY ALL""")
+  count(visit_id) AS n_txns, coalesce({money('subtotal')}, 0) AS revenue FROM st LEFT JOIN vi USING (store_id)
+  WHERE st.banner_code = '{VIEWER}' GROUP BY ALL""")
 def _stores_summary(spark, d):
-    first_week = scope.filtered_txns(census.visits(spark, d), scope.Filters(START, START + dt.timedelta(days=6)))
-    return cards.stores_summary(census.stores(spark, d), first_week)
+    return cards.stores_summary(own_stores(spark, d), own_visits(spark, d))
 
 
 @query("basket_rollup", f"""WITH {VI} SELECT txn_id, store_id, subtotal, discount_total, n_lines FROM vr""")
@@ -134,8 +137,7 @@ p AS (SELECT metric, avg(week_value) AS m FROM l WHERE week IN (SELECT week FROM
 SELECT metric, value, CASE WHEN m > 0 THEN round((value / m - 1) * 100, 1) ELSE 0 END AS delta_pct, week, week_value
 FROM l JOIN v USING (metric) LEFT JOIN p USING (metric)""")
 def _kpi_strip(spark, d):
-    visits = own_visits_in_window(spark, d)
-    return cards.kpi_strip(visits, weeks.complete_weeks(visits, START, END), START, END, txn="visit_id")
+    return cards.kpi_strip(own_visits_in_window(spark, d), START, END)
 
 
 @query("trailing_mean", f"""WITH {VI}, g AS (SELECT {WEEK} AS week, CAST(sum(n_units) AS DOUBLE) AS value FROM vi WHERE {OWN} AND {IN_WINDOW} GROUP BY 1)
@@ -147,21 +149,14 @@ def _trailing_mean(spark, d):
     return cards.trailing_mean(weekly, "units")
 
 
-def _all_lines(spark, d):
-    """All merchants' lines of the window with product facts: enough lines per week for product-level cards."""
-    items = census.items(spark, d).join(census.products(spark, d), "sku")
-    return items.join(scope.filtered_txns(census.orders(spark, d), FILTERS), "txn_id")
-
-
-def _all_weeks(spark, d):
-    return weeks.complete_weeks(census.orders(spark, d), START, END)
+def _own_lines_in_window(spark, d):
+    return scope.filtered_txns(own_lines(spark, d, timed=True), FILTERS)
 
 
-ALL_WEEKS = WEEKS_CTE.replace(f"FROM vi WHERE {OWN} AND", "FROM tx WHERE")
-SKU_CTE = f"""{PR}, {IT}, {TX}, {ALL_WEEKS}, nb AS (SELECT CAST(count(*) AS DOUBLE) AS nb FROM roles WHERE role = 'baseline'),
+SKU_CTE = f"""{LNT}, {WEEKS_CTE.replace('FROM vi', 'FROM lnt')}, nb AS (SELECT CAST(count(*) AS DOUBLE) AS nb FROM roles WHERE role = 'baseline'),
 s AS (SELECT sku, product_name, category, count(*) FILTER (WHERE role = 'recent') AS recent_lines,
   coalesce({money('line_total', "role = 'recent'")}, 0) AS recent_revenue, count(*) FILTER (WHERE role = 'baseline') AS b
-  FROM it JOIN pr USING (sku) JOIN tx USING (txn_id) JOIN roles ON week = {WEEK} WHERE {IN_WINDOW} GROUP BY 1, 2, 3),
+  FROM lnt JOIN roles ON week = {WEEK} WHERE {OWN} AND {IN_WINDOW} GROUP BY 1, 2, 3),
 h AS (SELECT coalesce(sum(recent_lines) FILTER (WHERE b > 0) / (sum(b) / any_value(nb)), 1) AS house FROM s, nb),
 sp AS (SELECT sku, product_name, category, round(b / nb, 1) AS baseline_lines, recent_lines, recent_revenue,
   CASE WHEN b > 0 THEN round((recent_lines / (b / nb) - 1) * 100, 1) END AS deviation_pct,
@@ -170,7 +165,7 @@ sp AS (SELECT sku, product_name, category, round(b / nb, 1) AS baseline_lines, r
 
 
 def _sku_rows(spark, d):
-    return cards.sku_performance(_all_lines(spark, d), weeks.recent_baseline_weeks(_all_weeks(spark, d)))
+    return cards.sku_performance(_own_lines_in_window(spark, d), weeks.recent_baseline_weeks(own_weeks(spark, d)))
 
 
 @query("sku_performance", f"WITH {SKU_CTE} SELECT * FROM sp")
@@ -180,7 +175,7 @@ def _sku_performance(spark, d):
 
 @query("promotion_candidates", f"""WITH {SKU_CTE} SELECT * FROM sp WHERE trend_dev_pct < 0 ORDER BY trend_dev_pct, sku LIMIT 15""")
 def _promotion_candidates(spark, d):
-    return cards.promotion_candidates(_sku_rows(spark, d))
+    return cards.promotion_candidates(_sku_rows(spark, d), 15)
 
 
 @query("top_performers", f"""WITH {SKU_CTE}, k AS (SELECT * FROM sp WHERE trend_dev_pct IS NULL OR trend_dev_pct >= 0
@@ -188,21 +183,20 @@ def _promotion_candidates(spark, d):
 a AS (SELECT {money('recent_revenue')} AS whole FROM sp)
 SELECT k.*, ten / whole * 100 AS top10_share_pct FROM k, t, a ORDER BY recent_revenue DESC, sku LIMIT 20""")
 def _top_performers(spark, d):
-    return cards.top_performers(_sku_rows(spark, d))
+    return cards.top_performers(_sku_rows(spark, d), 20)
 
 
-DEV_CTE = f"""{VI}, {ALL_WEEKS}, nb AS (SELECT CAST(count(*) AS DOUBLE) AS nb FROM roles WHERE role = 'baseline'),
+DEV_CTE = f"""{VI}, {WEEKS_CTE}, nb AS (SELECT CAST(count(*) AS DOUBLE) AS nb FROM roles WHERE role = 'baseline'),
 g AS (SELECT store_id, coalesce({money('subtotal', "role = 'recent'")}, 0) AS r, {money('subtotal', "role = 'baseline'")} AS b
-  FROM vi JOIN roles ON week = {WEEK} WHERE {IN_WINDOW} GROUP BY 1),
+  FROM vi JOIN roles ON week = {WEEK} WHERE {OWN} AND {IN_WINDOW} GROUP BY 1),
 sd AS (SELECT store_id, neighborhood, round(b / nb, 1) AS baseline, CAST(trunc(r) AS BIGINT) AS recent,
   round((r / (b / nb) - 1) * 100, 1) AS deviation_pct FROM st JOIN g USING (store_id), nb WHERE b / nb > 0),
 sf AS (SELECT *, abs(deviation_pct) >= 15 AS flag FROM sd)"""
 
 
 def _deviation(spark, d):
-    visits = scope.filtered_txns(census.visits(spark, d), FILTERS)
-    roles = weeks.recent_baseline_weeks(_all_weeks(spark, d))
-    return cards.store_deviation(census.stores(spark, d), visits, roles)
+    roles = weeks.recent_baseline_weeks(own_weeks(spark, d))
+    return cards.store_deviation(own_stores(spark, d), own_visits_in_window(spark, d), roles)
 
 
 @query("store_deviation", f"WITH {DEV_CTE} SELECT * FROM sf")

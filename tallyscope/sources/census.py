@@ -148,7 +148,9 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 def visits(spark: SparkSession, d: str, banner: str | None = None) -> DataFrame:
     """Store-level transactions: one row per order and store, totals rolled up from the lines.
 
-    A banner narrows the stores first, so only that banner's lines are shuffled.
+    A banner narrows the stores first, so only that banner's lines are shuffled.  Lines meet their order before the
+    roll-up: the join partitions them by order, which already fits the grouping, and a filter on the order's columns
+    reaches the order scan, because they are grouping keys.
     """
     st = stores(spark, d)
     lines = items(spark, d)
@@ -156,19 +158,20 @@ def visits(spark: SparkSession, d: str, banner: str | None = None) -> DataFrame:
         st = st.filter(F.col("banner_code") == banner)
         lines = lines.join(st.select("store_id"), "store_id", "left_semi")
     dims = st.select("store_id", "banner_code", "segment", "neighborhood")
-    return visit_rollup(lines).join(dims, "store_id").join(orders(spark, d), "txn_id").withColumn(
+    placed = lines.join(orders(spark, d), "txn_id")
+    return visit_rollup(placed, ("customer_token", "txn_ts", "tender")).join(dims, "store_id").withColumn(
         "visit_id", F.concat_ws("-", "txn_id", "store_id")
     )
 
 
-def visit_rollup(lines: DataFrame) -> DataFrame:
+def visit_rollup(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Lines -> one row per order and store.
 
-    The keys are two numbers and all buffers are fixed-width (one-letter flags travel as codes), which keeps this,
-    the widest aggregation of the panel, a hash aggregation; store facts join afterwards.
+    All buffers are fixed-width (one-letter flags travel as codes), which keeps this, the widest aggregation of the
+    panel, a hash aggregation; store facts join afterwards.  `carry` names columns of the order, further keys.
     """
     mode, network = F.char(F.max(F.ascii("entry_mode"))), F.char(F.max(F.ascii("network")))
-    per = lines.groupBy("txn_id", "store_id").agg(
+    per = lines.groupBy("txn_id", "store_id", *carry).agg(
         sum_money("line_total").alias("subtotal"),
         sum_money("discount").alias("discount_total"),
         F.count(F.lit(1)).alias("n_lines"),

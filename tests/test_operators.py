@@ -305,17 +305,17 @@ def weekly_txns(spark, per_week):
 def test_kpi_last_week_against_four_before(spark):
     txns = weekly_txns(spark, [[900], [100], [100], [100], [100], [75, 75]])
     a, z = D(2026, 3, 2), D(2026, 4, 12)
-    out = cards.kpi_strip(txns, weeks.complete_weeks(txns, a, z), a, z)
+    out = cards.kpi_strip(txns, a, z)
     got = {r["metric"]: (r["value"], r["delta_pct"]) for r in out.collect()}
     assert got == {"sales": (150.0, 50.0), "transactions": (2.0, 100.0), "avg_basket": (75.0, -25.0)}
-    narrow = cards.kpi_strip(txns, weeks.complete_weeks(txns, a, D(2026, 3, 8)), a, D(2026, 3, 8))
+    narrow = cards.kpi_strip(txns, a, D(2026, 3, 8))
     assert {r["delta_pct"] for r in narrow.collect()} == {None}
 
 
 def test_kpi_spine_counts_missing_weeks_as_zero(spark):
     txns = weekly_txns(spark, [[100], [], [50]])
     a, z = D(2026, 3, 1), D(2026, 3, 25)
-    out = cards.kpi_strip(txns, weeks.week_spine(spark, a, z), a, z).filter("metric = 'sales'")
+    out = cards.kpi_strip(txns, a, z, weeks.week_spine(spark, a, z)).filter("metric = 'sales'")
     assert [r["week_value"] for r in out.orderBy("week").collect()] == [100.0, 0.0, 50.0]
 
 
