@@ -160,11 +160,12 @@ def neighborhood_peer_units(lake_lines: DataFrame, lake_stores: DataFrame, k: in
     return k_floor(lake_groups(joined, ["neighborhood"], {"peer_units": F.sum("qty")}, ["peer"]), k)
 
 
-def weekly_own_vs_peer(lake: DataFrame, date_col: str = "txn_ts", k: int = K_FLOOR) -> DataFrame:
-    weekly = lake.withColumn("week", week_of(F.col(date_col)))
-    return k_floor(lake_groups(weekly, ["week"], {
+def weekly_own_vs_peer(lake: DataFrame, date_col: str = "txn_ts", k: int = K_FLOOR, grain: str = "week") -> DataFrame:
+    """Own and peer units per period, in its order; `grain` is `day`, `week` (its Monday) or `month` (its first day)."""
+    start = {"week": week_of(F.col(date_col)), "day": F.col(date_col).cast("date"), "month": F.trunc(date_col, "month")}[grain]
+    return k_floor(lake_groups(lake.withColumn(grain, start), [grain], {
         "own_units": sum_int("qty", is_self()), "peer_units": sum_int("qty", is_peer())
-    }), k, [F.col("week")])
+    }), k, [F.col(grain)])
 
 
 def peer_aggregate(

@@ -1,9 +1,9 @@
 """The peer lake: enriched, tokenised lines labelled relative to a viewer.
 
-Lines are tokenised once.  What differs between viewers is only the label of a store, kept in a map with one row
-per viewer and store; a viewer's lake is the lines joined with that viewer's part of the map.  Catalyst pushes
-viewer and relationship filters into the map, so only wanted stores' lines survive the join, before any shuffle
-whenever the map fits the broadcast threshold.
+Lines are tokenised and written once.  What differs between viewers is only the label of a store, which follows from the
+viewer's own merchant token and segment: a viewer's lake is the lines joined with the store table under its labels.
+Relationship filters reach the store table, so only wanted stores' lines survive the join, before any shuffle whenever
+the stores fit the broadcast limit.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import hour_bucket
 from tallyscope.functions.hashing import token
-from tallyscope.functions.joins import BROADCAST_LIMIT, bounded, source_bytes
-from tallyscope.functions.money import sum_money
-from tallyscope.sources.sinks import write_partitioned
+from tallyscope.functions.joins import bounded
+from tallyscope.functions.money import to_cents
+from tallyscope.sources.sinks import write_layout
 
 DEFAULT_SALT = "panel"
 RELATIONSHIPS = ("self", "peer", "merchant")
-PANEL_VIEWERS = 64  # viewers a broadcast map is sized for
 
 # Columns of the published pair, and identity columns that must never appear in it.
 LAKE_COLUMNS = [
@@ -86,28 +85,6 @@ def tokenize_ids(lines: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     }).withColumn("lake_line_id", F.concat_ws("-", "lake_txn_id", F.col("line_id").cast("string")))
 
 
-def viewer_map(stores: DataFrame, viewers: DataFrame, salt: str = DEFAULT_SALT, panel: int = PANEL_VIEWERS) -> DataFrame:
-    """One row per viewer and store of the panel: the store's relationship to the viewer.
-
-    `viewers` is (viewer, viewer_segment).  The product of viewers and stores is the result itself; it is formed
-    by exploding the list of viewers next to each store, and both lists are dimension-sized.  The map is broadcast
-    if `panel` copies of the store table stay within the broadcast limit; pass stores without a hint of their own.
-    """
-    listed = viewers.agg(F.sort_array(F.collect_list(F.struct("viewer", "viewer_segment")))).scalar()
-    label = (
-        F.when(F.col("banner_code") == F.col("viewer"), "self")
-        .when(F.col("segment") == F.col("viewer_segment"), "peer")
-        .otherwise("merchant")
-    )
-    per_viewer = stores.withColumn("_v", F.explode(listed)).select("*", "_v.viewer", "_v.viewer_segment")
-    out = per_viewer.select(
-        "viewer", "store_id", token(F.col("store_id"), salt).alias("lake_store_id"),
-        label.alias("peer_relationship"), F.col("segment").alias("peer_segment"), "neighborhood",
-    )
-    small = source_bytes(stores) * panel <= BROADCAST_LIMIT
-    return F.broadcast(out) if small else out
-
-
 def panel_viewers(merchants: DataFrame) -> DataFrame:
     return merchants.select(F.col("merchant_id").alias("viewer"), F.col("segment").alias("viewer_segment"))
 
@@ -148,40 +125,80 @@ def publish(lines: DataFrame) -> DataFrame:
 
 def build_lake(
     root: str, items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame,
-    merchants: DataFrame, salt: str = DEFAULT_SALT, files_per_viewer: int = 64, viewers: Sequence[str] = (),
+    merchants: DataFrame, salt: str = DEFAULT_SALT,
 ) -> DataFrame:
-    """Write every viewer's lake (or those of `viewers`) under `root`: one job each for lines, stores and metadata.
+    """Write the lake of all viewers under `root`: lines, stores, viewers and routing metadata.
 
-    Lines are enriched and tokenised once and then meet the viewer map by store.  Tokens have no meaningful order,
-    so each viewer's lines go to `files_per_viewer` sorted files by hash.  The metadata is counted from the written
-    lake, so it describes what was published and costs no second run of the joins.
+    Lines are enriched, tokenised and written once, whatever the number of viewers.  A viewer's labels come from the
+    store table when the lake is read: `stores` holds each store's merchant token and segment, `viewers` those of each
+    viewer.  Lines are rebalanced by month, so that AQE sizes the files by bytes and splits a large month, and are sorted
+    by date inside a file; each directory is one month.
     """
     spark = items.sparkSession
-    wanted = panel_viewers(merchants)
-    if viewers:
-        wanted = wanted.filter(F.col("viewer").isin(*viewers))
-    vmap = viewer_map(stores, wanted, salt)
     base = tokenize_ids(lake_projection(enriched_lines(items, products, stores, transactions)), salt)
-    keep = [c for c in LAKE_COLUMNS if c in base.columns]
-    lines = base.select("store_id", *keep).join(vmap.select("viewer", "store_id", "peer_relationship"), "store_id")
-    write_partitioned(lines.drop("store_id"), f"{root}/lake_transactions", ["viewer"], ["lake_line_id"], files_per_viewer)
-    write_partitioned(vmap.drop("store_id"), f"{root}/lake_stores", ["viewer"], ["lake_store_id"])
-    counts = [
-        spark.read.parquet(f"{root}/{t}").groupBy("viewer").agg(F.count(F.lit(1)).alias(n))
-        for t, n in (("lake_transactions", "n_lines"), ("lake_stores", "n_stores"))
-    ]
-    routing = peer_routing_metadata(merchants).join(wanted.select("viewer"), "viewer", "left_semi")
-    meta = routing.join(counts[0], "viewer", "left").join(counts[1], "viewer", "left").na.fill(0)
+    keep = [c for c in LAKE_COLUMNS if c in base.columns and c != "peer_relationship"]
+    lines = base.select(*keep, F.date_format("txn_date", "yyyy-MM").alias("txn_month"))
+    lines = lines.hint("rebalance", "txn_month").sortWithinPartitions("txn_month", "txn_date")
+    write_layout(lines, f"{root}/lines", ["txn_month"])
+    placed = stores.select(
+        token(F.col("store_id"), salt).alias("lake_store_id"), token(F.col("banner_code"), salt).alias("merchant_token"),
+        F.col("segment").alias("peer_segment"), "neighborhood",
+    ).dropDuplicates(["lake_store_id"])
+    write_layout(placed, f"{root}/stores")
+    viewers = panel_viewers(merchants).withColumn("merchant_token", token(F.col("viewer"), salt))
+    write_layout(viewers, f"{root}/viewers")
+    lines_in, stores_in = (spark.read.parquet(f"{root}/{t}").agg(F.count(F.lit(1)).alias("n")) for t in ("lines", "stores"))
+    # Every viewer sees all lines and stores under its own labels.
+    meta = lake_metadata(peer_routing_metadata(merchants), lines_in, stores_in)
     meta.write.mode("overwrite").json(f"{root}/metadata")
     return meta
 
 
-def lake_metadata(lines_per_store: DataFrame, vmap: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Per viewer: segment, number of peers, lines and stores.  Works on per-store counts, not on lines."""
-    totals = vmap.join(lines_per_store, "store_id", "left").groupBy("viewer").agg(
-        F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"), F.count(F.lit(1)).alias("n_stores")
+def viewer_lake(spark, root: str, viewer: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, stores) of the published lake under `root`, labelled for one viewer; identity tokens stay behind."""
+    me = spark.read.parquet(f"{root}/viewers").filter(F.col("viewer") == viewer)
+    label = (
+        F.when(F.col("merchant_token") == me.agg(F.max("merchant_token")).scalar(), "self")
+        .when(F.col("peer_segment") == me.agg(F.max("viewer_segment")).scalar(), "peer")
+        .otherwise("merchant")
     )
-    return peer_routing_metadata(merchants).join(totals, "viewer")
+    stores = spark.read.parquet(f"{root}/stores").select(
+        "lake_store_id", label.alias("peer_relationship"), "peer_segment", "neighborhood")
+    lines = spark.read.parquet(f"{root}/lines").join(bounded(stores.select("lake_store_id", "peer_relationship")), "lake_store_id")
+    return lines.select(*[c for c in LAKE_COLUMNS if c in lines.columns]), stores
+
+
+def viewer_totals(per_store: DataFrame, stores: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Sums of whole-number measures per viewer, relationship and `by`, for all viewers at once.
+
+    Self is the merchant's own sum, peer its segment's less its own, merchant the rest of the panel's.  Viewers meet
+    sums by their segment; no store or line is repeated per viewer.
+    """
+    keys, sums = list(by), [F.sum(m).alias(m) for m in measures]
+    placed = per_store.join(stores.select("store_id", F.col("banner_code").alias("viewer"), "segment"), "store_id")
+    own = placed.groupBy("viewer", "segment", *keys).agg(*sums)
+    seg = own.groupBy("segment", *keys).agg(*sums)
+    # Per key the panel's sum less each segment's; segments that lack the key get the whole sum.
+    every = seg.agg(F.collect_set("segment")).scalar()
+    held = F.map_from_entries(F.collect_list(F.struct("segment", F.struct(*measures))))
+    panel = seg.groupBy(*keys).agg(*sums, held.alias("_held")) if keys else seg.agg(*sums, held.alias("_held"))
+    rest = panel.withColumn("segment", F.explode(every)).select(
+        "segment", *keys, *[(F.col(m) - F.coalesce(F.col("_held")[F.col("segment")][m], F.lit(0))).alias(m) for m in measures])
+    viewers = own.select("viewer", "segment").distinct()
+    mine = own.select("viewer", *keys, *[F.col(m).alias(f"_{m}") for m in measures])
+    peers = viewers.join(seg, "segment").join(mine, ["viewer", *keys], "left").select(
+        "viewer", *keys, *[(F.col(m) - F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in measures])
+    parts = [(own, "self"), (peers, "peer"), (viewers.join(rest, "segment"), "merchant")]
+    out = None
+    for frame, name in parts:
+        part = frame.select("viewer", F.lit(name).alias("peer_relationship"), *keys, *measures)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def lake_metadata(routing: DataFrame, n_lines: DataFrame, n_stores: DataFrame) -> DataFrame:
+    """Per viewer: segment, number of peers, and how many lines and stores its lake holds: all of the panel's."""
+    return routing.withColumns({"n_lines": n_lines.scalar(), "n_stores": n_stores.scalar()})
 
 
 def peer_routing_metadata(merchants: DataFrame) -> DataFrame:
@@ -214,35 +231,32 @@ def identity_leak_check(published: DataFrame) -> DataFrame:
 
 
 def peer_reconciliation(
-    lines: DataFrame, stores: DataFrame, merchants: DataFrame, tolerance: float = 1e-6
+    published: DataFrame, lake_stores: DataFrame, lines: DataFrame, stores: DataFrame, merchants: DataFrame, salt: str = DEFAULT_SALT,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
-    """For every viewer: units and mean price over its lake peers equal its peers' pooled own data.
+    """For every viewer: units and mean price over the peers of the published lake equal its peers' own data.
 
-    One pass over the lines gives per-store totals; both sides are then sums of those, along different routes.
+    The lake side sums tokenised lines (lake_store_id, qty, unit_price) by the merchant tokens of `lake_stores`; the
+    other side sums the merchants' own lines by their codes.  Both give segment less own.
     """
-    per_store = lines.groupBy("store_id").agg(
-        F.sum("qty").alias("u"), sum_money("unit_price").alias("p"), F.count("unit_price").alias("n")
-    )
-    vmap = viewer_map(stores, panel_viewers(merchants))
-    lake = (
-        vmap.filter(F.col("peer_relationship") == "peer").join(per_store, "store_id").groupBy("viewer")
-        .agg(F.sum("u").alias("lake_units"), (sum_money("p") / F.sum("n")).alias("lake_avg"))
-    )
-    own = per_store.join(stores.select("store_id", "banner_code", "segment"), "store_id").groupBy(
-        "banner_code", "segment"
-    ).agg(F.sum("u").alias("u"), sum_money("p").alias("p"), F.sum("n").alias("n"))
-    seg = own.groupBy("segment").agg(F.sum("u").alias("su"), sum_money("p").alias("sp"), F.sum("n").alias("sn"))
-    mine = panel_viewers(merchants).join(
-        own.select(F.col("banner_code").alias("viewer"), "u", "p", "n"), "viewer", "left"
-    ).na.fill(0, ["u", "p", "n"])
-    pooled = mine.join(seg, F.col("viewer_segment") == F.col("segment")).select(
-        "viewer",
-        (F.col("su") - F.col("u")).alias("pooled_units"),
-        F.try_divide(F.rint((F.col("sp") - F.col("p")) * 100) / 100, F.col("sn") - F.col("n")).alias("pooled_avg"),
-    )
-    return lake.join(pooled, "viewer").withColumn(
-        "match",
-        (F.col("lake_units") == F.col("pooled_units")) & (F.abs(F.col("lake_avg") - F.col("pooled_avg")) <= tolerance),
-    )
-
-
+    def totals(frame: DataFrame, store: str) -> DataFrame:
+        return frame.groupBy(store).agg(F.sum("qty").alias("u"), F.sum(to_cents("unit_price")).alias("p"), F.count("unit_price").alias("n"))
+
+    def pooled(per_store: DataFrame, dims: DataFrame, store: str, who: str, segment: str) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("u", "p", "n")]
+        own = per_store.join(dims.select(store, F.col(who).alias("who"), F.col(segment).alias("segment")), store)
+        own = own.groupBy("who", "segment").agg(*sums)
+        seg = own.groupBy("segment").agg(*[F.sum(c).alias(f"s{c}") for c in ("u", "p", "n")])
+        return own.join(seg, "segment").filter("sn > n").select(
+            "who", (F.col("su") - F.col("u")).alias("units"),
+            ((F.col("sp") - F.col("p")).cast("double") / 100 / (F.col("sn") - F.col("n"))).alias("mean"),
+        )
+
+    lake = pooled(totals(published, "lake_store_id"), lake_stores, "lake_store_id", "merchant_token", "peer_segment")
+    own = pooled(totals(lines, "store_id"), stores, "store_id", "banner_code", "segment")
+    viewers = merchants.select(F.col("merchant_id").alias("viewer"), token(F.col("merchant_id"), salt).alias("_token"))
+    both = viewers.join(lake.withColumnsRenamed({"who": "_token", "units": "lake_units", "mean": "lake_avg"}), "_token", "left").join(
+        own.withColumnsRenamed({"who": "viewer", "units": "pooled_units", "mean": "pooled_avg"}), "viewer", "left")
+    both = both.filter("lake_units IS NOT NULL OR pooled_units IS NOT NULL").drop("_token")
+    same = (F.col("lake_units") == F.col("pooled_units")) & (F.abs(F.col("lake_avg") - F.col("pooled_avg")) <= tolerance)
+    return both.withColumn("match", F.coalesce(same, F.lit(False)))

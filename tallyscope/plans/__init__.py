@@ -6,6 +6,7 @@ from tallyscope.plans import (  # noqa: F401
     claim_queries,
     lake_queries,
     quality_queries,
+    storage_queries,
     transform_queries,
 )
 from tallyscope.plans.registry import PLANS, SQL

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import week_of
 from tallyscope.functions.hashing import md5_bucket
-from tallyscope.functions.money import mean_money, sum_int, sum_money
+from tallyscope.functions.money import mean_money, sum_int, sum_money, to_cents
 from tallyscope.operators import compare, lake, privacy, scope
 from tallyscope.plans.registry import query, rounded
 from tallyscope.plans.sql import (
     IT, LN, LNT, MR, PEER, PR, SELF, ST, TX, VIEWER, avg_money, money, rel, total,
 )
 from tallyscope.plans.sql import lake as lake_sql
-from tallyscope.sources import census
+from tallyscope.sources import census, readers, sinks
 
 FIRST_QUARTER = scope.Window(dt.date(2000, 1, 3), dt.date(2000, 4, 3))
 
@@ -94,6 +94,16 @@ def _lake_lines(spark, d):
     return lake.lake_projection(s).select(F.col("txn_id").alias("event_id"), "txn_date", "hour_bucket", "wallet_type")
 
 
+def published_root(spark: SparkSession, d: str) -> str:
+    """A lake of all viewers, written to a new folder of the shared root."""
+    root = sinks.shared_folder(spark, "lake")
+    lake.build_lake(
+        root, census.items(spark, d), census.products(spark, d), census.orders(spark, d), census.stores(spark, d),
+        census.merchants(spark, d),
+    )
+    return root
+
+
 TOKEN = "substr(sha256('panel:' || CAST({} AS VARCHAR)), 1, 16)"
 
 
@@ -127,9 +137,10 @@ def _peer_routing_metadata(spark, d):
 SELECT merchant_id AS viewer, segment, (SELECT count(*) - 1 FROM mr m WHERE m.segment = mr.segment) AS segment_peer_count,
   (SELECT CAST(sum(n) AS BIGINT) FROM st JOIN n USING (store_id)) AS n_lines, (SELECT count(*) FROM st) AS n_stores FROM mr""")
 def _lake_metadata(spark, d):
-    merchants, stores = census.merchants(spark, d), census.stores(spark, d, hint=False)
-    counts = census.items(spark, d).groupBy("store_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    return lake.lake_metadata(counts, lake.viewer_map(stores, lake.panel_viewers(merchants)), merchants)
+    stores = census.stores(spark, d)
+    placed = census.items(spark, d).select("store_id").join(stores.select("store_id"), "store_id", "left_semi")
+    counts = [df.agg(F.count(F.lit(1)).alias("n")) for df in (placed, stores)]
+    return lake.lake_metadata(lake.peer_routing_metadata(census.merchants(spark, d)), *counts)
 
 
 @query("viewer_lake", f"""WITH {MR}, {LN} SELECT v.merchant_id AS viewer,
@@ -137,14 +148,35 @@ def _lake_metadata(spark, d):
     AS peer_relationship, category, count(*) AS n_lines, {total('qty')} AS units, {money('line_total')} AS sales
 FROM mr v CROSS JOIN ln GROUP BY 1, 2, 3""")
 def _viewer_lake(spark, d):
-    """Every viewer's lake at category grain: lines are summed per store before they meet the viewer map."""
+    """Every viewer's lake at category grain, from one row per store and category."""
     items = census.items(spark, d).join(census.products(spark, d).select("sku", "category"), "sku")
     per_store = items.groupBy("store_id", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("qty").alias("u"), sum_money("line_total").alias("s")
+        F.count(F.lit(1)).alias("n_lines"), F.sum("qty").alias("units"), F.sum(to_cents("line_total")).alias("sales")
     )
-    vmap = lake.viewer_map(census.stores(spark, d, hint=False), lake.panel_viewers(census.merchants(spark, d)))
-    return per_store.join(vmap, "store_id").groupBy("viewer", "peer_relationship", "category").agg(
-        F.sum("n").alias("n_lines"), F.sum("u").alias("units"), sum_money("s").alias("sales")
+    out = lake.viewer_totals(per_store, census.stores(spark, d), ["category"], ["n_lines", "units", "sales"])
+    return out.filter("n_lines > 0").withColumn("sales", F.col("sales") / 100)
+
+
+@query("build_lake", f"""WITH {MR}, {ST} SELECT merchant_id AS viewer, segment,
+  (SELECT count(*) - 1 FROM mr m WHERE m.segment = mr.segment) AS segment_peer_count,
+  (SELECT count(*) FROM lineitem JOIN st ON store_id = l_suppkey JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey) AS n_lines,
+  (SELECT count(*) FROM st) AS n_stores FROM mr""")
+def _build_lake(spark, d):
+    """Write the lake, then its metadata as published."""
+    schema = "viewer string, segment string, segment_peer_count bigint, n_lines bigint, n_stores bigint"
+    return spark.read.schema(schema).json(f"{published_root(spark, d)}/metadata")
+
+
+@query("register_lake_views", f"""WITH {lake_sql(timed=True)} SELECT peer_relationship, category, CAST(date_trunc('month', txn_ts) AS DATE) AS month,
+  count(*) AS n_lines, count(DISTINCT store_id) AS n_stores, {total('qty')} AS units, {money('line_total')} AS sales FROM lk GROUP BY 1, 2, 3""")
+def _register_lake_views(spark, d):
+    """The written lake through the views of one viewer."""
+    if not readers.register_lake_views(spark, published_root(spark, d), VIEWER):
+        raise LookupError(VIEWER)
+    return spark.sql("SELECT peer_relationship, category, CAST(trunc(txn_date, 'MM') AS DATE) AS month, lake_store_id, qty, line_total FROM lake_transactions").groupBy(
+        "peer_relationship", "category", "month").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("lake_store_id").alias("n_stores"), F.sum("qty").alias("units"),
+        sum_money("line_total").alias("sales"),
     )
 
 
@@ -410,10 +442,17 @@ def _peer_payment_counts(spark, d):
 
 @query("peer_reconciliation", f"""WITH {MR}, {LN}, o AS (SELECT banner_code, segment, {total('qty')} AS u, {money('unit_price')} AS p,
   count(*) AS n FROM ln GROUP BY 1, 2), x AS (SELECT merchant_id AS viewer, CAST(sum(u) AS BIGINT) AS units,
-  round_even(sum(p) * 100, 0) / 100 / sum(n) AS a FROM mr JOIN o ON o.segment = mr.segment AND o.banner_code <> mr.merchant_id GROUP BY 1)
-SELECT viewer, units AS lake_units, a AS lake_avg, units AS pooled_units, a AS pooled_avg, true AS match FROM x""")
+  round_even(sum(p) * 100, 0) / 100 / sum(n) AS a FROM mr JOIN o ON o.segment = mr.segment AND o.banner_code <> mr.merchant_id GROUP BY 1),
+tk AS (SELECT {TOKEN.format('banner_code')} AS who, segment, {total('qty')} AS u, {money('unit_price')} AS p, count(*) AS n FROM ln GROUP BY 1, 2),
+y AS (SELECT merchant_id AS viewer, CAST(sum(tk.u) AS BIGINT) AS units, round_even(sum(tk.p) * 100, 0) / 100 / sum(tk.n) AS a
+  FROM mr JOIN tk ON tk.segment = mr.segment AND tk.who <> {TOKEN.format('merchant_id')} GROUP BY 1)
+SELECT viewer, y.units AS lake_units, y.a AS lake_avg, x.units AS pooled_units, x.a AS pooled_avg,
+  y.units = x.units AND abs(y.a - x.a) <= 1e-6 AS match FROM x FULL JOIN y USING (viewer)""")
 def _peer_reconciliation(spark, d):
-    return lake.peer_reconciliation(census.items(spark, d), census.stores(spark, d, hint=False), census.merchants(spark, d))
+    """The lake as it is published, written and read again, against the merchants' own lines."""
+    root = published_root(spark, d)
+    lines, stores = spark.read.parquet(f"{root}/lines"), spark.read.parquet(f"{root}/stores")
+    return lake.peer_reconciliation(lines, stores, census.items(spark, d), census.stores(spark, d), census.merchants(spark, d))
 
 
 @query("product_price_vs_peers", f"""WITH {lake_sql()}, t AS (SELECT category, {total('qty')} AS peer_qty,

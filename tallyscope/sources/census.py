@@ -57,8 +57,8 @@ def merchants(spark: SparkSession, d: str) -> DataFrame:
     return bounded(out)
 
 
-def stores(spark: SparkSession, d: str, hint: bool = True) -> DataFrame:
-    """Stores with merchant and segment.  Without `hint` for uses that multiply the rows."""
+def stores(spark: SparkSession, d: str) -> DataFrame:
+    """Stores with merchant and segment."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("s_suppkey")
     out = (
@@ -76,7 +76,7 @@ def stores(spark: SparkSession, d: str, hint: bool = True) -> DataFrame:
             ((key % 7) / 10.0).alias("longitude"),
         )
     )
-    return bounded(out) if hint else out
+    return bounded(out)
 
 
 def zones(spark: SparkSession, d: str) -> DataFrame:

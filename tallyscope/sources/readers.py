@@ -157,14 +157,15 @@ def register_views(frames: Mapping[str, DataFrame]) -> None:
 
 
 def register_lake_views(spark: SparkSession, root: str, viewer: str) -> bool:
-    """Views over one viewer's published pair; False when nothing was published for the viewer."""
+    """Views over the published lake under one viewer's labels; False without a lake, or for a viewer not in it."""
+    from tallyscope.operators.lake import viewer_lake
+
     try:
-        lines = spark.read.parquet(f"{root}/lake_transactions").filter(F.col("viewer") == viewer).drop("viewer")
-        stores = spark.read.parquet(f"{root}/lake_stores").filter(F.col("viewer") == viewer).drop("viewer")
+        if spark.read.parquet(f"{root}/viewers").filter(F.col("viewer") == viewer).isEmpty():
+            return False
+        lines, stores = viewer_lake(spark, root, viewer)
     except AnalysisException:
         return False
-    if stores.isEmpty():
-        return False
     register_views({"lake_transactions": lines, "lake_stores": stores})
     return True
 

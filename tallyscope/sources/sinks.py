@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.functions.hashing import hash48
@@ -14,9 +16,29 @@ WRITE_OPTIONS = {
     "compression": "zstd",
     "parquet.compression.codec.zstd.level": "3",
     "parquet.enable.dictionary": "true",
+    "parquet.block.row.count.limit": "64000",
 }
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Only where that is unset, on a local master, a temporary folder is taken.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tallyscope-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_layout(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:
+    """The frame as it is partitioned and sorted, with the writer settings of the published layout."""
+    df.write.mode("overwrite").options(**WRITE_OPTIONS).partitionBy(*partition_cols).parquet(path)
+
+
 def _alphabetical(df: DataFrame) -> DataFrame:
     return df.select(*sorted(df.columns))
 
