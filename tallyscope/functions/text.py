@@ -47,7 +47,9 @@ STRUCTURAL_PREFIXES = "zone z region q quarter period phase step stage tier wave
 
 
 def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, token, left, right): every numeric token with the text around it that decides its kind.
+    """(key, pos, token, skipped, left, right): every numeric token with the text around it that decides its kind.
+
+    `skipped` is the length of the gap before the token.
 
     Texts are cut once into tokens and the gaps between them.  The two words on either side of a token lie within
     two neighbouring tokens and three gaps, which are taken whole.
@@ -67,7 +69,7 @@ def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     def around(t: Column, i: Column) -> Column:
         left = F.concat(gap(i - 2), token(i - 2), gap(i - 1), token(i - 1), gap(i))
         right = F.concat(gap(i + 1), token(i + 1), gap(i + 2), token(i + 2), gap(i + 3))
-        return F.struct(t.alias("token"), left.alias("left"), right.alias("right"))
+        return F.struct(t.alias("token"), F.length(gap(i)).alias("skipped"), left.alias("left"), right.alias("right"))
 
     return cut.select(key, F.posexplode(F.transform("_t", around)).alias("pos", "_x")).select(key, "pos", "_x.*")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.money import ratio
@@ -180,6 +180,78 @@ def numeric_token_scan(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def claim_undeclared_numbers(rows: DataFrame, key: str, text: str, declared: DataFrame) -> DataFrame:
+    """(key, start, end, token, value) of metric numbers that overlap no declared span of their text.
+
+    declared: (key, start, end), code points, end exclusive: the spans of claims that passed, and of those that failed
+    and are handled as claims.  Tokens and spans of a text are put in one order by start, where a token is covered if a
+    span before it reaches into it, or one behind it starts within it; they are never paired with each other.
+    """
+    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    tokens = number_tokens(rows, key, text).withColumn("end", F.sum(F.col("skipped") + F.length("token")).over(run)).select(
+        key, (F.col("end") - F.length("token")).alias("start"), "end", "token",
+        number_kind(F.col("token"), F.col("left"), F.col("right")).alias("kind"),
+    )
+    spans = declared.filter("end > start").select(
+        key, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.lit(None).cast("string").alias("token"),
+        F.lit("span").alias("kind"),
+    )
+    order, is_span = Window.partitionBy(key).orderBy("start"), F.col("kind") == "span"
+    reach = F.max(F.when(is_span, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(is_span, F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    both = tokens.filter("kind = 'metric'").unionByName(spans).withColumns({"_reach": reach, "_ahead": ahead})
+    covered = (F.col("_reach") > F.col("start")) | (F.col("_ahead") < F.col("end"))
+    return both.filter(~is_span & ~F.coalesce(covered, F.lit(False))).select(
+        key, "start", "end", "token", number_value(F.col("token")).alias("value"))
+
+
+# Scale words, the share by which leading digits may differ, and the factor that makes a wrong scale.
+SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
+SCALED = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(k|m|mn|b|bn|thousand|million|billion)\b"
+SAME_DIGITS, WRONG_SCALE = 0.03, 100.0
+
+
+def _leading(x: Column) -> Column:
+    """The significant digits of a number as a value in [1, 10); NULL for zero."""
+    size = F.nullif(F.abs(x), F.lit(0.0))
+    return size / F.pow(F.lit(10.0), F.floor(F.log10(size)))
+
+
+def claim_magnitude(claims: DataFrame, span: str = "text_span", true: str = "true_value") -> DataFrame:
+    """Adds `wrong_scale`: the span's first scale word is off by a factor of 100 or more from the resolved value.
+
+    Only where the leading digits agree; otherwise the scale word belongs to another number of the span.
+    """
+    number = F.replace(F.regexp_extract(span, SCALED, 1), F.lit(","), F.lit("")).try_cast("double")
+    scales = F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair])
+    shown = number * F.try_element_at(scales, F.lower(F.regexp_extract(span, SCALED, 2)))
+    same = F.abs(_leading(number) / _leading(F.col(true)) - 1) <= SAME_DIGITS
+    off = F.try_divide(F.abs(shown), F.abs(F.col(true)))
+    return claims.withColumn("wrong_scale", F.coalesce(same & ((off >= WRONG_SCALE) | (off <= 1 / WRONG_SCALE)), F.lit(False)))
+
+
+# Characters before and behind a claim's span in which a movement word speaks of it.
+CLAUSE_BEFORE, CLAUSE_BEHIND = 70, 20
+SIGNED_OPS = ("difference", "pct_change")
+
+
+def claim_direction(
+    claims: DataFrame, text: str = "text", span: str = "text_span", true: str = "true_value",
+    up: Sequence[str] = DIRECTION_UP, down: Sequence[str] = DIRECTION_DOWN,
+) -> DataFrame:
+    """Adds `status`: `stripped_semantic` where the clause of a signed claim states the other direction, else `passed`.
+
+    Only differences and percentage changes have a sign to contradict; a span that is not in the text gives no verdict.
+    """
+    at = F.instr(text, F.col(span))
+    first = F.greatest(at - CLAUSE_BEFORE, F.lit(1))
+    clause = F.substring(text, first, at + F.length(span) + CLAUSE_BEHIND - first)
+    found = claims.withColumn("_clause", F.when((at > 0) & F.col("op").isin(*SIGNED_OPS), clause))
+    judged = direction_contradiction(found, "_clause", true, up, down)
+    status = F.when(F.coalesce("contradiction", F.lit(False)), "stripped_semantic").otherwise("passed")
+    return judged.withColumn("status", status).drop("_clause", "says_up", "says_down", "contradiction")
+
+
 # Wording of planning, plumbing and unfinished answers (case-insensitive).
 NARRATION = [
     r"system issue", r"system error", r"tool error", r"query failed", r"retry with corrected parameters?",

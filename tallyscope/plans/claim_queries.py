@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyscope.functions.text import METRIC_WORDS, STRUCTURAL_FOLLOWERS, STRUCTURAL_PREFIXES
 from tallyscope.operators import claims, shaping
 from tallyscope.plans.basket_queries import panel_lines
 from tallyscope.plans.registry import query
@@ -132,12 +133,77 @@ def _direction_contradiction(spark, d):
     )
 
 
-@query("numeric_token_scan")
+# The check engine has no look-behind: letters, and letter suffixes, swallow the one character that may not start a number.
+CORE = r"(?:≈|~|about\s+|roughly\s+)?\$?(?:-?\d{1,3}(?:,\d{3})+|-?\d+(?:\.\d+)?)"
+START = r"[≈~$\d-]"
+CUT = rf"(?i)({CORE}\s*(?:x|bps))({START})|({CORE}(?:\s*%|\s*x|\s*×|\s*bps)?)|([A-Za-z]+{START}?)"
+AROUND = "PARTITION BY doc_id ORDER BY pos"
+WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x))"
+
+
+def _listed(xs):
+    return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+TOKENS = rf"""m AS (SELECT doc_id, replace(regexp_replace(text, '{CUT}', chr(1) || '\1\3' || chr(2) || '\2\4', 'g'), chr(1) || chr(2), '') AS m FROM documents),
+p AS (SELECT doc_id, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) - 2 AS pos FROM m),
+q AS (SELECT doc_id, pos, CASE WHEN pos < 0 THEN '' ELSE split_part(piece, chr(2), 1) END AS token, CASE WHEN pos < 0 THEN piece ELSE split_part(piece, chr(2), 2) END AS gap FROM p),
+r AS (SELECT doc_id, pos, token, gap, lag(gap, 3, '') OVER o || lag(token, 2, '') OVER o || lag(gap, 2, '') OVER o || lag(token, 1, '') OVER o || lag(gap, 1, '') OVER o AS l,
+  gap || lead(token, 1, '') OVER o || lead(gap, 1, '') OVER o || lead(token, 2, '') OVER o || lead(gap, 2, '') OVER o AS r,
+  sum(length(token) + length(gap)) OVER (o ROWS UNBOUNDED PRECEDING) - length(gap) AS e FROM q WINDOW o AS ({AROUND})),
+s AS (SELECT *, {WORDS.format('l')}[-2:] AS b, {WORDS.format('r')}[1:2] AS a FROM r WHERE pos >= 0),
+tk AS (SELECT doc_id, CAST(pos AS INT) AS pos, token, CAST(e - length(token) AS BIGINT) AS s, CAST(e AS BIGINT) AS e,
+  CAST(replace(regexp_extract(token, '(-?\d{{1,3}}(?:,\d{{3}})+|-?\d+(?:\.\d+)?)', 1), ',', '') AS DOUBLE) AS value,
+  CASE WHEN regexp_matches(token, '(?i)[%$.]|(?:x|×|bps)$') OR regexp_matches(l, '(?i)(?:≈|~|about\s+|roughly\s+)$|[≈~]\s+$') THEN 'metric'
+    WHEN a[1] IN {_listed(STRUCTURAL_FOLLOWERS)} OR b[-1] IN {_listed(STRUCTURAL_PREFIXES)} THEN 'structural'
+    WHEN list_has_any(list_concat(b, a), [{', '.join(f"'{x}'" for x in METRIC_WORDS)}]) THEN 'metric' ELSE 'structural' END AS kind FROM s)"""
+
+
+@query("numeric_token_scan", f"WITH {TOKENS} SELECT doc_id, pos, token, value, kind FROM tk")
 def _numeric_token_scan(spark, d):
-    """No look-behind in the check engine's patterns: checked against a brute-force scan in the tests."""
     return claims.numeric_token_scan(census.table(spark, d, "documents"), "doc_id", "text")
 
 
+@query("claim_undeclared_numbers", f"""WITH {TOKENS} SELECT doc_id, s AS start, e AS "end", token, value FROM tk
+  WHERE kind = 'metric' AND s % 200 >= 100 AND s // 200 = (e - 1) // 200""")
+def _claim_undeclared_numbers(spark, d):
+    """Declared spans: the first half of every 200 characters of every text."""
+    docs = census.table(spark, d, "documents").filter("text IS NOT NULL AND text != ''")
+    starts = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(200)))
+    spans = docs.select("doc_id", starts.alias("start")).withColumn("end", F.col("start") + 100)
+    return claims.claim_undeclared_numbers(docs, "doc_id", "text", spans)
+
+
+@query("claim_magnitude", """WITH c AS (SELECT o_orderkey, o_totalprice AS true_value, round(o_totalprice / 1000, 1) AS n, ['K', ' million', 'bn', ' widgets'][o_orderkey % 4 + 1] AS unit,
+    CASE WHEN o_custkey % 3 = 0 THEN 7.5::DOUBLE ELSE round(o_totalprice / 1000, 1) END AS shown FROM orders)
+SELECT o_orderkey, true_value, unit <> ' widgets' AND unit <> 'K' AND true_value > 0 AND shown > 0
+  AND abs((shown / pow(10, floor(log10(shown)))) / (true_value / pow(10, floor(log10(true_value)))) - 1) <= 0.03::DOUBLE
+  AND (shown * CASE unit WHEN 'bn' THEN 1e9 ELSE 1e6 END / true_value >= 100) AS wrong_scale FROM c""")
+def _claim_magnitude(spark, d):
+    """Order totals stated in thousands under four labels, one of them right; a third state another number."""
+    o = census.table(spark, d, "orders")
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("K", " million", "bn", " widgets")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    shown = F.when(F.col("o_custkey") % 3 == 0, F.lit(7.5)).otherwise(F.round(F.col("o_totalprice") / 1000, 1))
+    stated = o.select("o_orderkey", F.col("o_totalprice").alias("true_value"), F.concat(F.lit("a total of $"), shown.cast("decimal(18,1)").cast("string"), unit).alias("text_span"))
+    return claims.claim_magnitude(stated).drop("text_span")
+
+
+@query("claim_direction", """WITH c AS (SELECT conv_id, turn, text, substr(text, 101, 8) AS span, length(text) - 400 AS true_value,
+    ['difference', 'pct_change', 'ratio'][conv_id %% 3 + 1] AS op FROM conversations WHERE length(text) >= 110),
+w AS (SELECT *, instr(text, span) AS p0 FROM c),
+f AS (SELECT *, regexp_extract_all(lower(substr(text, greatest(p0 - 70, 1), p0 + length(span) + 20 - greatest(p0 - 70, 1))), '[a-z]+') AS w FROM w),
+g AS (SELECT *, list_has_any(w, %s) AS u, list_has_any(w, %s) AS n FROM f)
+SELECT conv_id, turn, op, true_value, CASE WHEN op <> 'ratio' AND ((u AND NOT n AND true_value < 0) OR (n AND NOT u AND true_value > 0))
+  THEN 'stripped_semantic' ELSE 'passed' END AS status FROM g""" % (_words(UP), _words(DOWN)))
+def _claim_direction(spark, d):
+    """One signed claim per turn of a conversation, about eight characters of it."""
+    c = census.table(spark, d, "conversations").filter(F.length("text") >= 110)
+    ops = F.element_at(F.array(*[F.lit(x) for x in ("difference", "pct_change", "ratio")]), (F.col("conv_id") % 3 + 1).cast("int"))
+    stated = c.select("conv_id", "turn", "text", F.substring("text", 101, 8).alias("text_span"), ops.alias("op"),
+                      (F.length("text") - 400).cast("bigint").alias("true_value"))
+    return claims.claim_direction(stated, up=UP, down=DOWN).drop("text", "text_span")
+
+
 PATTERN = "|".join(claims.NARRATION).replace("'", "''")
 
 
