@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import dow_monday0, in_hours
 from tallyscope.functions.hashing import hash48
-from tallyscope.functions.money import mean_fixed, mean_int, mean_money, ratio, share_of, sum_money
-from tallyscope.functions.ranking import exact_quantiles, ntile_cuts, tile_of, top_n
+from tallyscope.functions.money import mean_fixed, mean_int, mean_money, ratio, share_of, sum_money, to_cents
+from tallyscope.functions.ranking import exact_quantiles, ntile, top_n
 
 PANEL_DAYS = 90
 DAYS_A_YEAR = 365
@@ -104,9 +104,9 @@ def department_share(lines: DataFrame, composite: Sequence[str] = (), name: str
     return rows.unionByName(joint.select(F.lit(name).alias("department"), "dollars", ratio(F.col("dollars"), t).alias("share")))
 
 
-def tier_cuts(rows: DataFrame, value: str = "affluence", low: float = 0.33, high: float = 0.66) -> Column:
+def tier_cuts(rows: DataFrame, value: str = "affluence", low: float = 0.33, high: float = 0.66, weight: str | None = None) -> Column:
     """Both quantiles as one scalar struct."""
-    cuts = exact_quantiles(rows, [], value, {"low": low, "high": high})
+    cuts = exact_quantiles(rows, [], value, {"low": low, "high": high}, weight=weight)
     return cuts.select(F.struct("low", "high")).scalar()
 
 
@@ -119,20 +119,21 @@ def fresh_by_affluence(lines: DataFrame, fresh: Sequence[str]) -> DataFrame:
 
     Lines are summed per affluence value and department first: the cuts and the shares need nothing finer.
     """
-    cuts = tier_cuts(lines)
-    t = tier(F.col("affluence"), cuts)
     hit = F.col("department").isin(*fresh)
-    return lines.groupBy(t.alias("tier")).agg(
-        n_rows().alias("n_lines"), ratio(sum_money("line_total", hit), sum_money("line_total")).alias("fresh_share")
+    cents = to_cents("line_total")
+    summed = lines.groupBy("affluence").agg(
+        n_rows().alias("n"), F.sum(F.when(hit, cents)).alias("fresh"), F.sum(cents).alias("whole"))
+    t = tier(F.col("affluence"), tier_cuts(summed, weight="n"))
+    return summed.groupBy(t.alias("tier")).agg(
+        F.sum("n").alias("n_lines"), ratio(F.sum("fresh") / 100, F.sum("whole") / 100).alias("fresh_share")
     )
 
 
 def affluence_ntile(lines: DataFrame, fresh: Sequence[str], identity: Sequence[str], n: int = 3) -> DataFrame:
     """As above with equal-sized tiles: NTILE(n) over lines by affluence, ties in the order of a row hash."""
     keyed = lines.withColumn("_tie", hash48(F.concat_ws("|", *[F.col(c).cast("string") for c in identity])))
-    cuts = ntile_cuts(keyed, "affluence", "_tie", n)
     hit = F.col("department").isin(*fresh)
-    return keyed.groupBy(tile_of("affluence", "_tie", cuts).cast("int").alias("tile")).agg(
+    return ntile(keyed, "affluence", "_tie", n).groupBy("tile").agg(
         n_rows().alias("n_lines"), ratio(sum_money("line_total", hit), sum_money("line_total")).alias("fresh_share")
     )
 

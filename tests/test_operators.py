@@ -6,6 +6,7 @@ import re
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import calendar, hashing, money, ranking, text
@@ -398,9 +399,24 @@ def test_quantiles_with_a_hot_value(spark):
 
 def test_ntile_when_one_value_holds_most_rows(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 700, 1.0).otherwise(F.col("id") / 10.0).alias("v"), F.xxhash64("id").bitwiseAND(2**40 - 1).alias("t"))
-    cuts = ranking.ntile_cuts(df, "v", "t", 3)
-    sizes = dict(rows(df.groupBy(ranking.tile_of("v", "t", cuts).alias("tile")).count()))
-    assert sizes == {1: 334, 2: 333, 3: 333}
+    tiled = ranking.ntile(df, "v", "t", 3)
+    assert dict(rows(tiled.groupBy("tile").count())) == {1: 334, 2: 333, 3: 333}
+    spark_ntile = df.withColumn("tile", F.ntile(3).over(Window.orderBy("v", "t")))
+    assert tiled.exceptAll(spark_ntile).isEmpty()
+    assert rows(ranking.ntile(df.limit(0), "v", "t", 3)) == []
+    assert sorted(r["tile"] for r in ranking.ntile(df.limit(2), "v", "t", 3).collect()) == [1, 2]
+
+
+def test_an_outlier_does_not_fill_one_range(spark):
+    df = spark.range(20000).select(F.when(F.col("id") == 0, 1e15).otherwise(F.sqrt("id")).alias("v"))
+    lo, hi = df.agg(F.min("v"), F.max("v")).first()
+    largest = df.groupBy(ranking._bin(F.col("v"), F.lit(lo), F.lit(hi)).alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest < 2000
+    want = sorted(r["v"] for r in df.collect())
+    got = ranking.exact_quantiles(df, [], "v", {"m": 0.5}, {"d": 0.9}).first()
+    assert got["m"] == pytest.approx((want[9999] + want[10000]) / 2) and got["d"] == want[17999]
+    signed = spark.range(-500, 501).select((F.col("id") / 7.0).alias("v"))
+    assert ranking.exact_quantiles(signed, [], "v", {"m": 0.5}).first()["m"] == 0
 
 
 def test_top_fraction_ignores_how_ties_fall(spark):
