@@ -218,24 +218,25 @@ def _cross_segment_cells(spark, d):
     return customers.cross_segment_cells(card_visits(spark, d), census.customers(spark, d))
 
 
+BANNERS = [f"NATION_{i}" for i in range(25)]  # all merchants of the panel
+
+
 @query("zone_table", f"""WITH {CV}, b AS (SELECT customer_token FROM vi GROUP BY 1 HAVING count(DISTINCT segment) >= 2),
   c AS (SELECT home_zone AS zone_id, count(*) AS customers FROM cu GROUP BY 1), x AS (SELECT home_zone AS zone_id, count(*) AS n FROM cu JOIN b USING (customer_token) GROUP BY 1),
-  s AS (SELECT zone_id, count(*) AS n, count(*) FILTER (WHERE banner_code = 'NATION_3') AS a, count(*) FILTER (WHERE banner_code = 'NATION_8') AS b FROM st GROUP BY 1)
-  SELECT n_nationkey AS zone_id, coalesce(customers, 0) AS customers, coalesce(x.n, 0) AS both, coalesce(s.n, 0) AS store_count, coalesce(a, 0) AS stores_NATION_3,
-  coalesce(b, 0) AS stores_NATION_8 FROM nation LEFT JOIN c ON c.zone_id = n_nationkey LEFT JOIN x ON x.zone_id = n_nationkey LEFT JOIN s ON s.zone_id = n_nationkey""")
+  s AS (SELECT zone_id, count(*) AS n, {', '.join(f"count(*) FILTER (WHERE banner_code = '{b}') AS stores_{b}" for b in BANNERS)} FROM st GROUP BY 1)
+  SELECT n_nationkey AS zone_id, coalesce(customers, 0) AS customers, coalesce(x.n, 0) AS both, coalesce(s.n, 0) AS store_count,
+  {', '.join(f"coalesce(stores_{b}, 0) AS stores_{b}" for b in BANNERS)}
+  FROM nation LEFT JOIN c ON c.zone_id = n_nationkey LEFT JOIN x ON x.zone_id = n_nationkey LEFT JOIN s ON s.zone_id = n_nationkey""")
 def _zone_table(spark, d):
     return customers.zone_table(
-        census.zones(spark, d), census.customers(spark, d), card_visits(spark, d), census.stores(spark, d),
-        ["NATION_3", "NATION_8"],
+        census.zones(spark, d), census.customers(spark, d), card_visits(spark, d), census.stores(spark, d), BANNERS
     )
 
 
-@query("customer_cross_tab", f"""WITH {CU} SELECT loyalty_type, count(*) FILTER (WHERE primary_banner = 'NATION_3') AS NATION_3,
-  count(*) FILTER (WHERE primary_banner = 'NATION_8') AS NATION_8, count(*) FILTER (WHERE primary_banner = 'NATION_13') AS NATION_13, count(*) AS total FROM cu GROUP BY 1""")
+@query("customer_cross_tab", f"""WITH {CU} SELECT loyalty_type, {', '.join(f"count(*) FILTER (WHERE primary_banner = '{b}') AS {b}" for b in BANNERS)},
+  count(*) AS total FROM cu GROUP BY 1""")
 def _customer_cross_tab(spark, d):
-    return customers.customer_cross_tab(
-        census.customers(spark, d), "loyalty_type", "primary_banner", ["NATION_3", "NATION_8", "NATION_13"]
-    )
+    return customers.customer_cross_tab(census.customers(spark, d), "loyalty_type", "primary_banner", BANNERS)
 
 
 @query("zone_distribution", f"""WITH {CU}, {ST}, m AS (SELECT DISTINCT zone_id, neighborhood FROM st) SELECT neighborhood, count(*) AS n_customers

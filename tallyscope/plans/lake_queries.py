@@ -392,32 +392,30 @@ QUALIFY row_number() OVER (PARTITION BY direction ORDER BY abs(delta_pct) DESC,
 LAST_FULL_MONTH_END = dt.date(2001, 8, 1)
 
 
-def _tidy(spark, d, period, before=None):
-    items = census.items(spark, d).join(census.products(spark, d).select("sku", "department"), "sku")
-    txns = census.orders(spark, d).select("txn_id", "txn_ts")
-    lines = items.join(txns if before is None else txns.filter(F.col("txn_ts") < F.lit(before)), "txn_id")
-    return lines.groupBy("department", period.alias("period")).agg(
+def _tidy(lines, dim):
+    """Units and lines per month of lines already scoped to a viewer; the last, broken month is left out."""
+    whole = lines.filter(F.col("txn_ts") < F.lit(LAST_FULL_MONTH_END))
+    return whole.groupBy(dim, F.date_trunc("month", "txn_ts").alias("period")).agg(
         F.sum("qty").alias("units"), F.count(F.lit(1)).alias("n")
     )
 
 
-def _tidy_sql(period, where="true"):
-    return f"""WITH {PR}, {IT}, {TX}, tidy AS (SELECT department AS dim, {period} AS period, CAST(sum(qty) AS DOUBLE) AS v, count(*) AS n
-  FROM it JOIN pr USING (sku) JOIN tx USING (txn_id) WHERE {where} GROUP BY 1, 2)"""
+def _tidy_sql(dim, where):
+    return f"""WITH {lake_sql(timed=True)}, tidy AS (SELECT {dim} AS dim, date_trunc('month', txn_ts) AS period, CAST(sum(qty) AS DOUBLE) AS v, count(*) AS n
+  FROM lk WHERE {where} AND txn_ts < DATE '2001-08-01' GROUP BY 1, 2)"""
 
 
-WEEK, MONTH, BEFORE = "date_trunc('week', txn_ts)", "date_trunc('month', txn_ts)", "txn_ts < DATE '2001-08-01'"
-
-
-@query("top_movers", f"{_tidy_sql(WEEK)}, {MOVERS.format(k=0, dim='department')}")
+@query("top_movers", f"{_tidy_sql('department', SELF)}, {MOVERS.format(k=0, dim='department')}")
 def _top_movers(spark, d):
-    return compare.top_movers(_tidy(spark, d, week_of(F.col("txn_ts"))), "department", "period", "units")
+    """The viewer's own departments; own figures need no floor."""
+    return compare.top_movers(_tidy(own_lines(spark, d, timed=True), "department"), "department", "period", "units")
 
 
-@query("top_movers_monthly", f"{_tidy_sql(MONTH, BEFORE)}, {MOVERS.format(k=50, dim='department')}")
+@query("top_movers_monthly", f"{_tidy_sql('network', PEER)}, {MOVERS.format(k=50, dim='network')}")
 def _top_movers_monthly(spark, d):
-    monthly = _tidy(spark, d, F.date_trunc("month", "txn_ts"), LAST_FULL_MONTH_END)
-    return compare.top_movers(monthly, "department", "period", "units", count="n")
+    """The viewer's peers under the floor, which every month of a series has to reach."""
+    peers = peer_lake(spark, d, timed=True).filter(compare.is_peer())
+    return compare.top_movers(_tidy(peers, "network"), "network", "period", "units", count="n")
 
 
 @query("category_performance", f"""WITH {LN} SELECT department, category, {avg_money('unit_price')} AS asp, {total('qty')} AS units,

@@ -85,12 +85,11 @@ def _pay_cycle_bucket(spark, d):
     return census.orders(spark, d).groupBy(pay_cycle(F.col("txn_ts")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pay_cycle_daily_avg", f"""WITH {SE}, dl AS (SELECT banner_code, CAST(txn_ts AS DATE) AS day, count(*) AS n FROM se WHERE banner_code IN ('click', 'view') GROUP BY 1, 2),
+@query("pay_cycle_daily_avg", f"""WITH {SE}, dl AS (SELECT banner_code, CAST(txn_ts AS DATE) AS day, count(*) AS n FROM se GROUP BY 1, 2),
   b AS (SELECT *, CASE WHEN day(day) <= 3 THEN '1-3' WHEN day(day) BETWEEN 15 AND 17 THEN '15-17' WHEN day(day) BETWEEN 11 AND 13 THEN '11-13' ELSE 'other' END AS bucket FROM dl)
-  SELECT bucket, CAST(sum(n) FILTER (WHERE banner_code = 'click') AS DOUBLE) / count(*) FILTER (WHERE banner_code = 'click') AS click,
-  CAST(sum(n) FILTER (WHERE banner_code = 'view') AS DOUBLE) / count(*) FILTER (WHERE banner_code = 'view') AS view FROM b GROUP BY 1""")
+  SELECT bucket, {', '.join(f"coalesce(CAST(sum(n) FILTER (WHERE banner_code = '{e}') AS DOUBLE) / count(*) FILTER (WHERE banner_code = '{e}'), 0) AS {e}" for e in EVENT_TYPES)} FROM b GROUP BY 1""")
 def _pay_cycle_daily_avg(spark, d):
-    return report.pay_cycle_daily_avg(census.sessions(spark, d), ["click", "view"])
+    return report.pay_cycle_daily_avg(census.sessions(spark, d), EVENT_TYPES)
 
 
 @query("private_label_share", f"""WITH {LN} SELECT banner_code, {ratio('sum(CASE WHEN private_label THEN qty ELSE 0 END)', 'sum(qty)')} AS pl_unit_share FROM ln GROUP BY 1""")
@@ -241,9 +240,13 @@ def _calibration_step(spark, d):
     return out.withColumn("factor", F.round("factor", 9))
 
 
-@query("table_content_hash", """SELECT 'orders' AS "table", count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}'), 1, 12) AS HUGEINT)) AS VARCHAR) AS hash_sum FROM orders""")
+ORDER_JSON = """'{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || '","o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority
+  || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) || '}'"""
+
+
+@query("table_content_hash", f"""SELECT 'orders' AS "table", count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256({ORDER_JSON}), 1, 12) AS HUGEINT)) AS VARCHAR) AS hash_sum FROM orders""")
 def _table_content_hash(spark, d):
-    return sinks.content_hash(census.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "orders")
+    return sinks.content_hash(census.table(spark, d, "orders"), "orders")
 
 
 @query("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in (
@@ -253,11 +256,26 @@ def _row_counts(spark, d):
     return readers.row_counts({t: spark.read.parquet(f"{d}/{t}.parquet") for t in names.split()})
 
 
-@query("schema_catalogue", """SELECT 'customer' AS "table", c AS "column", t AS type, c = 'c_custkey' AS primary_key, c = 'c_nationkey' AS join_key, n AS n_values FROM (
-  SELECT unnest(['c_custkey','c_name','c_nationkey','c_acctbal','c_mktsegment']) AS c, unnest(['bigint','string','int','double','string']) AS t,
-  unnest([count(c_custkey), count(c_name), count(c_nationkey), count(c_acctbal), count(c_mktsegment)]) AS n FROM customer)""")
+KEYS = {
+    "region": ("r_regionkey", ""), "nation": ("n_nationkey", "n_regionkey"), "supplier": ("s_suppkey", "s_nationkey"),
+    "customer": ("c_custkey", "c_nationkey"), "part": ("p_partkey", ""), "orders": ("o_orderkey", "o_custkey"),
+    "lineitem": ("l_orderkey,l_linenumber", "l_orderkey,l_partkey,l_suppkey"), "events": ("event_id", "user_id"),
+}
+
+
+def _catalogue_sql():
+    rows = []
+    for t, (pk, fk) in KEYS.items():
+        for column in census.SCHEMAS[t].split(", "):
+            c, kind = column.split()
+            flags = ["true" if c in keys.split(",") else "false" for keys in (pk, fk)]
+            rows.append(f"""SELECT '{t}' AS "table", '{c}' AS "column", '{kind}' AS type, {flags[0]} AS primary_key, {flags[1]} AS join_key, count({c}) AS n_values FROM {t}""")
+    return " UNION ALL ".join(rows)
+
+
+@query("schema_catalogue", _catalogue_sql())
 def _schema_catalogue(spark, d):
-    return readers.schema_catalogue({"customer": census.table(spark, d, "customer")}, {"customer": ("c_custkey", "c_nationkey")})
+    return readers.schema_catalogue({t: census.table(spark, d, t) for t in KEYS}, KEYS)
 
 
 @query("allowlisted_read", """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders""")
