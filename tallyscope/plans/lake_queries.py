@@ -349,6 +349,13 @@ def _neighborhood_peer_units(spark, d):
     return compare.neighborhood_peer_units(lake.tokenize_ids(lines), lake.published_stores(labelled))
 
 
+@query("monthly_own_vs_peer", f"""WITH {lake_sql(timed=True)} SELECT CAST(date_trunc('month', txn_ts) AS DATE) AS month,
+  {total('qty', SELF)} AS own_units, {total('qty', PEER)} AS peer_units FROM lk GROUP BY 1
+  HAVING count(*) FILTER (WHERE {PEER}) >= 50""")
+def _monthly_own_vs_peer(spark, d):
+    return compare.weekly_own_vs_peer(peer_lake(spark, d, timed=True), grain="month")
+
+
 @query("weekly_own_vs_peer", f"""WITH {lake_sql(timed=True)} SELECT CAST(date_trunc('week', txn_ts) AS DATE) AS week,
   {total('qty', SELF)} AS own_units, {total('qty', PEER)} AS peer_units FROM lk GROUP BY 1
   HAVING count(*) FILTER (WHERE {PEER}) >= 50""")
@@ -411,11 +418,11 @@ def _top_movers(spark, d):
     return compare.top_movers(_tidy(own_lines(spark, d, timed=True), "department"), "department", "period", "units")
 
 
-@query("top_movers_monthly", f"{_tidy_sql('network', PEER)}, {MOVERS.format(k=50, dim='network')}")
+@query("top_movers_monthly", f"{_tidy_sql('segment', PEER)}, {MOVERS.format(k=50, dim='segment')}")
 def _top_movers_monthly(spark, d):
     """The viewer's peers under the floor, which every month of a series has to reach."""
     peers = peer_lake(spark, d, timed=True).filter(compare.is_peer())
-    return compare.top_movers(_tidy(peers, "network"), "network", "period", "units", count="n")
+    return compare.top_movers(_tidy(peers, "segment"), "segment", "period", "units", count="n")
 
 
 @query("category_performance", f"""WITH {LN} SELECT department, category, {avg_money('unit_price')} AS asp, {total('qty')} AS units,
