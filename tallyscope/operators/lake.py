@@ -123,6 +123,14 @@ def publish(lines: DataFrame) -> DataFrame:
     return lines.select(*[c for c in LAKE_COLUMNS if c in lines.columns])
 
 
+def tokenized_stores(stores: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
+    """One row per store: its token, its merchant's token, segment and neighborhood."""
+    return stores.select(
+        token(F.col("store_id"), salt).alias("lake_store_id"), token(F.col("banner_code"), salt).alias("merchant_token"),
+        F.col("segment").alias("peer_segment"), "neighborhood",
+    ).dropDuplicates(["lake_store_id"])
+
+
 def build_lake(
     root: str, items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame,
     merchants: DataFrame, salt: str = DEFAULT_SALT,
@@ -140,11 +148,7 @@ def build_lake(
     lines = base.select(*keep, F.date_format("txn_date", "yyyy-MM").alias("txn_month"))
     lines = lines.hint("rebalance", "txn_month").sortWithinPartitions("txn_month", "txn_date")
     write_layout(lines, f"{root}/lines", ["txn_month"])
-    placed = stores.select(
-        token(F.col("store_id"), salt).alias("lake_store_id"), token(F.col("banner_code"), salt).alias("merchant_token"),
-        F.col("segment").alias("peer_segment"), "neighborhood",
-    ).dropDuplicates(["lake_store_id"])
-    write_layout(placed, f"{root}/stores")
+    write_layout(tokenized_stores(stores, salt), f"{root}/stores")
     viewers = panel_viewers(merchants).withColumn("merchant_token", token(F.col("viewer"), salt))
     write_layout(viewers, f"{root}/viewers")
     lines_in, stores_in = (spark.read.parquet(f"{root}/{t}").agg(F.count(F.lit(1)).alias("n")) for t in ("lines", "stores"))

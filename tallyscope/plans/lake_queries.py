@@ -454,10 +454,10 @@ y AS (SELECT merchant_id AS viewer, CAST(sum(tk.u) AS BIGINT) AS units, round_ev
 SELECT viewer, y.units AS lake_units, y.a AS lake_avg, x.units AS pooled_units, x.a AS pooled_avg,
   y.units = x.units AND abs(y.a - x.a) <= 1e-6 AS match FROM x FULL JOIN y USING (viewer)""")
 def _peer_reconciliation(spark, d):
-    """The lake as it is published, written and read again, against the merchants' own lines."""
-    root = published_root(spark, d)
-    lines, stores = spark.read.parquet(f"{root}/lines"), spark.read.parquet(f"{root}/stores")
-    return lake.peer_reconciliation(lines, stores, census.items(spark, d), census.stores(spark, d), census.merchants(spark, d))
+    """The tokenised lines and stores, as the lake publishes them, against the merchants' own lines."""
+    items, stores = census.items(spark, d), census.stores(spark, d)
+    lines = lake.tokenize_ids(lake.enriched_lines(items, census.products(spark, d), stores))
+    return lake.peer_reconciliation(lines, lake.tokenized_stores(stores), items, stores, census.merchants(spark, d))
 
 
 @query("product_price_vs_peers", f"""WITH {lake_sql()}, t AS (SELECT category, {total('qty')} AS peer_qty,

@@ -339,7 +339,7 @@ def test_sku_performance_with_and_without_baseline(spark):
     got = {r["sku"]: r for r in cards.sku_performance(lines, roles).collect()}
     assert got["a"]["deviation_pct"] == 100.0 and got["a"]["trend_dev_pct"] == 81.8 and got["a"]["house_growth_pct"] == 10.0
     assert got["new"]["deviation_pct"] is None and got["new"]["recent_revenue"] == 2.0
-    assert [r[0] for r in rows(cards.promotion_candidates(cards.sku_performance(lines, roles)))] == ["b"]
+    assert [r[0] for r in rows(cards.promotion_candidates(cards.sku_performance(lines, roles), 15))] == ["b"]
 
 
 def test_store_without_transactions_and_zero_baseline(spark):

@@ -77,6 +77,25 @@ def test_no_cross_product_in_the_plan(spark, sf_dir, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["viewer_lake", "lake_metadata"])
+def test_viewers_are_not_exploded_beside_stores(spark, sf_dir, name):
+    plan = PLANS[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(viewer" not in plan and "Join Cross" not in plan
+
+
+def test_visits_take_one_shuffle_of_the_lines(spark, sf_dir):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = PLANS["kpi_strip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("FileScan parquet [l_") == 1
+    # Lines and orders once each; the roll-up fits the partitioning of their join.
+    assert plan.count("Exchange hashpartitioning(txn_id") == 2
+    assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
 def test_facts_are_not_shuffled_to_meet_dimensions(spark):
     plan = PLANS["velocity"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BuildLeft" not in plan.split("FileScan parquet [l_partkey")[0].split("store_id")[0]
