@@ -67,7 +67,7 @@ def combo_attach(
     )
 
 
-def attach_rate(lines: DataFrame, item: str, txn: str = "txn_id", floor: int = ATTACH_FLOOR, n: int = 15) -> DataFrame:
+def attach_rate(lines: DataFrame, item: str, n: int, txn: str = "txn_id", floor: int = ATTACH_FLOOR) -> DataFrame:
     """Of the baskets with A, the share that also hold B, for pairs seen together at least `floor` times; top n.
 
     Each basket becomes its set of items (a taxonomy level, so short), built map-side in the one shuffle of fact
@@ -139,7 +139,7 @@ def heavy_tail_share(lines: DataFrame, by: Sequence[str] = (), fraction: float =
 
 
 def basket_pattern_match(
-    lines: DataFrame, wanted: Sequence[str], lo: int, hi: int, n: int = 1, col: str = "subcategory", txn: str = "txn_id"
+    lines: DataFrame, wanted: Sequence[str], lo: int, hi: int, n: int, col: str = "subcategory", txn: str = "txn_id"
 ) -> DataFrame:
     """Baskets holding every wanted group, with a line count in range; the first n by id."""
     size = F.count(F.lit(1))

@@ -340,7 +340,7 @@ def shortest_name_match(products: DataFrame, keyword: str) -> DataFrame:
     )
 
 
-def taxonomy_mismatch(products: DataFrame, n: int = 6) -> DataFrame:
+def taxonomy_mismatch(products: DataFrame, n: int) -> DataFrame:
     """Products filed by the merchant outside their functional department come first, private label before others."""
     differs = F.col("merchant_department") != F.col("department")
     return products.orderBy(differs.desc(), F.col("private_label").desc(), "sku").limit(n)

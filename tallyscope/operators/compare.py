@@ -128,7 +128,7 @@ def own_drill_breadth(lines: DataFrame, subcategory: str) -> DataFrame:
     )
 
 
-def product_drivers(lines: DataFrame, subcategory: str, n: int = 5) -> DataFrame:
+def product_drivers(lines: DataFrame, subcategory: str, n: int) -> DataFrame:
     return (
         lines.filter(F.col("subcategory") == subcategory)
         .groupBy("product_name")

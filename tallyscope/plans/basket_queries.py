@@ -64,7 +64,7 @@ def _combo_attach(spark, d):
   SELECT item_a, item_b, both_ct, a_baskets, CAST(both_ct AS DOUBLE) / a_baskets AS attach_rate FROM pair JOIN base ON item_a = g
   ORDER BY attach_rate DESC, both_ct DESC, item_a, item_b LIMIT 15""")
 def _attach_rate(spark, d):
-    return baskets.attach_rate(product_lines(spark, d, "category"), "category")
+    return baskets.attach_rate(product_lines(spark, d, "category"), "category", 15)
 
 
 @query("top_companion", f"""WITH {ST}, {IT}, l AS (SELECT it.*, segment FROM it JOIN st USING (store_id)),

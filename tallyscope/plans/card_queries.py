@@ -364,7 +364,7 @@ def _largest_transaction(spark, d):
 @query("taxonomy_mismatch", f"""WITH {PR} SELECT sku, department, merchant_department, private_label FROM pr
   ORDER BY (merchant_department <> department) DESC, private_label DESC, sku LIMIT 6""")
 def _taxonomy_mismatch(spark, d):
-    return cards.taxonomy_mismatch(census.products(spark, d)).select(
+    return cards.taxonomy_mismatch(census.products(spark, d), 6).select(
         "sku", "department", "merchant_department", "private_label"
     )
 

@@ -324,7 +324,7 @@ def _own_drill_breadth(spark, d):
 @query("product_drivers", f"""WITH {LN} SELECT product_name, {avg_money('unit_price')} AS asp, {total('qty')} AS units
 FROM ln WHERE banner_code = '{VIEWER}' AND subcategory = 'red plate' GROUP BY 1 ORDER BY units DESC, product_name LIMIT 5""")
 def _product_drivers(spark, d):
-    return compare.product_drivers(own_lines(spark, d), "red plate")
+    return compare.product_drivers(own_lines(spark, d), "red plate", 5)
 
 
 @query("velocity", f"""WITH {LN} SELECT category, {total('qty')} AS units, {money('line_total')} AS sales FROM ln

@@ -436,7 +436,7 @@ def test_lift_by_hand(spark):
 
 def test_attach_rate_by_hand(spark):
     data = [(t, g) for t in range(10) for g in ("A", "B")] + [(t, "A") for t in range(10, 20)] + [(t, "A") for t in range(10)] + [(99, "A"), (99, "X")]
-    out = rows(baskets.attach_rate(spark.createDataFrame(data, "txn_id int, g string"), "g", floor=5))
+    out = rows(baskets.attach_rate(spark.createDataFrame(data, "txn_id int, g string"), "g", 15, floor=5))
     assert out == [("B", "A", 10, 10, 1.0), ("A", "B", 10, 21, pytest.approx(10 / 21))]
 
 
@@ -530,7 +530,7 @@ def test_basket_measures_on_a_hot_ticket(spark):
             for b in gs - {a}:
                 want[a, b] = want.get((a, b), 0) + 1
     want = {k: v for k, v in want.items() if v >= 40}
-    got = {(r[0], r[1]): r[2] for r in rows(baskets.attach_rate(lines, "g", floor=40, n=500))}
+    got = {(r[0], r[1]): r[2] for r in rows(baskets.attach_rate(lines, "g", 500, floor=40))}
     assert got == want and want
     units = sorted((sum(r["qty"] for r in rs) for rs in per.values()), reverse=True)
     out = baskets.heavy_tail_share(lines).first()
