@@ -3,6 +3,8 @@
 1. Every page is read once as a stream of tags and text.  Its blocks carry the path of the containers around them, each
    generalised to tag and classes with digits blanked.  Menus, headers, footers, sidebars, notices, adverts, forms,
    comments and the like, by element or by class, id and role words, are left out.
+   Words that article text has in its classes too, and ids of headings, paragraphs and sections, count outside the main
+   container only.  A form with most of the page's text is kept.
 2. A container's score is the text below it that is not link text.  The page votes for its best container: the deepest
    that holds nearly all of the best score, an article or main element before others.
 3. Votes are counted per host and path in Spark, combined before the shuffle; a host's winner is the path with most votes.
@@ -43,10 +45,12 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
 INLINE = frozenset((
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "picture", "ruby", "rb", "rt", "rp",
+    "math", "semantics", "annotation", "annotation-xml", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot",
+    "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "menclose", "mmultiscripts",
 ))
 CONTAINERS = frozenset(("html", "body", "div", "article", "main", "section", "center", "td", "th", "figure", "dd"))
 LEFT_OUT = frozenset((
-    "head", "nav", "footer", "aside", "form", "button", "select", "svg", "template", "menu", "dialog", "object", "canvas", "audio", "video", "math",
+    "head", "nav", "footer", "aside", "form", "button", "select", "svg", "template", "menu", "dialog", "object", "canvas", "audio", "video", "annotation", "annotation-xml",
 ))
 LEFT_OUT_WORDS = frozenset((
     "nav", "navbar", "navigation", "menu", "menubar", "header", "masthead", "topbar", "footer", "sidebar", "aside", "complementary", "contentinfo",
@@ -56,6 +60,14 @@ LEFT_OUT_WORDS = frozenset((
     "newsletter", "subscribe", "subscription", "signup", "login", "signin", "search", "breadcrumb", "breadcrumbs", "pagination", "pager",
     "toolbar", "widget", "widgets", "copyright", "disclaimer", "hidden",
 ))
+# Of these, the words that also stand in classes of article text: they count outside the main container only.
+WEAK_WORDS = frozenset((
+    "menu", "header", "masthead", "footer", "aside", "rail", "banner", "promotion", "notice", "notices", "notification", "alert", "overlay", "dialog",
+    "reply", "replies", "respond", "discussion", "social", "related", "recommended", "search", "toolbar", "widget", "widgets", "copyright", "disclaimer",
+    "login", "signin", "signup", "subscription", "consent", "complementary", "contentinfo", "navigation", "modal", "advertising", "sponsors", "sponsor",
+))
+BY_CLASS = frozenset(("p", "section", "h1", "h2", "h3", "h4", "h5", "h6"))  # their ids are made from headings
+NOTE = re.compile(r"(?i)\W*(?:©|\(c\)|copyright\b|all rights reserved)")
 KEPT_WORDS = frozenset(("has", "with", "without", "no"))
 OWN_CLOSES = {  # a start tag that ends an open element of these kinds, up to the nearest container
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -64,34 +76,45 @@ SCOPE = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "main
 SHARE = 0.8
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """(class words, is it to be left out by class, id, role or being hidden)."""
-    classes, names, out = "", [], False
+HARD, WEAK = 2, 1
+
+
+def _attributes(tag: str, raw: str) -> tuple[str, int]:
+    """(class words, HARD if to be left out anywhere by class, id, role or being hidden, WEAK if outside the main container)."""
+    classes, names, mark = "", [], 0
     for m in ATTR.finditer(raw):
         k, v = (m[1] or m[5]).lower(), next((x for x in m.group(2, 3, 4) if x is not None), "")
         if k == "class":
             classes = v
-            names.append(v)
+            names.append((v, False))
         elif k in ("id", "role"):
-            names.append(v)
-        elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
-            out = True
-    for name in " ".join(names).split():
-        words = [w.strip("0123456789").lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name)]
-        if not KEPT_WORDS.intersection(words) and LEFT_OUT_WORDS.intersection(words):
-            out = True
-    return classes, out
+            names.append((v, tag in BY_CLASS))
+        elif k == "hidden" or k == "aria-hidden" and v == "true" and tag != "math" or k == "style" and re.search(r"display\s*:\s*none", v):
+            mark = HARD
+    for value, weak in names:
+        for name in value.split():
+            words = [w.strip("0123456789").lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name)]
+            if not KEPT_WORDS.intersection(words) and (found := LEFT_OUT_WORDS.intersection(words)):
+                mark = max(mark, WEAK if weak or found <= WEAK_WORDS else HARD)
+    return classes, mark
 
 
 def _label(tag: str, classes: str) -> str:
     return ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes.split()})])
 
 
-def blocks_of(html: str, by_words: bool = True) -> list[tuple[tuple[str, ...], str, int]]:
-    """(container path, text, characters of link text) of the blocks in page order, without what is left out."""
+def blocks_of(html: str, by_words: bool = True) -> list[tuple[tuple[str, ...], str, int, int | None, bool]]:
+    """(container path, text, characters of link text, mark, is headline) of the blocks in page order, without what is left out.
+
+    The mark is the number of containers around the outermost element marked WEAK outside an article, None without one.  The
+    text of a form is left out unless it is most of the page's.
+    """
     out = []
-    stack: list[list] = []  # [tag, is left out, is container]
+    stack: list[list] = []  # [tag, is left out, is container, is marked WEAK]
     path: list[str] = []
+    marks: list[int] = []  # containers around the open WEAK elements outside an article
+    weak = forms = heads = 0  # open WEAK elements in an article, forms, headlines
+    in_form: list[bool] = []
     hidden = links = 0  # open elements left out; open anchors
     text: list[str] = []
     linked = 0
@@ -101,15 +124,23 @@ def blocks_of(html: str, by_words: bool = True) -> list[tuple[tuple[str, ...], s
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
-            if joined:
-                out.append((tuple(path), joined, min(linked, len(joined))))
+            of_links = min(linked, len(joined))
+            # Below a WEAK mark in an article, lists of links are no text.
+            if joined and not (weak and 2 * of_links > len(joined)):
+                out.append((tuple(path), joined, of_links, marks[0] if marks else None, heads > 0))
+                in_form.append(forms > 0)
             text.clear()
             linked = 0
 
     def pop():
-        nonlocal hidden, links, inside
-        tag, gone, box = stack.pop()
+        nonlocal hidden, links, inside, weak, forms, heads
+        tag, gone, box, marked = stack.pop()
         hidden -= gone
+        if marked == "outside":
+            marks.pop()
+        weak -= marked == "inside"
+        forms -= tag == "form"
+        heads -= tag == "h1"
         if box:
             path.pop()
         if tag == "a":
@@ -168,11 +199,21 @@ def blocks_of(html: str, by_words: bool = True) -> list[tuple[tuple[str, ...], s
                     break
         if tag in VOID or attrs.endswith("/") and tag not in CONTAINERS:
             continue
-        classes, gone = _attributes(attrs) if attrs.strip() else ("", False)
-        gone = tag in LEFT_OUT or tag == "header" and not inside or by_words and gone and tag not in ("html", "body", "article", "main")
+        classes, mark = _attributes(tag, attrs) if attrs.strip() else ("", 0)
+        if not by_words or tag in ("html", "body", "article", "main"):
+            mark = 0
+        if tag == "header" and not inside:
+            mark = max(mark, WEAK)
+        gone = mark == HARD or tag in LEFT_OUT and tag != "form"
         box = tag in CONTAINERS
-        stack.append([tag, gone, box])
+        marked = "" if mark != WEAK else "inside" if inside else "outside"
+        stack.append([tag, gone, box, marked])
         hidden += gone
+        if marked == "outside":
+            marks.append(len(path))
+        weak += marked == "inside"
+        forms += tag == "form"
+        heads += tag == "h1"
         if box:
             path.append(_label(tag, classes))
         if tag == "a":
@@ -180,6 +221,9 @@ def blocks_of(html: str, by_words: bool = True) -> list[tuple[tuple[str, ...], s
         elif tag in ("article", "main"):
             inside += 1
     flush()
+    sizes = [len(x[1]) - x[2] if x[3] is None else 0 for x in out]
+    if any(in_form) and 2 * sum(n for n, f in zip(sizes, in_form) if f) <= sum(sizes):
+        out = [x for x, f in zip(out, in_form) if not f]
     return out
 
 
@@ -187,13 +231,18 @@ def page_blocks(html: str | None):
     """Blocks of a page; if the words of classes leave nothing, those of the elements alone."""
     if not html:
         return []
-    return blocks_of(html) or blocks_of(html, by_words=False)
+    blocks = blocks_of(html)
+    if any(b[3] is None for b in blocks):
+        return blocks
+    return [(*b[:3], None, b[4]) for b in blocks_of(html, by_words=False)]
 
 
 def best_container(blocks) -> tuple[tuple[str, ...], int] | None:
     """(path, score) of the page's main container."""
     score: dict = defaultdict(int)
-    for path, text, linked in blocks:
+    for path, text, linked, mark, _ in blocks:
+        if mark is not None:
+            continue
         for i in range(len(path) + 1):
             score[path[:i]] += len(text) - linked
     if not score:
@@ -206,7 +255,11 @@ def best_container(blocks) -> tuple[tuple[str, ...], int] | None:
 
 
 def text_below(blocks, path: tuple[str, ...]) -> str:
-    return "\n\n".join(t for p, t, _ in blocks if p[: len(path)] == path)
+    """Text of the blocks below `path`.  WEAK marks inside it do not count, unless it is the page as a whole or the block is links."""
+    n = len(path)
+    whole = not path or path[-1].split(".")[0] in ("html", "body")
+    return "\n\n".join(
+        t for p, t, linked, mark, _ in blocks if p[:n] == path and (mark is None or not whole and mark >= n and 2 * linked <= len(t)))
 
 
 VOTE = T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.LongType())])

@@ -51,3 +51,25 @@ def test_the_host_outvotes_a_page(spark):
     rows = [("http://h/%d" % i, page % ("Long story. " * 50, "short")) for i in range(5)] + [("http://h/9", page % ("Brief.", "Noise " * 300))]
     got = {r["page_id"]: r["text"] for r in html_text.extract(frame(spark, rows)).collect()}
     assert got[5] == "Brief." and got[0] == ("Long story. " * 50).strip()
+
+
+def texts(spark, pages, host="k"):
+    return [r["text"] for r in html_text.extract(frame(spark, [(f"http://{host}{i}/", p) for i, p in enumerate(pages)])).orderBy("page_id").collect()]
+
+
+INSIDE = """<h1 id="related-work">Related work</h1><p class="alert">Mind the step.</p><section id="discussion"><p>We discuss the outcome.</p></section>
+<div class="entry-header"><h2>Title</h2></div><div class="social-search-widget"><p>Search engines and social media.</p></div>
+<p>Mass <math aria-hidden="true"><mi>E</mi><mo>=</mo><mi>m</mi></math> follows.</p><form>Name <input></form><div class="comments">No</div><div class="share">No</div>
+<div class="related"><a href="x">More stories here</a></div>"""
+INSIDE_WANT = ["Related work", "Mind the step.", "We discuss the outcome.", "Title", "Search engines and social media.", "Mass E=m follows."]
+
+
+def test_marks_inside_the_main_container(spark):
+    got = texts(spark, [f"<body><div class='header'>Site of some five words</div>{a}{INSIDE}<p>And a last paragraph of text.</p>{b}<div class='footer'>Foot of the whole page here</div></body>"
+                        for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post'>", "</div>"))])
+    assert got == ["\n\n".join([*INSIDE_WANT, "And a last paragraph of text."])] * 3
+
+
+def test_a_form_around_the_page(spark):
+    page = "<body><form id='aspnetForm'><div class='nav'>Home</div><div class='text'><p>The text of a page within one form.</p></div><button>Go</button></form></body>"
+    assert texts(spark, [page]) == ["The text of a page within one form."]
