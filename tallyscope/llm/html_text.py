@@ -5,11 +5,11 @@
    comments and the like, by element or by class, id and role words, are left out.
    Words that article text has in its classes too, and ids of headings, paragraphs and sections, count outside the main
    container only.  A form with most of the page's text is kept.
-2. A container's score is the text below it that is not link text.  The page votes for its best container: the deepest
-   that holds nearly all of the best score, an article or main element before others.
+2. A container's score is the text below it that is not link text.  The page votes for an article or main element with most
+   of it, else for the smallest container with all article-like blocks: what it leaves behind is links, notes or scraps.
 3. Votes are counted per host and path in Spark, combined before the shuffle; a host's winner is the path with most votes.
 4. Every page is read again and the text below its host's winning path is its main text; a page without that container,
-   or with no text in it, takes its own best.  Winners are broadcast within a checked size, else joined; the pages
+   with no text in it, or with article-like blocks around it takes its own best.  Winners are broadcast within a checked size, else joined; the pages
    themselves move only in the latter case.
 
 Cases: null and empty pages have no text (empty string); urls without host vote together under the empty host; equal
@@ -73,7 +73,7 @@ OWN_CLOSES = {  # a start tag that ends an open element of these kinds, up to th
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 SCOPE = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "html", "td", "th", "aside", "nav", "form", "footer", "header", "blockquote"))
-SHARE = 0.8
+LEAST_WORDS = 5  # of a block that is taken for article text
 
 
 HARD, WEAK = 2, 1
@@ -237,20 +237,30 @@ def page_blocks(html: str | None):
     return [(*b[:3], None, b[4]) for b in blocks_of(html, by_words=False)]
 
 
+def _article_like(text: str, linked: int, headline: bool) -> bool:
+    return 2 * linked <= len(text) and not NOTE.match(text) and (headline or len(text.split()) >= LEAST_WORDS)
+
+
 def best_container(blocks) -> tuple[tuple[str, ...], int] | None:
-    """(path, score) of the page's main container."""
+    """(path, score) of the page's main container: an article or main element with most of the text, else the smallest container
+    that holds all article-like blocks."""
     score: dict = defaultdict(int)
-    for path, text, linked, mark, _ in blocks:
-        if mark is not None:
-            continue
-        for i in range(len(path) + 1):
-            score[path[:i]] += len(text) - linked
+    likes: dict = defaultdict(int)
+    for path, text, linked, mark, headline in blocks:
+        if mark is None:
+            like = _article_like(text, linked, headline)
+            for i in range(len(path) + 1):
+                score[path[:i]] += len(text) - linked
+                likes[path[:i]] += like
     if not score:
         return None
     top = max(score.values())
     article = [p for p in score if p and p[-1].split(".")[0] in ("article", "main") and 2 * score[p] > top]
-    pool = article or [p for p in score if score[p] >= SHARE * top]
-    best = max(pool, key=lambda p: (score[p], -len(p), p)) if article else max(pool, key=lambda p: (len(p), score[p], p))
+    if article:
+        best = max(article, key=lambda p: (score[p], -len(p), p))
+    else:
+        # Without article-like blocks, the one with the best score.
+        best = max((p for p in score if likes[p] == likes[()]), key=lambda p: (len(p), score[p], p) if likes[()] else (score[p], len(p), p))
     return best, score[best]
 
 
@@ -278,8 +288,11 @@ def main_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         out = []
         for html, path in zip(pages, paths):
             blocks = page_blocks(html)
-            text = text_below(blocks, tuple(path.split("/")) if path else ()) if path is not None else ""
-            if not text and (best := best_container(blocks)):
+            host = (tuple(path.split("/")) if path else ()) if path is not None else None
+            text = text_below(blocks, host) if host is not None else ""
+            best = best_container(blocks)
+            # A page that has more article text around its host's container takes all of it.
+            if best and (not text or len(best[0]) < len(host) and host[: len(best[0])] == best[0]):
                 text = text_below(blocks, best[0])
             out.append(text)
         yield pd.Series(out, dtype=object)

@@ -73,3 +73,15 @@ def test_marks_inside_the_main_container(spark):
 def test_a_form_around_the_page(spark):
     page = "<body><form id='aspnetForm'><div class='nav'>Home</div><div class='text'><p>The text of a page within one form.</p></div><button>Go</button></form></body>"
     assert texts(spark, [page]) == ["The text of a page within one form."]
+
+
+def test_no_sibling_block_is_cut(spark):
+    """Lead, body and end note in differently classed containers, also on a page whose lead is most of the text."""
+    page = "<body><div class='menu'><a href=x>a</a></div><div class=post><div class=lead><p>%s</p></div><div class=body><p>%s</p></div><div class=end><p>%s</p></div></div><div class=links><a href=y>One two three four five six</a></div></body>"
+    lead, body, end = "This is the lead of the text.", "The body says a lot of things. " * 8, "A note at the very end."
+    short = "<body><div class=post><div class=body><p>%s</p></div></div></body>" % body
+    rows = [(lead, body, end)] * 3 + [(body, lead, end)]
+    same_host = frame(spark, [(f"http://h/{i}", page % r) for i, r in enumerate(rows)] + [("http://h/s", short)] * 9)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(same_host).collect()}
+    assert [got[i] for i in range(4)] == ["\n\n".join(x.strip() for x in r) for r in rows]
+    assert got[4] == body.strip()
