@@ -19,6 +19,7 @@ from tallyscope.llm import (
     simhash,
     substring_dedup,
     url_filters,
+    whitening,
 )
 from tallyscope.llm.common import table
 from tallyscope.llm.registry import PLANS, SQL, query  # noqa: F401
@@ -141,3 +142,9 @@ def _op5(spark, d):
 @query("op2_html_text")
 def _op2(spark, d):
     return html_text.extract(table(spark, d, "pages"))
+
+
+@query("op11_whitening")
+def _op11(spark, d):
+    """Deviations beyond 63 bits are null: the contract's column is a long."""
+    return whitening.whiten(table(spark, d, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
