@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyscope.llm import (
+    collocations,
     exact_dedup,
     html_text,
     mixing,
+    packing,
     pii,
     quality_classifier,
     quality_rules,
@@ -148,3 +150,32 @@ def _op2(spark, d):
 def _op11(spark, d):
     """Deviations beyond 63 bits are null: the contract's column is a long."""
     return whitening.whiten(table(spark, d, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query("op12_packing")
+def _op12(spark, d):
+    placed = packing.pack(table(spark, d, "documents"))
+    return placed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", F.col("offset").cast("long"))
+
+
+@query("op13_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT lang, k, phrase, ws, f AS a, unnest(range(1, k)) AS j FROM c),
+sc AS (SELECT cut.lang, cut.phrase, a, t.n, j, l.f AS l, r.f AS r,
+    (1000::HUGEINT * a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cut JOIN t ON t.lang = cut.lang JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(ws[1:j], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(ws[j + 1:k], ' ')),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) q(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept)
+SELECT * FROM z WHERE rank <= 2000""")
+def _op13(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
