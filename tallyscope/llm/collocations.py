@@ -21,13 +21,13 @@ table gives no rows; doc_id (null or not) and other columns are ignored, whateve
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,62 +36,95 @@ from tallyscope.llm.common import small_batches, stage
 
 # Fixed values of the contract.
 LONGEST, FLOOR, FIRST, SCALE, INSIDE_PERCENT, NO_LANGUAGE = 5, 100, 2000, 1000, 100, "und"
-END = b"\n"  # a piece end in a sequence: words have no white space of this kind
+END = b"\n "  # a piece end as an element: words have no white space of this kind; every element ends with one space
 _ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n" * 10 + b" ")
-_RUN = re.compile(rb"[\n ]*\n[\n ]*")
 
 OVERLAP = LONGEST - 1
 EVERY = 32  # elements between two chunk starts, on average
 BITS_EACH, MAX_BITS = 16, 1 << 28
-CACHED = 1 << 19  # words whose hashes a task keeps
 _ODD = np.array([xxhash.xxh64_intdigest(f"element {i}") | 1 for i in range(OVERLAP + 1)], np.uint64)
 _MIX = np.uint64(xxhash.xxh64_intdigest("mix") | 1)
-
-
-class WordHashes(dict):
-    """Hash of a word, kept for the next time; a piece end is 0 and no word is."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = 0 if word == END else xxhash.xxh64_intdigest(word) | 1
-        return h
-
-    def of(self, elements: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, elements), np.uint64, len(elements))
-
-
-def elements(text: str | None) -> list[bytes]:
-    """The lower-cased words of a text with an END between its pieces."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
-    return [t for t in _RUN.sub(b" \n ", raw.translate(_ENDS)).split(b" ") if t]
-
-
-def chunks(sequence: list[bytes], hashes: WordHashes) -> list[bytes]:
-    """The parse of one text."""
-    n = len(sequence)
-    if not n:
-        return []
-    sequence = [*sequence, *[END] * OVERLAP]
-    h = hashes.of(sequence)
-    window = sum(h[i : n + i] * _ODD[i] for i in range(OVERLAP))
-    at = np.flatnonzero((window >> np.uint64(33)) % np.uint64(EVERY) == 0)
-    starts = [0, *at[at > 0].tolist()]
-    return [b" ".join(sequence[a:b]) for a, b in zip(starts, [*(s + OVERLAP for s in starts[1:]), n + OVERLAP])]
+_BYTES = np.array([xxhash.xxh64_intdigest(f"byte {i}") for i in range(256)], np.uint64)
+_BASE = xxhash.xxh64_intdigest("base") | 1
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo 2^64."""
+    both = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, x, np.uint64)
+        p[:1] = 1
+        both.append(np.cumprod(p))
+    return both[0], both[1]
+
+
+class Elements:
+    """The elements of a buffer in which each ends with a space: where they lie, hashes, and exact numbers of equal ones."""
+
+    def __init__(self, data: bytes):
+        flat = np.frombuffer(data, np.uint8)
+        self.data = data
+        self.offsets = np.r_[0, np.flatnonzero(flat == 32) + 1].astype(np.int32)
+        self.word = flat[self.offsets[:-1]] != END[0]
+        # Polynomials of the bytes, from sums along the buffer: the place of a word cancels out.
+        up, down = powers(1 << len(flat).bit_length())
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * up[: len(flat)])]
+        self.h = mixed((sums[self.offsets[1:]] - sums[self.offsets[:-1]]) * down[self.offsets[:-1]])
+
+    def __len__(self) -> int:
+        return len(self.h)
+
+    @cached_property
+    def code(self) -> np.ndarray:
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(self.offsets), pa.py_buffer(self.data)])
+        return words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def normalised(text: str | None) -> bytes:
+    """The lower-cased words of a text, an END for every end of a piece and OVERLAP more; nothing if it is blank."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower().translate(_ENDS)  # bytes: A-Z only
+    raw = b" ".join(filter(None, raw.replace(b"\n", b" \n ").split(b" ")))
+    return raw + b" " + END * OVERLAP if raw else b""
+
+
+def chunks(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The parse of normalised texts: their chunks, and the place of each one's text in the list."""
+    kept = [i for i, t in enumerate(texts) if t]
+    if not kept:
+        return [], np.zeros(0, np.int64)
+    data = b"".join(texts[i] for i in kept)
+    e = Elements(data)
+    n, ends = len(e), np.searchsorted(e.offsets, np.cumsum([len(texts[i]) for i in kept]))
+    begins = np.r_[0, ends[:-1]]
+    start = np.zeros(n, bool)
+    window = sum(e.h[i : n - OVERLAP + i] * _ODD[i] for i in range(OVERLAP))
+    start[: len(window)] = (window >> np.uint64(33)) % np.uint64(EVERY) == 0
+    for i in range(1, OVERLAP + 1):
+        start[ends - i] = False  # the ends behind a text start nothing
+    start[begins] = True
+    first = np.flatnonzero(start)
+    owner = np.searchsorted(begins, first, "right") - 1
+    # A chunk runs on over the place that starts the next one of its text.
+    last = np.minimum(np.r_[first[1:] + OVERLAP, n], ends[owner])
+    a, b = e.offsets[first].tolist(), e.offsets[last].tolist()
+    return [data[x:y] for x, y in zip(a, b)], np.array(kept)[owner]
 
 
 def parse(docs: DataFrame) -> DataFrame:
     """(lang, chunk, n): the dictionary of each language and how often the parse has each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            seen: Counter = Counter()
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen.update((lang, c) for c in chunks(elements(text), hashes))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())],
-                names=["lang", "chunk", "n"])
+            found, owner = chunks([normalised(t) for t in b.column(1).to_pylist()])
+            rows = pa.table({"lang": b.column(0).take(pa.array(owner)), "chunk": pa.array(found, pa.binary())})
+            counted = rows.group_by(["lang", "chunk"]).aggregate([([], "count_all")]).rename_columns(["lang", "chunk", "n"])
+            yield from counted.cast(pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("n", pa.int64())])).to_batches()
 
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
     return rows.mapInArrow(run, "lang string, chunk binary, n long").groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
@@ -137,36 +170,27 @@ def bitmaps(keys: DataFrame, count: int) -> Iterator[Bitmap]:
 class Batch:
     """The elements of a batch of chunks, one after the other, with the hashes of the phrases that start at each."""
 
-    def __init__(self, b: pa.RecordBatch, hashes: WordHashes, seeds: dict[str, int]):
-        rows = b.column(1).to_pylist()
-        self.langs, self.words = b.column(0).to_pylist(), b" ".join(rows).split(b" ") if rows else []
-        counts = np.array([c.count(b" ") + 1 for c in rows], np.int64)
-        self.chunk = np.repeat(np.arange(len(rows)), counts)
-        self.weight = b.column(2).to_numpy()[self.chunk]
-        for lang in set(self.langs):
-            seeds.setdefault(lang, xxhash.xxh64_intdigest(lang))
-        self.h = hashes.of(self.words)
-        self.word = self.h != 0
-        self.start = np.ones(len(self.words), bool)
-        last = np.cumsum(counts)
+    def __init__(self, b: pa.RecordBatch):
+        langs = b.column(0).dictionary_encode()
+        self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
+        self.n = b.column(2).to_numpy()
+        self.e = Elements(b"".join(b.column(1).to_pylist()))
+        last = np.searchsorted(self.e.offsets, np.cumsum(pc.binary_length(b.column(1)).to_numpy()))
+        self.chunk = np.repeat(np.arange(len(last)), np.diff(np.r_[0, last]))
+        self.weight, self.start = self.n[self.chunk], np.ones(len(self.e), bool)
         for i in range(1, OVERLAP + 1):
             self.start[last - i] = False
-        lang = np.array([seeds[x] for x in self.langs], np.uint64)
-        self.one = self._mixed((self.h ^ lang[self.chunk]) * _ODD[0])
-
-    @staticmethod
-    def _mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(32))) * _MIX
-        return x ^ (x >> np.uint64(29))
+        seeds = np.fromiter((xxhash.xxh64_intdigest(x) for x in self.langs), np.uint64, len(self.langs))
+        self.one = mixed((self.e.h ^ seeds[self.lang[self.chunk]]) * _ODD[0])
 
     def levels(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(k, hash of the k words from each place, whether they are words all of one piece)."""
-        key, ok = self.one, self.word
+        key, ok = self.one, self.e.word
         yield 1, key, ok
         for k in range(2, longest + 1):
             tail = self.one[k - 1 :]
-            key = self._mixed(key[: len(tail)] * _ODD[k - 1] + tail)
-            ok = ok[: len(tail)] & self.word[k - 1 :]
+            key = mixed(key[: len(tail)] * _ODD[k - 1] + tail)
+            ok = ok[: len(tail)] & self.e.word[k - 1 :]
             yield k, key, ok
 
 
@@ -180,6 +204,26 @@ def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights[order], first)
 
 
+def phrases_at(x: Batch, where: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct phrase of k words, the weights of its places), told apart by language and words."""
+    if not len(where):
+        return where, np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    where, keys = where[order], keys[order]
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    lead = where[first][np.cumsum(first) - 1]
+    same = x.lang[x.chunk[where]] == x.lang[x.chunk[lead]]
+    for j in range(k):
+        same &= x.e.code[where + j] == x.e.code[lead + j]
+    if not same.all():  # phrases with one hash: compared by their words
+        columns = np.stack([x.lang[x.chunk[where]], *(x.e.code[where + j] for j in range(k))], axis=1)
+        _, at, group = np.unique(columns, axis=0, return_index=True, return_inverse=True)
+        sums = np.zeros(len(at), np.int64)
+        np.add.at(sums, group.ravel(), x.weight[where])
+        return where[at], sums
+    return where[first], np.add.reduceat(x.weight[where], np.flatnonzero(first))
+
+
 def count_level(dictionary: DataFrame, k: int, shorter: Bitmap | None) -> DataFrame:
     """(lang, key, n): weighted hashed counts per task of the phrases of k words whose parts may be frequent.
 
@@ -188,9 +232,9 @@ def count_level(dictionary: DataFrame, k: int, shorter: Bitmap | None) -> DataFr
     known = dictionary.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seeds, less = WordHashes(), {}, known.value
+        less = known.value
         for b in batches:
-            x, before = Batch(b, hashes, seeds), None
+            x, before = Batch(b), None
             for level, key, ok in x.levels(k):
                 if level < k:
                     before = key
@@ -201,17 +245,15 @@ def count_level(dictionary: DataFrame, k: int, shorter: Bitmap | None) -> DataFr
                 nxt = before[1 : n + 1][at]
                 at[at] = less.has(nxt) | ~less.here(nxt)
             keys, n = grouped(key[at], x.weight[: len(at)][at])
-            langs = [None] * len(keys)
+            langs, totals = [None] * len(keys), []
             if k == 1:
-                totals = np.bincount(x.chunk[at], minlength=len(x.langs)) * b.column(2).to_numpy()
-                per = Counter()
-                for lang, t in zip(x.langs, totals.tolist()):
-                    per[lang] += t
-                langs += list(per)
-                n = np.r_[n, np.array(list(per.values()), np.int64)]
-            none = pa.nulls(len(langs) - len(keys), pa.int64())
+                words = np.bincount(x.chunk[at], minlength=len(x.n)) * x.n
+                totals = [int(words[x.lang == i].sum()) for i in range(len(x.langs))]
+                langs += x.langs
+            none = pa.nulls(len(totals), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.concat_arrays([pa.array(keys.view(np.int64)), none]), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
+                [pa.array(langs, pa.string()), pa.concat_arrays([pa.array(keys.view(np.int64)), none]), pa.array(np.r_[n, np.array(totals, np.int64)].astype(np.int64))],
+                names=["lang", "key", "n"])
 
     return dictionary.mapInArrow(run, "lang string, key long, n long")
 
@@ -221,21 +263,21 @@ def phrases_of(dictionary: DataFrame, ranges: list[Bitmap]) -> DataFrame:
     known = dictionary.sparkSession.sparkContext.broadcast(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seeds, maps = WordHashes(), {}, known.value
+        maps = known.value
         for b in batches:
-            x, out = Batch(b, hashes, seeds), Counter()
+            x = Batch(b)
             for k, key, ok in x.levels(len(maps)):
                 m = maps[k - 1]
                 if m is None:
                     continue
                 at = ok & x.start[: len(ok)]
                 at[at] = m.here(key[at]) & m.has(key[at])
-                where = np.flatnonzero(at)
-                for i, c, n in zip(where.tolist(), x.chunk[where].tolist(), x.weight[where].tolist()):
-                    out[x.langs[c], k, x.words[i] if k == 1 else b" ".join(x.words[i : i + k])] += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary()), pa.array(list(out.values()), pa.int64())],
-                names=["lang", "words", "phrase", "n"])
+                where, n = phrases_at(x, np.flatnonzero(at), key[at], k)
+                first, last = x.e.offsets[where].tolist(), (x.e.offsets[where + k] - 1).tolist()
+                langs = pa.array(x.langs, pa.string()).take(pa.array(x.lang[x.chunk[where]]))
+                yield pa.RecordBatch.from_arrays(
+                    [langs, pa.array([k] * len(where), pa.int32()), pa.array([x.e.data[i:j] for i, j in zip(first, last)], pa.binary()), pa.array(n.astype(np.int64))],
+                    names=["lang", "words", "phrase", "n"])
 
     return dictionary.mapInArrow(run, "lang string, words int, phrase binary, n long")
 
