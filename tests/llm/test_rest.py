@@ -12,7 +12,7 @@ from tallyscope.llm import mixing, quality_classifier, quality_rules, sentencepi
 from tallyscope.llm.common import table
 from tallyscope.llm.queries import PLANS, SQL
 from tests.compare import compare, connect
-from tests.llm import brute
+from tests.llm import brute, test_near
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -195,8 +195,7 @@ def test_pipeline_against_brute_force(spark, sf_dir, voc):
     last = {}
     for d in sorted(kept):
         last[norm[d]] = d
-    near = brute.near_groups([(d, rows[d]["text"]) for d in last.values()])
-    left = [d for d in near if near[d][1] == d]
+    left = [d for d, _ in test_near.groups([(d, rows[d]["text"]) for d in last.values()])]
     mixed = brute.mix([(d, rows[d]["source"], rows[d]["text"]) for d in left])
     want = Counter({d: taken // size for d, size, _, _, taken in mixed if taken})
     got = corpus_pipeline.run(spark, sf_dir).collect()
