@@ -6,8 +6,10 @@ with possessive quantifiers and a look-behind at the start of a run, which finds
 Terms: a term is a run of letters, A-Z lower-cased.  Over all lines of the corpus, p(c) is the share of lines with an
 entity of kind c and p(c|t) that share among the lines with term t.  The disclosure of c by t is the pointwise mutual
 information log2(p(c|t) / p(c)) divided by the information of c, -log2 p(c): 0 if the term says nothing, 1 if it gives the kind
-away for certain.  In lines that hold an entity of kind c, terms that disclose c by GENERALISE or more are generalised
-(to [TERM]), by REMOVE or more removed, if at least MIN_LINES lines support it.  Other lines are left alone.
+away for certain.  p(c|t) comes from the other lines with t, leaving out the line that is judged, and PRIOR lines of the
+corpus's share p(c) beside them.  That damps terms of few lines without a floor: two lines are enough to be generalised, and
+a word that no other line has tells nothing that the corpus knows.  In lines that hold an entity of kind c, terms that disclose
+c by GENERALISE or more are generalised (to [TERM]), by REMOVE or more removed.  Other lines are left alone.
 
 Places of matches are sums of gap and match lengths, taken by a window per document over exploded rows, so that a text
 with very many matches stays linear.  One scan of the texts finds the matches and writes them with a row number to the
@@ -34,7 +36,7 @@ PATTERNS = {
 }
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 TERMS = r"\p{L}{2,}+"
-GENERALISE, REMOVE, MIN_LINES = 0.75, 0.95, 5
+GENERALISE, REMOVE, PRIOR = 0.75, 0.95, 0.5
 
 
 def _luhn(digits: Column) -> Column:
@@ -130,10 +132,11 @@ def disclosures(seen: DataFrame, in_lines: DataFrame, counts: DataFrame) -> Data
     """(kind, term, disclosure) of terms that reach GENERALISE.  seen: (row, line, kind, term), distinct."""
     total = counts.filter("term IS NULL").select(F.col("lines").alias("all_lines"))
     kinds = in_lines.groupBy("kind").agg(F.count(F.lit(1)).alias("kind_lines"))
-    both = seen.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= MIN_LINES)
+    both = seen.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both"))
     d = both.join(counts.filter("term IS NOT NULL"), "term").join(F.broadcast(kinds), "kind")  # one row per kind: four
     d = d.withColumn("p", F.col("kind_lines") / total.scalar())
-    pmi = F.log2(F.least(F.col("both") / F.col("lines"), F.lit(1.0)) / F.col("p"))
+    given = (F.least("both", "lines") - 1 + PRIOR * F.col("p")) / (F.col("lines") - 1 + PRIOR)
+    pmi = F.log2(given / F.col("p"))
     d = d.withColumn("disclosure", F.when(F.col("p") < 1, pmi / -F.log2("p")).otherwise(0.0))
     return d.filter(F.col("disclosure") >= GENERALISE).select("kind", "term", "disclosure")
 

@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -80,6 +83,60 @@ def test_telling_terms_are_marked_in_lines_with_entities_only(spark):
     assert all(not got[100 + i] for i in range(8))
 
 
+def plain_terms(texts):
+    """Term spans by plain loops over lines: every term is scored, however few lines it has."""
+    lines, both, kinds, n = Counter(), Counter(), Counter(), 0
+    held = []
+    for d, text in texts:
+        spans = [tuple(s.split(":")) for s in brute(text)[2].split(",") if s]
+        at = 0
+        for line in text.split("\n"):
+            inside = [(k, int(a), int(b)) for k, a, b in spans if at <= int(a) <= at + len(line) and int(a) < at + len(line) + 1]
+            words = [(m.start() + at, m.end() + at, m.group().lower()) for m in re.finditer(r"[^\W\d_]{2,}", line)]
+            n += 1
+            lines.update({w for _, _, w in words})
+            free = [w for w in words if not any(int(a) < w[1] and w[0] < int(b) for _, a, b in inside)]
+            for k in {k for k, _, _ in inside}:
+                kinds[k] += 1
+                both.update({(k, w[2]) for w in free})
+                held.append((d, k, free))
+            at += len(line) + 1
+    out = set()
+    for d, k, free in held:
+        p = kinds[k] / n
+        for a, b, w in free:
+            given = (both[k, w] - 1 + pii.PRIOR * p) / (lines[w] - 1 + pii.PRIOR)
+            if p < 1 and math.log2(given / p) / -math.log2(p) >= pii.GENERALISE:
+                out.add((d, a, b))
+    return out
+
+
+def test_term_spans_match_plain_loops(spark):
+    rng = random.Random(7)
+    names = [f"name{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    texts = []
+    for d in range(60):
+        out = []
+        for _ in range(rng.randrange(1, 7)):
+            words = [rng.choice(["the", "of", "mail", "call", "note"]) for _ in range(rng.randrange(1, 6))]
+            if rng.random() < 0.4:
+                i = rng.randrange(20)
+                words += [names[i], ["a@b.cc", "+1 555 0100 999", "10.0.0.1"][i % 3]]
+            elif rng.random() < 0.1:
+                words.append(rng.choice(names))
+            out.append(" ".join(words))
+        texts.append((d, "\n".join(out)))
+    got = {(r["doc_id"], int(s.split(":")[1]), int(s.split(":")[2])) for r in pii.report(frame(spark, texts)).collect() for s in r["spans"].split(",") if s.startswith("term:")}
+    want = plain_terms(texts)
+    assert got == want and len(want) > 30
+
+
+def test_a_name_of_two_lines_is_not_left_out(spark):
+    rows = [(i, f"the note of line {i}\nand the rest") for i in range(60)] + [(90, "the note of zebulon a@b.cc"), (91, "zebulon: b@b.cc")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(frame(spark, rows)).collect()}
+    assert "term:12:19" in got[90].split(",") and "term:0:7" in got[91].split(",") and not any(got[i] for i in range(60))
+
+
 def test_sanitised_text(spark):
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, [*TOLD, (200, None), (201, "call +1 (555) 010-9999, 10.0.0.1!")])).collect()}
     assert out[3] == " holder mail [EMAIL] today\nplain line 3"
