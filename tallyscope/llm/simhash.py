@@ -1,8 +1,8 @@
 """SimHash near-dedup with pivot distance tables.
 
 1. Fingerprints: one narrow pass; the bits of all shingle hashes of a text are counted in numpy.
-2. Equal fingerprints become one node (least doc_id), combined before the shuffle: copies, a third of all rows or not,
-   are never paired with each other.
+2. Equal fingerprints become one node, named by the fingerprint and combined before the shuffle: copies, a third of all
+   rows or not, are never paired with each other.  The least doc_id of a component is taken at the end.
 3. Candidates: two fingerprints that differ in at most 3 bits agree in at least 3 of 6 blocks, so they meet under one of
    the 20 keys made of 3 blocks.  Each node carries its pivot table row, its Hamming distances to PIVOTS reference
    fingerprints; by the triangle inequality a pair whose coordinates differ by more than 3 anywhere is discarded, and the
@@ -13,7 +13,7 @@
 No link between different fingerprints is lost and no bucket is capped.
 
 Cases: null and blank texts have fingerprint zero and are linked like any other; a null doc_id is a row of its own whose
-component is the least doc_id reachable from its fingerprint, null if there is none; rows that repeat are kept; an empty table gives no rows;
+component is the least doc_id reachable from its fingerprint, null if there is none, and through which others are linked as through any; rows that repeat are kept; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -145,11 +145,12 @@ def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, fingerprint (hex), component_id (least doc_id reachable) and the columns named in `carry`."""
     small_batches(docs.sparkSession)
     fps = stage(docs.select("doc_id", *carry, fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
-    # A node is named by its least doc_id; fingerprints that only rows without doc_id have are left without a node.
-    nodes = fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = stage(nodes, "nodes")
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "nodes")
     owner = components(links(nodes))
-    of_fp = nodes.join(owner, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    placed = nodes.join(owner, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    # The nodes of a large component are combined before they meet: one row per task.
+    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = placed.join(ids, "component").select("fp", "component_id")
     out = fps.join(of_fp, "fp", "left")
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", *carry)
 

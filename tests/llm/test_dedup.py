@@ -43,6 +43,15 @@ def test_simhash_cases(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
 
 
+def test_rows_without_id_link_others(spark, monkeypatch):
+    """Fingerprints 0 and 63 are 6 bits apart and joined only through 7, which a row without doc_id has."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda text: text.cast("long"))
+    rows = [(4, "0"), (None, "7"), (3, "63"), (None, str(1 << 40)), (9, str(1 << 20)), (9, str(1 << 20)), (8, str((1 << 20) + 1023 * 1024))]
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, int(r["fingerprint"], 16), r["component_id"]) for r in got) == sorted(
+        [(4, 0, 3), (0, 7, 3), (3, 63, 3), (0, 1 << 40, 3), (9, 1 << 20, 3), (9, 1 << 20, 3), (8, (1 << 20) + 1023 * 1024, 8)])
+
+
 def test_links_lose_no_pair(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60, dtype=np.int64)
