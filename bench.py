@@ -54,7 +54,7 @@ def published_lake(spark, sf_dir: str, runs: int) -> dict[str, float]:
         return min(took)
 
     def published():
-        return spark.table("lake_transactions")
+        return spark.table("lake_segment_transactions")
 
     metrics = {"units": F.sum("qty"), "asp": mean_money("unit_price"), "sales": sum_money("line_total")}
     times["published_category_aggregate"] = best(lambda: compare.peer_aggregate(published(), ["category"], metrics))

@@ -69,12 +69,20 @@ def pct_change(recent: Column, base: Column) -> Column:
     return (ratio(recent, base) - 1) * 100
 
 
-FIXED = 100_000_000
+FIXED = "decimal(30,8)"  # sums of it have 30 digits before the point
+
+
+def _fixed(c: Column | str, where: Column | None) -> Column:
+    value = _col(c).try_cast(FIXED)
+    return value if where is None else F.when(where, value)
+
+
+def sum_fixed(c: Column | str, where: Column | None = None) -> Column:
+    """Sum of numbers of any unit to 8 decimals, free of the order of rows; what is no finite number counts as missing."""
+    return F.sum(_fixed(c, where)).cast("double")
 
 
 def mean_fixed(c: Column | str, where: Column | None = None) -> Column:
-    """Mean of fractions as fixed-point numbers (8 decimals), free of the order of rows."""
-    value = F.rint(_col(c) * FIXED).cast("bigint")
-    if where is not None:
-        value = F.when(where, value)
-    return F.try_divide(F.sum(value).cast("double") / FIXED, F.count(value).cast("double"))
+    """Mean of numbers of any unit to 8 decimals, free of the order of rows; what is no finite number counts as missing."""
+    value = _fixed(c, where)
+    return F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double"))

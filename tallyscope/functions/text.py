@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope.functions.joins import bounded
+
 WORD_CHAR = r"\p{L}\p{N}_"
 
 
@@ -17,14 +19,51 @@ def whole_word(term: str) -> str:
     return f"{t}(?<![{WORD_CHAR}]{t})(?![{WORD_CHAR}])"
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text in order, cut once, whatever they are looked up in."""
+    return F.regexp_extract_all(text, F.lit(rf"([{WORD_CHAR}]+)"), F.lit(1))
+
+
 def mentions(text: Column, terms: Sequence[str]) -> Column:
     """Array of the terms that occur in the text as whole words, in the order given.
 
-    A plain substring search comes first: most texts never reach the pattern.
+    Terms of one word are an intersection with the text's words, one hash set per text; only longer ones are searched for.
     """
-    return F.array_compact(
-        F.array(*[F.when(text.contains(t) & text.rlike(whole_word(t)), F.lit(t)) for t in terms])
-    )
+    single = [t for t in terms if re.fullmatch(r"\w+", t)]
+    found = F.array_intersect(F.array(*[F.lit(t) for t in single]).cast("array<string>"), words_of(text))
+    if len(single) == len(terms):
+        return F.coalesce(found, F.array().cast("array<string>"))
+    longer = [F.when(text.contains(t) & text.rlike(whole_word(t)), F.lit(t)) for t in terms if t not in single]
+    either = F.concat(F.coalesce(found, F.array().cast("array<string>")), F.array_compact(F.array(*longer)))
+    return F.array_intersect(F.array(*[F.lit(t) for t in terms]), either)
+
+
+def name_mentions(rows: DataFrame, key: str, text: str, names: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, …carry, name, …): a row for every place where a text has a name as a whole word.
+
+    An inverted lookup: a text is cut once before each of its words, every cut meets the names that start with its word
+    in one equi-join, and the words behind are verified by position.  The cost is the text plus the hits, however
+    many names there are.  Each cut carries only as many words as the longest name; a name without any word never matches.
+    """
+    word_start = rf"(?<![{WORD_CHAR}])(?=[{WORD_CHAR}])"
+    known = names.filter(F.col("name").rlike(f"[{WORD_CHAR}]")).withColumns({
+        "_first": F.regexp_extract("name", f"([{WORD_CHAR}]+)", 1), "_lead": F.regexp_extract("name", f"^([^{WORD_CHAR}]*)", 1),
+        "_rest": F.regexp_replace("name", f"^[^{WORD_CHAR}]+", "")})
+    widest = known.agg(F.coalesce(F.max(F.size(words_of(F.col("name")))), F.lit(1)) + 1).scalar()
+    cuts = rows.select(key, *carry, F.split(text, word_start, -1).alias("_s"))
+    # The piece before a word is needed for names that start with other characters, and for nothing else.
+    around = F.transform("_s", lambda s, i: F.struct(
+        F.regexp_extract(s, rf"^([{WORD_CHAR}]+)", 1).alias("_first"),
+        F.array_join(F.slice("_s", i + 1, F.col("_widest")), "").alias("_ahead"),
+        F.coalesce(F.regexp_extract(F.get("_s", i - 1), rf"([^{WORD_CHAR}]*)$", 1), F.lit("")).alias("_before"),
+        (F.coalesce(F.get("_s", i - 1), F.lit("")).rlike(rf"^[{WORD_CHAR}]")).alias("_word_before")))
+    at = cuts.withColumn("_widest", widest).select(key, *carry, F.inline(around)).filter("_first != ''")
+    met = at.join(bounded(known), "_first")
+    tail = F.expr("substring(_ahead, length(_rest) + 1, 1)")
+    # In front of a leading sign there must be no word character either.
+    front = (F.col("_lead") == "") | (F.col("_before").endswith(F.col("_lead")) & ((F.length("_before") > F.length("_lead")) | ~F.col("_word_before")))
+    hit = F.col("_ahead").startswith(F.col("_rest")) & ~tail.rlike(f"[{WORD_CHAR}]") & front
+    return met.filter(hit).drop("_first", "_ahead", "_before", "_word_before", "_lead", "_rest")
 
 
 # A number with optional approximation marker, currency sign and unit.
@@ -33,17 +72,23 @@ NUMBER = (
     r"(?:\s*%|\s*x|\s*×|\s*bps)?"
 )
 # Words that decide whether a bare number is a metric.
-METRIC_WORDS = (
-    "index indices share shares rate rates pct percent percentage percentages points basis ratio ratios "
-    "multiplier multipliers premium discount uplift lift delta deltas change growth"
-).split()
-STRUCTURAL_FOLLOWERS = (
-    "merchant merchants store stores zone zones region regions week weeks month months day days year years "
-    "quarter quarters category categories subcategory subcategories customer customers shopper shoppers "
-    "transaction transactions txn txns basket baskets order orders brand brands banner banners product products "
-    "sku skus site sites location locations period periods row rows"
-).split()
-STRUCTURAL_PREFIXES = "zone z region q quarter period phase step stage tier wave".split()
+METRIC_WORDS = [
+    "index", "indices", "share", "shares", "rate", "rates", "pct", "percent", "percentage", "percentages", "points",
+    "basis", "ratio", "ratios", "multiplier", "multipliers", "premium", "discount", "uplift", "lift", "delta",
+    "deltas", "change", "growth",
+]
+STRUCTURAL_FOLLOWERS = [
+    "merchant", "merchants", "store", "stores", "zone", "zones", "region", "regions", "week", "weeks", "month",
+    "months", "day", "days", "year", "years", "quarter", "quarters", "category", "categories", "subcategory",
+    "subcategories", "customer", "customers", "shopper", "shoppers", "transaction", "transactions", "txn", "txns",
+    "basket", "baskets", "order", "orders", "brand", "brands", "banner", "banners", "product", "products", "sku",
+    "skus", "site", "sites", "location", "locations", "period", "periods", "row", "rows",
+]
+STRUCTURAL_PREFIXES = [
+    "zone", "z", "region", "q", "quarter", "period", "phase", "step", "stage", "tier", "wave",
+]
+
+OUTER = 64  # characters kept at either end of a long gap between two numbers; they hold its two outer words
 
 
 def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,13 +97,21 @@ def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     `skipped` is the length of the gap before the token.
 
     Texts are cut once into tokens and the gaps between them.  The two words on either side of a token lie within
-    two neighbouring tokens and three gaps, which are taken whole.
+    two neighbouring tokens and three gaps.  Of a long gap only its two ends are carried, where each has three words, so that the outer
+    two are whole; else all of it.
     """
     cut = df.filter(F.col(text).rlike(r"\d")).select(
         key,
         F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)).alias("_t"),
         F.split(text, NUMBER, -1).alias("_g"),
     )
+    three = rf"(?:[{WORD_CHAR}]+[^{WORD_CHAR}]+){{2}}[{WORD_CHAR}]"
+
+    def ends(g: Column) -> Column:
+        left, right = F.substring(g, 1, OUTER), F.substring(g, -OUTER, OUTER)
+        return F.when((F.length(g) > 2 * OUTER) & left.rlike(three) & right.rlike(three), F.concat(left, F.lit(" "), right)).otherwise(g)
+
+    cut = cut.select(key, "_t", F.transform("_g", F.length).alias("_n"), F.transform("_g", ends).alias("_g"))
 
     def token(i: Column) -> Column:
         return F.coalesce(F.when(i >= 0, F.get("_t", i)), F.lit(""))
@@ -69,7 +122,7 @@ def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     def around(t: Column, i: Column) -> Column:
         left = F.concat(gap(i - 2), token(i - 2), gap(i - 1), token(i - 1), gap(i))
         right = F.concat(gap(i + 1), token(i + 1), gap(i + 2), token(i + 2), gap(i + 3))
-        return F.struct(t.alias("token"), F.length(gap(i)).alias("skipped"), left.alias("left"), right.alias("right"))
+        return F.struct(t.alias("token"), F.get("_n", i).alias("skipped"), left.alias("left"), right.alias("right"))
 
     return cut.select(key, F.posexplode(F.transform("_t", around)).alias("pos", "_x")).select(key, "pos", "_x.*")
 

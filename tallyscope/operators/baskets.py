@@ -67,29 +67,39 @@ def combo_attach(
     )
 
 
-def attach_rate(lines: DataFrame, item: str, n: int, txn: str = "txn_id", floor: int = ATTACH_FLOOR) -> DataFrame:
+def full_buckets(pairs: DataFrame, weight: str, bucket: Column, n_buckets: int, floor: int) -> Column:
+    """Array of `n_buckets` / 64 longs whose bits are the buckets with a total weight of `floor` or more; a scalar.
+
+    Its size is fixed: it depends neither on the pairs nor on the items.
+    """
+    full = pairs.groupBy(bucket.alias("_b")).agg(F.sum(weight).alias("_m")).filter(F.col("_m") >= floor)
+    longs = full.groupBy(F.shiftright("_b", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_b & 63 AS INT))")).alias("bits"))
+    every = pairs.sparkSession.range(n_buckets // 64).join(longs, "id", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w")).select("w.bits").scalar()
+
+
+def attach_rate(lines: DataFrame, item: str, n: int, txn: str = "txn_id", floor: int = ATTACH_FLOOR, n_buckets: int = 1 << 20) -> DataFrame:
     """Of the baskets with A, the share that also hold B, for pairs seen together at least `floor` times; top n.
 
-    Each basket becomes its set of items (a taxonomy level, so short), built map-side in the one shuffle of fact
-    size; equal sets are counted once.  A pair cannot reach the floor unless both items do, so rarer items leave the
-    sets before pairs are formed, and pairs come from distinct sets only, never from joining baskets with themselves.
+    Items below the floor leave by an equi-join on the item.  Each basket becomes its set of items, equal sets are
+    counted once, and pairs come from distinct sets only.  A first pass adds up the pairs in hash buckets; the second counts
+    exactly those pairs whose bucket reached the floor, so rare pairs are never shuffled one by one.
     """
+    held = lines.filter(F.col(item).isNotNull()).select(txn, F.col(item).alias("item")).distinct()
+    base = held.groupBy("item").agg(F.count(F.lit(1)).alias("a_baskets")).filter(F.col("a_baskets") >= floor)
     sets = (
-        lines.filter(F.col(item).isNotNull()).groupBy(txn).agg(F.array_sort(F.collect_set(item)).alias("items"))
-        .groupBy("items").agg(F.count(F.lit(1)).alias("m"))
-    )
-    base = (
-        sets.select("m", F.explode("items").alias("item_a")).groupBy("item_a").agg(F.sum("m").alias("a_baskets"))
-        .filter(F.col("a_baskets") >= floor)
-    )
-    frequent = base.agg(F.collect_set("item_a")).scalar()
-    pruned = sets.withColumn("items", F.array_intersect("items", frequent)).filter(F.size("items") > 1)
-    pairs = (
-        pruned.select("m", "items", F.explode("items").alias("item_a"))
-        .select("m", "item_a", F.explode(F.array_remove("items", F.col("item_a"))).alias("item_b"))
-        .groupBy("item_a", "item_b").agg(F.sum("m").alias("both_ct")).filter(F.col("both_ct") >= floor)
+        held.join(base.select("item"), "item", "left_semi").groupBy(txn).agg(F.array_sort(F.collect_list("item")).alias("items"))
+        .filter(F.size("items") > 1).groupBy("items").agg(F.count(F.lit(1)).alias("m"))
     )
-    return pairs.join(base, "item_a").select(
+    pairs = sets.select("m", "items", F.posexplode("items").alias("i", "item_a")).select(
+        "m", "item_a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"))
+    pairs = pairs.withColumn("_bucket", F.pmod(F.xxhash64("item_a", "item_b"), F.lit(n_buckets)))
+    full = full_buckets(pairs, "m", F.col("_bucket"), n_buckets, floor)
+    word = F.get(full, F.shiftright("_bucket", 6).cast("int"))
+    may = F.expr("shiftright(_w, CAST(_bucket & 63 AS INT)) & 1") == 1
+    both = pairs.withColumn("_w", word).filter(may).groupBy("item_a", "item_b").agg(F.sum("m").alias("both_ct")).filter(F.col("both_ct") >= floor)
+    ways = F.array(F.struct("item_a", "item_b"), F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")))
+    return both.select("both_ct", F.inline(ways)).join(base.withColumnRenamed("item", "item_a"), "item_a").select(
         "item_a", "item_b", "both_ct", "a_baskets", ratio("both_ct", "a_baskets").alias("attach_rate")
     ).orderBy(F.desc("attach_rate"), F.desc("both_ct"), "item_a", "item_b").limit(n)
 

@@ -1,9 +1,9 @@
 """Verification of stated numbers against result tables, for many answers at once.
 
 Results are tidy rows (frame, row_id, dims, column, value); a claim names a column, a conjunction of dimension
-values and, for several rows, an aggregate.  Instead of testing every claim against every row, each row is keyed
-once per filter SHAPE (the set of dimension names some claim filters on) and rows are aggregated per key; a claim
-then meets at most one aggregated row per frame and key through an equi-join.
+values and, for several rows, an aggregate.  Lookup is a relational division: equal cells are summed into profiles, both
+the filter entries of the claims and the dimensions of the profiles become (name, value) rows, and a claim meets the
+profiles under the values of its rarest name.  Lists of several names are never multiplied.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.money import ratio
-from tallyscope.functions.text import mentions, number_kind, number_tokens, number_value
+from tallyscope.functions.text import mentions, name_mentions, number_kind, number_tokens, number_value
 
 TOLERANCE = 0.01
 EXACT = 1e-9
@@ -22,46 +22,51 @@ EXACT = 1e-9
 FRAME_ORDER = ("merged", "tenant", "lake")
 
 
-def _key(dims: Column, names: Column) -> Column:
-    """Dimension names and values in name order; NULL if a dimension is absent."""
-    return F.to_json(F.transform(names, lambda n: F.struct(n.alias("k"), F.element_at(dims, n).alias("v"))))
+def cell_profiles(results: DataFrame) -> DataFrame:
+    """(frame, column, dims, n, filled, s): result rows of one frame with equal dimensions as one row."""
+    entries = F.array_sort(F.filter(F.map_entries("dims"), lambda e: e["value"].isNotNull()))
+    return results.select("frame", "column", "value", entries.alias("_e")).groupBy("frame", "column", "_e").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"), F.sum("value").alias("s")
+    ).withColumn("dims", F.map_from_entries(F.coalesce("_e", F.array().cast("array<struct<key:string,value:string>>")))).drop("_e")
+
+
+def filter_entries(lookups: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """(…id_cols, column, name, value): one row per listed value, however many names a filter has."""
+    each = lookups.select(*id_cols, "column", F.explode("row_filter").alias("name", "_values"))
+    return each.select(*id_cols, "column", "name", F.explode(F.array_compact(F.array_distinct("_values"))).alias("value"))
+
+
+def leading_names(lookups: DataFrame, profiles: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """(…id_cols, name): of each filter the name whose listed values have the fewest profiles; none if a name has no profile."""
+    spread = profiles.select("column", F.explode("dims").alias("name", "value")).groupBy("column", "name", "value").agg(F.count(F.lit(1)).alias("_spread"))
+    cost = filter_entries(lookups, id_cols).join(spread, ["column", "name", "value"], "left").groupBy(*id_cols, "name").agg(
+        F.coalesce(F.sum("_spread"), F.lit(0)).alias("_cost"))
+    least = cost.groupBy(*id_cols).agg(F.min(F.struct("_cost", "name")).alias("_least"))
+    return least.filter("_least._cost > 0").select(*id_cols, F.col("_least.name").alias("name"))
 
 
 def resolve_lookups(lookups: DataFrame, results: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """True value of each lookup (…id_cols, frame, row_filter, column, agg), NULL when it does not resolve.
 
-    `row_filter` is map<string, array<string>>: several values mean any of them.  No row, or several rows without
-    `agg`, leave a frame unresolved, and so does a NULL cell among the rows; without `frame` the first frame that
-    resolves wins.  A NULL dimension value or filter value matches nothing.
+    `row_filter` is map<string, array<string>>: several values mean any of them; an empty map takes all rows of a frame.
+    No row, or several rows without `agg`, leave a frame unresolved, and so does a NULL cell among the rows; without
+    `frame` the first frame that resolves wins.  A NULL dimension value or filter value matches nothing.
     """
-    names = F.array_sort(F.map_keys("row_filter"))
-    asked = lookups.withColumn("_names", names)
-    shapes = asked.select("_names").distinct().agg(F.collect_set("_names")).scalar()
-    keyed = (
-        results.withColumn("_names", F.explode(shapes))
-        .filter(F.forall("_names", lambda n: F.try_element_at("dims", n).isNotNull()))
-        .select("frame", "column", "value", _key(F.col("dims"), F.col("_names")).alias("_key"))
-        .groupBy("frame", "column", "_key")
-        .agg(F.count(F.lit(1)).alias("_n"), F.count("value").alias("_filled"), F.sum("value").alias("_sum"))
-    )
-    # A claim with value lists has one key per combination of listed values.
-    combos = F.aggregate(
-        F.col("_names"),
-        F.array(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
-        lambda acc, n: F.flatten(F.transform(
-            acc, lambda m: F.transform(
-                F.array_compact(F.array_distinct(F.element_at(F.col("row_filter"), n))),
-                lambda v: F.map_concat(m, F.map_from_arrays(F.array(n), F.array(v))),
-            ))),
-    )
-    claim_keys = asked.select(*id_cols, F.col("frame").alias("_want"), "column", "agg", "_names",
-                              F.explode(combos).alias("_dims"))
-    claim_keys = claim_keys.select(*id_cols, "_want", "column", "agg",
-                                   _key(F.col("_dims"), F.col("_names")).alias("_key"))
-    met = claim_keys.join(keyed, ["column", "_key"]).filter(F.col("_want").isNull() | (F.col("_want") == F.col("frame")))
-    per_frame = met.groupBy(*id_cols, "frame", "agg").agg(
-        F.sum("_n").alias("n"), F.sum("_filled").alias("filled"), F.sum("_sum").alias("s")
-    )
+    profiles = cell_profiles(results)
+    asked = lookups.withColumnRenamed("frame", "_want")
+    by_name = asked.join(leading_names(lookups, profiles, id_cols), list(id_cols))
+    keys = by_name.withColumn("value", F.explode(F.array_compact(F.array_distinct(F.element_at("row_filter", F.col("name"))))))
+    posted = profiles.withColumn("_one", F.explode(F.map_entries("dims"))).select(
+        "frame", "column", F.col("_one.key").alias("name"), F.col("_one.value").alias("value"), "dims", "n", "filled", "s")
+    holds = F.forall(F.map_entries("row_filter"), lambda e: F.coalesce(
+        F.array_contains(e["value"], F.try_element_at("dims", e["key"])), F.lit(False)))
+    wanted = F.col("_want").isNull() | (F.col("_want") == F.col("frame"))
+    shape = [*id_cols, "frame", "agg", "n", "filled", "s"]
+    met = keys.join(posted, ["column", "name", "value"]).filter(wanted & holds).select(*shape)
+    # Claims without a filter take the sums of whole frames.
+    whole = profiles.groupBy("frame", "column").agg(*[F.sum(c).alias(c) for c in ("n", "filled", "s")])
+    every = asked.filter(F.size("row_filter") == 0).join(whole, "column").filter(wanted).select(*shape)
+    per_frame = met.unionByName(every).groupBy(*id_cols, "frame", "agg").agg(*[F.sum(c).alias(c) for c in ("n", "filled", "s")])
     value = (
         F.when(F.col("filled") < F.col("n"), None)
         .when(F.col("n") == 1, F.col("s")).when(F.col("agg") == "sum", F.col("s"))
@@ -149,14 +154,15 @@ def claim_recompute_audit(stated: DataFrame, recomputed: DataFrame, keys: Sequen
 
 
 # Words stating a movement.
-DIRECTION_UP = (
-    "increase increased increases increasing rose rise rises rising grew grow grows growing growth gained gain gains "
-    "up higher climbed jumped surged rallied"
-).split()
-DIRECTION_DOWN = (
-    "decrease decreased decreases decreasing fell fall falls falling declined decline declines declining dropped drop "
-    "drops dropping down lower lost shrank shrink shrinking slipped sank plunged"
-).split()
+DIRECTION_UP = [
+    "increase", "increased", "increases", "increasing", "rose", "rise", "rises", "rising", "grew", "grow", "grows",
+    "growing", "growth", "gained", "gain", "gains", "up", "higher", "climbed", "jumped", "surged", "rallied",
+]
+DIRECTION_DOWN = [
+    "decrease", "decreased", "decreases", "decreasing", "fell", "fall", "falls", "falling", "declined", "decline",
+    "declines", "declining", "dropped", "drop", "drops", "dropping", "down", "lower", "lost", "shrank", "shrink",
+    "shrinking", "slipped", "sank", "plunged",
+]
 
 
 def direction_contradiction(
@@ -314,5 +320,18 @@ def dow_filter_lint(log: DataFrame, text: str, viewer: str, closed: Mapping[str,
 
 
 def name_leak_scan(rows: DataFrame, text: str, names: Sequence[str], viewer: Column) -> DataFrame:
-    """Names of merchants other than the row's viewer in the text.  `names` is the panel's short list."""
+    """Names of merchants other than the row's viewer in the text, for a short list of names."""
     return rows.withColumn("leaked", F.array_join(F.array_remove(mentions(F.col(text), names), viewer), ","))
+
+
+def name_leak_index(rows: DataFrame, key: str, text: str, names: DataFrame, viewer: Column) -> DataFrame:
+    """(key, leaked): names of merchants other than the row's viewer in its text, comma-joined.
+
+    names: (name[, ordinal]), of any size; their order is that of `ordinal`, else by name.
+    """
+    order = F.col("ordinal") if "ordinal" in names.columns else F.lit(0)
+    known = names.select("name", order.alias("_ordinal"))
+    hits = name_mentions(rows.withColumn("_own", viewer), key, text, known, carry=["_own"]).filter(~F.col("name").eqNullSafe(F.col("_own")))
+    per = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("_ordinal", "name"))).alias("_n"))
+    found = per.select(key, F.array_join(F.col("_n.name"), ",").alias("_leaked"))
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce("_leaked", F.lit("")).alias("leaked"))

@@ -184,6 +184,12 @@ def own_category_performance(lines: DataFrame, dims: Sequence[str]) -> DataFrame
     )
 
 
+def whole_months(lines: DataFrame, ts: str, calendar: DataFrame) -> DataFrame:
+    """Lines of months that are over by the last day that `calendar` has in its column `ts`."""
+    last = calendar.agg(F.max(F.col(ts).cast("date"))).scalar()
+    return lines.filter(F.last_day(F.col(ts).cast("date")) <= last)
+
+
 def top_movers(
     tidy: DataFrame, dim: str, period: str, value: str, count: str | None = None, k: int = K_FLOOR,
     min_volume: float = 0.0, n: int = 3, n_base: int = 4,

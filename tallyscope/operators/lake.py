@@ -1,23 +1,22 @@
 """The peer lake: enriched, tokenised lines labelled relative to a viewer.
 
-Lines are tokenised and written once.  What differs between viewers is only the label of a store, which follows from the
-viewer's own merchant token and segment: a viewer's lake is the lines joined with the store table under its labels.
-Relationship filters reach the store table, so only wanted stores' lines survive the join, before any shuffle whenever
-the stores fit the broadcast limit.
+Lines are tokenised and written once, each with its merchant's token and segment.  What differs between viewers is only the
+label, which follows from the viewer's own token and segment: a condition on two dictionary-coded columns of the line, so a
+viewer's lake is read without a join, and one of its own segment with a filter in the scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import hour_bucket
-from tallyscope.functions.hashing import token
+from tallyscope.functions.hashing import hash48, token
 from tallyscope.functions.joins import bounded
 from tallyscope.functions.money import to_cents
-from tallyscope.sources.sinks import write_layout
+from tallyscope.sources.sinks import append_published, publish_partitions, read_published, write_layout
 
 DEFAULT_SALT = "panel"
 RELATIONSHIPS = ("self", "peer", "merchant")
@@ -28,6 +27,7 @@ LAKE_COLUMNS = [
     "category", "subcategory", "unit_price", "qty", "discount", "line_total", "payment_type", "card_network",
     "entry_mode", "wallet_type",
 ]
+LINE_ORDER = ["peer_segment", "txn_date"]  # inside a month's files: row groups of other segments and dates are skipped
 STORE_COLUMNS = ["lake_store_id", "peer_relationship", "peer_segment", "neighborhood"]
 IDENTITY_COLUMNS = frozenset({
     "banner_code", "merchant_id", "merchant", "name", "store_id", "txn_id", "line_id", "sku", "product_name",
@@ -137,41 +137,80 @@ def build_lake(
 ) -> DataFrame:
     """Write the lake of all viewers under `root`: lines, stores, viewers and routing metadata.
 
-    Lines are enriched, tokenised and written once, whatever the number of viewers.  A viewer's labels come from the
-    store table when the lake is read: `stores` holds each store's merchant token and segment, `viewers` those of each
-    viewer.  Lines are rebalanced by month, so that AQE sizes the files by bytes and splits a large month, and are sorted
-    by date inside a file; each directory is one month.
+    Lines are enriched, tokenised and written once, whatever the number of viewers, each with its merchant's token and
+    segment; `viewers` holds those of each viewer, from which its labels follow when the lake is read.  Each directory of lines
+    is one month, sorted by segment and date inside a file; months are published by a manifest (`sinks.publish_partitions`).
     """
     spark = items.sparkSession
-    base = tokenize_ids(lake_projection(enriched_lines(items, products, stores, transactions)), salt)
-    keep = [c for c in LAKE_COLUMNS if c in base.columns and c != "peer_relationship"]
-    lines = base.select(*keep, F.date_format("txn_date", "yyyy-MM").alias("txn_month"))
-    lines = lines.hint("rebalance", "txn_month").sortWithinPartitions("txn_month", "txn_date")
-    write_layout(lines, f"{root}/lines", ["txn_month"])
+    publish_partitions(published_lines(items, products, transactions, stores, salt), f"{root}/lines", "txn_month", LINE_ORDER, replace=True)
     write_layout(tokenized_stores(stores, salt), f"{root}/stores")
     viewers = panel_viewers(merchants).withColumn("merchant_token", token(F.col("viewer"), salt))
     write_layout(viewers, f"{root}/viewers")
-    lines_in, stores_in = (spark.read.parquet(f"{root}/{t}").agg(F.count(F.lit(1)).alias("n")) for t in ("lines", "stores"))
     # Every viewer sees all lines and stores under its own labels.
+    lines_in, stores_in = (df.agg(F.count(F.lit(1)).alias("n")) for df in (lake_lines(spark, root), spark.read.parquet(f"{root}/stores")))
     meta = lake_metadata(peer_routing_metadata(merchants), lines_in, stores_in)
     meta.write.mode("overwrite").json(f"{root}/metadata")
     return meta
 
 
-def viewer_lake(spark, root: str, viewer: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, stores) of the published lake under `root`, labelled for one viewer; identity tokens stay behind."""
-    me = spark.read.parquet(f"{root}/viewers").filter(F.col("viewer") == viewer)
-    label = (
-        F.when(F.col("merchant_token") == me.agg(F.max("merchant_token")).scalar(), "self")
-        .when(F.col("peer_segment") == me.agg(F.max("viewer_segment")).scalar(), "peer")
-        .otherwise("merchant")
-    )
-    stores = spark.read.parquet(f"{root}/stores").select(
+def published_lines(items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
+    """Lines as they are written: the lake's columns, the merchant's token and segment, and the month they are filed under."""
+    # Stores are tokenised before the lines meet them: one hash per store and not per line.
+    placed = stores.withColumns({"merchant_token": token(F.col("banner_code"), salt), "peer_segment": F.col("segment")})
+    base = tokenize_ids(lake_projection(enriched_lines(items, products, placed, transactions)), salt)
+    keep = [c for c in LAKE_COLUMNS if c in base.columns and c != "peer_relationship"]
+    return base.select(*keep, "merchant_token", "peer_segment", F.date_format("txn_date", "yyyy-MM").alias("txn_month"))
+
+
+def lake_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The published lines of all merchants, as the newest manifest has them; not for viewers."""
+    lines = read_published(spark, f"{root}/lines", "txn_month")
+    if lines is None:
+        raise FileNotFoundError(f"{root} has no published lines")
+    return lines
+
+
+def add_late_lines(root: str, items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame, salt: str = DEFAULT_SALT) -> list[str]:
+    """Publishes lines that came late; only their months are written anew.  Returns the months."""
+    return append_published(published_lines(items, products, transactions, stores, salt), f"{root}/lines", "txn_month", LINE_ORDER)
+
+
+def viewer_lake(spark: SparkSession, root: str, viewer: str, relationships: Sequence[str] = RELATIONSHIPS) -> tuple[DataFrame, DataFrame]:
+    """(lines, stores) of the published lake under `root`, labelled for one viewer; identity tokens stay behind.
+
+    Without "merchant" in `relationships` only the viewer's segment is read: a pushed filter, by which row groups are skipped.
+    """
+    me = spark.read.parquet(f"{root}/viewers").filter(F.col("viewer") == viewer).first()
+    if me is None:
+        label, wanted = F.lit("merchant"), F.lit("merchant" in relationships)
+    else:
+        inside, own = F.col("peer_segment") == me["viewer_segment"], F.col("merchant_token") == me["merchant_token"]
+        label = F.when(inside & own, "self").when(inside, "peer").otherwise("merchant")
+        wanted = F.lit(True) if "merchant" in relationships else inside
+    picked = wanted if len(set(relationships)) == len(RELATIONSHIPS) else wanted & label.isin(*relationships)
+    stores = spark.read.parquet(f"{root}/stores").filter(picked).select(
         "lake_store_id", label.alias("peer_relationship"), "peer_segment", "neighborhood")
-    lines = spark.read.parquet(f"{root}/lines").join(bounded(stores.select("lake_store_id", "peer_relationship")), "lake_store_id")
+    lines = lake_lines(spark, root).filter(picked).withColumn("peer_relationship", label)
     return lines.select(*[c for c in LAKE_COLUMNS if c in lines.columns]), stores
 
 
+def line_digest(lines: DataFrame, name: str) -> DataFrame:
+    """Per month and merchant token: the number of lines and the sum of a hash over their published columns, free of order."""
+    row = F.to_json(F.struct(*sorted(c for c in lines.columns if c not in ("txn_month", "merchant_token"))), {"ignoreNullFields": "false"})
+    return lines.groupBy("txn_month", "merchant_token").agg(
+        F.count(F.lit(1)).alias(f"{name}_lines"), F.sum(hash48(row).cast("decimal(20,0)")).cast("string").alias(f"{name}_hash"))
+
+
+def published_reconciliation(
+    spark: SparkSession, root: str, items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame, salt: str = DEFAULT_SALT,
+) -> DataFrame:
+    """Per month and merchant token: whether the written lines are those that the merchants' own data give, line by line."""
+    lake = line_digest(lake_lines(spark, root), "lake")
+    own = line_digest(published_lines(items, products, transactions, stores, salt), "own")
+    both = lake.join(own, ["txn_month", "merchant_token"], "full")
+    return both.withColumn("match", F.coalesce((F.col("lake_lines") == F.col("own_lines")) & (F.col("lake_hash") == F.col("own_hash")), F.lit(False)))
+
+
 def viewer_totals(per_store: DataFrame, stores: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Sums of whole-number measures per viewer, relationship and `by`, for all viewers at once.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import dow_monday0, in_hours
 from tallyscope.functions.hashing import hash48
+from tallyscope.functions.joins import BROADCAST_LIMIT, source_bytes
 from tallyscope.functions.money import mean_fixed, mean_int, mean_money, ratio, share_of, sum_money, to_cents
 from tallyscope.functions.ranking import exact_quantiles, ntile, top_n
 
@@ -201,16 +202,37 @@ def dormant_table_check(items: DataFrame, promotions: DataFrame, anomalies: Data
     return a.unionByName(b).unionByName(c)
 
 
+def _member_words(parent: DataFrame, key: str) -> DataFrame:
+    """(_word, _bits): the whole-number keys of a parent as bits, 64 neighbouring keys to a row."""
+    k = F.col(key).cast("bigint")
+    bit = F.expr(f"shiftleft(1L, CAST(CAST(`{key}` AS BIGINT) & 63 AS INT))")
+    return parent.filter(k.isNotNull()).groupBy(F.shiftright(k, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def _orphans(child: DataFrame, ck: str, parent: DataFrame, pk: str) -> DataFrame:
+    """(_key, n) of the child keys that the parent lacks."""
+    held = child.filter(F.col(ck).isNotNull()).select(F.col(ck).alias("_key"))
+    whole = {t.typeName() for t in (child.schema[ck].dataType, parent.schema[pk].dataType)} <= {"byte", "short", "integer", "long"}
+    if not whole:
+        return held.groupBy("_key").agg(n_rows().alias("n")).join(parent.select(F.col(pk).alias("_key")), "_key", "left_anti")
+    words = _member_words(parent, pk)
+    met = held.withColumn("_word", F.shiftright(F.col("_key").cast("bigint"), 6)).join(
+        F.broadcast(words) if source_bytes(parent.select(pk)) <= BROADCAST_LIMIT // 16 else words, "_word", "left")
+    bit = F.expr("shiftright(_bits, CAST(CAST(_key AS BIGINT) & 63 AS INT)) & 1")
+    return met.filter(F.coalesce(bit, F.lit(0)) == 0).groupBy("_key").agg(n_rows().alias("n"))
+
+
 def referential_integrity(checks: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
     """Orphans per foreign key: (name, child, child key, parent, parent key).  NULL keys are not orphans.
 
-    Child keys are counted per value first, so a hot key is one row in the anti join.
+    Whole-number parent keys become an exact bit table, which children pass where they stand if its source is within a sixteenth of the
+    broadcast limit; only orphans are shuffled and counted.  Beyond the limit the join is on words of 64 keys.  Other keys are
+    counted per value first, so that a hot key is one row in the anti join.  (A Bloom filter can clear no child: its hits are
+    only probable.)
     """
     out = None
     for name, child, ck, parent, pk in checks:
-        keys = child.filter(F.col(ck).isNotNull()).groupBy(F.col(ck).alias("_key")).agg(n_rows().alias("n"))
-        orphans = keys.join(parent.select(F.col(pk).alias("_key")), "_key", "left_anti")
-        part = orphans.agg(
+        part = _orphans(child, ck, parent, pk).agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"), n_rows().alias("orphan_keys")
         ).select(F.lit(name).alias("foreign_key"), "orphan_rows", "orphan_keys")
         out = part if out is None else out.unionByName(part)

@@ -176,14 +176,14 @@ def promo_window_units(lines: DataFrame, buckets: Sequence[tuple[str, str, dt.da
     """Units and transactions in each (merchant, bucket, from, to), 0 for none.
 
     Without `only` every product of the ticket counts, as when a product filter sits in an outer join's condition;
-    with it, the corrected form.  Each line is tagged with its buckets by equi-join on merchant and date.
+    with it, the corrected form.  Tickets of a merchant and day meet the merchant's buckets; no bucket is spread over its days.
     """
     spark = lines.sparkSession
     table = spark.createDataFrame(buckets, "banner_code string, bucket string, first date, last date")
-    days = table.select("banner_code", "bucket", F.explode(F.sequence("first", "last")).alias("day"))
     src = lines if only is None else lines.filter(only)
     per = src.groupBy("banner_code", F.col("txn_ts").cast("date").alias("day"), "txn_id").agg(F.sum("qty").alias("u"))
-    hit = days.join(per, ["banner_code", "day"]).groupBy("banner_code", "bucket").agg(
+    within = per.join(F.broadcast(table), "banner_code").filter(F.col("day").between(F.col("first"), F.col("last")))  # a literal list
+    hit = within.groupBy("banner_code", "bucket").agg(
         F.sum("u").alias("units"), F.count_distinct("txn_id").alias("txns")
     )
     return table.select("banner_code", "bucket").join(hit, ["banner_code", "bucket"], "left").na.fill(0)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.money import mean_fixed, sum_money
+from tallyscope.functions.money import mean_fixed, sum_fixed
 from tallyscope.functions.ranking import top_n
 
 
@@ -47,7 +47,7 @@ def first_per_label(df: DataFrame, label: str, order: Sequence[Column]) -> DataF
 
 def waterfall_contributions(df: DataFrame, driver: str, value: str) -> DataFrame:
     numeric_column_check(df, [driver], [value])
-    return df.groupBy(driver).agg(sum_money(value).alias(value)).orderBy(F.desc(value), driver)
+    return df.groupBy(driver).agg(sum_fixed(F.col(value).cast("double")).alias(value)).orderBy(F.desc(value), driver)
 
 
 def geo_points(df: DataFrame, lat: str, lon: str, value: str, label: str, order: str) -> DataFrame:

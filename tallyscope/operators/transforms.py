@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import dow_monday0
 from tallyscope.functions.hashing import uniform
+from tallyscope.functions.intervals import days_of, running, segments
 from tallyscope.functions.money import ratio, round_cents
 
 # Pull of distance, and what a logistic tender model uses.
@@ -29,17 +30,21 @@ def _days(start: str | Column, end: str | Column) -> Column:
     return F.explode(F.sequence(start, end, F.expr("interval 1 day")))
 
 
+def promo_segments(promotions: DataFrame, order: Sequence[str] = ("start_date", "promo_id")) -> DataFrame:
+    """(sku, first, last, promo_id, depth_pct): where promotions overlap the later one (by `order`) runs; a NULL end is open."""
+    return segments(promotions, ["sku"], ["promo_id", "depth_pct"], order)
+
+
 def promo_calendar(promotions: DataFrame, order: Sequence[str] = ("start_date", "promo_id")) -> DataFrame:
     """One row per day and product under promotion; where promotions overlap the later one (by `order`) wins."""
-    per_day = promotions.select("*", _days("start_date", "end_date").alias("day"))
-    pick = F.max_by(F.struct("promo_id", "depth_pct"), F.struct(*order))
-    return per_day.groupBy("day", "sku").agg(pick.alias("p")).select("day", "sku", "p.promo_id", "p.depth_pct")
+    return days_of(promo_segments(promotions, order)).select("day", "sku", "promo_id", "depth_pct")
 
 
 def promo_lines(lines: DataFrame, promotions: DataFrame, ts: str = "txn_ts") -> DataFrame:
-    """Lines with the promotion running for their product on their day, if any: an equi-join on (day, product)."""
+    """Lines with the promotion running for their product on their day, if any; no interval is spread over its days."""
     base = lines.drop("promo_id", "depth_pct").withColumn("day", F.col(ts).cast("date"))
-    return base.join(promo_calendar(promotions), ["day", "sku"], "left")
+    live = running(base, promo_segments(promotions), ["sku"], ["promo_id", "depth_pct"])
+    return base.join(live, ["day", "sku"], "left")
 
 
 def flat_line_pricing(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -57,24 +62,22 @@ def flat_line_pricing(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 def anomaly_affected_txns(txns: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Transactions inside a scheduled decline (zone, banner, days), with the strongest magnitude."""
-    days = anomalies.filter(F.col("anomaly_type") == "demand_decline").select(
-        "zone_id", "banner_code", "magnitude", _days("start_date", "end_date").alias("day")
-    ).groupBy("zone_id", "banner_code", "day").agg(F.max("magnitude").alias("magnitude"))
-    return txns.withColumn("day", F.col("txn_ts").cast("date")).join(days, ["zone_id", "banner_code", "day"])
+    keys = ["zone_id", "banner_code"]
+    declines = segments(anomalies.filter(F.col("anomaly_type") == "demand_decline"), keys, ["magnitude"], ["magnitude"])
+    dated = txns.withColumn("day", F.col("txn_ts").cast("date"))
+    return dated.join(running(dated, declines, keys, ["magnitude"]), [*keys, "day"])
 
 
 def anomaly_calendar(anomalies: DataFrame) -> DataFrame:
     """Spikes per (day, store, category) and share shifts per (day, banner); the later schedule row wins."""
-    per_day = anomalies.select("*", _days("start_date", "end_date").alias("day"))
-    last = F.max_by("magnitude", F.struct("start_date", "anomaly_id")).alias("multiplier")
-    spike = per_day.filter(F.col("anomaly_type") == "category_spike").groupBy(
-        "day", F.col("store_id").cast("string").alias("target"), "category").agg(last)
-    shift = per_day.filter(F.col("anomaly_type") == "share_shift").groupBy(
-        "day", F.col("banner_code").alias("target"), F.lit(None).cast("string").alias("category")).agg(last)
-    cols = ["kind", "day", "target", "category", "multiplier"]
-    return spike.withColumn("kind", F.lit("category_spike")).select(*cols).unionByName(
-        shift.withColumn("kind", F.lit("share_shift")).select(*cols)
-    )
+    of_kind = anomalies.withColumns({
+        "target": F.when(F.col("anomaly_type") == "category_spike", F.col("store_id").cast("string")).when(F.col("anomaly_type") == "share_shift", F.col("banner_code")),
+        # A share shift is of the whole banner: its category does not count.
+        "_category": F.when(F.col("anomaly_type") == "category_spike", F.coalesce("category", F.lit(""))).otherwise(F.lit("")),
+        "_none": (F.col("anomaly_type") == "share_shift") | F.col("category").isNull(), "multiplier": F.col("magnitude"), "kind": F.col("anomaly_type"),
+    }).filter(F.col("kind").isin("category_spike", "share_shift"))
+    days = days_of(segments(of_kind, ["kind", "target", "_category", "_none"], ["multiplier"], ["start_date", "anomaly_id"]))
+    return days.select("kind", "day", "target", F.when(~F.col("_none"), F.col("_category")).alias("category"), "multiplier")
 
 
 def day_weights(

@@ -67,6 +67,16 @@ def _attach_rate(spark, d):
     return baskets.attach_rate(product_lines(spark, d, "category"), "category", 15)
 
 
+@query("attach_rate_products", f"""WITH {IT}, bk AS (SELECT DISTINCT txn_id, sku AS g FROM it),
+  base AS (SELECT g, count(*) AS a_baskets FROM bk GROUP BY 1), pair AS (SELECT a.g AS item_a, b.g AS item_b, count(*) AS both_ct
+  FROM bk a JOIN bk b ON a.txn_id = b.txn_id AND a.g <> b.g GROUP BY 1, 2 HAVING count(*) >= 2)
+  SELECT item_a, item_b, both_ct, a_baskets, CAST(both_ct AS DOUBLE) / a_baskets AS attach_rate FROM pair JOIN base ON item_a = g
+  ORDER BY attach_rate DESC, both_ct DESC, item_a, item_b LIMIT 500""")
+def _attach_rate_products(spark, d):
+    """Products instead of categories: nearly all pairs are rare and end in the first pass."""
+    return baskets.attach_rate(census.items(spark, d), "sku", 500, floor=2)
+
+
 @query("top_companion", f"""WITH {ST}, {IT}, l AS (SELECT it.*, segment FROM it JOIN st USING (store_id)),
   a AS (SELECT segment, sku, count(*) AS n FROM l GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, sku) <= 3),
   c AS (SELECT a.segment, a.sku AS anchor, a.n AS anchor_lines, y.sku AS companion, count(*) AS co FROM a JOIN l x ON x.segment = a.segment AND x.sku = a.sku

@@ -66,6 +66,23 @@ def _claim_cell_lookup(spark, d):
     return claims.claim_cell_lookup(lookups(spark, d), results(spark, d))
 
 
+@query("claim_list_lookup", f"""WITH {R}, c AS (SELECT sku, sku % 3 AS k, category AS cat, department AS d FROM pr),
+f AS (SELECT sku, k, frame, count(*) AS n, sum(units) AS s FROM c JOIN g ON category <= cat AND department >= d GROUP BY ALL),
+b AS (SELECT sku, arg_max(frame, frame) AS frame, arg_max(v, frame) AS v FROM (SELECT sku, frame, CASE WHEN n = 1 OR k = 1 THEN s WHEN k = 2 THEN s / n END AS v FROM f) WHERE v IS NOT NULL GROUP BY 1)
+SELECT pr.sku AS claim_id, frame AS resolved_frame, v AS true_value, CASE WHEN v IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM pr LEFT JOIN b USING (sku)""")
+def _claim_list_lookup(spark, d):
+    """A claim per product over all categories up to its own and all departments from its own on, listed one by one."""
+    p = census.products(spark, d)
+    kinds = {c: p.agg(F.array_sort(F.collect_set(c))).scalar() for c in ("category", "department")}
+    asked = p.select("sku", "category", "department", *[v.alias(f"_{c}") for c, v in kinds.items()])
+    lists = F.map_from_arrays(F.array(F.lit("category"), F.lit("department")), F.array(
+        F.filter("_category", lambda x: x <= F.col("category")), F.filter("_department", lambda x: x >= F.col("department"))))
+    k = F.col("sku") % 3
+    asked = asked.select(F.col("sku").alias("claim_id"), F.lit(None).cast("string").alias("frame"), lists.alias("row_filter"),
+                         F.lit("units").alias("column"), F.when(k == 1, "sum").when(k == 2, "mean").alias("agg"))
+    return claims.claim_cell_lookup(asked, results(spark, d))
+
+
 @query("claim_value_ref", f"""WITH {R} SELECT pr.sku AS claim_id, (SELECT sum(lines) / count(*) FROM g WHERE frame = 'lake' AND g.department = pr.department) AS true_value FROM pr""")
 def _claim_value_ref(spark, d):
     asked = census.products(spark, d).select(
@@ -188,18 +205,18 @@ def _claim_magnitude(spark, d):
     return claims.claim_magnitude(stated).drop("text_span")
 
 
-@query("claim_direction", """WITH c AS (SELECT conv_id, turn, text, substr(text, 101, 8) AS span, length(text) - 400 AS true_value,
-    ['difference', 'pct_change', 'ratio'][conv_id %% 3 + 1] AS op FROM conversations WHERE length(text) >= 110),
+@query("claim_direction", """WITH c AS (SELECT conv_id, turn, text, substr(text, length(text) // 3 + 1, 8) AS span, length(text) - 400 AS true_value,
+    ['difference', 'pct_change', 'ratio'][conv_id %% 3 + 1] AS op FROM conversations),
 w AS (SELECT *, instr(text, span) AS p0 FROM c),
 f AS (SELECT *, regexp_extract_all(lower(substr(text, greatest(p0 - 70, 1), p0 + length(span) + 20 - greatest(p0 - 70, 1))), '[a-z]+') AS w FROM w),
 g AS (SELECT *, list_has_any(w, %s) AS u, list_has_any(w, %s) AS n FROM f)
 SELECT conv_id, turn, op, true_value, CASE WHEN op <> 'ratio' AND ((u AND NOT n AND true_value < 0) OR (n AND NOT u AND true_value > 0))
   THEN 'stripped_semantic' ELSE 'passed' END AS status FROM g""" % (_words(UP), _words(DOWN)))
 def _claim_direction(spark, d):
-    """One signed claim per turn of a conversation, about eight characters of it."""
-    c = census.table(spark, d, "conversations").filter(F.length("text") >= 110)
+    """One signed claim per turn of a conversation: eight characters behind its first third."""
+    c = census.table(spark, d, "conversations")
     ops = F.element_at(F.array(*[F.lit(x) for x in ("difference", "pct_change", "ratio")]), (F.col("conv_id") % 3 + 1).cast("int"))
-    stated = c.select("conv_id", "turn", "text", F.substring("text", 101, 8).alias("text_span"), ops.alias("op"),
+    stated = c.select("conv_id", "turn", "text", F.expr("substring(text, length(text) div 3 + 1, 8)").alias("text_span"), ops.alias("op"),
                       (F.length("text") - 400).cast("bigint").alias("true_value"))
     return claims.claim_direction(stated, up=UP, down=DOWN).drop("text", "text_span")
 
@@ -254,7 +271,22 @@ OWN_NAME = "CASE WHEN doc_id % 2 = 0 THEN 'the' ELSE 'la' END"
 def _name_leak_scan(spark, d):
     """Four frequent words play the panel's names; each text's own name is allowed."""
     viewer = F.when(F.col("doc_id") % 2 == 0, "the").otherwise("la")
-    return claims.name_leak_scan(census.table(spark, d, "documents"), "text", NAMES, viewer).select("doc_id", "leaked")
+    names = spark.createDataFrame([(n, i) for i, n in enumerate(NAMES)], "name string, ordinal int")
+    return claims.name_leak_index(census.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", names, viewer)
+
+
+@query("name_leak_scan_catalogue", f"""WITH {PR}, {IT}, o AS (SELECT DISTINCT txn_id, sku, product_name FROM it JOIN pr USING (sku)),
+own AS (SELECT txn_id, min(product_name) AS own FROM o GROUP BY 1)
+SELECT txn_id, string_agg(CASE WHEN product_name <> own THEN product_name END, ',' ORDER BY product_name) AS leaked FROM o JOIN own USING (txn_id) GROUP BY 1""".replace(
+    "string_agg(CASE", "coalesce(string_agg(CASE").replace("product_name) AS leaked", "product_name), '') AS leaked"))
+def _name_leak_scan_catalogue(spark, d):
+    """Every product's name looked for in a written list of each order, whose first name is its own."""
+    p = census.products(spark, d)
+    lines = census.items(spark, d).select("txn_id", "sku").join(p.select("sku", "product_name"), "sku")
+    listed = lines.groupBy("txn_id").agg(F.array_sort(F.collect_set("product_name")).alias("n"))
+    text = F.concat(F.lit("Ordered ("), F.array_join("n", "; "), F.lit("), to be sent."))
+    return claims.name_leak_index(
+        listed.select("txn_id", text.alias("text"), F.get("n", F.lit(0)).alias("own")), "txn_id", "text", p.select(F.col("product_name").alias("name")), F.col("own"))
 
 
 @query("series_by_x", f"""WITH {SE} SELECT CAST(extract(hour FROM txn_ts) AS INT) AS hour, {avg_money('subtotal')} AS subtotal, {avg_money('k')} AS k FROM se GROUP BY 1 ORDER BY 1""")

@@ -250,15 +250,13 @@ def _whole_table_peer_aggregate(spark, d):
 
 
 GS = """SELECT department, category, CAST(grouping_id(department, category) AS INT) AS level, count(*) AS n_lines,
-  CAST(sum(qty) AS BIGINT) AS units FROM lk WHERE peer_relationship = 'peer' GROUP BY {} (department, category)
+  CAST(sum(qty) AS BIGINT) AS units, count(DISTINCT txn_id) AS n_txns FROM lk WHERE peer_relationship = 'peer' GROUP BY {} (department, category)
   HAVING count(*) >= 50"""
 
 
 def _grouping_sets(spark, d, grouping):
-    return privacy.k_anonymous_aggregate(
-        peer_lake(spark, d), ["department", "category"],
-        {"n_lines": F.count(F.lit(1)), "units": F.sum("qty")}, relationships=["peer"], grouping=grouping,
-    )[0]
+    return privacy.distinct_over_sets(
+        peer_lake(spark, d), ["department", "category"], "txn_id", {"n_lines": F.lit(1), "units": F.col("qty")}, "n_txns", ["peer"], grouping)
 
 
 @query("grouping_sets_lake", f"WITH {lake_sql()} {GS.format('ROLLUP')}")
@@ -271,6 +269,28 @@ def _cube_lake(spark, d):
     return _grouping_sets(spark, d, "cube")
 
 
+@query("lake_sketches", f"""WITH {lake_sql(timed=True)} SELECT category, count(*) AS n_rows, count(unit_price) AS n_values, count(DISTINCT txn_id) AS distinct_estimate,
+  quantile_disc(unit_price, 0.5) AS median, quantile_disc(unit_price, 0.9) AS q90, 0.83::DOUBLE / 256 AS distinct_error, 2.446::DOUBLE / pow(4096, 0.9433::DOUBLE) AS rank_error
+  FROM lk WHERE {PEER} GROUP BY 1 HAVING count(*) >= 50""")
+def _lake_sketches(spark, d):
+    """Stored sketches of each category and month, merged to categories.  At the size of the check the sketches still hold
+    every id and value, so the estimates equal the exact figures; at larger ones they keep within the published errors."""
+    lines = peer_lake(spark, d, timed=True).withColumn("month", F.date_format("txn_ts", "yyyy-MM"))
+    path = sinks.shared_folder(spark, "sketches")
+    sinks.write_layout(privacy.sketch_cells(lines, ["category", "month"], "txn_id", "unit_price"), path)
+    return privacy.from_sketches(spark.read.parquet(path), ["category"], {"median": 0.5, "q90": 0.9})
+
+
+@query("published_reconciliation", f"""WITH {LNT} SELECT strftime(txn_ts, '%Y-%m') AS txn_month, {TOKEN.format('banner_code')} AS merchant_token,
+  count(*) AS lake_lines, count(*) AS own_lines, true AS match FROM lnt GROUP BY 1, 2""")
+def _published_reconciliation(spark, d):
+    """Every month and merchant of the written lake against the merchants' own lines; the hashes themselves are Spark's JSON."""
+    root = published_root(spark, d)
+    out = lake.published_reconciliation(
+        spark, root, census.items(spark, d), census.products(spark, d), census.orders(spark, d), census.stores(spark, d))
+    return out.drop("lake_hash", "own_hash")
+
+
 @query("group_by_all_lake", f"""WITH {lake_sql()} SELECT category, neighborhood, {total('qty')} AS units FROM lk WHERE {PEER}
 GROUP BY ALL HAVING count(*) >= 50""")
 def _group_by_all(spark, d):
@@ -289,18 +309,18 @@ LAF = """n AS (SELECT category, count(*) AS n, count(unit_price) AS n_values, CA
   (arg_max(department, (unit_price, department))) AS arg_highest,
   bool_and(private_label) AS all_flag, bool_or(private_label) AS any_flag,
   round(quantile_cont(unit_price, 0.5), 6) AS median, round(quantile_cont(unit_price, 0.9), 6) AS q90,
-  quantile_disc(unit_price, 0.5) AS median_disc FROM lk WHERE peer_relationship = 'peer' GROUP BY 1 HAVING count(*) >= 50),
-m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, product(CASE WHEN qty <= 2 THEN qty END) AS product_small, count(*) AS n_distinct FROM
+  quantile_disc(unit_price, 0.5) AS median_disc, arg_min(unit_price, (txn_id, line_id)) AS "first", arg_max(unit_price, (txn_id, line_id)) AS "last" FROM lk WHERE peer_relationship = 'peer' GROUP BY 1 HAVING count(*) >= 50),
+m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, round(sum(n * log10(qty)), 6) AS product_log10, count(*) AS n_distinct FROM
   (SELECT category, qty, count(*) AS n FROM lk WHERE peer_relationship = 'peer' GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query("lake_agg_functions", f"""WITH {lake_sql()}, {LAF} SELECT category, n, n_values, total, mean, lowest, highest,
   (q - s * s / c) / c AS var_pop, (q - s * s / c) / nullif(c - 1, 0) AS var_samp, sqrt((q - s * s / c) / c) AS stddev_pop,
   sqrt((q - s * s / c) / nullif(c - 1, 0)) AS stddev_samp, arg_lowest, arg_highest, all_flag, any_flag,
-  true AS approx_distinct_ok, true AS approx_quantile_ok, n_distinct, mode, product_small, median, median_disc, q90 FROM n JOIN m USING (category)""")
+  n_distinct AS approx_distinct, "first", "last", n_distinct, mode, 1 AS product_sign, 0 AS product_zeros, product_log10, median, median_disc, q90 FROM n JOIN m USING (category)""")
 def _lake_agg_functions(spark, d):
     out = privacy.lake_agg_functions(
-        peer_lake(spark, d), ["category"], "unit_price", "qty", "department", F.col("private_label")
+        peer_lake(spark, d), ["category"], "unit_price", "qty", "department", F.col("private_label"), ["txn_id", "line_id"]
     )
     return rounded(out, "median", "q90")
 
@@ -396,12 +416,9 @@ SELECT dim AS {dim}, recent, baseline, delta_pct, direction FROM t
 QUALIFY row_number() OVER (PARTITION BY direction ORDER BY abs(delta_pct) DESC, dim) <= 3"""
 
 
-LAST_FULL_MONTH_END = dt.date(2001, 8, 1)
-
-
-def _tidy(lines, dim):
-    """Units and lines per month of lines already scoped to a viewer; the last, broken month is left out."""
-    whole = lines.filter(F.col("txn_ts") < F.lit(LAST_FULL_MONTH_END))
+def _tidy(lines, dim, orders):
+    """Units and lines per month of lines already scoped to a viewer; a month that the panel's last day breaks is left out."""
+    whole = compare.whole_months(lines, "txn_ts", orders)
     return whole.groupBy(dim, F.date_trunc("month", "txn_ts").alias("period")).agg(
         F.sum("qty").alias("units"), F.count(F.lit(1)).alias("n")
     )
@@ -409,20 +426,20 @@ def _tidy(lines, dim):
 
 def _tidy_sql(dim, where):
     return f"""WITH {lake_sql(timed=True)}, tidy AS (SELECT {dim} AS dim, date_trunc('month', txn_ts) AS period, CAST(sum(qty) AS DOUBLE) AS v, count(*) AS n
-  FROM lk WHERE {where} AND txn_ts < DATE '2001-08-01' GROUP BY 1, 2)"""
+  FROM lk WHERE {where} AND last_day(CAST(txn_ts AS DATE)) <= (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) GROUP BY 1, 2)"""
 
 
 @query("top_movers", f"{_tidy_sql('department', SELF)}, {MOVERS.format(k=0, dim='department')}")
 def _top_movers(spark, d):
     """The viewer's own departments; own figures need no floor."""
-    return compare.top_movers(_tidy(own_lines(spark, d, timed=True), "department"), "department", "period", "units")
+    return compare.top_movers(_tidy(own_lines(spark, d, timed=True), "department", census.orders(spark, d)), "department", "period", "units")
 
 
 @query("top_movers_monthly", f"{_tidy_sql('segment', PEER)}, {MOVERS.format(k=50, dim='segment')}")
 def _top_movers_monthly(spark, d):
     """The viewer's peers under the floor, which every month of a series has to reach."""
     peers = peer_lake(spark, d, timed=True).filter(compare.is_peer())
-    return compare.top_movers(_tidy(peers, "segment"), "segment", "period", "units", count="n")
+    return compare.top_movers(_tidy(peers, "segment", census.orders(spark, d)), "segment", "period", "units", count="n")
 
 
 @query("category_performance", f"""WITH {LN} SELECT department, category, {avg_money('unit_price')} AS asp, {total('qty')} AS units,

@@ -205,17 +205,18 @@ def _referential_integrity(spark, d):
         ("item_store", it, "store_id", census.stores(spark, d), "store_id"),
         ("txn_customer", tx, "customer_token", cust, "customer_token"),
         ("session_customer", se, "customer_token", cust, "customer_token"),
-        ("txn_item", tx, "txn_id", it.select("txn_id").distinct(), "txn_id"),
+        ("txn_item", tx, "txn_id", it, "txn_id"),
     ])
 
 
-@query("lines_with_taxonomy", f"""WITH {PR}, {IT} SELECT txn_id, it.sku, qty, department, category, private_label, shelf_price FROM it
-  LEFT JOIN (SELECT * FROM pr WHERE department <> 'MEDIUM') pr USING (sku)""")
+@query("lines_with_taxonomy", f"""WITH {PR}, {IT} SELECT txn_id, line_id, i.sku, qty, department, category, private_label, shelf_price
+  FROM (SELECT * REPLACE (CASE WHEN line_id = 1 THEN -1 - sku ELSE sku END AS sku) FROM it) i LEFT JOIN pr ON pr.sku = i.sku""")
 def _lines_with_taxonomy(spark, d):
-    """A catalogue that lacks one department: its lines stay, without taxonomy."""
-    known = census.products(spark, d).filter(F.col("department") != "MEDIUM")
-    return quality.lines_with_taxonomy(census.items(spark, d), known).select(
-        "txn_id", "sku", "qty", "department", "category", "private_label", "shelf_price"
+    """The first line of every order is of a product that the whole catalogue lacks: it stays, without taxonomy."""
+    items = census.items(spark, d)
+    unknown = F.when(F.col("line_id") == 1, -1 - F.col("sku")).otherwise(F.col("sku"))
+    return quality.lines_with_taxonomy(items.withColumn("sku", unknown), census.products(spark, d)).select(
+        "txn_id", "line_id", "sku", "qty", "department", "category", "private_label", "shelf_price"
     )
 
 

@@ -157,16 +157,20 @@ def register_views(frames: Mapping[str, DataFrame]) -> None:
 
 
 def register_lake_views(spark: SparkSession, root: str, viewer: str) -> bool:
-    """Views over the published lake under one viewer's labels; False without a lake, or for a viewer not in it."""
+    """Views over the published lake under one viewer's labels; False without a lake, or for a viewer not in it.
+
+    `lake_segment_transactions` has the lines of the viewer and its peers only.
+    """
     from tallyscope.operators.lake import viewer_lake
 
     try:
         if spark.read.parquet(f"{root}/viewers").filter(F.col("viewer") == viewer).isEmpty():
             return False
         lines, stores = viewer_lake(spark, root, viewer)
-    except AnalysisException:
+        own, _ = viewer_lake(spark, root, viewer, ["self", "peer"])
+    except (AnalysisException, FileNotFoundError):
         return False
-    register_views({"lake_transactions": lines, "lake_stores": stores})
+    register_views({"lake_transactions": lines, "lake_segment_transactions": own, "lake_stores": stores})
     return True
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tallyscope-')}"
         spark.conf.set("spark.checkpoint.dir", root)
@@ -81,6 +83,62 @@ def write_partitioned(
     )
 
 
+MANIFEST = "number bigint, parts bigint, partition string, version string"
+
+
+def manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """(number, version of each partition) of the newest whole manifest under `root`; (0, {}) before the first one.
+
+    A manifest tells how many rows it has, so one that a failed or running write left unfinished is not followed.
+    """
+    try:
+        rows = spark.read.schema(MANIFEST).json(f"{root}/manifests/*")
+    except AnalysisException:
+        return 0, {}
+    whole = rows.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts")).filter("n = parts")
+    newest = whole.agg(F.max("number").alias("number")).first()["number"]
+    if newest is None:
+        return 0, {}
+    return newest, {r["partition"]: r["version"] for r in rows.filter(F.col("number") == newest).collect()}
+
+
+def read_published(spark: SparkSession, root: str, column: str, only: Iterable[str] | None = None) -> DataFrame | None:
+    """The published partitions, or those named in `only`, as the newest manifest has them; None if there are none."""
+    held = manifest(spark, root)[1]
+    wanted = held if only is None else set(only) & set(held)
+    paths = [f"{root}/data/version={held[p]}/{column}={p}" for p in sorted(wanted)]
+    return spark.read.option("basePath", f"{root}/data").parquet(*paths).drop("version") if paths else None
+
+
+def publish_partitions(df: DataFrame, root: str, column: str, sort_keys: Sequence[str] = (), replace: bool = False) -> list[str]:
+    """Publishes the partitions of `column` that `df` has, all or nothing, and returns them.
+
+    They are written to a folder of their own; then one small manifest names, for every partition, the folder to read.
+    Readers follow the newest manifest: they see the state before or the one after, and files in use are never replaced.  A
+    write that fails leaves the old manifest in force; of two that run at once the later one raises.  Other partitions stay as
+    they are unless `replace`.  Files are balanced by bytes (AQE), so a large partition is written by several tasks.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    number, held = manifest(spark, root)
+    write_layout(df.hint("rebalance", column).sortWithinPartitions(column, *sort_keys), f"{root}/data/version={version}", [column])
+    written = spark.read.schema(f"{column} string").option("basePath", f"{root}/data/version={version}").parquet(f"{root}/data/version={version}")
+    touched = sorted(r[0] for r in written.select(column).distinct().collect())
+    if wrong := [p for p in touched if not re.fullmatch(r"[A-Za-z0-9_.-]+", p or "")]:
+        raise ValueError(f"{wrong[:3]} can not name a folder")
+    state = {**({} if replace else held), **dict.fromkeys(touched, version)}
+    rows = [(number + 1, len(state), p, v) for p, v in sorted(state.items())]
+    if rows:
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("errorifexists").json(f"{root}/manifests/{number + 1:012d}")
+    return touched
+
+
+def append_published(df: DataFrame, root: str, column: str, sort_keys: Sequence[str] = ()) -> list[str]:
+    """Adds late rows: only the partitions they belong to are read and written anew."""
+    touched = [r[0] for r in df.select(F.col(column).cast("string")).distinct().collect()]
+    old = read_published(df.sparkSession, root, column, touched)
+    return publish_partitions(df if old is None else old.unionByName(df), root, column, sort_keys)
+
+
 def write_contract(
     tables: Mapping[str, DataFrame],
     root: str,

@@ -1,7 +1,9 @@
 """Operators on small frames written by hand, contract errors, and brute-force checks."""
 
+import collections
 import datetime as dt
 import json
+import random
 import re
 import statistics
 
@@ -476,6 +478,61 @@ def test_later_promotion_wins_and_prices_round(spark):
         (1, "P1", 1.0, 8.99, 26.97), (3, "P2", 5.0, 4.99, 14.97), (5, None, 0.0, 9.99, 29.97)]
 
 
+def test_running_promotions_match_brute_force(spark):
+    """Nested, overlapping, touching, equal, open-ended and empty intervals, against a look at every interval for every day."""
+    rng = random.Random(11)
+    day0 = D(2026, 1, 1)
+    promos = []
+    for i in range(60):
+        a = day0 + dt.timedelta(rng.randrange(40))
+        z = None if i % 10 == 0 else a + dt.timedelta(rng.choice([-1, 0, 1, 3, 10, 30]))
+        promos.append((f"P{i:02d}", rng.choice(["s", "t", "u", None]), None if i == 33 else a, z, i / 100))
+    lines = [(i, rng.choice(["s", "t", "v", None]), day0 + dt.timedelta(rng.randrange(-3, 80))) for i in range(400)]
+    want = {}
+    for i, sku, day in lines:
+        live = [(p[2], p[0]) for p in promos if sku is not None and p[1] == sku and p[2] and p[2] <= day and (p[3] is None or p[3] >= day)]
+        want[i] = max(live)[1] if live else None
+    schedule = spark.createDataFrame(promos, "promo_id string, sku string, start_date date, end_date date, depth_pct double")
+    df = spark.createDataFrame([(i, s, dt.datetime.combine(d, dt.time(9))) for i, s, d in lines], "txn_id int, sku string, txn_ts timestamp_ntz")
+    assert dict(rows(transforms.promo_lines(df, schedule).select("txn_id", "promo_id"))) == want and len(set(want.values())) > 15
+    parts = transforms.promo_segments(schedule)
+    held = rows(parts.orderBy("sku", "first").select("sku", "first", "last"))
+    assert len(held) <= 2 * len(promos)
+    assert all(a[0] != b[0] or (a[2] is not None and a[2] < b[1]) for a, b in zip(held, held[1:]))
+    dated = schedule.filter("end_date IS NOT NULL")
+    got = {(r["sku"], r["day"]): r["promo_id"] for r in transforms.promo_calendar(dated).collect()}
+    each = {}
+    for p in promos:
+        if p[1] and p[2] and p[3]:
+            for n in range((p[3] - p[2]).days + 1):
+                k = p[1], p[2] + dt.timedelta(n)
+                each[k] = max(each.get(k, (D(1, 1, 1), "")), (p[2], p[0]))
+    assert got == {k: v[1] for k, v in each.items()}
+
+
+def test_long_promotions_make_no_rows_per_day(spark):
+    promos = spark.createDataFrame([("P1", "s", D(1900, 1, 1), D(2900, 1, 1), 0.1), ("P2", "s", D(2000, 1, 1), None, 0.2)],
+                                   "promo_id string, sku string, start_date date, end_date date, depth_pct double")
+    assert rows(transforms.promo_segments(promos).select("first", "last", "promo_id")) == [
+        (D(1900, 1, 1), D(1999, 12, 31), "P1"), (D(2000, 1, 1), D(2900, 1, 1), "P2"), (D(2900, 1, 2), None, "P2")]
+
+
+def test_attach_rate_with_colliding_buckets(spark):
+    """Rare pairs that share a bucket with a frequent one are counted exactly and leave."""
+    rng = random.Random(12)
+    baskets_of = [rng.sample(range(40), rng.randrange(1, 7)) for _ in range(400)]
+    lines = [(t, f"i{x}") for t, b in enumerate(baskets_of) for x in b + b[:1]] + [(9999, None), (0, None)]
+    df = spark.createDataFrame(lines, "txn_id int, g string")
+    both, single = collections.Counter(), collections.Counter()
+    for b in baskets_of:
+        single.update(b)
+        both.update((x, y) for x in b for y in b if x != y)
+    want = {(f"i{x}", f"i{y}"): (c, single[x]) for (x, y), c in both.items() if c >= 6}
+    for n_buckets in (64, 1 << 20):
+        out = rows(baskets.attach_rate(df, "g", 10**6, floor=6, n_buckets=n_buckets))
+        assert {(r[0], r[1]): (r[2], r[3]) for r in out} == want and len(want) > 20
+
+
 def test_unknown_density_fails(spark):
     df = spark.createDataFrame([("High",), ("swamp",)], "d string")
     with pytest.raises(Exception, match="unknown zone density"):
@@ -589,6 +646,21 @@ def test_cells_and_dimensions_without_a_value(spark):
     assert {r["claim_id"]: r["true_value"] for r in out.collect()} == {1: None, 2: None, 3: None, 4: None}
 
 
+def test_listed_values_do_not_multiply(spark):
+    """Three lists of 50 values are 150 entries, and the rarest name alone meets the cells."""
+    lists = {n: [f"{n}{i}" for i in range(50)] for n in "abc"}
+    asked = spark.createDataFrame([(1, None, lists, "v", "sum"), (2, None, {"a": ["a1"], "b": []}, "v", "sum"), (3, "lake", {}, "v", "sum"), (4, None, None, "v", "sum")], LOOKUP)
+    cells = [("lake", f"r{i}", {"a": f"a{i % 60}", "b": f"b{i % 2}", "c": f"c{i % 70}" if i % 5 else None}, "v", float(i)) for i in range(600)]
+    cells += [("lake", "twice", {"a": "a1", "b": "b1", "c": "c1"}, "v", 5.0)] * 2
+    df = spark.createDataFrame(cells, "frame string, row_id string, dims map<string,string>, column string, value double")
+    assert claims.filter_entries(asked, ["claim_id"]).filter("claim_id = 1").count() == 150
+    lead = claims.leading_names(asked, claims.cell_profiles(df), ["claim_id"])
+    assert rows(lead.filter("claim_id = 1")) == [(1, "c")]
+    hit = [c for c in cells if all(c[2][n] in lists[n] for n in "abc")]
+    got = dict(rows(claims.claim_cell_lookup(asked, df).select("claim_id", "true_value")))
+    assert got == {1: sum(c[4] for c in hit), 2: None, 3: sum(c[4] for c in cells), 4: None} and len(hit) > 100
+
+
 def test_derivations_and_references(spark):
     def op(cat, frame, column="price", agg="sum"):
         return (frame, {"category": [cat]}, column, agg)
@@ -624,6 +696,33 @@ def test_narration_and_names(spark):
     assert [r["leaked"] for r in got.collect()] == ["Blue Diner", "", ""]
 
 
+def brute_mentions(prose, names):
+    def word(ch):
+        return ch == "_" or ch.isalnum()
+
+    out = []
+    for n in names:
+        at = prose.find(n)
+        while at >= 0:
+            if not (at and word(prose[at - 1])) and not (at + len(n) < len(prose) and word(prose[at + len(n)])):
+                out.append(n)
+                break
+            at = prose.find(n, at + 1)
+    return ",".join(sorted(out))
+
+
+def test_name_index_matches_brute_force(spark):
+    names = ["Oak", "Oak shop", "Oak shop 9", "Blue-Diner", "#1 Mart", "Ünal", "a_b", "7", "Mart!", "Oak  shop"]
+    prose = ["Oak shop 9 beats Blue-Diner", "Oakshop a_b", "a_b_c 77 7", "(#1 Mart) and x#1 Mart", "##1 Mart", "Mart!x Mart! y", "", None, "Ünal.Oak  shop", "Oak shop 99, Oak shop",
+             "#1 Mart", "shop Oak", "Blue-Diner's 7th"]
+    df = spark.createDataFrame([(i, p, 1) for i, p in enumerate(prose)], "i int, t string, name int")
+    got = claims.name_leak_index(df, "i", "t", spark.createDataFrame([(n,) for n in names], "name string"), F.lit("7"))
+    assert {r["i"]: r["leaked"] for r in got.collect()} == {i: brute_mentions(p or "", [n for n in names if n != "7"]) for i, p in enumerate(prose)}
+    got = df.filter("t IS NOT NULL").select("i", F.array_join(F.array_sort(text.mentions(F.col("t"), names)), ",").alias("m")).collect()
+    assert {r["i"]: r["m"] for r in got} == {i: brute_mentions(p, names) for i, p in enumerate(prose) if p is not None}
+    assert claims.name_leak_index(df, "i", "t", spark.createDataFrame([], "name string"), F.lit(None).cast("string")).filter("leaked != ''").count() == 0
+
+
 def test_query_log_lints(spark):
     log = spark.createDataFrame([("MID", "select Category, neighborhood from t where DAYOFWEEK(ts) = 1", 0), ("NOR", "select merchant_category from t where dayofweek(ts)=1", 3)],
                                 "v string, q string, n int")
