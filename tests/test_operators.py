@@ -27,66 +27,72 @@ def rows(df):
 
 # ---- movers -----------------------------------------------------------------------------------------------------
 
-def tidy(spark, series, n=100):
-    data = [(k, f"w{i}", float(v), n) for k, vs in series.items() for i, v in vs]
-    return spark.createDataFrame(data, "cat string, wk string, units double, n int")
-
-
-def weeks_of(*values):
-    return list(enumerate(values))
-
-
-def test_movers_rank_both_directions(spark):
-    df = tidy(spark, {"Fruit": weeks_of(100, 100, 100, 100, 300), "Milk": weeks_of(100, 100, 100, 100, 40),
-                      "Flat": weeks_of(*[100] * 5)})
-    assert rows(compare.top_movers(df, "cat", "wk", "units", "n")) == [
-        ("Fruit", 300.0, 100.0, 2.0, "up"), ("Milk", 40.0, 100.0, -0.6, "down")]
-
-
-def test_movers_drop_thin_quiet_and_partial(spark):
-    five = weeks_of(100, 100, 100, 100, 300)
-    assert rows(compare.top_movers(tidy(spark, {"Thin": five}, 10), "cat", "wk", "units", "n")) == []
-    quiet = tidy(spark, {"Quiet": weeks_of(2, 2, 2, 2, 6)})
-    assert rows(compare.top_movers(quiet, "cat", "wk", "units", min_volume=10)) == []
-    partial = tidy(spark, {"Partial": [(4, 9)], "Full": five})
-    assert [r[0] for r in rows(compare.top_movers(partial, "cat", "wk", "units"))] == ["Full"]
-
-
-def test_movers_short_history_and_ties(spark):
-    short = compare.top_movers(tidy(spark, {"A": weeks_of(1, 2)}), "cat", "wk", "units")
-    assert short.columns[0] == "cat" and rows(short) == []
-    five = weeks_of(100, 100, 100, 100, 150)
-    tied = tidy(spark, {"B": five, "A": five, "C": five, "E": five})
-    assert [r[0] for r in rows(compare.top_movers(tied, "cat", "wk", "units"))] == ["A", "B", "C"]
-
-
-def test_movers_use_the_periods_just_before(spark):
-    df = tidy(spark, {"A": weeks_of(900, 100, 100, 100, 100, 200)})
-    assert rows(compare.top_movers(df, "cat", "wk", "units"))[0][2:4] == (100.0, 1.0)
+def plain_movers(data, floor=50, least=0.0, n=3):
+    """data: (group, period, value, rows).  The newest period against the mean of the four before it, by plain loops."""
+    newest = sorted({p for _, p, _, _ in data})[-5:]
+    out = []
+    for g in {x[0] for x in data}:
+        mine = {p: (v, c) for x, p, v, c in data if x == g and p in newest}
+        if len(newest) < 5 or len(mine) < 5 or any(c < floor for _, c in mine.values()):
+            continue
+        base = sum(mine[p][0] for p in newest[:-1]) / 4
+        change = round((mine[newest[-1]][0] - base) / base, 4) if base > 0 and base >= least else 0
+        if change:
+            out.append((-abs(change), change < 0, g, mine[newest[-1]][0], base, change, "up" if change > 0 else "down"))
+    ranked, seen = [], collections.Counter()
+    for _, _, g, recent, base, change, way in sorted(out):
+        seen[way] += 1
+        if seen[way] <= n:
+            ranked.append((g, recent, base, change, way))
+    return ranked
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_movers_match_plain_loops(spark, seed):
+    """Histories of seven months with gaps, thin months, still and tiny series, and several groups that move alike."""
+    rng = random.Random(seed)
+    months = [f"2025-{m:02d}" for m in range(3, 10)]
+    data = []
+    for i in range(90):
+        level = rng.choice([0.5, 8, 64, 512])
+        for m in months:
+            if rng.random() > 0.02:
+                move = rng.choice([0.75, 1.25, 1.5, 2.5]) if m == months[-1] else 1.0
+                data.append((f"g{i:02d}", m, level * move, rng.choice([49, 50, 51]) if rng.random() < 0.03 else 400))
+    df = spark.createDataFrame(data, "grp string, month string, sold double, rows int").repartition(3)
+    for floor, least in ((50, 0.0), (50, 10.0), (1, 0.0)):
+        got = rows(compare.top_movers(df, "grp", "month", "sold", "rows", k=floor, min_volume=least))
+        assert got == plain_movers(data, floor, least) and 2 < len(got) <= 6
+    early = [x for x in data if x[1] < months[4]]
+    none = compare.top_movers(spark.createDataFrame(early, df.schema), "grp", "month", "sold", "rows")
+    assert rows(none) == [] and none.columns == ["grp", "recent", "baseline", "delta_pct", "direction"]
 
 
 # ---- own against peers ------------------------------------------------------------------------------------------
 
 def gap_frames(spark):
+    """Own averages at timestamps against peer rows at dates: one pair that meets, one over zero, one without a partner."""
+    stamp = dt.datetime(2025, 8, 11)
     own = spark.createDataFrame(
-        [("NOR", "Dairy", "Z1", dt.datetime(2026, 3, 2), 4.2), ("NOR", "Dairy", "Z2", dt.datetime(2026, 3, 2), 4.0)],
+        [("NOR", "Bakery", "west", stamp, 12.5), ("NOR", "Bakery", "east", stamp, 9.75), ("NOR", "Frozen", "west", stamp, 3.0)],
         "banner_code string, category string, zone string, start timestamp_ntz, own_avg double")
-    peer = spark.createDataFrame([("Dairy", "Z1", D(2026, 3, 2), "peer", 1.0, 600), ("Dairy", "Z9", D(2026, 3, 2), "peer", 0.0, 70)],
-                                 "category string, zone string, start date, peer_relationship string, idx double, txn_count int")
+    peer = spark.createDataFrame(
+        [("Bakery", "west", D(2025, 8, 11), "peer", 10.0, 812), ("Bakery", "east", D(2025, 8, 11), "peer", 0.0, 90), ("Bakery", "north", D(2025, 8, 11), "peer", 4.0, 77)],
+        "category string, zone string, start date, peer_relationship string, idx double, txn_count int")
     return own, peer
 
 
 def test_gap_joins_on_dates_of_either_type(spark):
     own, peer = gap_frames(spark)
-    out = compare.own_peer_gap(own, peer, ["category", "zone", "start"], "own_avg", "idx", viewer="NOR")
-    got = out.first()
-    assert out.count() == 1 and got["gap"] == pytest.approx(3.2) and got["txn_count"] == 600
+    got = {r["zone"]: r for r in compare.own_peer_gap(own, peer, ["category", "zone", "start"], "own_avg", "idx", viewer="NOR").collect()}
+    assert set(got) == {"west", "east"} and got["west"]["gap"] == 2.5 and got["west"]["txn_count"] == 812 and got["east"]["gap"] == 9.75
 
 
 def test_gap_ratio_over_zero_is_null(spark):
     own, peer = gap_frames(spark)
-    out = compare.own_peer_gap(own.withColumn("zone", F.lit("Z9")), peer, ["category", "zone", "start"], "own_avg", "idx", "ratio")
-    assert out.select("gap").distinct().first()[0] is None
+    out = compare.own_peer_gap(own, peer, ["category", "zone", "start"], "own_avg", "idx", "ratio")
+    got = {r["zone"]: r["gap"] for r in out.collect()}
+    assert got["east"] is None and got["west"] is not None
 
 
 def test_gap_refuses_foreign_rows_and_identities(spark):
