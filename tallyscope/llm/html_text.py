@@ -67,6 +67,11 @@ WEAK_WORDS = frozenset((
     "login", "signin", "signup", "subscription", "consent", "complementary", "contentinfo", "navigation", "modal", "advertising", "sponsors", "sponsor",
 ))
 BY_CLASS = frozenset(("p", "section", "h1", "h2", "h3", "h4", "h5", "h6"))  # their ids are made from headings
+# Words that say nothing of the content: a class of these and words left out still marks a paragraph, heading or section.
+PLAIN_WORDS = frozenset((
+    "area", "block", "body", "box", "button", "buttons", "container", "content", "count", "form", "inner", "item", "items", "label", "link", "links", "list",
+    "section", "slot", "text", "thread", "title", "unit", "wrap", "wrapper", "js", "is", "the", "a", "",
+))
 NOTE = re.compile(r"(?i)\W*(?:©|\(c\)|copyright\b|all rights reserved)")
 KEPT_WORDS = frozenset(("has", "with", "without", "no"))
 OWN_CLOSES = {  # a start tag that ends an open element of these kinds, up to the nearest container
@@ -80,7 +85,10 @@ HARD, WEAK = 2, 1
 
 
 def _attributes(tag: str, raw: str) -> tuple[str, int]:
-    """(class words, HARD if to be left out anywhere by class, id, role or being hidden, WEAK if outside the main container)."""
+    """(class words, HARD if to be left out anywhere by class, id, role or being hidden, WEAK if outside the main container).
+
+    A paragraph, heading or section of the article is not left out for one word of a longer name (share-price, ad-hoc).
+    """
     classes, names, mark = "", [], 0
     for m in ATTR.finditer(raw):
         k, v = (m[1] or m[5]).lower(), next((x for x in m.group(2, 3, 4) if x is not None), "")
@@ -95,7 +103,8 @@ def _attributes(tag: str, raw: str) -> tuple[str, int]:
         for name in value.split():
             words = [w.strip("0123456789").lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name)]
             if not KEPT_WORDS.intersection(words) and (found := LEFT_OUT_WORDS.intersection(words)):
-                mark = max(mark, WEAK if weak or found <= WEAK_WORDS else HARD)
+                other = tag in BY_CLASS and not LEFT_OUT_WORDS.union(PLAIN_WORDS).issuperset(words)
+                mark = max(mark, WEAK if weak or other or found <= WEAK_WORDS else HARD)
     return classes, mark
 
 

@@ -85,3 +85,17 @@ def test_no_sibling_block_is_cut(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(same_host).collect()}
     assert [got[i] for i in range(4)] == ["\n\n".join(x.strip() for x in r) for r in rows]
     assert got[4] == body.strip()
+
+
+def test_longer_class_names_of_paragraphs_stay(spark):
+    """One left-out word of a longer name does not mark article text; names of such words alone still do."""
+    for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post'>", "</div>")):
+        page = f"""<body><nav>Home</nav>{a}<h1 class="widget-history">A headline of some words here</h1>
+            <p class="share-price">The share price rose by two points on that day.</p><p class="ad-hoc">An ad hoc committee met to talk about it all.</p>
+            <p>Another plain paragraph of the article with enough words.</p><section class="comment-culture"><p>On the culture of comments in the town hall paper.</p></section>
+            <p class="ad">Buy one now and get another one for free today.</p><section class="comments"><p>First! I like this article very much indeed.</p></section>
+            <section class="comments-section"><p>Second! I do not like this article at all.</p></section>{b}</body>"""
+        df = spark.createDataFrame([(1, "http://x.y/1", page)], "page_id long, url string, html string")
+        text = html_text.extract(df).first()["text"]
+        assert all(x in text for x in ("headline", "rose by two", "ad hoc committee", "plain paragraph", "culture of comments")), text
+        assert not any(x in text for x in ("Buy one", "First!", "Second!", "Home")), text
