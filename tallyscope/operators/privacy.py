@@ -160,7 +160,7 @@ def lake_agg_functions(
     Moments are taken over whole numbers (`count_value`), so that they do not depend on the order of rows; exact
     quantiles use the binned helper rather than one collected group.  `mode` breaks ties by the smallest value:
     the counts per value come from a pre-aggregation, and so does the product over all rows.  `first` and `last` are those of the
-    `order` columns, not of the order in which tasks deliver.
+    `order` columns (which should be unique), not of the order in which tasks deliver.
     """
     peers = lake.filter(_is_peer())
     v, c = F.col(value), F.col(count_value).cast("bigint")

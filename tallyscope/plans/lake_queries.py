@@ -309,7 +309,7 @@ LAF = """n AS (SELECT category, count(*) AS n, count(unit_price) AS n_values, CA
   (arg_max(department, (unit_price, department))) AS arg_highest,
   bool_and(private_label) AS all_flag, bool_or(private_label) AS any_flag,
   round(quantile_cont(unit_price, 0.5), 6) AS median, round(quantile_cont(unit_price, 0.9), 6) AS q90,
-  quantile_disc(unit_price, 0.5) AS median_disc, arg_min(unit_price, (txn_id, line_id)) AS "first", arg_max(unit_price, (txn_id, line_id)) AS "last" FROM lk WHERE peer_relationship = 'peer' GROUP BY 1 HAVING count(*) >= 50),
+  quantile_disc(unit_price, 0.5) AS median_disc, arg_min(unit_price, (txn_id, line_id, sku, unit_price)) AS "first", arg_max(unit_price, (txn_id, line_id, sku, unit_price)) AS "last" FROM lk WHERE peer_relationship = 'peer' GROUP BY 1 HAVING count(*) >= 50),
 m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, round(sum(n * log10(qty)), 6) AS product_log10, count(*) AS n_distinct FROM
   (SELECT category, qty, count(*) AS n FROM lk WHERE peer_relationship = 'peer' GROUP BY 1, 2) GROUP BY 1)"""
 
@@ -320,7 +320,7 @@ m AS (SELECT category, arg_max(qty, (n, -qty)) AS mode, round(sum(n * log10(qty)
   n_distinct AS approx_distinct, "first", "last", n_distinct, mode, 1 AS product_sign, 0 AS product_zeros, product_log10, median, median_disc, q90 FROM n JOIN m USING (category)""")
 def _lake_agg_functions(spark, d):
     out = privacy.lake_agg_functions(
-        peer_lake(spark, d), ["category"], "unit_price", "qty", "department", F.col("private_label"), ["txn_id", "line_id"]
+        peer_lake(spark, d), ["category"], "unit_price", "qty", "department", F.col("private_label"), ["txn_id", "line_id", "sku", "unit_price"]
     )
     return rounded(out, "median", "q90")
 
