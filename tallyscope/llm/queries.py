@@ -169,8 +169,8 @@ c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
 cut AS (SELECT lang, k, phrase, ws, f AS a, unnest(range(1, k)) AS j FROM c),
 sc AS (SELECT cut.lang, cut.phrase, a, t.n, j, l.f AS l, r.f AS r,
     (1000::HUGEINT * a * t.n) // (l.f::HUGEINT * r.f) AS score
-  FROM cut JOIN t ON t.lang = cut.lang JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(ws[1:j], ' ')
-  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(ws[j + 1:k], ' ')),
+  FROM cut JOIN t ON t.lang = cut.lang JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.ws[1:cut.j], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.ws[cut.j + 1:cut.k], ' ')),
 best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 inner_ AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(f) AS longer
   FROM (SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) q(m) WHERE m < k) GROUP BY ALL),
