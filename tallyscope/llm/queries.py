@@ -1,6 +1,6 @@
 """One query per operator, over whole tables, with its check SQL where SQL can express the result.
 
-op2 to op6 and op8 have no SQL: trees, sampling, XXH64, corpus statistics over word occurrences, trained compressors and
+op2 to op6, op8, op11 and op12 have no SQL: trees, sampling, XXH64, corpus statistics over word occurrences, trained compressors, eigenvectors, token ids and
 all 13-word windows are beyond it or too slow on whole tables.  Their tests compare them with brute force.
 """
 
