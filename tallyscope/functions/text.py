@@ -41,29 +41,40 @@ def mentions(text: Column, terms: Sequence[str]) -> Column:
 def name_mentions(rows: DataFrame, key: str, text: str, names: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(key, …carry, name, …): a row for every place where a text has a name as a whole word.
 
-    An inverted lookup: a text is cut once before each of its words, every cut meets the names that start with its word
-    in one equi-join, and the words behind are verified by position.  The cost is the text plus the hits, however
-    many names there are.  Each cut carries only as many words as the longest name; a name without any word never matches.
+    An inverted lookup: a text is cut once before each of its words, and every cut meets, for each number of words that
+    names have, the names that consist of just the words it starts with: one equi-join on all words of a name with what stands
+    between them.  Names that begin alike do not meet each other's texts; the cost is the text plus the hits, however
+    many names there are.  What a name has before its first and behind its last word is verified by position; a name
+    without any word never matches.
     """
     word_start = rf"(?<![{WORD_CHAR}])(?=[{WORD_CHAR}])"
     known = names.filter(F.col("name").rlike(f"[{WORD_CHAR}]")).withColumns({
-        "_first": F.regexp_extract("name", f"([{WORD_CHAR}]+)", 1), "_lead": F.regexp_extract("name", f"^([^{WORD_CHAR}]*)", 1),
-        "_rest": F.regexp_replace("name", f"^[^{WORD_CHAR}]+", "")})
-    widest = known.agg(F.coalesce(F.max(F.size(words_of(F.col("name")))), F.lit(1)) + 1).scalar()
-    cuts = rows.select(key, *carry, F.split(text, word_start, -1).alias("_s"))
-    # The piece before a word is needed for names that start with other characters, and for nothing else.
-    around = F.transform("_s", lambda s, i: F.struct(
-        F.regexp_extract(s, rf"^([{WORD_CHAR}]+)", 1).alias("_first"),
-        F.array_join(F.slice("_s", i + 1, F.col("_widest")), "").alias("_ahead"),
-        F.coalesce(F.regexp_extract(F.get("_s", i - 1), rf"([^{WORD_CHAR}]*)$", 1), F.lit("")).alias("_before"),
-        (F.coalesce(F.get("_s", i - 1), F.lit("")).rlike(rf"^[{WORD_CHAR}]")).alias("_word_before")))
-    at = cuts.withColumn("_widest", widest).select(key, *carry, F.inline(around)).filter("_first != ''")
-    met = at.join(bounded(known), "_first")
-    tail = F.expr("substring(_ahead, length(_rest) + 1, 1)")
-    # In front of a leading sign there must be no word character either.
+        "_lead": F.regexp_extract("name", f"^([^{WORD_CHAR}]*)", 1), "_trail": F.regexp_extract("name", f"([^{WORD_CHAR}]*)$", 1),
+        "_core": F.regexp_replace("name", f"^[^{WORD_CHAR}]+|[^{WORD_CHAR}]+$", "")})
+    sizes = known.agg(F.coalesce(F.array_sort(F.collect_set(F.size(words_of(F.col("_core"))))), F.array().cast("array<int>"))).scalar()
+    cuts = rows.select(key, *carry, F.split(text, word_start, -1).alias("_s")).withColumn(
+        "_w", F.transform("_s", lambda s: F.regexp_extract(s, rf"^([{WORD_CHAR}]+)", 1))
+    ).withColumn("_g", F.zip_with("_s", "_w", lambda s, w: F.substr(s, F.length(w) + 1)))
+
+    def around(w: Column, i: Column) -> Column:
+        """Of the cut before word `i` one entry per number of words that fits into the rest of the text."""
+
+        def entry(n: Column) -> Column:
+            last = i + n - 1
+            # The piece before a word is needed for names that start with other characters, and for nothing else.
+            return F.struct(
+                F.concat(F.array_join(F.slice("_s", i + 1, n - 1), ""), F.get("_w", last)).alias("_core"), F.get("_g", last).alias("_behind"),
+                (i + n < F.size("_s")).alias("_more"), F.coalesce(F.get("_g", i - 1), F.lit("")).alias("_before"),
+                (F.coalesce(F.get("_w", i - 1), F.lit("")) != "").alias("_word_before"))
+
+        return F.transform(F.filter("_sizes", lambda n: (w != "") & (i + n <= F.size("_s"))), entry)
+
+    at = cuts.withColumn("_sizes", sizes).select(key, *carry, F.inline(F.flatten(F.transform("_w", around))))
+    met = at.join(bounded(known), "_core")
+    # In front of a leading sign there must be no word character either, nor behind a trailing one.
     front = (F.col("_lead") == "") | (F.col("_before").endswith(F.col("_lead")) & ((F.length("_before") > F.length("_lead")) | ~F.col("_word_before")))
-    hit = F.col("_ahead").startswith(F.col("_rest")) & ~tail.rlike(f"[{WORD_CHAR}]") & front
-    return met.filter(hit).drop("_first", "_ahead", "_before", "_word_before", "_lead", "_rest")
+    back = F.col("_behind").startswith(F.col("_trail")) & ((F.col("_trail") == "") | (F.length("_behind") > F.length("_trail")) | ~F.col("_more"))
+    return met.filter(front & back).drop("_core", "_behind", "_more", "_before", "_word_before", "_lead", "_trail")
 
 
 # A number with optional approximation marker, currency sign and unit.

@@ -729,6 +729,26 @@ def test_name_index_matches_brute_force(spark):
     assert claims.name_leak_index(df, "i", "t", spark.createDataFrame([], "name string"), F.lit(None).cast("string")).filter("leaked != ''").count() == 0
 
 
+def test_names_that_begin_alike_do_not_meet_each_others_texts(spark):
+    """A catalogue whose names share their first words: places and names meet by the whole name, however written around it."""
+    names = [f"large ring {i}" for i in range(300)] + ["large ring", "(large) ring 7+", "ring 5-"]
+    prose = [f"Sent: large ring {i}; large ring {i + 1}, (large) ring 7+ring, x" for i in range(40)] + ["ring 5-", "ring 5-x", "ring 5--x", "(large) ring 7+"]
+    df = spark.createDataFrame(list(enumerate(prose)), "i int, t string")
+    known = spark.createDataFrame([(n,) for n in names], "name string")
+    out = claims.name_leak_index(df, "i", "t", known, F.lit(None).cast("string"))
+    assert {r["i"]: r["leaked"] for r in out.collect()} == {i: brute_mentions(p, names) for i, p in enumerate(prose)}
+    plan = text.name_mentions(df, "i", "t", known)._jdf.queryExecution().executedPlan().toString()
+    key = re.search(r"Join(?:ExecTransformer)? \[(\w+)#\d+\]", plan).group(1)
+    per_key = text_keys(known, key)
+    assert per_key < 3
+
+
+def text_keys(known, key):
+    """The most names that meet a place of a text under one key of the lookup."""
+    first = known.select(F.regexp_extract("name", r"([\p{L}\p{N}_]+)", 1).alias("_first"), F.regexp_replace("name", r"^\W+|\W+$", "").alias("_core"))
+    return first.groupBy(key).count().agg(F.max("count")).first()[0]
+
+
 def test_query_log_lints(spark):
     log = spark.createDataFrame([("MID", "select Category, neighborhood from t where DAYOFWEEK(ts) = 1", 0), ("NOR", "select merchant_category from t where dayofweek(ts)=1", 3)],
                                 "v string, q string, n int")
