@@ -19,6 +19,24 @@ def source_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+# Bytes of source files for each partition of a join of two facts, and the size Catalyst gives to what it knows nothing of.
+PART_BYTES, UNKNOWN = 4 * 1024 * 1024, 1 << 60
+
+
+def parted_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Inner join of two facts, shuffled by `key` into partitions for about PART_BYTES of their files, one per core at least.
+
+    Sorts and the roll-ups that follow within a partition take many times the bytes read: the number of partitions follows the
+    input, so that what one task holds does not, whatever number or size of partitions the session is set to.  Where no files
+    tell the size, the session decides.
+    """
+    size = source_bytes(a) + source_bytes(b)
+    if size >= UNKNOWN:
+        return a.join(b, key)
+    n = max(-(-size // PART_BYTES), a.sparkSession.sparkContext.defaultParallelism)
+    return a.repartition(n, key).join(b.repartition(n, key), key)
+
+
 def bounded(dim: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """`dim` with a broadcast hint if its sources are within `limit`; beyond it unchanged, left to a shuffled join.
 

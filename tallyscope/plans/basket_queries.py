@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyscope.functions.joins import parted_join
 from tallyscope.operators import baskets, customers, lake
 from tallyscope.plans.registry import query, rounded
 from tallyscope.plans.sql import CU, IT, LN, PR, ST, VI, money, total
@@ -125,7 +126,7 @@ def _basket_pattern_match(spark, d):
 def card_visits(spark, d):
     """(customer, store's merchant) per order and store: lines meet their order, and are then told apart within its partition."""
     dims = census.stores(spark, d).select("store_id", "banner_code", "segment")
-    seen = census.items(spark, d).select("txn_id", "store_id").join(census.orders(spark, d), "txn_id").distinct()
+    seen = parted_join(census.items(spark, d).select("txn_id", "store_id"), census.orders(spark, d), "txn_id").distinct()
     return seen.join(dims, "store_id")
 
 

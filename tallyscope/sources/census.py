@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.functions.joins import bounded
+from tallyscope.functions.joins import bounded, parted_join
 from tallyscope.functions.money import round_cents, sum_money
 
 NEIGHBORHOODS = 8
@@ -158,7 +158,7 @@ def visits(spark: SparkSession, d: str, banner: str | None = None) -> DataFrame:
         st = st.filter(F.col("banner_code") == banner)
         lines = lines.join(st.select("store_id"), "store_id", "left_semi")
     dims = st.select("store_id", "banner_code", "segment", "neighborhood")
-    placed = lines.join(orders(spark, d), "txn_id")
+    placed = parted_join(lines, orders(spark, d), "txn_id")
     return visit_rollup(placed, ("customer_token", "txn_ts", "tender")).join(dims, "store_id").withColumn(
         "visit_id", F.concat_ws("-", "txn_id", "store_id")
     )

@@ -1,8 +1,12 @@
 """Every registered query, whole tables, against its check SQL; and invariants that hold without SQL."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyscope.functions import joins
 from tallyscope.plans import PLANS, SQL
 from tallyscope.sources import census
 from tests.compare import compare, connect
@@ -105,3 +109,18 @@ def test_facts_are_not_shuffled_to_meet_dimensions(spark):
 def test_window_reaches_the_scan(spark, sf_dir):
     plan = PLANS["tenant_scope"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
+@pytest.mark.parametrize("name", ["merchant_profile", "card_banner_share", "average_ticket"])
+def test_order_join_is_split_by_the_files(spark, sf_dir, monkeypatch, name):
+    """Partitions of lines and orders follow the size of their files, not the session: one task's memory does not grow."""
+    size = sum(os.path.getsize(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    rows = []
+    for part in (size, size // 40):
+        monkeypatch.setattr(joins, "PART_BYTES", part)
+        df = PLANS[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        split = {int(n) for n in re.findall(r"hashpartitioning\(txn_id#\w+, (\d+)\), REPARTITION_BY_NUM", plan)}
+        assert split == {max(-(-size // part), spark.sparkContext.defaultParallelism)}
+        rows.append(sorted(map(tuple, df.collect())))
+    assert rows[0] == rows[1]
