@@ -81,35 +81,50 @@ def block_masks() -> list[int]:
     return masks
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """20 rows per node: table number, key (the bits of its three blocks), masks, fingerprint, pivot distances."""
-    masks = block_masks()
-    fp = F.col("fp")
-    rows = []
-    for t, triple in enumerate(combinations(range(len(masks)), 3)):
+def _packed(fp: Column, references: list[int]) -> Column:
+    """The distances to eight references, a byte each, as one long: a row of the pivot table takes two."""
+    whole = F.lit(0).cast("bigint")
+    for i, p in enumerate(references):
+        whole = whole.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("bigint"), 8 * i))
+    return whole
+
+
+def _distance(packed: str, i: int) -> Column:
+    return F.shiftright(packed, 8 * i).bitwiseAND(F.lit(255)).cast("int")
+
+
+def tables() -> list[tuple[int, int, int]]:
+    """Of each of the 20 tables: the mask of its three blocks, the blocks as bits, and those up to its last one."""
+    masks, out = block_masks(), []
+    for triple in combinations(range(len(masks)), 3):
         mask = 0
         for b in triple:
             mask |= masks[b] & ((1 << 64) - 1)
-        agree, upto = sum(1 << b for b in triple), (1 << (triple[-1] + 1)) - 1
-        rows.append(F.struct(
-            F.lit(t).alias("t"), fp.bitwiseAND(F.lit(_ones(mask))).alias("key"), F.lit(agree).alias("agree"), F.lit(upto).alias("upto"),
-        ))
-    d = nodes.select("node", "fp", *[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte").alias(f"p{i}") for i, p in enumerate(pivots())])
-    return d.withColumn("k", F.explode(F.array(*rows))).select("*", "k.*").drop("k")
+        out.append((_ones(mask), sum(1 << b for b in triple), (1 << (triple[-1] + 1)) - 1))
+    return out
+
+
+def keyed(nodes: DataFrame) -> DataFrame:
+    """20 rows per node: table number, key (the bits of its three blocks), node, pivot distances."""
+    fp, p = F.col("fp"), pivots()
+    rows = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), fp.bitwiseAND(F.lit(mask)).alias("key")) for t, (mask, _, _) in enumerate(tables())])
+    d = nodes.select("node", "fp", *[_packed(fp, p[i : i + 8]).alias(f"p{i // 8}") for i in range(0, PIVOTS, 8)])
+    return d.withColumn("k", F.explode(rows)).select("*", "k.*").drop("k")
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(lo, hi): node pairs whose fingerprints differ in 1 to MAX_BITS bits, each once."""
+    """(lo, hi): pairs of nodes whose fingerprints differ in 1 to MAX_BITS bits, each once.  nodes: (node, fp), of one fingerprint each."""
     d = keyed(nodes)
-    a, b = d.alias("a"), d.drop("agree", "upto").alias("b")
+    a, b = d.alias("a"), d.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     # Blocks in which the two agree, up to the last block of this key: exactly the key's own for the first shared key.
     zero = None
     for i, m in enumerate(block_masks()):
         bit = F.when(diff.bitwiseAND(F.lit(m)) == 0, 1 << i).otherwise(0)
         zero = bit if zero is None else zero + bit
-    far = F.greatest(*[F.abs(F.col(f"a.p{i}").cast("int") - F.col(f"b.p{i}").cast("int")) for i in range(PIVOTS)])
-    near = (far <= MAX_BITS) & (F.bit_count(diff) <= MAX_BITS) & (zero.bitwiseAND(F.col("a.upto")) == F.col("a.agree"))
+    agree, upto = (F.get(F.array(*[F.lit(x[i]) for x in tables()]), F.col("a.t").cast("int")) for i in (1, 2))
+    far = F.greatest(*[F.abs(_distance(f"a.p{i // 8}", i % 8) - _distance(f"b.p{i // 8}", i % 8)) for i in range(PIVOTS)])
+    near = (far <= MAX_BITS) & (F.bit_count(diff) <= MAX_BITS) & (zero.bitwiseAND(upto) == agree)
     same = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
     return a.join(b, same & near).select(F.col("a.node").alias("lo"), F.col("b.node").alias("hi"))
 
@@ -141,13 +156,17 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def fingerprint_groups(nodes: DataFrame) -> DataFrame:
+    """(…columns of nodes, component) of distinct fingerprints (fp, …): the least node reachable over links."""
+    nodes = nodes.withColumn("node", F.col("fp"))
+    return nodes.join(components(links(nodes.select("node", "fp"))), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+
+
 def near_groups(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, fingerprint (hex), component_id (least doc_id reachable) and the columns named in `carry`."""
     small_batches(docs.sparkSession)
     fps = stage(docs.select("doc_id", *carry, fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "nodes")
-    owner = components(links(nodes))
-    placed = nodes.join(owner, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    placed = fingerprint_groups(stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes"))
     # The nodes of a large component are combined before they meet: one row per task.
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = placed.join(ids, "component").select("fp", "component_id")

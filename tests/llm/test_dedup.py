@@ -144,3 +144,13 @@ def test_a_shared_identifier_is_resolved(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "unverified_ids", lambda d: spark.createDataFrame([(5,)], "chunk_id long"))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()}
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+
+
+def test_rows_that_meet_under_block_keys_are_narrow(spark):
+    """A node goes to 20 keys: its 16 pivot distances are two longs of the row, and what follows from the table stays out."""
+    fps = [(1 << 63) - 1, -1, 0, 12345, -(1 << 63)]
+    d = simhash.keyed(spark.createDataFrame([(f, f) for f in fps], "node long, fp long"))
+    assert len(d.columns) <= 6
+    for r in d.filter("t = 0").collect():
+        got = [int(b) for i in range(2) for b in (r[f"p{i}"] & (1 << 64) - 1).to_bytes(8, "little")]
+        assert got == [((r["fp"] ^ p) & (1 << 64) - 1).bit_count() for p in simhash.pivots()]
