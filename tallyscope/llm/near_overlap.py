@@ -1,15 +1,16 @@
 """Near duplicates of a corpus: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The contract of op4 (three words, at most 3 of 64 bits) finds few of these, and a 64-bit SimHash has no radius that keeps all of
-them.  Here the fingerprint is the parity sketch of the shingle set: each shingle flips one of SKETCH_BITS bits, so the Hamming
+Groups of SimHash fingerprints, by the method of op4 (three words, at most 3 of 64 bits, pivot tables), give the first links: each
+text meets the least one of its group and stays with it if the overlap holds.  A 64-bit SimHash has no radius that keeps all pairs
+at 0.8, so what it leaves apart is looked for further.  There the fingerprint is the parity sketch of the shingle set: each shingle flips one of SKETCH_BITS bits, so the Hamming
 distance of two sketches is never more than the number of shingles that only one text has, and at 0.8 that number
 is at most a ninth of the two sizes together.  Hence a radius for each pair that loses nothing:
 
-1. One narrow pass gives every text its node (hash of its words), number of distinct shingles, sketch, pivot table row (the
+1. One narrow pass gives every text its node (hash of its words), SimHash, number of distinct shingles, sketch, pivot table row (the
    sketch's distances to PIVOTS reference sketches) and BANDS keys of ROWS minima each.  A pair at 0.8 shares a key with
    probability 1 - (1 - 0.8^ROWS)^BANDS > 0.9999.
-2. Round one compares each node with the least node of its buckets: a large group of copies is one star per bucket.  Further
-   rounds do so with other leaders in buckets that still hold several components, as long as that merges any: a dense group comes
+2. Round one compares each node with the least node of its SimHash group and of its buckets: a large group of copies is one star.
+   Further rounds do so with ABREAST other leaders each in buckets that still hold several components, as long as that merges any: a dense group comes
    together without its pairs being met.
 3. The last round meets nodes of one bucket that are not in one component yet, each pair under the first bucket it
    shares.  Pairs whose pivot coordinates differ by more than
@@ -36,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.llm.common import small_batches, stage
-from tallyscope.llm.simhash import SEED, components
+from tallyscope.llm.simhash import SEED, components, fingerprint, fingerprint_groups
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SKETCH_BITS, PIVOTS = 2048, 16
-LEADERS = 6  # rounds of stars at most; what they leave apart is met in pairs
+LEADERS, ABREAST = 2, 3  # rounds of stars at most, and leaders of a bucket in each; what they leave apart is met in pairs
 CHUNK = 1 << 12  # shingles hashed by all functions at a time
 _LONGS = SKETCH_BITS // 64
 # Reference sketches from a fixed rule: none, and those of the shingles that a hash of their bit's place selects.
@@ -81,7 +82,7 @@ def sketch_of(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray, np.nd
 LONGS = T.ArrayType(T.LongType())
 SKETCH = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", LONGS),
-    T.StructField("far", T.ArrayType(T.ShortType())), T.StructField("bands", LONGS)])
+    T.StructField("far", T.ArrayType(T.ShortType())), T.StructField("bands", LONGS), T.StructField("fp", T.LongType())])
 SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", LONGS)])
 
 
@@ -91,7 +92,8 @@ def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = [sketch_of(x) for x in t]
         yield pd.DataFrame({
             "node": np.array([r[0] for r in rows], np.uint64).view(np.int64), "n": np.array([r[1] for r in rows], np.int32), "sketch": [r[2].view(np.int64) for r in rows],
-            "far": [r[3].astype(np.int16) for r in rows], "bands": [r[4].view(np.int64) for r in rows]})
+            "far": [r[3].astype(np.int16) for r in rows], "bands": [r[4].view(np.int64) for r in rows],
+            "fp": np.array([fingerprint(x) for x in t], np.uint64).view(np.int64)})
 
 
 @F.pandas_udf(SET)
@@ -140,13 +142,19 @@ def near_rows(docs: DataFrame) -> DataFrame:
     leads = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).filter("lead != _last").drop("_last")
     members = stage(keyed.join(leads, "key"), "buckets")
 
-    wanted = rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("doc_id", "_h")
+    # The SimHash groups: each node with the least one of its group.
+    placed = stage(fingerprint_groups(nodes.groupBy("fp").agg(F.min("node").alias("first"))), "simhash-groups")
+    heads = placed.groupBy("component").agg(F.min("first").alias("lo"))
+    alike = nodes.select("fp", F.col("node").alias("hi")).join(placed, "fp").join(heads, "component").filter("lo != hi").select("lo", "hi")
+
+    both = members.select("node").union(alike.select("lo")).union(alike.select("hi"))
+    wanted = rows.join(both.distinct(), "node", "left_semi").dropDuplicates(["node"]).select("doc_id", "_h")
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"))
     those = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["_h"] == wanted["_k"]), "left_semi")
     found = those.select(sets(F.coalesce("text", F.lit(""))).alias("s")).select("s.*").dropDuplicates(["node"])
     found = stage(found, "shingle-sets")
 
-    stars = members.filter("node != lead").select(F.col("lead").alias("lo"), F.col("node").alias("hi")).distinct()
+    stars = members.filter("node != lead").select(F.col("lead").alias("lo"), F.col("node").alias("hi")).union(alike).distinct()
     own = stage(components(stage(verified(stars, found), "first-links")), "components")
 
     def still_open(m: DataFrame) -> DataFrame:
@@ -159,7 +167,8 @@ def near_rows(docs: DataFrame) -> DataFrame:
     seen = nodes.select("node", "n", "sketch", "far", "bands").join(m.select("node").distinct(), "node", "left_semi")
     m = stage(m.join(seen, "node"), "open-buckets")
     for turn in range(LEADERS):
-        lead = m.groupBy("key").agg(F.min_by(F.struct("node", "n", "sketch", "far", "component"), F.xxhash64("node", F.lit(turn))).alias("b"))
+        chosen = [F.min_by(F.struct("node", "n", "sketch", "far", "component"), F.xxhash64("node", F.lit(ABREAST * turn + i))) for i in range(ABREAST)]
+        lead = m.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("_b")).select("key", F.explode("_b").alias("b"))
         met = m.alias("a").join(lead, "key").filter((F.col("a.component") != F.col("b.component")) & within_reach("a", "b"))
         met = met.select(F.least("a.node", "b.node").alias("lo"), F.greatest("a.node", "b.node").alias("hi")).distinct()
         more = stage(verified(met, found), "star-links")

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tallyscope.llm import near_overlap
+from tallyscope.llm import near_overlap, simhash
 from tallyscope.llm.common import table
 from tests.llm import brute
 
@@ -133,3 +133,22 @@ def test_a_dense_group_is_not_met_in_pairs(spark, monkeypatch):
     gone = near_overlap.left_over(df).count()
     assert gone == len(rows) - len(groups(rows)) and gone > 100
     assert len(met) > 2 and met[-1] < 480 and max(met) < 25 * 240, met
+
+
+def test_near_stage_goes_through_simhash_groups(spark, sf_dir, monkeypatch):
+    """Fingerprints meet through the pivot tables of op4, and what its groups hold apart from 0.8 stays apart."""
+    rng, linked = np.random.default_rng(8), []
+    w = [f"s{x}" for x in rng.integers(0, 5000, 900)]
+    rows = [(i, edited(rng, w, k)) for i, k in enumerate((0, 1, 1, 2, 3, 400, 400))]
+    plain = simhash.links
+
+    def counted(nodes):
+        out = plain(nodes)
+        linked.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "links", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near(spark, df, sf_dir).collect()]
+    assert sorted(got) == groups(rows)
+    assert len(linked) == 1 and linked[0] > 0
