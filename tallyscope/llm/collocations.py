@@ -73,7 +73,7 @@ class Elements:
         self.offsets = np.r_[0, np.flatnonzero(flat == 32) + 1].astype(np.int32)
         self.word = flat[self.offsets[:-1]] != END[0]
         # Polynomials of the bytes, from sums along the buffer: the place of a word cancels out.
-        up, down = powers(1 << len(flat).bit_length())
+        up, down = powers(1 << max(0, len(flat) - 1).bit_length())
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * up[: len(flat)])]
         self.h = mixed((sums[self.offsets[1:]] - sums[self.offsets[:-1]]) * down[self.offsets[:-1]])
 
@@ -284,7 +284,8 @@ def phrases_of(dictionary: DataFrame, ranges: list[Bitmap]) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, floor: int = FLOOR) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of all phrases of up to `longest` words found `floor` times or more, (lang, n))."""
-    small_batches(docs.sparkSession)
+    # The arrays of a batch take some fifty times its bytes, and every core of an executor has one.
+    small_batches(docs.sparkSession, "1m")
     dictionary = stage(parse(docs), "parse")
     totals, levels = None, []
     for k in range(1, longest + 1):
@@ -293,7 +294,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, floor: int = FLOOR
         for p in parts[1:]:
             counted = counted.unionByName(p)
         if k == 1:
-            counted = stage(counted, "words")
+            counted = stage(counted.groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
             totals = counted.filter("key IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
             counted = counted.filter("key IS NOT NULL")
         keys = stage(counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).select("key"), "frequent")

@@ -140,3 +140,10 @@ def test_bitmaps_hold_their_keys(spark, count):
     assert m.has(keys.view(np.uint64)).all()
     other = np.random.default_rng(9).integers(0, 2**63, 20000).astype(np.uint64)
     assert m.has(other).mean() < 0.2
+
+
+def test_batches_are_small(spark):
+    """The arrays of a batch take many times its bytes, in every Python worker of an executor."""
+    docs = spark.createDataFrame([(i, "a b c d " * 9, "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert collocations.collocations(docs).count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
