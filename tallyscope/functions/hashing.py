@@ -27,4 +27,13 @@ def uniform(value: Column) -> Column:
 
 def hash48(value: Column) -> Column:
     """First 12 hex digits of sha256 as BIGINT; the sum over rows is an order-free content hash."""
-    return F.conv(F.substring(F.sha2(value, 256), 1, 12), 16, 10).cast("bigint")
+    return _leading(value, 12)
+
+
+def hash60(value: Column) -> Column:
+    """First 15 hex digits of sha256 as BIGINT: all that a BIGINT holds without a sign."""
+    return _leading(value, 15)
+
+
+def _leading(value: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.sha2(value, 256), 1, digits), 16, 10).cast("bigint")

@@ -7,13 +7,13 @@ viewer's lake is read without a join, and one of its own segment with a filter i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.calendar import hour_bucket
-from tallyscope.functions.hashing import hash48, token
+from tallyscope.functions.hashing import hash48, hash60, token
 from tallyscope.functions.joins import bounded
 from tallyscope.functions.money import to_cents
 from tallyscope.sources.sinks import append_published, publish_partitions, read_published, write_layout
@@ -27,6 +27,9 @@ LAKE_COLUMNS = [
     "category", "subcategory", "unit_price", "qty", "discount", "line_total", "payment_type", "card_network",
     "entry_mode", "wallet_type",
 ]
+PUBLISHED = [c for c in LAKE_COLUMNS if c != "peer_relationship"] + ["merchant_token", "peer_segment"]  # as written, before a viewer's label
+ORDER_FACTS = ["hour_bucket", "payment_type", "txn_date"]  # those that follow from `txn_ts` and `tender` of the order
+LINE_FACTS = {*PUBLISHED, "network", "wallet_at_tap", "wallet_provider"} - {*ORDER_FACTS}  # what the others are or are made of
 LINE_ORDER = ["peer_segment", "txn_date"]  # inside a month's files: row groups of other segments and dates are skipped
 STORE_COLUMNS = ["lake_store_id", "peer_relationship", "peer_segment", "neighborhood"]
 IDENTITY_COLUMNS = frozenset({
@@ -65,16 +68,18 @@ def _without(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
 
 def lake_projection(lines: DataFrame) -> DataFrame:
     """Observable lake columns: date, coarse time, taxonomy and payment facts."""
+    return lines.withColumns({**_order_facts(), **_card_facts(lines)})
+
+
+def _order_facts() -> dict[str, Column]:
     ts = F.col("txn_ts")
+    return {"txn_date": ts.cast("date"), "hour_bucket": hour_bucket(ts), "payment_type": F.col("tender")}
+
+
+def _card_facts(lines: DataFrame) -> dict[str, Column]:
     provider = F.col("wallet_provider") if "wallet_provider" in lines.columns else F.lit(None).cast("string")
     tapped = F.col("wallet_at_tap") if "wallet_at_tap" in lines.columns else F.lit(False)
-    return lines.withColumns({
-        "txn_date": ts.cast("date"),
-        "hour_bucket": hour_bucket(ts),
-        "payment_type": F.col("tender"),
-        "card_network": F.col("network"),
-        "wallet_type": F.when(tapped, F.coalesce(provider, F.lit("none"))).otherwise("none"),
-    })
+    return {"card_network": F.col("network"), "wallet_type": F.when(tapped, F.coalesce(provider, F.lit("none"))).otherwise("none")}
 
 
 def tokenize_ids(lines: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
@@ -140,9 +145,11 @@ def build_lake(
     Lines are enriched, tokenised and written once, whatever the number of viewers, each with its merchant's token and
     segment; `viewers` holds those of each viewer, from which its labels follow when the lake is read.  Each directory of lines
     is one month, sorted by segment and date inside a file; months are published by a manifest (`sinks.publish_partitions`).
+    Lines are dealt to their months with the ids they come with; tokens, which are longer, follow where the files are written.
     """
     spark = items.sparkSession
-    publish_partitions(published_lines(items, products, transactions, stores, salt), f"{root}/lines", "txn_month", LINE_ORDER, replace=True)
+    dated = _dated_lines(items, products, transactions, stores, salt)
+    publish_partitions(dated, f"{root}/lines", "txn_month", LINE_ORDER, replace=True, finish=lambda lines: _with_tokens(lines, salt))
     write_layout(tokenized_stores(stores, salt), f"{root}/stores")
     viewers = panel_viewers(merchants).withColumn("merchant_token", token(F.col("viewer"), salt))
     write_layout(viewers, f"{root}/viewers")
@@ -155,11 +162,45 @@ def build_lake(
 
 def published_lines(items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     """Lines as they are written: the lake's columns, the merchant's token and segment, and the month they are filed under."""
-    # Stores are tokenised before the lines meet them: one hash per store and not per line.
-    placed = stores.withColumns({"merchant_token": token(F.col("banner_code"), salt), "peer_segment": F.col("segment")})
-    base = tokenize_ids(lake_projection(enriched_lines(items, products, placed, transactions)), salt)
-    keep = [c for c in LAKE_COLUMNS if c in base.columns and c != "peer_relationship"]
-    return base.select(*keep, "merchant_token", "peer_segment", F.date_format("txn_date", "yyyy-MM").alias("txn_month"))
+    return _with_tokens(_dated_lines(items, products, transactions, stores, salt), salt)
+
+
+def _dated_lines(items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame, salt: str) -> DataFrame:
+    """Published lines that still have their own ids instead of tokens.
+
+    Lines that name their store go to their order as they are; what stores and products tell of them is longer and joins then.
+    """
+    placed = _tokenized_merchants(stores, salt)
+    if "store_id" in items.columns:
+        # A column that several frames have is taken from the items, the stores, the products, then the orders.
+        orders = transactions
+        for other in (items, placed, products):
+            orders = _without(orders, other, "txn_id")
+        lines = enriched_lines(_meet_orders(items, orders), products, placed)
+    else:
+        lines = enriched_lines(items, products, placed, transactions)
+    lines = lake_projection(lines)
+    keep = [c for c in PUBLISHED if c in lines.columns]
+    return lines.select("txn_id", "store_id", "line_id", *keep, _month().alias("txn_month"))
+
+
+def _with_tokens(dated: DataFrame, salt: str) -> DataFrame:
+    lines = tokenize_ids(dated, salt)
+    return lines.select(*[c for c in PUBLISHED if c in lines.columns], "txn_month")
+
+
+def _tokenized_merchants(stores: DataFrame, salt: str) -> DataFrame:
+    """Stores are tokenised before the lines meet them: one hash per store and not per line."""
+    return stores.withColumns({"merchant_token": token(F.col("banner_code"), salt), "peer_segment": F.col("segment")})
+
+
+def _meet_orders(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Both are facts: the merge join is named, so that orders are broadcast at no size and the plan does not change with it."""
+    return lines.join(orders.hint("merge"), "txn_id")
+
+
+def _month() -> Column:
+    return F.date_format("txn_date", "yyyy-MM")
 
 
 def lake_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -195,18 +236,46 @@ def viewer_lake(spark: SparkSession, root: str, viewer: str, relationships: Sequ
 
 
 def line_digest(lines: DataFrame, name: str) -> DataFrame:
-    """Per month and merchant token: the number of lines and the sum of a hash over their published columns, free of order."""
-    row = F.to_json(F.struct(*sorted(c for c in lines.columns if c not in ("txn_month", "merchant_token"))), {"ignoreNullFields": "false"})
+    """Per month and merchant token: the number of lines and the sum of a hash over their published columns, free of order.
+
+    Columns of the line and facts of its order are hashed apart, then together: the first hash can be taken before they meet.
+    """
+    return _digest(lines.withColumn("_line", _line_hash(lines.columns)), name)
+
+
+def _line_hash(columns: Sequence[str]) -> Column:
+    return hash60(_json(sorted(set(columns) - {"txn_month", "merchant_token", *ORDER_FACTS})))
+
+
+def _digest(lines: DataFrame, name: str) -> DataFrame:
+    row = F.concat_ws(":", F.col("_line").cast("string"), _json([c for c in ORDER_FACTS if c in lines.columns]))
     return lines.groupBy("txn_month", "merchant_token").agg(
         F.count(F.lit(1)).alias(f"{name}_lines"), F.sum(hash48(row).cast("decimal(20,0)")).cast("string").alias(f"{name}_hash"))
 
 
+def _json(columns: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def own_digest(items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
+    """`line_digest` of `published_lines`.  Where an order adds no more than time and tender, lines go to it as hashes."""
+    placed = _tokenized_merchants(stores, salt)
+    lines = enriched_lines(items, products, placed) if "store_id" in items.columns else items
+    added = {*_without(transactions, lines, "txn_id").columns}
+    if "store_id" not in items.columns or not {"txn_ts", "tender"} <= added or added & LINE_FACTS:
+        return line_digest(published_lines(items, products, transactions, stores, salt), "own")
+    tokenised = tokenize_ids(lines.withColumns(_card_facts(lines)), salt)
+    hashed = tokenised.select("txn_id", "merchant_token", _line_hash([c for c in PUBLISHED if c in tokenised.columns]).alias("_line"))
+    timed = _meet_orders(hashed, transactions.select("txn_id", "txn_ts", "tender"))
+    return _digest(timed.withColumns(_order_facts()).withColumn("txn_month", _month()), "own")
+
+
 def published_reconciliation(
     spark: SparkSession, root: str, items: DataFrame, products: DataFrame, transactions: DataFrame, stores: DataFrame, salt: str = DEFAULT_SALT,
 ) -> DataFrame:
     """Per month and merchant token: whether the written lines are those that the merchants' own data give, line by line."""
     lake = line_digest(lake_lines(spark, root), "lake")
-    own = line_digest(published_lines(items, products, transactions, stores, salt), "own")
+    own = own_digest(items, products, transactions, stores, salt)
     both = lake.join(own, ["txn_month", "merchant_token"], "full")
     return both.withColumn("match", F.coalesce((F.col("lake_lines") == F.col("own_lines")) & (F.col("lake_hash") == F.col("own_hash")), F.lit(False)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -110,17 +110,22 @@ def read_published(spark: SparkSession, root: str, column: str, only: Iterable[s
     return spark.read.option("basePath", f"{root}/data").parquet(*paths).drop("version") if paths else None
 
 
-def publish_partitions(df: DataFrame, root: str, column: str, sort_keys: Sequence[str] = (), replace: bool = False) -> list[str]:
+def publish_partitions(
+    df: DataFrame, root: str, column: str, sort_keys: Sequence[str] = (), replace: bool = False,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+) -> list[str]:
     """Publishes the partitions of `column` that `df` has, all or nothing, and returns them.
 
     They are written to a folder of their own; then one small manifest names, for every partition, the folder to read.
     Readers follow the newest manifest: they see the state before or the one after, and files in use are never replaced.  A
     write that fails leaves the old manifest in force; of two that run at once the later one raises.  Other partitions stay as
-    they are unless `replace`.  Files are balanced by bytes (AQE), so a large partition is written by several tasks.
+    they are unless `replace`.  Files are balanced by bytes (AQE), so a large partition is written by several tasks.  `finish`
+    makes the written rows, one of each, after these are dealt and sorted: columns that follow from others need not be shuffled.
     """
     spark, version = df.sparkSession, uuid.uuid4().hex
     number, held = manifest(spark, root)
-    write_layout(df.hint("rebalance", column).sortWithinPartitions(column, *sort_keys), f"{root}/data/version={version}", [column])
+    dealt = df.hint("rebalance", column).sortWithinPartitions(column, *sort_keys)
+    write_layout(dealt if finish is None else finish(dealt), f"{root}/data/version={version}", [column])
     written = spark.read.schema(f"{column} string").option("basePath", f"{root}/data/version={version}").parquet(f"{root}/data/version={version}")
     touched = sorted(r[0] for r in written.select(column).distinct().collect())
     if wrong := [p for p in touched if not re.fullmatch(r"[A-Za-z0-9_.-]+", p or "")]:

@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,69 @@ def test_reconciliation_reads_the_written_lake(spark, tmp_path):
     assert sorted({r["txn_month"] for r in got.filter("NOT match").collect()}) == ["2026-02", "2026-03"]
 
 
+def store_on_the_line(items, txns):
+    """The same panel with store and card on the lines; an order adds time and tender only."""
+    line = ["store_id", "network", "entry_mode", "wallet_at_tap", "wallet_provider"]
+    return items.join(txns.select("txn_id", *line), "txn_id"), txns.drop(*line)
+
+
+def exchanges(df):
+    """Columns that each exchange of the plan gets, by the text of its node."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    nodes = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (.*)", text)
+    return text, [({c.split("#")[0] for c in columns.split(", ")}, arguments) for columns, arguments in nodes]
+
+
+def test_lines_are_shuffled_with_ids_and_hashes(spark, tmp_path, monkeypatch):
+    merchants, stores, items, txns, products = panel(spark)
+    items, txns = store_on_the_line(items, txns)
+    items, txns = (sinks.write_layout(df, str(tmp_path / n)) or spark.read.parquet(str(tmp_path / n)) for df, n in ((items, "items"), (txns, "txns")))
+    written, root = [], str(tmp_path / "lake")
+    write = sinks.write_layout
+    monkeypatch.setattr(sinks, "write_layout", lambda df, *a: (written.append(df), write(df, *a)))
+    lake.build_lake(root, items, products, txns, stores, merchants)
+    text, dealt = exchanges(written[0])
+    names = {"lake_txn_id", "lake_store_id", "lake_line_id", "category", "department", "merchant_token", "peer_segment"}
+    (month,) = [c for c, a in dealt if "REBALANCE" in a]
+    assert not month & {n for n in names if n.startswith("lake_")} and {"txn_id", "store_id", "line_id", "txn_month"} <= month
+    assert not any(c & names for c, a in dealt if "hashpartitioning(txn_id" in a)
+    # Orders are small enough to be broadcast here, but they are facts: a larger lake is built by the same plan.
+    assert "SortMergeJoin" in text
+    text, dealt = exchanges(lake.own_digest(items, products, txns, stores))
+    assert "SortMergeJoin" in text
+    assert sorted(sorted(c) for c, a in dealt if "hashpartitioning(txn_id" in a) == [["_line", "merchant_token", "txn_id"], ["tender", "txn_id", "txn_ts"]]
+
+
+def test_own_digest_is_that_of_the_published_lines(spark, tmp_path):
+    """Whether the store is on the line or on the order, and whichever of the two the lake was written from."""
+    merchants, stores, items, txns, products = panel(spark)
+    contracts = [(items, txns), store_on_the_line(items, txns)]
+    want = sorted(map(tuple, lake.line_digest(lake.published_lines(items, products, txns, stores), "own").collect()))
+    assert len(want) == 9 and sum(r[2] for r in want) == 72
+    for i, (lines, orders) in enumerate(contracts):
+        # Columns of orders that lines or products have as well do not replace them, and keep an order from being hashed apart.
+        for extra in ({}, {"category": F.lit("x"), "qty": F.lit(0)}):
+            assert sorted(map(tuple, lake.own_digest(lines, products, orders.withColumns(extra), stores).collect())) == want
+        lake.build_lake(str(tmp_path / str(i)), lines, products, orders, stores, merchants)
+        for other_lines, other_orders in contracts:
+            got = lake.published_reconciliation(spark, str(tmp_path / str(i)), other_lines, products, other_orders, stores)
+            assert [r["match"] for r in got.collect()] == [True] * 9
+
+
+def test_every_published_fact_is_reconciled(spark, tmp_path):
+    merchants, stores, items, txns, products = panel(spark)
+    items, txns = store_on_the_line(items, txns)
+    lake.build_lake(str(tmp_path), items, products, txns, stores, merchants)
+    here = F.col("txn_id") == "EAS-2026-02-1"
+    changes = [("unit_price", F.lit(0.01)), ("qty", F.col("qty") + 1), ("sku", F.lit("milk")), ("store_id", F.lit("SNOR")), ("line_id", F.col("line_id") + 5),
+               ("entry_mode", F.lit(None).cast("string")), ("wallet_provider", F.lit("z")), ("tender", F.lit("cash")), ("tender", F.lit(None).cast("string")),
+               ("txn_ts", F.lit(dt.datetime(2026, 2, 12, 13)).cast("timestamp_ntz"))]
+    for name, value in changes:
+        lines, orders = (df.withColumn(name, F.when(here, value).otherwise(F.col(name))) if name in df.columns else df for df in (items, txns))
+        got = lake.published_reconciliation(spark, str(tmp_path), lines, products, orders, stores)
+        assert {r["txn_month"] for r in got.filter("NOT match").collect()} == {"2026-02"}, name
+
+
 def test_peers_of_a_published_lake_are_picked_in_the_scan(spark, tmp_path):
     root = str(tmp_path)
     merchants, stores, items, txns, products = panel(spark)
