@@ -113,12 +113,13 @@ def cut_lines(r: DataFrame) -> DataFrame:
     def within(rows: DataFrame, lines: DataFrame, key: str) -> DataFrame:
         return rows.join(lines, rows["source"].eqNullSafe(lines["s"]) & (rows[key] == lines["k"])).drop("s", "k")
 
-    first = within(r, crossing(r, "bin", F.lit(0).cast("long")), "bin")
+    # Each narrowing is written, so that the next plan reads it; nested, they would plan and read the ranks eight times in one job.
+    first = stage(within(r, crossing(r, "bin", F.lit(0).cast("long")), "bin"), "line-bins")
     second = crossing(first, "sub", F.col("done")).withColumnRenamed("done", "done2")
     last = within(first, second, "sub")
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
     last = last.withColumn("to_here", F.col("done2") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = last.withColumn("n", F.row_number().over(order))
+    last = stage(last.withColumn("n", F.row_number().over(order)), "line-rows")
     over = F.col("to_here") > F.col("rest")
     crossed = last.filter(over).groupBy("source").agg(F.min(F.struct("n", "rank", "size", "to_here", "rest")).alias("c"))
     # The crossing document is taken if its overshoot is at most what would be missing without it.

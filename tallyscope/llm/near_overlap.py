@@ -146,8 +146,9 @@ def near_rows(docs: DataFrame) -> DataFrame:
     placed = stage(fingerprint_groups(nodes.groupBy("fp").agg(F.min("node").alias("first"))), "simhash-groups")
     heads = placed.groupBy("component").agg(F.min("first").alias("lo"))
     alike = nodes.select("fp", F.col("node").alias("hi")).join(placed, "fp").join(heads, "component").filter("lo != hi").select("lo", "hi")
+    alike = stage(alike, "alike")
 
-    both = members.select("node").union(alike.select("lo")).union(alike.select("hi"))
+    both = members.select("node").union(alike.select(F.explode(F.array("lo", "hi"))))
     wanted = rows.join(both.distinct(), "node", "left_semi").dropDuplicates(["node"]).select("doc_id", "_h")
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"))
     those = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["_h"] == wanted["_k"]), "left_semi")
@@ -155,7 +156,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
     found = stage(found, "shingle-sets")
 
     stars = members.filter("node != lead").select(F.col("lead").alias("lo"), F.col("node").alias("hi")).union(alike).distinct()
-    own = stage(components(stage(verified(stars, found), "first-links")), "components")
+    own = stage(components(verified(stars, found)), "components")
 
     def still_open(m: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, with their component."""
@@ -163,7 +164,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
         keys = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
         return m.join(keys, "key", "left_semi")
 
-    m = still_open(members.drop("lead"))
+    m = stage(still_open(members.drop("lead")), "open-members")
     seen = nodes.select("node", "n", "sketch", "far", "bands").join(m.select("node").distinct(), "node", "left_semi")
     m = stage(m.join(seen, "node"), "open-buckets")
     for turn in range(LEADERS):

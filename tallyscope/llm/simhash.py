@@ -8,7 +8,8 @@
    fingerprints; by the triangle inequality a pair whose coordinates differ by more than 3 anywhere is discarded, and the
    survivors are verified by their own distance.  Both are conditions of the join itself, so that only links come out,
    each once: under the first key that its two ends share.  The join is a plain equi-join whose hot keys AQE splits.
-4. Components: large-star and small-star rounds over the links, each written to the shared folder, until nothing changes.
+4. Components: large-star and small-star rounds over the links, each half written to the shared folder, until all are stars.
+   A half is a short plan of its own: nested, each would be planned, compiled and kept by the driver several times over.
 
 No link between different fingerprints is lost and no bucket is capped.
 
@@ -129,30 +130,36 @@ def links(nodes: DataFrame) -> DataFrame:
     return a.join(b, same & near).select(F.col("a.node").alias("lo"), F.col("b.node").alias("hi"))
 
 
+def large_star(e: DataFrame) -> DataFrame:
+    """Links of every node's larger neighbours to the least of all its neighbours and itself."""
+    ends = F.inline(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v"))))
+    least = e.select(ends).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    return e.join(least, e["lo"] == least["u"]).select(F.col("m").alias("lo"), "hi").distinct()
+
+
+def small_star(e: DataFrame) -> DataFrame:
+    """Links of every node and its smaller neighbours to the least of these."""
+    least = e.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "u")
+    moved = e.join(least, e["hi"] == least["u"]).select(F.inline(F.array(
+        F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")))))
+    return moved.filter("lo != hi").distinct()
+
+
+def all_stars(e: DataFrame) -> bool:
+    """Whether every node is either a centre or linked to one centre only: what the rounds leave as it is."""
+    ends = F.inline(F.array(F.struct(F.col("lo").alias("u"), F.lit(0).alias("leaf")), F.struct(F.col("hi").alias("u"), F.lit(1).alias("leaf"))))
+    both = e.select(ends).groupBy("u").agg(F.sum("leaf").alias("of"), F.min("leaf").alias("least"))
+    return both.filter("of > 1 OR of = 1 AND least = 0").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge.  edges: (lo, hi), lo < hi."""
-
-    def star(e: DataFrame, both: bool) -> DataFrame:
-        """Links of every node to its least neighbour: of the larger neighbours, or of the smaller ones and itself."""
-        out = e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        if both:
-            out = out.unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = out.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        if both:
-            moved = out.filter("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        else:
-            moved = out.join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-            moved = moved.unionByName(least.select(F.col("m").alias("lo"), F.col("u").alias("hi")))
-        return moved.filter("lo != hi").distinct()
-
-    mark, now = None, stage(edges, "links")
+    now = stage(edges, "links")
     for _ in range(max_rounds):
-        now = stage(star(star(now, True), False), "links")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
-        if (state["n"], state["h"]) == mark:
+        if all_stars(now):
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
                 now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
-        mark = (state["n"], state["h"])
+        now = stage(small_star(stage(large_star(now), "large-star")), "small-star")
     raise RuntimeError("components did not settle")
 
 
