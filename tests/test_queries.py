@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import joins
 from tallyscope.plans import PLANS, SQL
+from tallyscope.plans.lake_queries import peer_lake
 from tallyscope.sources import census
 from tests.compare import compare, connect
 
@@ -124,3 +125,31 @@ def test_order_join_is_split_by_the_files(spark, sf_dir, monkeypatch, name):
         assert split == {max(-(-size // part), spark.sparkContext.defaultParallelism)}
         rows.append(sorted(map(tuple, df.collect())))
     assert rows[0] == rows[1]
+
+
+def test_products_of_few_bytes_and_many_rows_are_not_broadcast(spark, sf_dir, tmp_path):
+    """A catalogue of 2 million products is small in its file: its rows would take hundreds of MB on the driver."""
+    d, n = f"{tmp_path}/a b%20c", 10_000
+    os.mkdir(d)
+    for name in os.listdir(sf_dir):
+        if name != "part.parquet":
+            os.symlink(f"{sf_dir}/{name}", f"{d}/{name}")
+    shifted = "SELECT * REPLACE (p_partkey + i * (SELECT max(p_partkey) + 1 FROM part) AS p_partkey)"
+    connect(sf_dir).execute(f"COPY ({shifted} FROM part, range({n}) r(i) ORDER BY i, p_partkey) TO '{d}/part.parquet' (FORMAT parquet)")
+    products = census.products(spark, d)
+    assert joins.source_bytes(products) <= joins.BROADCAST_LIMIT
+    assert joins.source_rows(products) == n * census.products(spark, sf_dir).count()
+    joined = re.findall(r"(\w+Join) \[sku", peer_lake(spark, d, timed=True).select("sku", "category", "txn_ts")._jdf.queryExecution().sparkPlan().toString())
+    assert joined == ["SortMergeJoin"]
+    diff, count, _ = compare(spark, connect(d), PLANS["lake_sketches"], SQL["lake_sketches"], d)
+    assert diff is None and count == PLANS["lake_sketches"](spark, sf_dir).count(), diff
+
+
+def test_rows_of_a_source_are_those_of_its_files(spark, tmp_path):
+    df = spark.range(1000).withColumn("part", F.when(F.col("id") % 3 != 0, F.concat(F.lit("a/ %"), F.col("id") % 3)))
+    df.repartition(5).write.partitionBy("part").parquet(f"{tmp_path}/t")
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert joins.source_rows(back) == 1000 and 10 < joins.source_rows(back, 10) <= 1000
+    assert joins.source_rows(back.filter("id < 5").join(spark.range(7), "id")) == 1000
+    back.write.json(f"{tmp_path}/j")
+    assert joins.source_rows(spark.read.json(f"{tmp_path}/j")) == joins.source_rows(df) == 0
